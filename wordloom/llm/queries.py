@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.common import table
 from wordloom.llm.line_dedup import line_dedup
+from wordloom.llm.mixing import NOISE, mix_sources
 from wordloom.llm.quality_rules import STOP_WORDS, quality_rules
 from wordloom.llm.url_filter import SOFT_LIMIT, SOFT_TERMS, STRICT_TERMS, url_filter
 
@@ -103,13 +104,45 @@ FROM m GROUP BY doc_id
 """
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP6_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, len({WORDS.format("text")})::bigint AS size,
+         (('0x' || substr(md5('20|' || doc_id::varchar), 1, 13))::bigint + 0.5::double) / 4503599627370496.0::double AS u
+  FROM documents),
+k AS (
+  SELECT *, -ln(u) / greatest(0.1::double, 1.0::double - 5.0::double * (length(t) - length(translate(t, '{NOISE}', ''))) / greatest(length(t), 1)) AS key FROM d),
+s AS (SELECT source, sum(size)::bigint AS source_size FROM k GROUP BY source),
+r AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM s),
+l AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER o, 0))::double
+            / (sum(w) OVER () - coalesce(sum(w) OVER o, 0))::double AS level
+  FROM r WINDOW o AS (ORDER BY 3 * source_size / w::double, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (
+  SELECT source, source_size, least(3.0::double * source_size, min(CASE WHEN level <= 3 * source_size / w::double THEN level END) OVER () * w) AS target FROM l),
+e AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::bigint AS epochs FROM t),
+c AS (
+  SELECT doc_id, size, source_size, target, epochs, target - epochs * source_size AS rest,
+         sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id::varchar ROWS UNBOUNDED PRECEDING) AS upto
+  FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target,
+       (least(3, epochs + CASE WHEN upto - size / 2.0 <= rest THEN 1 ELSE 0 END) * size)::bigint AS taken
+FROM c
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
         "op4_quality_rules": op4_quality_rules,
         "op5_line_dedup": op5_line_dedup,
+        "op6_mix_sources": op6_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _op1_sql(), "op4_quality_rules": _op4_sql(), "op5_line_dedup": OP5_SQL}
+    return {"op1_url_filter": _op1_sql(), "op4_quality_rules": _op4_sql(), "op5_line_dedup": OP5_SQL, "op6_mix_sources": OP6_SQL}
