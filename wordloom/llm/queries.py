@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wordloom.llm.common import table
 from wordloom.llm.line_dedup import line_dedup
 from wordloom.llm.mixing import NOISE, mix_sources
+from wordloom.llm.packing import pack_documents
 from wordloom.llm.quality_rules import STOP_WORDS, quality_rules
 from wordloom.llm.url_filter import SOFT_LIMIT, SOFT_TERMS, STRICT_TERMS, url_filter
 
@@ -135,12 +136,25 @@ FROM c
 """
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    packed = pack_documents(docs, tokenizer_path())
+    return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
         "op4_quality_rules": op4_quality_rules,
         "op5_line_dedup": op5_line_dedup,
         "op6_mix_sources": op6_mix_sources,
+        "op9_best_fit_packing": op9_best_fit_packing,
     }
 
 
