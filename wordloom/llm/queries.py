@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import table
+from wordloom.llm.jaccard_join import jaccard_components
 from wordloom.llm.line_dedup import line_dedup
 from wordloom.llm.mixing import NOISE, mix_sources
 from wordloom.llm.packing import pack_documents
@@ -136,6 +137,25 @@ FROM c
 """
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+OP7_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPERS}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i+3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+r AS (SELECT a AS v, a AS c FROM l UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.v),
+m AS (SELECT v, min(c) AS c FROM r GROUP BY v)
+SELECT d.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, coalesce(m.c, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.v = d.doc_id
+"""
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -154,9 +174,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": op4_quality_rules,
         "op5_line_dedup": op5_line_dedup,
         "op6_mix_sources": op6_mix_sources,
+        "op7_jaccard_join": op7_jaccard_join,
         "op9_best_fit_packing": op9_best_fit_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _op1_sql(), "op4_quality_rules": _op4_sql(), "op5_line_dedup": OP5_SQL, "op6_mix_sources": OP6_SQL}
+    return {"op1_url_filter": _op1_sql(), "op4_quality_rules": _op4_sql(), "op5_line_dedup": OP5_SQL, "op6_mix_sources": OP6_SQL, "op7_jaccard_join": OP7_SQL}
