@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wordloom.llm.common import table
 from wordloom.llm.jaccard_join import jaccard_components
 from wordloom.llm.line_dedup import line_dedup
+from wordloom.llm.lm_score import lm_scores
 from wordloom.llm.mixing import NOISE, mix_sources
 from wordloom.llm.packing import pack_documents
 from wordloom.llm.quality_rules import STOP_WORDS, quality_rules
@@ -162,6 +163,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     packed = pack_documents(docs, tokenizer_path())
@@ -175,6 +180,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_dedup": op5_line_dedup,
         "op6_mix_sources": op6_mix_sources,
         "op7_jaccard_join": op7_jaccard_join,
+        "op8_lm_score": op8_lm_score,
         "op9_best_fit_packing": op9_best_fit_packing,
     }
 
