@@ -14,6 +14,7 @@ from wordloom.llm.lm_score import lm_scores
 from wordloom.llm.mixing import NOISE, mix_sources
 from wordloom.llm.packing import pack_documents
 from wordloom.llm.quality_rules import STOP_WORDS, quality_rules
+from wordloom.llm.toxicity import toxicity_scores
 from wordloom.llm.url_filter import SOFT_LIMIT, SOFT_TERMS, STRICT_TERMS, url_filter
 
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -53,6 +54,11 @@ def _op1_sql() -> str:
     FROM t"""
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity_scores(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     q = quality_rules(docs)
@@ -176,6 +182,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_toxicity": op2_toxicity,
         "op4_quality_rules": op4_quality_rules,
         "op5_line_dedup": op5_line_dedup,
         "op6_mix_sources": op6_mix_sources,
