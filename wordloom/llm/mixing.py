@@ -10,12 +10,13 @@ from wordloom.llm.common import word_count, written
 
 #: Characters whose share lowers a document's quality weight.
 NOISE = "#*$%&|<>!@^_~=+{}[]"
+NOISE_RUN = r"[#*$%&|<>!@^_~=+{}\[\]]+"
 
 
 def quality_weight(text: Column) -> Column:
     """1 for clean text, down to 0.1 as the share of noise characters nears 18 %."""
     t = F.coalesce(text, F.lit(""))
-    noise = F.length(t) - F.length(F.translate(t, NOISE, ""))
+    noise = F.length(t) - F.length(F.regexp_replace(t, NOISE_RUN, ""))
     return F.greatest(F.lit(0.1), F.lit(1.0) - F.lit(5.0) * noise / F.greatest(F.length(t), F.lit(1)))
 
 
@@ -40,7 +41,8 @@ def source_targets(sizes: DataFrame, source_col: str, weights: tuple[int, ...] =
     before = by_level.rowsBetween(W.unboundedPreceding, -1)
     everything = W.partitionBy(F.lit(1))
     level = (F.sum("source_size").over(everything) - F.coalesce(F.sum(full).over(before), F.lit(0))) / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0)))
-    filled = ranked.withColumn("level", level).withColumn("water", F.min(F.when(F.col("level") <= full / F.col("w"), F.col("level"))).over(everything))
+    first = F.min(F.when(F.col("level") <= full / F.col("w"), F.struct("rank", "level"))).over(everything)
+    filled = ranked.withColumn("level", level).withColumn("rank", F.row_number().over(by_level)).withColumn("water", first["level"])
     return filled.select(source_col, "source_size", F.least(full.cast("double"), F.col("water") * F.col("w")).alias("target"))
 
 

@@ -132,7 +132,8 @@ l AS (
             / (sum(w) OVER () - coalesce(sum(w) OVER o, 0))::double AS level
   FROM r WINDOW o AS (ORDER BY 3 * source_size / w::double, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (
-  SELECT source, source_size, least(3.0::double * source_size, min(CASE WHEN level <= 3 * source_size / w::double THEN level END) OVER () * w) AS target FROM l),
+  SELECT source, source_size, least(3.0::double * source_size, w * (
+    SELECT level FROM l WHERE level <= 3 * source_size / w::double ORDER BY 3 * source_size / w::double, source NULLS LAST LIMIT 1)) AS target FROM l),
 e AS (SELECT *, coalesce(floor(target / nullif(source_size, 0)), 0)::bigint AS epochs FROM t),
 c AS (
   SELECT doc_id, size, source_size, target, epochs, target - epochs * source_size AS rest,
