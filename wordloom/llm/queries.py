@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.llm.audio_fingerprint import add_melody, align, fingerprints
 from wordloom.llm.common import table
 from wordloom.llm.exact_substring import exact_substring_dedup
 from wordloom.llm.jaccard_join import jaccard_components
@@ -186,6 +187,24 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
+def op10_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation turn played as audio; queries are the turns of conversations divisible by 100."""
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "text").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    prints = fingerprints(add_melody(turns.select("id", "text"), "text"))
+    found = align(prints, prints.where(F.floor(F.col("id") / 1000) % 100 == 0))
+    best = found.groupBy("query").agg(F.count("*").alias("n_matches"), F.min(F.struct("bit_errors", "match", "offset")).alias("best"))
+    return prints.join(best, F.col("class_id") == F.col("query"), "left").select(
+        "id", F.size("items").cast("long").alias("n_items"), F.crc32(F.array_join("items", ",").cast("binary")).alias("items_crc32"), "class_id",
+        F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.col("best.match").alias("match_id"), F.col("best.offset").cast("long").alias("match_offset"), F.col("best.bit_errors").alias("bit_errors"),
+    )
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -197,6 +216,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_jaccard_join": op7_jaccard_join,
         "op8_lm_score": op8_lm_score,
         "op9_best_fit_packing": op9_best_fit_packing,
+        "op10_audio_fingerprint": op10_audio_fingerprint,
+        "pipeline": pipeline,
     }
 
 
