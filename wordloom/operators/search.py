@@ -42,7 +42,8 @@ def occurrences(text: str | None, query: str | None) -> list[dict]:
 
 
 #: Text that folding leaves in place: ASCII without runs of blanks or blanks at its ends.
-_STEADY = r"^[\x21-\x7E]+( [\x21-\x7E]+)*$"
+def is_steady(text: Column) -> Column:
+    return text.rlike(r"^[\x21-\x7E][\x20-\x7E]*$") & ~text.contains("  ") & ~text.endswith(" ")
 
 
 def _steady_occurrences(text: Column, query: Column) -> Column:
@@ -75,7 +76,7 @@ def search(blocks: DataFrame, queries: DataFrame, radius: int = 72) -> DataFrame
     """
     q = queries.select("query").distinct().withColumn("needle", F.udf(fold, "string", useArrow=True)("query")).where(F.length("needle") >= 2)
     met = blocks.join(q, F.col("normalized_text").contains(F.col("needle")))
-    steady = F.col("text").rlike(_STEADY)
+    steady = is_steady(F.col("text"))
     slow = F.udf(occurrences, "array<struct<start:int,end:int>>", useArrow=True)
     found = F.when(steady, _steady_occurrences(F.col("text"), F.col("needle"))).otherwise(slow(F.when(~steady, F.col("text")), F.col("needle")))
     hits = met.select("query", "set_id", "doc_id", "name", "element_id", "ordinal", "text", F.posexplode(found).alias("at", "hit"))

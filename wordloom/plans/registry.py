@@ -463,7 +463,7 @@ def j4(spark, d):
 
 _Q = ["the", "and it", "de la", "x", "on. ", "Licensed"]
 _HITS = BLOCKS + f""", q AS (SELECT unnest({_Q}) AS query), qq AS (SELECT query, trim(lower(query)) AS needle FROM q WHERE length(trim(query)) >= 2),
-h0 AS (SELECT query, needle, blocks.*, string_split(lower(text), needle) AS pieces FROM blocks JOIN qq ON contains(norm, needle) WHERE regexp_matches(text, '^[\\x21-\\x7E]+( [\\x21-\\x7E]+)*$')),
+h0 AS (SELECT query, needle, blocks.*, string_split(lower(text), needle) AS pieces FROM blocks JOIN qq ON contains(norm, needle) WHERE regexp_matches(text, '^[\\x21-\\x7E][\\x20-\\x7E]*$') AND NOT contains(text, '  ')),
 h1 AS (SELECT *, unnest(range(1, len(pieces))) AS occurrence FROM h0),
 h AS (SELECT query, set_id, doc_id, name, element_id, ordinal, occurrence, text, (list_sum(list_transform(pieces[1:occurrence], lambda x: length(x))) + (occurrence - 1) * length(needle))::int AS start, length(needle) AS n FROM h1)
 """
@@ -471,7 +471,7 @@ h AS (SELECT query, set_id, doc_id, name, element_id, ordinal, occurrence, text,
 
 def hits(spark, d, plain: bool = True) -> DataFrame:
     b = current(spark, d)
-    b = b.where(F.col("text").rlike(r"^[\x21-\x7E]+( [\x21-\x7E]+)*$")) if plain else b
+    b = b.where(search.is_steady(F.col("text"))) if plain else b
     return search.search(b, spark.createDataFrame([(x,) for x in _Q], "query string"))
 
 
@@ -624,10 +624,10 @@ def e7(spark, d):
     return edits.maintain_link_groups(matching.exact_link_groups(old), new, versions.changed_hashes(diff))
 
 
-@query("e8_remove_documents", BLOCKS.replace("FROM documents)", "FROM documents WHERE doc_id % 4 <> 1)") + GROUPS + "SELECT * FROM g")
+@query("e8_remove_documents", BLOCKS.replace("FROM documents)", "FROM documents WHERE (doc_id // 20) % 4 <> 1)") + GROUPS + "SELECT * FROM g")
 def e8(spark, d):
     ws = workspace(spark, d)
-    left = edits.remove_documents(ws, ws.documents.where("doc_id % 4 = 1"))
+    left = edits.remove_documents(ws, ws.documents.where("(doc_id div 20) % 4 = 1"))
     return matching.exact_link_groups(matching.current_blocks(ws).join(left.select("doc_id"), "doc_id", "left_semi"))
 
 
@@ -810,7 +810,7 @@ def st1(spark, d):
 
 @query("st2_stream_job_status", "SELECT user_id AS job_id, arg_max(event_type, ts) AS status, max(ts) AS updated_at, count(*)::bigint AS events FROM events GROUP BY user_id")
 def st2(spark, d):
-    e = read(spark, d, "events").select("event_id", "ts", F.col("user_id").alias("job_id"), F.col("event_type").alias("status"))
+    e = read(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("job_id"), F.col("event_type").alias("status"))
     source, out, mark = folder(spark), folder(spark), folder(spark)
     e.write.parquet(source)
     status = streams.stream_job_status(spark.readStream.schema(e.schema).parquet(source))
@@ -820,4 +820,4 @@ def st2(spark, d):
 
     status.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
     last = spark.read.parquet(out)
-    return last.groupBy("job_id").agg(F.max_by(F.struct("status", "updated_at", "events"), F.struct("events", "batch")).alias("x")).select("job_id", "x.*")
+    return last.groupBy("job_id").agg(F.max_by(F.struct("status", "updated_at", "events"), F.struct("events", "batch")).alias("x")).select("job_id", "x.status", F.col("x.updated_at").cast("timestamp_ntz").alias("updated_at"), "x.events")
