@@ -54,7 +54,8 @@ def words_of(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    """Number of words, without building strings for them: blanks squeezed, then counted."""
-    squeezed = F.btrim(F.regexp_replace(F.coalesce(c, F.lit("")), BLANK_RUN, " "), F.lit(" "))
-    gaps = F.length(squeezed) - F.length(F.translate(squeezed, " ", ""))
-    return F.when(squeezed == "", F.lit(0)).otherwise(gaps + 1).cast("long")
+    """Number of words: every blank made a space, split at single spaces, empty parts left out."""
+    spaced = F.coalesce(c, F.lit(""))
+    for blank in BLANKS[1:]:
+        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
+    return F.size(F.array_remove(F.split(spaced, " "), "")).cast("long")
