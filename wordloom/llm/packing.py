@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -17,48 +18,99 @@ from pyspark.sql import functions as F
 from wordloom.llm.common import written
 
 #: A worker forgets its remembered words beyond this many.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 250_000
 
 PIECES = "piece int, start long, length int, ids_crc32 long"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters that byte-level vocabularies write for bytes: printable ones as they are, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class WordCoder:
+    """word (bytes between ASCII white space) -> its ids as little-endian 32-bit numbers; remembers a bounded number.
+
+    No merge and no normal form of the vocabulary reaches over white space, so words can be coded one by one. A word of
+    Latin letters, with or without full stops and the like after it, goes to the merges directly: it is one piece, and
+    what follows another. Every other word goes through the whole tokenizer.
+    """
+
+    ENDS = b".,;:!?"
+
+    def __init__(self, tokenizer: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.coder = Tokenizer.from_file(tokenizer)
+        self.model = self.coder.model
+        self.known: dict[bytes, bytes] = {}
+        self.letters = str.maketrans({chr(b): c for b, c in _byte_letters().items()})
+
+    def _merged(self, piece: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(piece)], dtype="<u4").tobytes()
+
+    def learn(self, words: list[bytes]) -> None:
+        known = self.known
+        if len(known) > REMEMBERED_WORDS:
+            known.clear()
+        slow = []
+        for w in set(words):
+            if w in known:
+                continue
+            core = w.rstrip(self.ENDS)
+            text = core.decode()
+            low = text.lower()
+            if text and low.isalpha() and text.isalpha() and max(text) < "\u0250":
+                ids = known.get(core) or self._merged(low.encode().decode("latin-1").translate(self.letters))
+                known[core] = ids
+                if len(core) < len(w):
+                    known[w] = ids + self._merged(w[len(core) :].decode())
+            else:
+                slow.append(w)
+        for i in range(0, len(slow), 1024):
+            part = slow[i : i + 1024]
+            for w, e in zip(part, self.coder.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
+                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def __call__(self, text: bytes) -> bytes:
+        words = text.lower().split()  # of bytes: A-Z alone, which the tokenizer lower-cases too
+        try:
+            return b"".join([self.known[w] for w in words])
+        except KeyError:
+            self.learn(words)
+            return b"".join([self.known[w] for w in words])
+
+
+_CODERS: dict[str, WordCoder] = {}
+
+
+def word_coder(tokenizer: str) -> WordCoder:
+    """The worker's own coder, kept from task to task."""
+    if tokenizer not in _CODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
+        _CODERS[tokenizer] = WordCoder(tokenizer)
+    return _CODERS[tokenizer]
+
+
 def _pieces(tokenizer: str, end_id: int, limit: int, passed: list[str], text_col: str, keep_ids: bool):
     """mapInArrow function: documents -> pieces of at most `limit` ids, each document ended by end_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        coder = Tokenizer.from_file(tokenizer)
-        known: dict[bytes, bytes] = {}
+        coder = word_coder(tokenizer)
         end = np.array([end_id], dtype="<u4").tobytes()
         step = 4 * limit
-
-        def learn(words: list[bytes]) -> None:
-            new = list({w for w in words if w not in known})
-            if len(known) + len(new) > REMEMBERED_WORDS:
-                known.clear()
-                new = list(set(words))
-            # no merge and no normal form of this vocabulary reaches over white space, so words can be coded one by one
-            for i in range(0, len(new), 4096):
-                part = new[i : i + 4096]
-                for w, e in zip(part, coder.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)):
-                    known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col)).cast(pa.large_binary())
             for lo in range(0, len(texts), 256):
                 rows, out = [], []
                 for i in range(lo, min(lo + 256, len(texts))):
-                    words = (texts[i].as_py() or b"").split()
-                    try:
-                        ids = b"".join([known[w] for w in words]) + end
-                    except KeyError:
-                        learn(words)
-                        ids = b"".join([known[w] for w in words]) + end
+                    ids = coder(texts[i].as_py() or b"") + end
                     for k, at in enumerate(range(0, len(ids), step)):
                         part = ids[at : at + step]
                         rows.append(i)
-                        out.append((k, at // 4, len(part) // 4, zlib.crc32(part), part))
+                        out.append((k, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None))
                 take = pa.array(rows, pa.int64())
                 cols = [batch.column(batch.schema.get_field_index(c)).take(take) for c in passed]
                 values = list(zip(*out))
@@ -82,16 +134,15 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, text_col: str = "text", id_
 def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
     """Martello-Toth reduction on a histogram of lengths: fixed sets with their multiplicity, and what is left.
 
-    Take the longest length j. A set with j that dominates every other one may be fixed for good:
-    j alone if not even the shortest fits beside it; j with the longest partner k that fits if it fills the space
-    exactly, or if no two lengths together fit, or if the best two that fit are no longer than k.
-    Otherwise j is set aside for best fit. Work is bounded by the square of the capacity, whatever the counts.
+    Take the longest length j. A set with j that dominates every other one may be fixed for good, as the others' members
+    can be dealt to its members without being longer: j alone if not even the shortest fits beside it; j with the longest
+    partner k that fits if it fills the space exactly, or if no three others fit and the best two that do are no longer
+    than k. Otherwise j is left to best fit. Work is bounded by the square of the capacity, whatever the counts.
     """
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] = n
     fixed: list[tuple[tuple[int, ...], int]] = []
-    aside: dict[int, int] = {}
 
     def best_two(space: int) -> int:
         lengths = np.flatnonzero(left[: space + 1])
@@ -102,6 +153,11 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tup
         at = at - alone
         return int(np.max(np.where(at >= 0, lengths + lengths[at], 0)))
 
+    def least_three() -> int:
+        shortest = np.flatnonzero(left)[:3]
+        three = np.repeat(shortest, np.minimum(left[shortest], 3))[:3]
+        return int(three.sum()) if len(three) == 3 else 1 << 62
+
     for j in map(int, np.flatnonzero(left)[::-1]):
         while left[j]:
             left[j] -= 1  # the one to be placed
@@ -111,16 +167,16 @@ def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tup
             if not k:
                 fixed.append(((j,), 1 + int(left[j])))
                 left[j] = 0
-            elif k == space or best_two(space) <= k:
+            elif k == space or (least_three() > space and best_two(space) <= k):
                 # true for every one of the m sets: while k is there, what else fits only becomes less
                 m = int((left[j] + 1) // 2 if k == j else min(left[j] + 1, left[k]))
                 fixed.append(((j, k), m))
                 left[j] += 1 - m
                 left[k] -= m
             else:
-                aside[j] = 1 + int(left[j])
-                left[j] = 0
-    return fixed, aside
+                left[j] += 1  # left to best fit, and still a partner of shorter ones
+                break
+    return fixed, {int(x): int(left[x]) for x in np.flatnonzero(left)}
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -152,6 +208,12 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...
     return [x for sets in open_sets.values() for x in sets]
 
 
+def pack_lengths(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Sets of the reduction with best fit of what it leaves; or best fit of all, should that ever take fewer."""
+    fixed, rest = reduce_by_dominance(counts, capacity)
+    return min((fixed + best_fit(rest, capacity), best_fit(counts, capacity)), key=lambda sets: sum(m for _, m in sets))
+
+
 def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """length -> (first rank, first set, members of the length in a set, offset of the first) of each class of sets."""
     found: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
@@ -203,8 +265,7 @@ def pack_pieces(pieces: DataFrame, id_col: str = "doc_id", capacity: int = 4096,
     pieces = written(pieces.withColumn("_share", F.pmod(F.xxhash64(F.col(id_col), F.col("piece"), F.col("ids_crc32")), F.lit(shares)).cast("int")), "pieces")
     shared = written(pieces.groupBy("length", "_share").agg(F.count("*").alias("n")), "piece-lengths")
     counts = {r["length"]: r["n"] for r in shared.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    fixed, rest = reduce_by_dominance(counts, capacity)
-    slots = spark.sparkContext.broadcast(_slots(fixed + best_fit(rest, capacity)))
+    slots = spark.sparkContext.broadcast(_slots(pack_lengths(counts, capacity)))
 
     before = W.partitionBy("length").orderBy("_share").rowsBetween(W.unboundedPreceding, -1)
     starts = shared.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
