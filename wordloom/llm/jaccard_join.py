@@ -5,7 +5,7 @@ token sets reaches the threshold t. With m = n - ceil(t * n) tokens at most miss
 tokens of two linked documents, in any order common to all documents, share at least k tokens:
 
 * k above m / 2 filters documents: one whose extended prefix shares too few tokens with other prefixes has no link.
-* k = 2 indexes the rest: rare tokens one by one, frequent ones (ordered last) in combinations of two. Two linked sets
+* k = 2 indexes the rest, in ascending frequency: rare tokens one by one, frequent ones in combinations of two. Two linked sets
   that differ share two tokens at least, and equal sets are one vertex already.
 
 Index keys connect candidates into groups, and each group is verified exactly, block against block.
@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import written
@@ -26,6 +27,7 @@ from wordloom.llm.graph import components
 
 REMEMBERED_WORDS = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_LOW48 = np.int64((1 << 48) - 1)
 
 
 def missing(n: np.ndarray | int, percent: int):
@@ -74,10 +76,10 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
 
 
-def _scan(size: int, percent: int, keep: Callable[[np.ndarray], np.ndarray] | None, whole: bool):
-    """mapInArrow function over (id, text): id, n, key of the set, and its extended prefix or (whole) all its tokens.
+def _scan(size: int, percent: int, keep: Callable[[np.ndarray], np.ndarray] | None, give: str):
+    """mapInArrow function over (id, text): id, n, key of the set, and its tokens: none, an extended prefix, or whole.
 
-    keep tells for an array of ids which documents to look at.
+    Tokens of prefixes are cut to 48 bits: they only filter. keep tells for an array of ids which documents to look at.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +97,7 @@ def _scan(size: int, percent: int, keep: Callable[[np.ndarray], np.ndarray] | No
                     ns.append(n)
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     m = missing(n, percent)
-                    lists.append(s if whole else s[: m + m // 2 + 1])
+                    lists.append(s if give == "whole" else s[: m + m // 2 + 1] & _LOW48 if give == "prefix" else s[:0])
                 yield pa.RecordBatch.from_arrays([part, pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), _lists(lists)], names=["id", "n", "key", "tokens"])
 
     return run
@@ -111,29 +113,6 @@ def _bit_filter(ids: DataFrame, bits: int) -> Callable[[np.ndarray], np.ndarray]
     return ids.sparkSession.sparkContext.broadcast(table)
 
 
-def _index(percent: int, frequent) -> Callable:
-    """mapInArrow function over (id, n, tokens): the index keys of each document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = frequent.value
-        for batch in batches:
-            ids, ns = _column(batch, "id").to_numpy(), _column(batch, "n").to_numpy()
-            keys = []
-            for tokens, n in zip(_column(batch, "tokens"), ns):
-                s = tokens.values.to_numpy()
-                often = np.isin(s, hot)
-                s = np.concatenate([s[~often], s[often]])[: int(missing(n, percent)) + 2]
-                often = np.isin(s, hot)
-                f = s[often].astype(np.uint64)
-                i, j = np.triu_indices(len(f), 1)
-                pairs = ((f[i] * _MIX) ^ (f[j] + np.uint64(1))).view(np.int64)
-                keys.append(np.concatenate([s[~often], pairs]))
-            flat = _lists(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(k) for k in keys])), flat.values], names=["id", "token"])
-
-    return run
-
-
 def _spanning(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the given links."""
     root = np.arange(n)
@@ -203,27 +182,23 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     equal, and else stand each for the id, which joins their components. A null id has no component. Other columns are
     left behind. An empty table gives an empty table.
 
-    Scale: shingles are shuffled only for prefixes, and then only for documents that can still have a link. A frequent
-    token is never a bucket of pairs: groups are verified by pairs of blocks of at most ``block`` documents, whose sets
-    travel once for each block they meet. What is broadcast is bounded: a bit array of ``bits``, and the tokens found in
-    more than ``frequent_share`` of the documents, of which there are at most (mean prefix) / frequent_share.
+    Scale: shingles are shuffled for prefixes first, and then only for documents that can still have a link. A token in
+    more than ``frequent_share`` of the documents (and ``frequent_least``) is indexed in combinations of two. Groups of
+    candidates are verified by pairs of blocks of at most about ``block`` documents, whose sets travel once for each block
+    they meet. What is broadcast is a bit array of ``bits``.
     """
-    spark = docs.sparkSession
+    schema = "id long, n long, key binary, tokens array<long>"
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    scanned = slim.where(F.col("id").isNotNull()).mapInArrow(_scan(size, percent, None, False), "id long, n long, key binary, tokens array<long>")
-    heads = written(scanned.select("id", "n", "key", F.size("tokens").alias("p"), "tokens"), "prefixes")
-    total = heads.count()
-    rows = heads.select("id", F.explode("tokens").alias("token"))
-    counts = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    counts = written(counts, "token-counts")
-    limit = max(frequent_least, int(frequent_share * total))
-    frequent = np.array([r["token"] for r in counts.where(F.col("df") > limit).select("token").toLocalIterator()], dtype=np.int64)
+    named_docs = slim.where(F.col("id").isNotNull())
+    heads = written(named_docs.mapInArrow(_scan(size, percent, None, "none"), schema).drop("tokens"), "heads")
+    # prefixes are made twice rather than kept: reading costs less than the room they take
+    rows = named_docs.mapInArrow(_scan(size, percent, None, "prefix"), schema).select("id", F.explode("tokens").alias("token"))
+    counts = written(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "repeated-tokens")
+    lacking = lambda n: n + F.floor(-n * percent / 100)
     # a partner of a set of n tokens has at least percent * n / 100 of them, and so shares this many of its prefix
-    least_n = -F.floor(-F.col("n") * percent / 100)
-    m = least_n + F.floor(-least_n * percent / 100)
-    need = F.greatest(F.floor(m / 2) + 1, F.lit(1))
-    hits = rows.join(counts.select("token"), "token").groupBy("id").agg(F.count("*").alias("hits"))
-    able = heads.select("id", "n", "key").where("n > 0").join(hits, "id").where(F.col("hits") >= need)
+    need = F.floor(lacking(-F.floor(-F.col("n") * percent / 100)) / 2) + 1
+    hits = rows.join(counts, "token").groupBy("id").agg(F.count("*").alias("hits"))
+    able = heads.where("n > 0").join(hits, "id").where(F.col("hits") >= need)
     able = written(able.groupBy("key", "n").agg(F.min("id").alias("id")), "able")
     # whole sets of one document for each set that is left
     table = _bit_filter(able.select("id"), bits)
@@ -232,11 +207,19 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
         slots = ids % bits
         return (table.value[slots // 63] >> (slots % 63)) & 1 == 1
 
-    again = slim.where(F.col("id").isNotNull()).mapInArrow(_scan(size, percent, keep, True), "id long, n long, key binary, tokens array<long>")
+    again = named_docs.mapInArrow(_scan(size, percent, keep, "whole"), schema)
     sets = written(again.join(able.select("id", "key"), ["id", "key"]).dropDuplicates(["id", "key"]), "sets")
 
-    index = sets.select("id", "n", "tokens").mapInArrow(_index(percent, spark.sparkContext.broadcast(frequent)), "id long, token long")
-    index = written(index, "index")
+    # the order of tokens: ascending frequency among the documents left. Tokens of one document come first and index nothing
+    tokens = sets.select("id", "n", F.explode("tokens").alias("token"))
+    often = written(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token-counts")
+    by_id = W.partitionBy("id")
+    ranked = tokens.join(often, "token").withColumn("rank", F.row_number().over(by_id.orderBy("df", "token"))).withColumn("alone", F.col("n") - F.count("*").over(by_id))
+    prefix = written(ranked.where(F.col("rank") <= lacking(F.col("n")) + 2 - F.col("alone")).select("id", "token", "df"), "token-prefixes")
+    limit = F.lit(max(frequent_least, int(frequent_share * heads.count())))
+    frequent = prefix.where(F.col("df") > limit)
+    pairs = frequent.select("id", "token").join(frequent.select("id", F.col("token").alias("other")), "id").where("token < other").select("id", F.xxhash64("token", "other").alias("token"))
+    index = written(prefix.where(F.col("df") <= limit).select("id", "token").unionByName(pairs), "index")
     first = index.groupBy("token").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") < F.col("last")).select("token", "first")
     first = written(first, "token-firsts")
     stars = index.join(first, "token").where(F.col("id") != F.col("first")).select(F.col("id").alias("a"), F.col("first").alias("b"))
@@ -255,5 +238,5 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     found = components(links.unionByName(twins))
     out = heads.select("id", "n").join(found, F.col("id") == F.col("v"), "left")
     named = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"))
-    unnamed = slim.where(F.col("id").isNull()).mapInArrow(_scan(size, percent, None, False), "id long, n long, key binary, tokens array<long>")
+    unnamed = slim.where(F.col("id").isNull()).mapInArrow(_scan(size, percent, None, "none"), schema)
     return named.unionByName(unnamed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
