@@ -55,3 +55,32 @@ def group_order(groups: DataFrame, detail_limit: int = 100) -> DataFrame:
     w = W.partitionBy("set_id").orderBy(F.desc("members"), F.lower("representative_text"), "match_hash")
     many = F.count("*").over(W.partitionBy("set_id")) > detail_limit
     return groups.withColumn("place", F.row_number().over(w)).withColumn("representative_text", F.when(~many, F.col("representative_text")))
+
+
+def unsupported_diagnostics(blocks: DataFrame) -> DataFrame:
+    """Per document and reason: read-only blocks (a column reason, null for editable ones)."""
+    return blocks.where("reason IS NOT NULL").groupBy("doc_id", "reason").agg(F.count("*").alias("blocks"))
+
+
+def unique_names(files: DataFrame) -> DataFrame:
+    """(set_id, upload, name) -> unique_name: a name that an earlier file of the set has gets the first free `` (n)``.
+
+    Sequential by nature, so a set is one group; sets are uploads of a person, which are small.
+    """
+    import pandas as pd
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        taken: set[str] = set()
+        names = []
+        group = group.sort_values(["upload", "name"])
+        for name in group["name"]:
+            stem, dot, ext = name.rpartition(".") if "." in name.strip(".") else (name, "", "")
+            new, n = name, 0
+            while new.casefold() in taken:
+                n += 1
+                new = f"{stem} ({n}){dot}{ext}"
+            taken.add(new.casefold())
+            names.append(new)
+        return group.assign(unique_name=names)[["set_id", "upload", "name", "unique_name"]]
+
+    return files.select("set_id", "upload", "name").groupBy("set_id").applyInPandas(run, "set_id string, upload long, name string, unique_name string")

@@ -128,3 +128,16 @@ def carry_shared_state(old: DataFrame, new: DataFrame, key: list[str], override:
     o, r = override.select(*key, F.lit(True).alias("o")), reconnect.select(*key, F.lit(True).alias("r"))
     state = F.when(F.col("o"), "detached").when(F.col("r"), "shared").otherwise(F.coalesce("old_state", F.lit("shared")))
     return new.join(old.select(*key, F.col("shared_state").alias("old_state")), key, "left").join(o, key, "left").join(r, key, "left").withColumn("shared_state", state).drop("old_state", "o", "r")
+
+
+def legacy_state_fallback(blocks: DataFrame, states: DataFrame) -> DataFrame:
+    """State of a block by its place, else by its cell, else by its body paragraph, else shared.
+
+    states: doc_id, location_key, table_index, row_index, column_index, paragraph_index, state; keys that don't apply are null.
+    """
+    steps = (["location_key"], ["table_index", "row_index", "column_index"], ["paragraph_index"])
+    out = blocks
+    for i, keys in enumerate(steps):
+        s = states.where(F.coalesce(*(F.col(k).cast("string") for k in keys)).isNotNull()).groupBy("doc_id", *keys).agg(F.min("state").alias(f"_state{i}"))
+        out = out.join(s, ["doc_id", *keys], "left")
+    return out.withColumn("shared_state", F.coalesce(*(F.col(f"_state{i}") for i in range(len(steps))), F.lit("shared"))).drop(*(f"_state{i}" for i in range(len(steps))))

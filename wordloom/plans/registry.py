@@ -795,6 +795,27 @@ def t3(spark, d):
     return records(spark, d).select("name", m["name"].alias("n"), m["absent"].alias("absent"), F.size(m).alias("fields"))
 
 
+@query("a10_unsupported_diagnostics", BLOCKS + "SELECT doc_id, CASE WHEN ordinal % 9 = 3 THEN 'Hyperlink content' ELSE 'Word field' END AS reason, count(*)::bigint AS blocks FROM blocks WHERE ordinal % 9 IN (3, 7) GROUP BY ALL")
+def a10(spark, d):
+    tags = F.when(F.col("ordinal") % 9 == 3, F.array(F.lit("hyperlink"))).when(F.col("ordinal") % 9 == 7, F.array(F.lit("r"), F.lit("fldSimple"))).otherwise(F.array(F.lit("r")))
+    return checks.unsupported_diagnostics(workspace(spark, d).blocks.withColumn("reason", T.unsupported_reason(tags, F.lit(False), F.lit(False), F.lit(1))))
+
+
+@query("w11_unique_names", """WITH f AS (SELECT source AS set_id, doc_id AS upload, 'Report ' || (doc_id % 7)::varchar || '.docx' AS name FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY set_id, name ORDER BY upload) - 1 AS k FROM f)
+SELECT set_id, upload, name, CASE WHEN k = 0 THEN name ELSE replace(name, '.docx', ' (' || k::varchar || ').docx') END AS unique_name FROM n""")
+def w11(spark, d):
+    return checks.unique_names(read(spark, d, "documents").select(F.col("source").alias("set_id"), F.col("doc_id").alias("upload"), F.concat(F.lit("Report "), (F.col("doc_id") % 7).cast("string"), F.lit(".docx")).alias("name")))
+
+
+@query("j11_legacy_state_fallback", BLOCKS + "SELECT element_id, CASE WHEN ordinal % 3 = 0 THEN 'detached' WHEN paragraph_index = 2 THEN 'detached' ELSE 'shared' END AS shared_state FROM blocks")
+def j11(spark, d):
+    none = F.lit(None).cast("int")
+    b = workspace(spark, d).blocks.select("doc_id", "element_id", "ordinal", F.col("element_id").alias("location_key"), none.alias("table_index"), none.alias("row_index"), none.alias("column_index"), "paragraph_index")
+    by_key = b.where("ordinal % 3 = 0").select("doc_id", "location_key", "table_index", "row_index", "column_index", none.alias("paragraph_index"), F.lit("detached").alias("state"))
+    by_paragraph = b.where("paragraph_index = 2").select("doc_id", F.lit(None).cast("string").alias("location_key"), "table_index", "row_index", "column_index", "paragraph_index", F.lit("detached").alias("state"))
+    return edits.legacy_state_fallback(b, by_key.unionByName(by_paragraph)).select("element_id", "shared_state")
+
+
 # ---- streams -------------------------------------------------------------------------------------------------------
 
 
