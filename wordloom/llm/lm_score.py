@@ -203,7 +203,7 @@ def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", f
     A null or empty text is its end alone. Rows with equal ids are scored each by itself. Other columns are left behind.
     An empty table gives an empty table; without training texts every token is new.
 
-    Scale: counts of all words stay in a table; the ``head`` most frequent ones, a fixed number, are broadcast, and the
+    Scale: counts of all words stay in a table; the most frequent ones, ``head`` at most, are broadcast, and the
     other words of a document are joined with the table, in which no word is frequent any more.
     """
     spark = docs.sparkSession
@@ -211,7 +211,15 @@ def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", f
     id_type = docs.schema[id_col].dataType.simpleString()
     counts = written(slim.mapInArrow(_count_words(folds, fold), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     facts = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(head).toArrow()
+    # the head is cut where a step of a logarithmic scale of counts begins: a histogram of fixed size finds it, no sort
+    step = F.floor(F.log2("n") * 64).cast("int")
+    cut, room = None, head
+    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r["s"]):
+        room -= r["k"]
+        if room < 0:
+            break
+        cut = r["s"]
+    top = counts.where(step >= cut if cut is not None else F.lit(False)).toArrow()
     vocabulary = Vocabulary(dict(zip((bytes(w) for w in top["word"].to_pylist()), top["n"].to_pylist())), facts["total"], facts["distinct"], classes, own)
     shared = spark.sparkContext.broadcast(vocabulary)
 
