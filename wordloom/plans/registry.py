@@ -542,7 +542,7 @@ def w7(spark, d):
     return versions.text_at_version(s, ["conv_id"], "turn", "before_text", "now").select("conv_id", "turn", "text_at_version")
 
 
-@query("e9_backfill_lineage", """SELECT user_id AS doc_id, event_id AS file_id, row_number() OVER w::int AS version_number, lag(event_id) OVER w AS parent_file_id, lead(event_id) OVER w IS NULL AS is_current FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""".replace("OVER w::int", "OVER w"))
+@query("e9_backfill_lineage", """SELECT user_id AS doc_id, event_id AS file_id, (row_number() OVER w)::int AS version_number, lag(event_id) OVER w AS parent_file_id, lead(event_id) OVER w IS NULL AS is_current FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def e9(spark, d):
     return versions.backfill_lineage(read(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("file_id"), F.col("ts").alias("created_at")))
 
@@ -688,7 +688,7 @@ def j12(spark, d):
     return edits.resolve_targets(t).select("event_id", "reason", "accepted")
 
 
-@query("a6_history_events", """SELECT doc_id AS operation_id, CASE WHEN doc_id % 2 = 0 THEN 1 + doc_id % 3 ELSE 0 END::bigint AS targets, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END::bigint AS versions FROM documents""".replace("END::bigint", "END"))
+@query("a6_history_events", """SELECT doc_id AS operation_id, (CASE WHEN doc_id % 2 = 0 THEN 1 + doc_id % 3 ELSE 0 END)::bigint AS targets, (CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END)::bigint AS versions FROM documents""")
 def a6(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("operation_id"))
     t = docs.where("operation_id % 2 = 0").select("operation_id", F.explode(F.sequence(F.lit(0), (F.col("operation_id") % 3).cast("int"))))
@@ -738,7 +738,7 @@ def j14(spark, d):
     b, w = placed_words(spark, d)
     runs = layout.align_phrases(b, w)
     line = w.select("version_id", "page", "seq", "line")
-    # runs over several lines are left to the test: here every block is one line
+    # every block is one line here: runs that take a whole line
     one = runs.join(line, ["version_id", "page", "seq"]).join(w.groupBy("version_id", "page", "line").agg(F.count("*").alias("words")), ["version_id", "page", "line"])
     return one.where("n = words").select("version_id", "element_id", "page", "line")
 
