@@ -280,7 +280,7 @@ def test_audio(spark):
     prints = audio_fingerprint.fingerprints(audio_fingerprint.add_melody(df, "text"))
     assert {r["id"]: r["class_id"] for r in prints.collect()} == {1: 1, 2: 2, 3: 3, 4: 1, 5: 5, 6: 6}
     found = audio_fingerprint.align(prints, prints).collect()
-    assert {(r["query"], r["match"], r["offset"]) for r in found} == {(1, 2, 20), (2, 1, -20)}
+    assert {(r["query"], r["match"], r["offset"]) for r in found} == {(1, 2, 10), (2, 1, -10)}
     samples, rate = audio_fingerprint.read_wav(audio_fingerprint.melody(c))
     noisy = samples + np.random.default_rng(0).normal(0, 60, len(samples))
     x, y = audio_fingerprint.fingerprint(samples, rate), audio_fingerprint.fingerprint(noisy, rate)
