@@ -16,6 +16,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One input table, pruned to the named columns (all of them if none is named)."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,9 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster
-    own = tempfile.mkdtemp(prefix="spark-wordloom-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    application = spark.sparkContext.applicationId
+    if application not in _OWN_DIRS:
+        _OWN_DIRS[application] = tempfile.mkdtemp(prefix="spark-wordloom-")
+    return _OWN_DIRS[application]
 
 
 def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
