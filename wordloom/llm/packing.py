@@ -8,7 +8,6 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from wordloom.llm.common import written
 
 #: A worker forgets its remembered words beyond this many.
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 300_000
 
 PIECES = "piece int, start long, length int, ids_crc32 long"
 
@@ -231,12 +230,11 @@ def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.nd
 
 
 def _placer(slots: Broadcast):
-    """A pandas UDF: length and rank within it -> place in the table of sets."""
+    """mapInArrow function: pieces with their rank within their length -> their place in the table of sets."""
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for lengths, ranks in batches:
-            n, r = lengths.to_numpy(), ranks.to_numpy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, r = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "_rank"))
             seq, off = np.empty(len(n), np.int64), np.empty(len(n), np.int64)
             for length in np.unique(n):
                 here = np.flatnonzero(n == length)
@@ -245,9 +243,10 @@ def _placer(slots: Broadcast):
                 within = r[here] - first[cls]
                 seq[here] = first_set[cls] + within // members[cls]
                 off[here] = at[cls] + (within % members[cls]) * length
-            yield pd.DataFrame({"sequence_id": seq, "offset": off})
+            rest = [c for c in batch.schema.names if c != "_rank"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in rest), pa.array(seq), pa.array(off)], names=[*rest, "sequence_id", "offset"])
 
-    return place
+    return run
 
 
 def pack_pieces(pieces: DataFrame, id_col: str = "doc_id", capacity: int = 4096, shares: int = 1024) -> DataFrame:
@@ -259,10 +258,10 @@ def pack_pieces(pieces: DataFrame, id_col: str = "doc_id", capacity: int = 4096,
     place in the table by binary search.
 
     Equal pieces are interchangeable, so ties don't change the sets. Nulls: a null id is an id like others.
-    Columns _share, _rank, sequence_id and offset are replaced; an empty table gives an empty table.
+    Columns sequence_id and offset are replaced; an empty table gives an empty table.
     """
     spark = pieces.sparkSession
-    pieces = written(pieces.withColumn("_share", F.pmod(F.xxhash64(F.col(id_col), F.col("piece"), F.col("ids_crc32")), F.lit(shares)).cast("int")), "pieces")
+    pieces = written(pieces.drop("sequence_id", "offset").withColumn("_share", F.pmod(F.xxhash64(F.col(id_col), F.col("piece"), F.col("ids_crc32")), F.lit(shares)).cast("int")), "pieces")
     shared = written(pieces.groupBy("length", "_share").agg(F.count("*").alias("n")), "piece-lengths")
     counts = {r["length"]: r["n"] for r in shared.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     slots = spark.sparkContext.broadcast(_slots(pack_lengths(counts, capacity)))
@@ -271,10 +270,11 @@ def pack_pieces(pieces: DataFrame, id_col: str = "doc_id", capacity: int = 4096,
     starts = shared.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     # at most capacity * shares rows; where that is many, Spark doesn't broadcast it
     rank = F.row_number().over(W.partitionBy("length", "_share").orderBy(id_col, "piece", "ids_crc32", "start"))
-    ranked = pieces.withColumn("_rank", rank - 1).join(starts, ["length", "_share"])
-
-    placed = ranked.withColumn("_place", _placer(slots)(F.col("length"), F.col("_before") + F.col("_rank")))
-    return placed.withColumn("sequence_id", F.col("_place.sequence_id")).withColumn("offset", F.col("_place.offset")).drop("_share", "_rank", "_before", "_place")
+    # a stage of its own: windows and Python side by side would need both memories at once
+    ranked = written(pieces.withColumn("_within", rank - 1), "ranked-pieces")
+    placed = ranked.join(starts, ["length", "_share"]).withColumn("_rank", F.col("_before") + F.col("_within")).drop("_share", "_within", "_before")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.drop("_rank").schema)
+    return placed.mapInArrow(_placer(slots), f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, text_col: str = "text", id_col: str = "doc_id", capacity: int = 4096, end_id: int = 1, keep_ids: bool = False) -> DataFrame:
