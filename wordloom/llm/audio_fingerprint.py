@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.common import written
 
-RATE, FRAME, HOP = 4000, 512, 256
+RATE, FRAME, HOP = 4000, 512, 128
 #: Samples of a note in a melody.
 NOTE = 256
 FILTERS = 16
@@ -129,6 +129,15 @@ def add_melody(df: DataFrame, text_col: str, out: str = "audio") -> DataFrame:
     return df.drop(out).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.drop(out).schema) + f", `{out}` binary")
 
 
+def _digest(items: np.ndarray, samples: np.ndarray, rate: int) -> bytes | None:
+    """What equal recordings share: their integers, or their samples where they are too short for one; none without samples."""
+    if len(items):
+        return hashlib.blake2b(items.tobytes(), digest_size=16).digest()
+    if len(samples):
+        return hashlib.blake2b(np.asarray(samples, dtype="<f8").tobytes(), digest_size=16, person=str(rate).encode()[:16]).digest()
+    return None
+
+
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, len(batch), 128):
@@ -140,7 +149,7 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 items.append(x.astype(np.int64))
                 seconds.append(len(samples) / rate)
                 sums.append(zlib.crc32(x.tobytes()))
-                digests.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
+                digests.append(_digest(x, samples, rate))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in items])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(items), pa.int64()))
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("id")), pa.array(seconds, pa.float64()), lists, pa.array(sums, pa.int64()), pa.array(digests, pa.binary())], names=["id", "seconds", "items", "items_crc32", "digest"])
@@ -157,13 +166,13 @@ def fingerprints(media: DataFrame, audio_col: str = "audio", id_col: str = "id")
     """(id, seconds, items, items_crc32, class_id): the packed integers, their checksum as little-endian unsigned 32-bit
     numbers, and the smallest id with the same integers.
 
-    A null column, bytes that are no 16-bit WAV file, and recordings under REACH frames have no items and are each a
-    class of their own. Rows with equal ids are kept; an empty table gives an empty table.
+    Recordings under REACH frames have no items; their class is the smallest id with the same samples and rate. A null
+    column, bytes that are no 16-bit WAV file and files without samples are each a class of their own. Rows with equal ids are kept; an empty table gives an empty table.
     """
     id_type = media.schema[id_col].dataType.simpleString()
     found = media.select(F.col(id_col).alias("id"), F.col(audio_col).alias("audio")).mapInArrow(_prints, f"id {id_type}, seconds double, items array<long>, items_crc32 long, digest binary")
     prints = written(found, "prints")
-    first = prints.where(F.size("items") > 0).groupBy("digest").agg(F.min("id").alias("first"))
+    first = prints.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("first"))
     return prints.join(first, "digest", "left").select("id", "seconds", "items", "items_crc32", F.coalesce("first", "id").alias("class_id"))
 
 
