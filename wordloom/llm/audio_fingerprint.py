@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import written
@@ -155,11 +155,65 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("id")), pa.array(seconds, pa.float64()), lists, pa.array(sums, pa.int64()), pa.array(digests, pa.binary())], names=["id", "seconds", "items", "items_crc32", "digest"])
 
 
-def _bit_errors(a: list[int], b: list[int], offset: int) -> float:
+def _bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> float:
     x, y = (a[offset:], b) if offset >= 0 else (a, b[-offset:])
     n = min(len(x), len(y))
-    diff = np.bitwise_xor(np.array(x[:n], dtype=np.uint32), np.array(y[:n], dtype=np.uint32))
-    return float(np.bitwise_count(diff).sum() / (32 * n)) if n else 1.0
+    return float(np.bitwise_count(np.bitwise_xor(x[:n], y[:n])).sum() / (32 * n)) if n else 1.0
+
+
+def _landmarks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, items), a row for each recording -> (id, mark, first place, further places), a row for each of its landmarks."""
+    for batch in batches:
+        for lo in range(0, len(batch), 256):
+            part = batch.slice(lo, 256)
+            ids, items = (part.column(part.schema.get_field_index(c)) for c in ("id", "items"))
+            ends = np.cumsum([0, *(len(x) for x in items)])
+            flat = items.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+            row = np.repeat(np.arange(len(part)), np.diff(ends))
+            at = np.flatnonzero(row[:-1] == row[1:]) if len(row) else np.empty(0, dtype=np.int64)
+            if not len(at):
+                continue
+            marks, row = ((flat[at] << np.uint64(32)) | flat[at + 1]).view(np.int64), row[at]
+            order = np.lexsort((at, marks, row))
+            marks, row, at = marks[order], row[order], (at - ends[row])[order]
+            first = np.concatenate([[True], (marks[1:] != marks[:-1]) | (row[1:] != row[:-1])])
+            sizes = np.diff(np.append(np.flatnonzero(first), len(at)))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes - 1)]), pa.int32()), pa.array(at[~first], pa.int32()), mask=pa.array(sizes == 1))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[first])), pa.array(marks[first]), pa.array(at[first], pa.int32()), lists], names=["id", "mark", "at", "more"])
+
+
+def _places(at: str, more: str) -> Column:
+    return F.concat(F.array(at), F.coalesce(more, F.array().cast("array<int>")))
+
+
+def _differences(a: list[int] | None, b: list[int] | None) -> list[dict] | None:
+    """How often each difference between a place in a and a place in b occurs; nothing for nulls."""
+    if a is None or b is None:
+        return None
+    x, y = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+    least = x.min() - y.max()
+    found = np.zeros(x.max() - y.min() - least + 1, dtype=np.int64)
+    for place in y:  # in each round the differences differ, so plain addition counts them
+        found[x - place - least] += 1
+    return [{"offset": int(i + least), "hits": int(found[i])} for i in np.flatnonzero(found)]
+
+
+def _judge(most_errors: float):
+    """The offset that fits with most hits, then fewest bit errors, then the shortest way; none if no offset fits."""
+
+    def run(a: list[int], b: list[int], offsets: list[dict]) -> dict | None:
+        x, y = np.array(a, dtype=np.uint32), np.array(b, dtype=np.uint32)
+        best, key = None, None
+        for o in sorted(offsets, key=lambda o: -o["hits"]):
+            if best is not None and o["hits"] < best["hits"]:
+                break
+            errors = _bit_errors(x, y, o["offset"])
+            k = (errors, abs(o["offset"]), -o["offset"])
+            if errors <= most_errors and (key is None or k < key):
+                best, key = {"offset": o["offset"], "hits": o["hits"], "bit_errors": errors}, k
+        return best
+
+    return run
 
 
 def fingerprints(media: DataFrame, audio_col: str = "audio", id_col: str = "id") -> DataFrame:
@@ -179,17 +233,25 @@ def fingerprints(media: DataFrame, audio_col: str = "audio", id_col: str = "id")
 def align(prints: DataFrame, queries: DataFrame, least_hits: int = 6, most_errors: float = 0.15) -> DataFrame:
     """(query, match, offset, hits, bit_errors) for classes of queries (a column id) against all other classes.
 
-    Landmarks are two integers in a row. Their meetings are counted by offset, the offset with most of them is judged by
-    its bit errors over the overlap, and a pair stays with at least ``least_hits`` meetings and at most ``most_errors``.
-    Equal recordings are one class and never paired; only landmarks of queries are joined. A landmark counts once for a
-    class, at its first place.
+    Landmarks are two integers in a row. All their meetings are counted by offset, every place of one with every place of
+    the other. Each offset with at least ``least_hits`` meetings is judged by its bit errors over the overlap; of those
+    with at most ``most_errors`` the one with most meetings stays for a pair, then the one with fewest errors. Equal
+    recordings are one class and never paired; only landmarks of queries are joined.
+
+    The places of a landmark in a recording are one row. Where two rows would make many pairs of places, their
+    differences are counted before rows are made of them, so that a row comes out for each offset.
     """
     classes = prints.where(F.col("id") == F.col("class_id")).dropDuplicates(["id"]).select("id", "items")
-    marks = classes.select("id", F.posexplode(F.transform(F.slice("items", 1, F.greatest(F.size("items") - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(F.col("items"), i + 1)))).alias("at", "mark"))
-    marks = marks.groupBy("id", "mark").agg(F.min("at").alias("at"))
-    asked = queries.select("id").distinct().join(prints.select("id", "class_id"), "id").select(F.col("class_id").alias("query")).distinct()
-    mine = marks.join(asked, marks["id"] == asked["query"]).select("query", F.col("at").alias("query_at"), "mark")
-    met = mine.join(marks, "mark").where("query <> id").groupBy("query", F.col("id").alias("match"), (F.col("query_at") - F.col("at")).alias("offset")).agg(F.count("*").alias("hits"))
-    best = met.groupBy("query", "match").agg(F.max(F.struct("hits", -F.abs("offset"), "offset")).alias("best")).where(F.col("best.hits") >= least_hits).select("query", "match", "best.offset", "best.hits")
-    a = best.join(classes.select(F.col("id").alias("query"), F.col("items").alias("a")), "query").join(classes.select(F.col("id").alias("match"), F.col("items").alias("b")), "match")
-    return a.withColumn("bit_errors", F.udf(_bit_errors, "double", useArrow=True)("a", "b", "offset")).where(F.col("bit_errors") <= most_errors).select("query", "match", "offset", "hits", "bit_errors")
+    id_type = prints.schema["id"].dataType.simpleString()
+    kind = f"id {id_type}, mark long, at int, more array<int>"
+    asked = queries.select("id").distinct().join(prints.select("id", "class_id"), "id").select(F.col("class_id").alias("id")).distinct()
+    mine = classes.join(asked, "id", "left_semi").mapInArrow(_landmarks, kind).select(F.col("id").alias("query"), F.col("at").alias("at_a"), F.col("more").alias("more_a"), "mark")
+    both = mine.join(classes.mapInArrow(_landmarks, kind), "mark").where("query <> id").select("query", F.col("id").alias("match"), _places("at_a", "more_a").alias("a"), _places("at", "more").alias("b"))
+    many = F.size("a").cast("long") * F.size("b") > 16
+    few = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.struct((x - y).alias("offset"), F.lit(1).cast("long").alias("hits")))))
+    counted = F.udf(_differences, "array<struct<offset:int,hits:long>>", useArrow=True)(F.when(many, F.col("a")), F.when(many, F.col("b")))
+    met = both.select("query", "match", F.explode(F.when(many, counted).otherwise(few)).alias("o")).groupBy("query", "match", F.col("o.offset").alias("offset")).agg(F.sum("o.hits").alias("hits")).where(F.col("hits") >= least_hits)
+    offsets = met.groupBy("query", "match").agg(F.collect_list(F.struct("offset", "hits")).alias("offsets"))
+    a = offsets.join(classes.select(F.col("id").alias("query"), F.col("items").alias("a")), "query").join(classes.select(F.col("id").alias("match"), F.col("items").alias("b")), "match")
+    judge = F.udf(_judge(most_errors), "struct<offset:int,hits:long,bit_errors:double>", useArrow=True)
+    return a.withColumn("best", judge("a", "b", "offsets")).where("best IS NOT NULL").select("query", "match", "best.*")
