@@ -503,6 +503,24 @@ def a4(spark, d):
     return search.search_counts(hits(spark, d), 50)
 
 
+# x1, x3, x4 and a4 are over plain texts, as their SQL is, which can't state NFKC folding; these are over all texts.
+
+
+@query("x5_snippet_all_texts")
+def x5(spark, d):
+    return hits(spark, d, plain=False).select("query", "element_id", "occurrence", "snippet.*")
+
+
+@query("x6_search_page_all_texts")
+def x6(spark, d):
+    return search.search_page(hits(spark, d, plain=False).where("query = 'the'"), 50).select("query", "element_id", "occurrence")
+
+
+@query("a11_search_counts_all_texts")
+def a11(spark, d):
+    return search.search_counts(hits(spark, d, plain=False), 50)
+
+
 # ---- versions and edits --------------------------------------------------------------------------------------------
 
 
