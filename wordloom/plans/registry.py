@@ -739,8 +739,8 @@ def w9(spark, d):
 
 
 def placed_words(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Words of blocks on synthetic pages: a line of words for each block, twenty blocks a page, in boxes by rule."""
-    b = workspace(spark, d).blocks.where("doc_id % 5 = 0")
+    """Words of all blocks on synthetic pages: a line of words for each block, twenty blocks a page, in boxes by rule."""
+    b = workspace(spark, d).blocks
     w = b.select("version_id", F.floor(F.col("ordinal") / 20).cast("int").alias("page"), "ordinal", F.posexplode(layout.word_tokens(F.col("normalized_text"))).alias("word", "text"))
     w = w.withColumn("seq", F.row_number().over(W.partitionBy("version_id", "page").orderBy("ordinal", "word")) - 1).withColumn("line", F.col("ordinal"))
     w = w.withColumn("page_width", F.lit(612.0)).withColumn("page_height", F.lit(792.0)).withColumn("x0", F.col("word") * 40.0).withColumn("x1", F.col("word") * 40.0 + 30).withColumn("y0", (F.col("line") % 20) * 36.0).withColumn("y1", (F.col("line") % 20) * 36.0 + 12)
@@ -753,14 +753,25 @@ _WORDS = BLOCKS + """, wb AS (SELECT *, string_split(norm, ' ') AS toks, (ordina
 
 @query("j14_align_phrases", _WORDS + """SELECT a.version_id, a.element_id, b.page, b.ordinal::int AS line FROM wb a JOIN wb b ON a.version_id = b.version_id AND a.norm = b.norm""")
 def j14(spark, d):
+    """The part of j17 that the SQL states: documents divisible by five."""
     b, w = placed_words(spark, d)
+    fifth = b.where("doc_id % 5 = 0")
+    return whole_lines(fifth, w.join(fifth.select("version_id").distinct(), "version_id", "left_semi"))
+
+
+def whole_lines(b: DataFrame, w: DataFrame) -> DataFrame:
+    """Every block is one line here: runs of words that take a whole line."""
     runs = layout.align_phrases(b, w)
     line = w.select("version_id", "page", "seq", "line")
-    # every block is one line here: runs that take a whole line
     one = runs.join(line, ["version_id", "page", "seq"]).join(w.groupBy("version_id", "page", "line").agg(F.count("*").alias("words")), ["version_id", "page", "line"])
     return one.where("n = words").select("version_id", "element_id", "page", "line")
 
 
+@query("j17_align_all_phrases")
+def j17(spark, d):
+    return whole_lines(*placed_words(spark, d))
+
+
 @query("j15_resolve_ambiguity")
 def j15(spark, d):
     b, w = placed_words(spark, d)
