@@ -19,8 +19,13 @@ def stale_bases(request: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def overlapping_operations(pending: DataFrame, request: DataFrame) -> DataFrame:
-    """Pending operations (operation_id, documents) that touch a document of the request."""
-    return pending.select("operation_id", F.explode("documents").alias("doc_id")).join(request.select("doc_id").distinct(), "doc_id", "left_semi").select("operation_id").distinct()
+    """Pending operations (operation_id, documents) that touch a document of the request.
+
+    With a column request_id in the request, pairs (request_id, operation_id) for each of its requests.
+    """
+    ids = [c for c in ("request_id",) if c in request.columns]
+    touched = pending.select("operation_id", F.explode("documents").alias("doc_id"))
+    return touched.join(request.select(*ids, "doc_id").distinct(), "doc_id", "inner" if ids else "left_semi").select(*ids, "operation_id").distinct()
 
 
 def resolve_targets(targets: DataFrame, threshold: float = 0.82) -> DataFrame:
@@ -36,9 +41,13 @@ def resolve_targets(targets: DataFrame, threshold: float = 0.82) -> DataFrame:
 
 
 def validate_edit(blocks: DataFrame, heads: DataFrame, targets: DataFrame) -> DataFrame:
-    """Violations of a request (element_id, doc_id, base_version_id, replacement), a row each; none if it is valid."""
+    """Violations of a request (element_id, doc_id, base_version_id, replacement), a row each; none if it is valid.
+
+    With a column request_id every request is judged by itself, and the violations have it too.
+    """
+    ids = [c for c in ("request_id",) if c in targets.columns]
     b = targets.join(blocks.select("element_id", "supported", F.col("version_id").alias("found_version")), "element_id", "left").join(heads.select("doc_id", F.col("version_id").alias("head")), "doc_id", "left")
-    w = W.partitionBy("element_id")
+    w = W.partitionBy(*ids, "element_id")
     checks = F.array(
         F.when(F.col("found_version").isNull(), "unknown_element"),
         F.when(F.col("supported") == F.lit(False), "unsupported"),
@@ -46,8 +55,8 @@ def validate_edit(blocks: DataFrame, heads: DataFrame, targets: DataFrame) -> Da
         F.when(F.length("replacement") > MAX_CHARS, "too_long"),
         F.when(F.col("times") > 1, "duplicate_target"),
     )
-    found = b.withColumn("times", F.count("*").over(w)).select("element_id", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("violation"))
-    many = targets.agg(F.count("*").alias("n")).where(F.col("n") > MAX_TARGETS).select(F.lit(None).cast("string").alias("element_id"), F.lit("too_many_targets").alias("violation"))
+    found = b.withColumn("times", F.count("*").over(w)).select(*ids, "element_id", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("violation"))
+    many = targets.groupBy(*ids).agg(F.count("*").alias("n")).where(F.col("n") > MAX_TARGETS).select(*ids, F.lit(None).cast("string").alias("element_id"), F.lit("too_many_targets").alias("violation"))
     return found.distinct().unionByName(many)
 
 

@@ -595,6 +595,16 @@ def e1(spark, d):
     return edits.validate_edit(ws.blocks, ws.heads, t)
 
 
+@query("e10_validate_requests")
+def e10(spark, d):
+    """A target in every document; a request takes those of a source in a range of a thousand ids, so some have over 500."""
+    ws = workspace(spark, d)
+    base = F.when(F.col("doc_id") % 3 == 0, "old").otherwise(F.col("version_id"))
+    request = F.concat_ws(":", F.coalesce("set_id", F.lit("")), F.floor(F.col("doc_id") / 1000).cast("string"))
+    t = ws.blocks.where("ordinal = 0").select(request.alias("request_id"), "element_id", "doc_id", base.alias("base_version_id"), F.when(F.col("doc_id") % 5 == 0, F.repeat(F.lit("x"), 20_001)).otherwise("new").alias("replacement"))
+    return edits.validate_edit(ws.blocks, ws.heads, t)
+
+
 @query("e2_preview_edit", BLOCKS + "SELECT doc_id, element_id, text AS before_text, text || ' (edited)' AS after_text FROM blocks WHERE doc_id % 7 = 0 AND ordinal = 0")
 def e2(spark, d):
     ws = workspace(spark, d)
@@ -662,6 +672,13 @@ def j7(spark, d):
     return edits.overlapping_operations(pending, read(spark, d, "documents").where("doc_id BETWEEN 2 AND 3"))
 
 
+@query("j18_overlapping_requests")
+def j18(spark, d):
+    """Requests take all documents, two ids each."""
+    pending = read(spark, d, "conversations").groupBy(F.col("conv_id").alias("operation_id")).agg(F.collect_set("turn").alias("documents"))
+    return edits.overlapping_operations(pending, read(spark, d, "documents").select(F.floor(F.col("doc_id") / 2).alias("request_id"), "doc_id"))
+
+
 @query("j8_integrity_violations", """SELECT 'no_original_version' AS "check", doc_id::varchar AS id FROM documents WHERE doc_id % 10 = 1 UNION ALL SELECT 'no_head', doc_id::varchar FROM documents WHERE doc_id % 10 = 2
 UNION ALL SELECT 'dangling_head', doc_id::varchar FROM documents WHERE doc_id % 10 IN (1, 3) UNION ALL SELECT 'version_without_blocks', doc_id::varchar || ':1' FROM documents WHERE doc_id % 10 <> 1 AND (doc_id % 10 = 4 OR NOT regexp_matches(coalesce(text, ''), '\\S'))""")
 def j8(spark, d):
