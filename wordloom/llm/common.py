@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     application = spark.sparkContext.applicationId
     if application not in _OWN_DIRS:
         _OWN_DIRS[application] = tempfile.mkdtemp(prefix="spark-wordloom-")
@@ -47,6 +49,24 @@ def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named(column: str) -> Column:
+    """A column by its very name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def replaced(row: Column, columns: list[str], new: dict[str, Column]) -> list[Column]:
+    """The columns of a row kept as one struct, those in ``new`` replaced where they stand, or appended."""
+    lower = {k.lower(): k for k in new}
+    kept = [new[lower[c.lower()]].alias(c) if c.lower() in lower else row.getField(c).alias(c) for c in columns]
+    there = {c.lower() for c in columns}
+    return kept + [v.alias(k) for k, v in new.items() if k.lower() not in there]
+
+
+def two_hashes(c: Column) -> tuple[Column, Column]:
+    """128 bits of a value as two longs: the hash from two starting points."""
+    return F.xxhash64(c), F.xxhash64(F.lit(20), c)
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(c, UPPER, LOWER)

@@ -5,20 +5,21 @@ token sets reaches the threshold t. With m = n - ceil(t * n) tokens at most miss
 tokens of two linked documents, in any order common to all documents, share at least k tokens:
 
 * k above m / 2 filters documents: one whose extended prefix shares too few tokens with other prefixes has no link.
-* k = 2 indexes the rest, in ascending frequency: rare tokens one by one, frequent ones in combinations of two. Two linked sets
-  that differ share two tokens at least, and equal sets are one vertex already.
+* k = 3 indexes the rest, in ascending frequency: rare tokens one by one, frequent ones in combinations of two. Of three
+  shared tokens two are rare, so that the pair is met twice, or two are frequent, so that it is met under their combination.
 
-Index keys connect candidates into groups, and each group is verified exactly, block against block.
+Copies are linked by stars around a few documents first; pairs are then made and verified only across components.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from wordloom.llm.graph import components
 REMEMBERED_WORDS = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOW48 = np.int64((1 << 48) - 1)
+#: Tokens of their prefixes that two linked sets share.
+SHARED = 3
 
 
 def missing(n: np.ndarray | int, percent: int):
@@ -76,41 +79,55 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
 
 
-def _scan(size: int, percent: int, keep: Callable[[np.ndarray], np.ndarray] | None, give: str):
-    """mapInArrow function over (id, text): id, n, key of the set, and its tokens: none, an extended prefix, or whole.
-
-    Tokens of prefixes are cut to 48 bits: they only filter. keep tells for an array of ids which documents to look at.
-    """
+def _shingled(size: int, percent: int):
+    """mapInArrow function over (id, text): id, n, key of the set, and the extended prefix that filters, cut to 48 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(size)
         for batch in batches:
             ids, texts = _column(batch, "id"), _column(batch, "text").cast(pa.large_binary())
-            if keep is not None:
-                sel = pa.array(np.flatnonzero(keep(ids.to_numpy(zero_copy_only=False))))
-                ids, texts = ids.take(sel), texts.take(sel)
             for lo in range(0, len(ids), 512):
-                part, ns, keys, lists = ids[lo : lo + 512], [], [], []
+                ns, keys, lists = [], [], []
                 for t in texts[lo : lo + 512]:
                     s = shingle(t.as_py())
-                    n = len(s)
-                    ns.append(n)
+                    m = missing(len(s), percent)
+                    ns.append(len(s))
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    m = missing(n, percent)
-                    lists.append(s if give == "whole" else s[: m + m // 2 + 1] & _LOW48 if give == "prefix" else s[:0])
-                yield pa.RecordBatch.from_arrays([part, pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), _lists(lists)], names=["id", "n", "key", "tokens"])
+                    lists.append(s[: m + m // 2 + 1] & _LOW48)
+                yield pa.RecordBatch.from_arrays([ids[lo : lo + 512], pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), _lists(lists)], names=["id", "n", "key", "tokens"])
+
+    return run
+
+
+def _whole_sets(size: int, table, bits: int):
+    """mapInArrow function over (id, text): id, key and tokens of the whole set, for the ids that the bit array may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(size)
+        for batch in batches:
+            slots = _column(batch, "id").to_numpy() % bits
+            sel = np.flatnonzero((table.value[slots // 63] >> (slots % 63)) & 1)
+            ids, texts = _column(batch, "id").take(pa.array(sel)), _column(batch, "text").take(pa.array(sel)).cast(pa.large_binary())
+            for lo in range(0, len(ids), 128):
+                lists = [shingle(t.as_py()) for t in texts[lo : lo + 128]]
+                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in lists]
+                yield pa.RecordBatch.from_arrays([ids[lo : lo + 128], pa.array(keys, pa.binary()), _lists(lists)], names=["id", "key", "tokens"])
 
     return run
 
 
-def _bit_filter(ids: DataFrame, bits: int) -> Callable[[np.ndarray], np.ndarray]:
-    """A broadcast bit array of fixed size that is set for all given ids: it only spares work, an exact join follows."""
+def _bit_filter(ids: DataFrame) -> tuple[Broadcast, int]:
+    """A broadcast bit array that is set for all given ids, sixteen bits an id up to 2^30 bits (128 MB).
+
+    It only spares work: an exact join follows, so a fuller array beyond that bound loses nothing.
+    """
+    bits = 1 << min(30, max(20, (16 * ids.count()).bit_length()))
     slot = F.pmod(F.col("id"), F.lit(bits))
     words = ids.groupBy(F.floor(slot / 63).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 63).cast("int"))).alias("b"))
     table = np.zeros(bits // 63 + 1, dtype=np.int64)
     for r in words.toLocalIterator():
         table[r["w"]] = r["b"]
-    return ids.sparkSession.sparkContext.broadcast(table)
+    return ids.sparkSession.sparkContext.broadcast(table), bits
 
 
 def _spanning(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -158,7 +175,7 @@ def _links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> np.ndarray
     return np.argwhere(link)
 
 
-def _verify(percent: int):
+def _blocks(percent: int):
     """applyInArrow function over one pair of blocks of a group: a spanning forest of its links."""
 
     def run(batch: pa.Table) -> pa.Table:
@@ -171,72 +188,147 @@ def _verify(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 4, percent: int = 85, block: int = 1024, frequent_share: float = 0.05, frequent_least: int = 1000, bits: int = 1 << 25) -> DataFrame:
+def _meet(percent: int):
+    """mapInArrow function over (a, part, b, mine, tokens), each part led by a's own set: the pairs (a, b) that link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.empty(0, np.int64)
+        for batch in batches:
+            a, b, mine = (_column(batch, k).to_numpy(zero_copy_only=False) for k in ("a", "b", "mine"))
+            lists = _column(batch, "tokens")
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+            hit = np.zeros(len(a), dtype=bool)
+            for i in range(len(a)):
+                s = flat[ends[i] : ends[i + 1]]
+                if mine[i]:
+                    own = s.copy()
+                    continue
+                at = np.searchsorted(own, s)
+                at[at == len(own)] = 0
+                common = int(np.count_nonzero(own[at] == s))
+                hit[i] = 100 * common >= percent * (len(own) + len(s) - common)
+            yield pa.RecordBatch.from_arrays([pa.array(a[hit], pa.int64()), pa.array(b[hit], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, load: int) -> DataFrame:
+    """The pairs (a, b) that link. b's set travels to a's, once a pair; partners of a with more than ``load`` tokens
+    together are dealt to several tasks, each of which gets a's set."""
+    parts = pairs.join(sets.select(F.col("id").alias("b"), "n"), "b").groupBy("a").agg(F.ceil(F.sum("n") / load).cast("int").alias("parts"))
+    partners = pairs.join(parts, "a").join(sets.select(F.col("id").alias("b"), "tokens"), "b")
+    partners = partners.select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", F.lit(False).alias("mine"), "tokens")
+    own = parts.join(sets.select(F.col("id").alias("a"), "tokens"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("b"), F.lit(True).alias("mine"), "tokens")
+    return own.unionByName(partners).repartition("a", "part").sortWithinPartitions("a", "part", F.desc("mine")).mapInArrow(_meet(percent), "a long, b long")
+
+
+def _close(percent: int, n: str = "n", other: str = "m") -> Column:
+    """Sets of these sizes can link."""
+    return F.least(n, other) * 100 >= F.greatest(n, other) * percent
+
+
+def _pairs(index: DataFrame, percent: int) -> DataFrame:
+    """(a, b) for every meeting of two documents of different components under a key; keys have few documents here."""
+    x, y = index.select("key", F.col("id").alias("a"), "n", F.col("comp").alias("c")), index.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("d"))
+    return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & _close(percent)).select("a", "b")
+
+
+def _open(index: DataFrame) -> DataFrame:
+    """Rows (key, id, n, comp) of keys that documents of several components share, with the number of those documents."""
+    keys = index.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("posting")).where("c0 < c1").select("key", "posting")
+    return index.join(keys, "key")
+
+
+def _grouped_links(index: DataFrame, sets: DataFrame, percent: int, block: int, load: int) -> DataFrame:
+    """Links among documents that crowded keys connect, block against block, so that no pair leaves a task."""
+    first = index.groupBy("key").agg(F.min("id").alias("first"))
+    stars = index.join(first, "key").where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))
+    groups = written(components(stars).withColumnsRenamed({"v": "id", "comp": "grp"}).join(sets.select("id", "n"), "id"), "groups")
+    blocks = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / load)).cast("int")
+    placed = sets.select("id", "tokens").join(groups.join(groups.groupBy("grp").agg(blocks.alias("blocks")), "grp"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "id", "tokens", "block", "grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
+    )
+    return dealt.groupBy("grp", "lo", "hi").applyInArrow(_blocks(percent), "a long, b long")
+
+
+def _linked(sets: DataFrame, percent: int, rare: int, block: int, load: int) -> DataFrame:
+    """Links between different sets (id, n, tokens) whose components are those of all links.
+
+    The order of tokens is ascending frequency among these documents; tokens of one document come first and index nothing.
+    """
+    tokens = sets.select("id", "n", F.explode("tokens").alias("token"))
+    often = written(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token-counts")
+    by_id = W.partitionBy("id")
+    ranked = tokens.join(often, "token").withColumn("rank", F.row_number().over(by_id.orderBy("df", "token"))).withColumn("alone", F.col("n") - F.count("*").over(by_id))
+    lacking = F.col("n") + F.floor(-F.col("n") * percent / 100)
+    prefix = written(ranked.where(F.col("rank") <= lacking + SHARED - F.col("alone")).select(F.col("token").alias("key"), "id", "n"), "token-prefixes")
+
+    # stars first: most copies link with one of two documents of their tokens, the first and one drawn by a hash
+    heads = prefix.groupBy("key").agg(F.min(F.struct("id", F.col("n").alias("m"))).alias("x"), F.min(F.struct(F.xxhash64("id").alias("h"), "id", F.col("n").alias("m"))).alias("y"), F.count("*").alias("k")).where("k > 1")
+    heads = heads.select("key", F.explode(F.array("x", F.struct("y.id", "y.m"))).alias("x"))
+    met = prefix.join(heads, "key").select(F.col("x.id").alias("a"), F.col("id").alias("b"), "n", "x.m").where((F.col("a") != F.col("b")) & _close(percent)).groupBy("a", "b").agg(F.count("*").alias("k"))
+    best = met.where("k > 1").withColumn("place", F.row_number().over(W.partitionBy("b").orderBy(F.desc("k"), "a"))).where("place <= 3")
+    stars = written(_verified(written(best.select("a", "b"), "star-pairs"), sets, percent, load), "star-links")
+
+    # then exactly what the stars leave open: keys that documents of several components share
+    comps = components(stars)
+    labelled = prefix.join(comps, F.col("id") == F.col("v"), "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    left = written(_open(labelled), "open-keys")
+    single = _pairs(left.where(F.col("posting") <= rare), percent).groupBy("a", "b").agg(F.count("*").alias("k")).where("k > 1").select("a", "b")
+    often = left.where(F.col("posting") > rare)
+    combined = often.select("id", "n", "comp", "key").join(often.select("id", F.col("key").alias("other")), "id").where("key < other").select(F.xxhash64("key", "other").alias("key"), "id", "n", "comp")
+    combined = written(_open(combined), "open-combinations")
+    pairs = written(single.unionByName(_pairs(combined.where(F.col("posting") <= rare), percent)).distinct(), "pairs")
+    links = stars.unionByName(_verified(pairs, sets, percent, load))
+    crowded = combined.where(F.col("posting") > rare)
+    return links if crowded.isEmpty() else links.unionByName(_grouped_links(crowded, sets, percent, block, load))
+
+
+def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", size: int = 4, percent: int = 85, rare: int = 64, block: int = 1024, load: int = 2_000_000) -> DataFrame:
     """One row per input row: (id, n_shingles, component_id), the smallest id reachable over links.
 
     Words are those between ASCII white space, A-Z lower-cased; a document's set holds its distinct shingles of ``size``
-    words, or its whole sequence as one if it is shorter. Documents link when 100 * |intersection| >= percent * |union|.
-    Every link between different sets is verified exactly; documents with equal sets are one vertex.
+    words, or its whole sequence as one if it is shorter. Documents link when 100 * |intersection| >= percent * |union|;
+    ``percent`` is 75 at least, as two different sets that link then share three tokens. Links between different sets are
+    verified on the whole sets; documents with equal sets are one vertex.
 
     Null and empty texts have no shingle and link with nothing. Rows with equal ids are one document if their sets are
-    equal, and else stand each for the id, which joins their components. A null id has no component. Other columns are
-    left behind. An empty table gives an empty table.
-
-    Scale: shingles are shuffled for prefixes first, and then only for documents that can still have a link. A token in
-    more than ``frequent_share`` of the documents (and ``frequent_least``) is indexed in combinations of two. Groups of
-    candidates are verified by pairs of blocks of at most about ``block`` documents, whose sets travel once for each block
-    they meet. What is broadcast is a bit array of ``bits``.
+    equal, and else stand each for the id, which joins their components. A null id has no component. Ties in frequency
+    are ordered by token. Other columns are left behind, whatever their names. An empty table gives an empty table. Texts
+    of any length are taken whole; a task holds one long text and at most ``load`` tokens of others.
+
+    Scale: a text is shingled once, and once more if it can still have a link; of all texts only the filter's prefixes are
+    shuffled. A key with more than ``rare`` documents is frequent and indexed in combinations of two. Pairs are made only
+    under keys of at most ``rare`` documents, between documents that no verified link connects yet, and once each; the
+    crowded combinations that are left go to blocks of at most about ``block`` documents and ``load`` tokens.
     """
-    schema = "id long, n long, key binary, tokens array<long>"
+    if percent < 75:
+        raise ValueError("percent below 75: two sets that link may share less than three tokens")
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    schema = "id long, n long, key binary, tokens array<long>"
     named_docs = slim.where(F.col("id").isNotNull())
-    heads = written(named_docs.mapInArrow(_scan(size, percent, None, "none"), schema).drop("tokens"), "heads")
-    # prefixes are made twice rather than kept: reading costs less than the room they take
-    rows = named_docs.mapInArrow(_scan(size, percent, None, "prefix"), schema).select("id", F.explode("tokens").alias("token"))
+    heads = written(named_docs.mapInArrow(_shingled(size, percent), schema), "heads")
+    rows = heads.select("id", F.explode("tokens").alias("token"))
     counts = written(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "repeated-tokens")
     lacking = lambda n: n + F.floor(-n * percent / 100)
     # a partner of a set of n tokens has at least percent * n / 100 of them, and so shares this many of its prefix
     need = F.floor(lacking(-F.floor(-F.col("n") * percent / 100)) / 2) + 1
     hits = rows.join(counts, "token").groupBy("id").agg(F.count("*").alias("hits"))
-    able = heads.where("n > 0").join(hits, "id").where(F.col("hits") >= need)
+    filled = heads.select("id", "n", "key").where("n > 0")
+    able = filled.join(hits, "id").where(F.col("hits") >= need)
     able = written(able.groupBy("key", "n").agg(F.min("id").alias("id")), "able")
     # whole sets of one document for each set that is left
-    table = _bit_filter(able.select("id"), bits)
-
-    def keep(ids: np.ndarray) -> np.ndarray:
-        slots = ids % bits
-        return (table.value[slots // 63] >> (slots % 63)) & 1 == 1
-
-    again = named_docs.mapInArrow(_scan(size, percent, keep, "whole"), schema)
-    sets = written(again.join(able.select("id", "key"), ["id", "key"]).dropDuplicates(["id", "key"]), "sets")
-
-    # the order of tokens: ascending frequency among the documents left. Tokens of one document come first and index nothing
-    tokens = sets.select("id", "n", F.explode("tokens").alias("token"))
-    often = written(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token-counts")
-    by_id = W.partitionBy("id")
-    ranked = tokens.join(often, "token").withColumn("rank", F.row_number().over(by_id.orderBy("df", "token"))).withColumn("alone", F.col("n") - F.count("*").over(by_id))
-    prefix = written(ranked.where(F.col("rank") <= lacking(F.col("n")) + 2 - F.col("alone")).select("id", "token", "df"), "token-prefixes")
-    limit = F.lit(max(frequent_least, int(frequent_share * heads.count())))
-    frequent = prefix.where(F.col("df") > limit)
-    pairs = frequent.select("id", "token").join(frequent.select("id", F.col("token").alias("other")), "id").where("token < other").select("id", F.xxhash64("token", "other").alias("token"))
-    index = written(prefix.where(F.col("df") <= limit).select("id", "token").unionByName(pairs), "index")
-    first = index.groupBy("token").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") < F.col("last")).select("token", "first")
-    first = written(first, "token-firsts")
-    stars = index.join(first, "token").where(F.col("id") != F.col("first")).select(F.col("id").alias("a"), F.col("first").alias("b"))
-    groups = written(components(stars).withColumnsRenamed({"v": "id", "comp": "grp"}), "groups")
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = sets.select("id", "tokens").join(groups.join(sizes, "grp"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "id", "tokens", "block", "grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")
-    )
-    links = dealt.groupBy("grp", "lo", "hi").applyInArrow(_verify(percent), "a long, b long")
+    table, bits = _bit_filter(able.select("id"))
+    again = named_docs.mapInArrow(_whole_sets(size, table, bits), "id long, key binary, tokens array<long>")
+    sets = written(again.join(able, ["id", "key"]).select("id", "n", "tokens", "key").dropDuplicates(["id", "key"]).drop("key"), "sets")
+    links = _linked(sets, percent, rare, block, load)
 
     # documents with equal sets, and rows with equal ids, are joined to one another by stars around the smallest id
-    filled = heads.select("id", "n", "key").where("n > 0")
     firsts = filled.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where(F.col("first") < F.col("last"))
     twins = filled.join(firsts, "key").select(F.col("id").alias("a"), F.col("first").alias("b"))
     found = components(links.unionByName(twins))
     out = heads.select("id", "n").join(found, F.col("id") == F.col("v"), "left")
     named = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"))
-    unnamed = slim.where(F.col("id").isNull()).mapInArrow(_scan(size, percent, None, "none"), schema)
+    unnamed = slim.where(F.col("id").isNull()).mapInArrow(_shingled(size, percent), schema)
     return named.unionByName(unnamed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
