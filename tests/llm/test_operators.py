@@ -46,8 +46,8 @@ def odd_texts(seed=0, n=40):
     return out
 
 
-@pytest.mark.parametrize("size,percent,frequent", [(4, 85, 1000), (5, 80, 2)])
-def test_jaccard_components(spark, size, percent, frequent):
+@pytest.mark.parametrize("size,percent,rare", [(4, 85, 64), (5, 80, 2), (4, 85, 1)])
+def test_jaccard_components(spark, size, percent, rare):
     texts = odd_texts(3, 60)
     sets = []
     for t in texts:
@@ -61,7 +61,7 @@ def test_jaccard_components(spark, size, percent, frequent):
                 inter = len(sets[a] & sets[b])
                 if inter and 100 * inter >= percent * len(sets[a] | sets[b]):
                     comp[a] = comp[b] = min(comp[a], comp[b])
-    got = jaccard_components(table(spark, texts), size=size, percent=percent, block=5, frequent_share=0.01, frequent_least=frequent).collect()
+    got = jaccard_components(table(spark, texts), size=size, percent=percent, rare=rare, block=5, load=3000).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(s), comp[i]) for i, s in enumerate(sets)}
     assert len(set(comp)) < len(comp) - 10
 
