@@ -1,11 +1,15 @@
 """Language-model scoring: a log-bilinear model trained in numpy by noise-contrastive estimation.
 
-The model predicts a token from the one before it: score(c, w) = r_c . q_w + b_w, normalised over its classes.
-Every frequent token is a class of its own, the others fall into classes by a hash, in which they share the class's
-probability by their counts plus one, one more share being kept for tokens never seen. So every token has a normalised
-probability. Spark gathers token counts and the class bigrams of all training texts; the driver receives the head of the
-counts and at most classes * classes bigram counts, fixed numbers. As the model looks one token back, those counts are
-sufficient: the noise-contrastive objective over all training tokens is computed from them in matrix products.
+The model predicts a token from the three before it: its context vector h is the sum of their vectors, each scaled by the
+vector of its position. A token's probability has two levels, the class given h and the token given its class and h, both
+softmaxes of h against learnt vectors; so it is normalised by two matrix products of about the root of the vocabulary.
+
+Tokens seen ``least`` times are the model's own, in classes by frequency; their number grows with the corpus up to a bound
+of memory. Others fall into classes by their last letters, in which they share the class's probability by their counts
+plus one, one more share being kept for tokens never seen. So every token has a normalised probability.
+
+Training reads all training texts where they are. A model warmed up on one part is trained on in every part, by steps of
+noise-contrastive estimation over its tokens, and the parts' models are averaged, each vector by how often it was moved.
 """
 
 from __future__ import annotations
@@ -25,6 +29,11 @@ from wordloom.llm.common import written
 
 #: The end of a text, as a token no word can be.
 END = b"\n"
+#: Tokens that the model looks back on.
+REACH = 3
+#: Bytes at the end of a word that tell the class of a word which is not the model's own.
+ENDING = 3
+LOG10 = math.log(10)
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -38,43 +47,198 @@ def held_out(doc_id: int | None, folds: int, fold: int) -> bool:
     return zlib.crc32(str(doc_id).encode() if doc_id is not None else b"") % folds == fold
 
 
-@dataclass
+def rare_class(word: bytes, rare: int) -> int:
+    return zlib.crc32(word[-ENDING:]) % rare
+
+
 class Vocabulary:
-    """The head of the counts, and totals."""
+    """The head of the counts, most frequent first: word -> place. The first ``own`` of them are the model's own; numbers
+    from ``own`` on are the classes of all other words."""
 
-    counts: dict[bytes, int]
-    total: int
-    distinct: int
-    classes: int
-    own: int
+    def __init__(self, counts: dict[bytes, int], total: int, distinct: int, own: int, least: int, rare: int) -> None:
+        self.words = sorted(counts, key=lambda w: (-counts[w], w))
+        self.counts = np.array([counts[w] for w in self.words], dtype=np.int64)
+        self.total, self.distinct, self.rare = total, distinct, rare
+        self.own = min(own, int((self.counts >= least).sum()))
+        self.place = {w: i for i, w in enumerate(self.words)}
+        #: Own tokens of a class, and classes of own tokens.
+        self.width = max(1, math.isqrt(max(self.own - 1, 0)) + 1)
+        self.groups = -(-self.own // self.width)
 
-    def __post_init__(self) -> None:
-        head = sorted(self.counts, key=lambda w: (-self.counts[w], w))[: self.own]
-        self.ids = {w: i for i, w in enumerate(head)}
+    def number(self, word: bytes) -> int:
+        i = self.place.get(word, self.own)
+        return i if i < self.own else self.own + rare_class(word, self.rare)
 
-    def class_of(self, word: bytes) -> int:
-        i = self.ids.get(word)
-        return self.own + zlib.crc32(word) % (self.classes - self.own) if i is None else i
+    def classes(self) -> np.ndarray:
+        """Number -> class: own tokens by frequency, then a class for each of the others' numbers."""
+        return np.concatenate([np.arange(self.own) // self.width, self.groups + np.arange(self.rare)]).astype(np.int64)
 
 
-class _Classes(dict):
-    """word -> class, filled as words come; forgets beyond a fixed number."""
+class _Numbers(dict):
+    """word -> number, filled as words come; forgets beyond a fixed number."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        super().__init__(vocabulary.ids)
+        super().__init__()
         self.vocabulary = vocabulary
 
     def __missing__(self, word: bytes) -> int:
-        c = self.vocabulary.class_of(word)
-        if len(self) < 500_000:
-            self[word] = c
-        return c
+        if len(self) > 300_000:
+            self.clear()
+        n = self[word] = self.vocabulary.number(word)
+        return n
+
+
+@dataclass
+class Model:
+    """Vectors of context tokens, positions, tokens and classes, with the biases of the last two."""
+
+    context: np.ndarray
+    position: np.ndarray
+    token: np.ndarray
+    bias: np.ndarray
+    group: np.ndarray
+    offset: np.ndarray
+
+    PARTS = ("context", "position", "token", "bias", "group", "offset")
+
+    @classmethod
+    def start(cls, numbers: np.ndarray, classes: np.ndarray, dim: int, seed: int) -> Model:
+        """A model that gives each token its share of ``numbers``, how often each occurs."""
+        rng = np.random.default_rng(seed)
+        p = (numbers + 1.0) / (numbers + 1.0).sum()
+        q = np.bincount(classes, weights=p)
+        draw = lambda n: rng.normal(0, 0.2, (n, dim)).astype(np.float32)
+        scale = np.array([[1.0], [0.8], [0.6]], dtype=np.float32)[:REACH]
+        return cls(draw(len(p)), np.broadcast_to(scale, (REACH, dim)).copy(), draw(len(p)) * 0.1, np.log(p).astype(np.float32), draw(len(q)) * 0.1, np.log(q).astype(np.float32))
+
+    def contexts(self, before: np.ndarray) -> np.ndarray:
+        """h for rows of the numbers of the tokens before, the nearest first."""
+        h = self.context[before[:, 0]] * self.position[0]
+        for k in range(1, REACH):
+            h += self.context[before[:, k]] * self.position[k]
+        return h
+
+
+def sequences(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, tokens before) of texts as numbers; a text begins after ends."""
+    pad = np.full(REACH, end, dtype=np.int64)
+    flat = np.concatenate([x for t in texts for x in (pad, t)])
+    sizes = np.array([len(t) for t in texts])
+    at = np.arange(sizes.sum()) + np.repeat(np.arange(1, len(texts) + 1) * REACH, sizes)
+    return flat[at], np.stack([flat[at - k] for k in range(1, REACH + 1)], axis=1)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    x = np.clip(x, -30, 30)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+class Trainer:
+    """Noise-contrastive estimation by Adagrad: each token, and its class, is told from draws of the unigram distribution.
+
+    A draw of noise serves a whole batch, so that its scores are one matrix product.
+    """
+
+    def __init__(self, model: Model, numbers: np.ndarray, classes: np.ndarray, noise: tuple[int, int] = (64, 16), batch: int = 512, rate: float = 0.15, seed: int = 0) -> None:
+        self.m, self.classes, self.batch, self.rate = model, classes, batch, rate
+        self.rng = np.random.default_rng(seed)
+        p = (numbers + 1.0) / (numbers + 1.0).sum()
+        q = np.bincount(classes, weights=p)
+        self.levels = []
+        for share, k, vectors, biases in ((p, noise[0], "token", "bias"), (q, noise[1], "group", "offset")):
+            self.levels.append((k, np.cumsum(share), np.log(k * share).astype(np.float32), vectors, biases))
+        self.grown = {k: np.full(len(getattr(model, k)), 1e-2, dtype=np.float32) for k in Model.PARTS}
+        self.moved = {k: np.zeros(len(getattr(model, k)), dtype=np.float32) for k in Model.PARTS}
+
+    def _move(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
+        """Take a step on these rows, which may repeat; vectors are scaled by their own history."""
+        order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort; numbers stay below 2^16
+        rows, gradient = rows[order], gradient[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        rows, summed = rows[first], np.add.reduceat(gradient, first, axis=0)
+        x, grown = getattr(self.m, name), self.grown[name]
+        grown[rows] += (summed * summed).mean(1) if summed.ndim == 2 else summed * summed
+        step = self.rate / np.sqrt(grown[rows])
+        x[rows] -= summed * (step[:, None] if summed.ndim == 2 else step)
+        self.moved[name][rows] += np.diff(np.append(first, len(order)))
+
+    def step(self, target: np.ndarray, before: np.ndarray) -> None:
+        m = self.m
+        e = [m.context[before[:, k]] for k in range(REACH)]
+        h = e[0] * m.position[0]
+        for k in range(1, REACH):
+            h += e[k] * m.position[k]
+        back = np.zeros_like(h)
+        for (k, sums, odds, v, b), true in zip(self.levels, (target, self.classes[target])):
+            vectors, biases = getattr(m, v), getattr(m, b)
+            drawn = np.minimum(np.searchsorted(sums, self.rng.random(k)), len(odds) - 1)
+            own, other = vectors[true], vectors[drawn]
+            g = _sigmoid(np.einsum("ij,ij->i", h, own) + biases[true] - odds[true]) - 1
+            n = _sigmoid(h @ other.T + (biases[drawn] - odds[drawn]))
+            back += g[:, None] * own + n @ other
+            rows = np.concatenate([true, drawn])
+            self._move(v, rows, np.concatenate([g[:, None] * h, n.T @ h]))
+            self._move(b, rows, np.concatenate([g, n.sum(0)]))
+        for k in range(REACH):
+            e[k] *= back
+        positions = np.stack([x.sum(0) for x in e])
+        self._move("position", np.arange(REACH), positions)
+        self._move("context", before.T.ravel(), np.concatenate([back * m.position[k] for k in range(REACH)]))
+
+    def run(self, target: np.ndarray, before: np.ndarray) -> None:
+        """One pass over these tokens, in an order drawn anew."""
+        order = self.rng.permutation(len(target))
+        for lo in range(0, len(order), self.batch):
+            part = order[lo : lo + self.batch]
+            self.step(target[part], before[part])
+
+
+def log_probabilities(m: Model, vocabulary: Vocabulary, target: np.ndarray, before: np.ndarray, block: int = 32_768) -> np.ndarray:
+    """log10 of the normalised probability of each token, of its class where it is not the model's own."""
+    out = np.empty(len(target), dtype=np.float64)
+    v, classes = vocabulary, vocabulary.classes()
+    for lo in range(0, len(target), block):
+        t, h = target[lo : lo + block], m.contexts(before[lo : lo + block])
+        c = classes[t]
+        score = np.empty(len(t), dtype=np.float32)
+        for a in range(0, len(t), 4096):
+            s = h[a : a + 4096] @ m.group.T + m.offset
+            mine = s[np.arange(len(s)), c[a : a + 4096]]
+            score[a : a + 4096] = mine - _log_sum(s)
+        order = np.argsort(c, kind="stable")
+        edges = np.searchsorted(c[order], np.arange(v.groups + 1))
+        for g in range(v.groups):
+            at = order[edges[g] : edges[g + 1]]
+            if len(at):
+                first, last = g * v.width, min((g + 1) * v.width, v.own)
+                s = h[at] @ m.token[first:last].T + m.bias[first:last]
+                score[at] += s[np.arange(len(at)), t[at] - first] - _log_sum(s)
+        out[lo : lo + block] = score
+    return out / LOG10
+
+
+def _log_sum(s: np.ndarray) -> np.ndarray:
+    """log of the sum of exp over rows; overwrites s."""
+    top = s.max(1, keepdims=True)
+    s -= top
+    np.exp(s, out=s)
+    return np.log(s.sum(1)) + top[:, 0]
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def _training_tokens(batches: Iterator[pa.RecordBatch], folds: int, fold: int) -> Iterator[list[bytes]]:
+    for batch in batches:
+        for i, t in zip(_column(batch, "id").to_pylist(), _column(batch, "text").cast(pa.large_binary())):
+            if not held_out(i, folds, fold):
+                yield tokens(t.as_py())
+
+
 def _count_words(folds: int, fold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[bytes] = Counter()
@@ -84,131 +248,128 @@ def _count_words(folds: int, fold: int):
             found.clear()
             return batch
 
-        for batch in batches:
-            for i, t in zip(_column(batch, "id").to_pylist(), _column(batch, "text").cast(pa.large_binary())):
-                if not held_out(i, folds, fold):
-                    found.update(tokens(t.as_py()))
-                    if len(found) > 400_000:
-                        yield out()
+        for words in _training_tokens(batches, folds, fold):
+            found.update(words)
+            if len(found) > 400_000:
+                yield out()
         yield out()
 
     return run
 
 
-def _count_bigrams(vocabulary, folds: int, fold: int):
-    """Class bigrams, summed in a table of classes * classes for each task. A text begins after an end."""
+def _chunks(texts: Iterator[list[bytes]], numbers: _Numbers, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(tokens, tokens before) of about ``size`` tokens at a time; a long text is cut, and its parts keep what was before."""
+    end = numbers.vocabulary.number(END)
+    held: list[np.ndarray] = []
+    k = 0
+    for words in texts:
+        held.append(np.array([numbers[w] for w in words], dtype=np.int64))
+        k += len(words)
+        if k >= size:
+            target, before = sequences(held, end)
+            for lo in range(0, k, size):
+                yield target[lo : lo + size], before[lo : lo + size]
+            held, k = [], 0
+    if held:
+        yield sequences(held, end)
+
+
+#: Rows of a table of vectors that travel together.
+BLOCK = 1024
+_MOVES = "part int, block int, salt int, weight binary, moves binary"
+
+
+def _train(start, epochs: int, batch: int, rate: float, folds: int, fold: int):
+    """mapInArrow function over texts: how far, and how often, a copy of the starting model was moved by them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary.value
-        known, k = _Classes(v), v.classes
-        first = v.class_of(END)
-        table = np.zeros(k * k, dtype=np.int64)
-        for batch in batches:
-            for i, t in zip(_column(batch, "id").to_pylist(), _column(batch, "text").cast(pa.large_binary())):
-                if not held_out(i, folds, fold):
-                    c = np.array([first, *[known[w] for w in tokens(t.as_py())]], dtype=np.int64)
-                    np.add.at(table, c[:-1] * k + c[1:], 1)
-        cells = np.flatnonzero(table)
-        for lo in range(0, len(cells), 100_000):
-            part = cells[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(table[part])], names=["cell", "n"])
+        from pyspark import TaskContext
+
+        vocabulary, model, numbers = start.value
+        model = Model(*(getattr(model, k).copy() for k in Model.PARTS))
+        task = TaskContext.get().partitionId()
+        trainer = Trainer(model, numbers, vocabulary.classes(), noise=(48, 16), batch=batch, rate=rate, seed=task)
+        known = _Numbers(vocabulary)
+        if epochs == 1:
+            for target, before in _chunks(_training_tokens(batches, folds, fold), known, 65_536):
+                trainer.run(target, before)
+        else:  # a bounded part, held in memory
+            parts = list(_chunks(_training_tokens(batches, folds, fold), known, 65_536))
+            for _ in range(epochs):
+                for target, before in parts:
+                    trainer.run(target, before)
+        for k, name in enumerate(Model.PARTS):
+            weight = trainer.moved[name]
+            first, now = getattr(start.value[1], name), getattr(model, name)
+            moves = (now - first) * (weight[:, None] if now.ndim == 2 else weight)
+            for lo in range(0, len(weight), BLOCK):
+                w = weight[lo : lo + BLOCK]
+                if w.any():
+                    row = [[k], [lo // BLOCK], [task % 64], [w.astype("<f4").tobytes()], [moves[lo : lo + BLOCK].astype("<f4").tobytes()]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "block", "salt", "weight", "moves"])
 
     return run
 
 
-def train(bigrams: np.ndarray, dim: int = 32, noise: int = 8, steps: int = 120, rate: float = 0.08, seed: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Noise-contrastive estimation of (r, q, b) from a matrix of bigram counts, with noise from the unigram distribution.
+def _add_moves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the moves of equal (part, block, salt), which come one after another; one sum is held at a time."""
+    key = weight = moves = None
+
+    def out() -> pa.RecordBatch:
+        row = [[key[0]], [key[1]], [key[2]], [weight.tobytes()], [moves.tobytes()]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "block", "salt", "weight", "moves"])
+
+    for batch in batches:
+        keys = zip(*(_column(batch, k).to_pylist() for k in ("part", "block", "salt")))
+        for k, w, m in zip(keys, _column(batch, "weight"), _column(batch, "moves")):
+            w, m = np.frombuffer(w.as_buffer(), dtype="<f4"), np.frombuffer(m.as_buffer(), dtype="<f4")
+            if k == key:
+                weight, moves = weight + w, moves + m
+                continue
+            if key is not None:
+                yield out()
+            key, weight, moves = k, w.copy(), m.copy()
+    if key is not None:
+        yield out()
 
-    The objective is the expectation over all training bigrams: each is told from ``noise`` draws by the odds
-    exp(score) / (noise * p_noise). Full-batch Adam on float32 matrices.
-    """
-    k = len(bigrams)
-    rng = np.random.default_rng(seed)
-    n = bigrams.astype(np.float32)
-    p = ((n.sum(0) + 0.5) / (n.sum() + 0.5 * k)).astype(np.float32)
-    weight = n.sum(1, keepdims=True)
-    scale = np.float32(1.0 / max(float(n.sum()), 1.0))
-    r, q, b = (rng.normal(0, 0.1, (k, dim)).astype(np.float32), rng.normal(0, 0.1, (k, dim)).astype(np.float32), np.log(p))
-    odds = np.log(noise * p)
-    state = [(np.zeros_like(x), np.zeros_like(x)) for x in (r, q, b)]
-    for step in range(1, steps + 1):
-        data = 1 / (1 + np.exp(-np.clip(r @ q.T + b - odds, -30, 30)))  # the chance that w after c is data
-        g = (weight * p * noise) * data - n * (1 - data)
-        # rare contexts learn as fast as frequent ones do: each row's gradient is scaled by the root of its weight
-        g *= scale * np.sqrt(float(n.sum()) / k / np.maximum(weight, 1.0))
-        grads = (g @ q, g.T @ r, g.sum(0))
-        lr = np.float32(rate * (1 - step / (steps + 1)))
-        for x, d, (m1, m2) in zip((r, q, b), grads, state):
-            m1 += 0.1 * (d - m1)
-            m2 += 0.01 * (d * d - m2)
-            x -= lr * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-9)
-    return r, q, b
-
-
-def log_probabilities(r: np.ndarray, q: np.ndarray, b: np.ndarray, block: int = 256) -> np.ndarray:
-    """log10 P(class | class before), normalised, by batched matrix products."""
-    out = np.empty((len(r), len(q)), dtype=np.float32)
-    for lo in range(0, len(r), block):
-        s = r[lo : lo + block] @ q.T + b
-        top = s.max(1, keepdims=True)
-        out[lo : lo + block] = (s - top - np.log(np.exp(s - top).sum(1, keepdims=True))) / math.log(10)
-    return out
 
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.repartition("part", "block", "salt").sortWithinPartitions("part", "block", "salt").mapInArrow(_add_moves, _MOVES)
 
-def _score(model, folds: int, fold: int):
-    """Per document: what the head of the counts explains, and the other distinct words, to be joined with their counts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, params, within = model.value
-        table = log_probabilities(*params)
-        logs_within = np.log10(within)
-        bottom = math.log10(v.total + v.distinct + 1)
-        place = {w: i for i, w in enumerate(v.counts)}
-        cls = np.array([v.class_of(w) for w in place], dtype=np.int64)
-        logs = np.log10(np.array(list(v.counts.values()), dtype=np.float64) + 1)
-        shares = np.where(cls < v.own, 0.0, logs - logs_within[cls])  # of the class's probability
-        first = v.class_of(END)
-        for batch in batches:
-            rows = []
-            for t in _column(batch, "text").cast(pa.large_binary()):
-                words = tokens(t.as_py())
-                at = np.array([place.get(w, -1) for w in words], dtype=np.int64)
-                rare: Counter[bytes] = Counter()
-                c = cls[at] if len(cls) else np.zeros(len(at), np.int64)
-                for i in np.flatnonzero(at < 0):
-                    c[i] = v.class_of(words[i])
-                    rare[words[i]] += 1
-                head = at[at >= 0]
-                steps = table[np.concatenate([[first], c[:-1]]), c]
-                model_score = float(steps.sum(dtype=np.float64) + shares[head].sum() - logs_within[c[at < 0]].sum())
-                rows.append((len(words), len(head), float(logs[head].sum()) - len(words) * bottom, model_score, [{"word": w, "k": n} for w, n in rare.items()]))
-            ids = _column(batch, "id")
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([held_out(i, folds, fold) for i in ids.to_pylist()], pa.bool_()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.float64()),
-                 pa.array(cols[4], pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())])))],
-                names=["id", "held_out", "n_tokens", "n_known", "base", "model", "rare"],
-            )
+def _moved(model: Model, rows: DataFrame) -> Model:
+    """The model with every vector moved by the mean of its moves; sums are made by 64 salts first, then of those."""
+    out = Model(*(getattr(model, k).copy() for k in Model.PARTS))
+    for r in _summed(_summed(written(rows, "lm-moves")).withColumn("salt", F.lit(0))).toLocalIterator():
+        x = getattr(out, Model.PARTS[r["part"]])
+        weight = np.frombuffer(r["weight"], dtype="<f4")
+        moves = np.frombuffer(r["moves"], dtype="<f4").reshape(len(weight), -1) / np.maximum(weight, 1)[:, None]
+        lo = r["block"] * BLOCK
+        x[lo : lo + len(weight)] += moves if x.ndim == 2 else moves[:, 0]
+    return out
 
-    return run
 
+@dataclass
+class Fitted:
+    """A trained model, the counts of all training words as a table, and the counts plus one of each class of rare words."""
 
-def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", folds: int = 7, fold: int = 2, own: int = 896, classes: int = 1024, head: int = 200_000, dim: int = 32, steps: int = 120) -> DataFrame:
-    """One row per input row: (id, held_out, n_tokens, n_known, train_tokens, base_score, score).
+    vocabulary: Vocabulary
+    model: Model
+    within: np.ndarray
+    counts: DataFrame
 
-    Training texts are those whose crc32(id as text) mod ``folds`` is not ``fold``; a null id counts as an empty text.
-    ``base_score`` sums log10((c + 1) / (N + V + 1)) over the tokens, with the token's count c, all N and the V distinct
-    ones in training; ``score`` is the model's log10 probability of the text; n_known counts tokens with c > 0.
 
-    A null or empty text is its end alone. Rows with equal ids are scored each by itself. Other columns are left behind.
-    An empty table gives an empty table; without training texts every token is new.
+def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", folds: int = 7, fold: int = 2, own: int = 65_000, least: int = 16, rare: int = 64, head: int = 200_000, dim: int = 24, warm: int = 300_000, seed: int = 20) -> Fitted:
+    """Count the words of all training texts and train on them.
 
-    Scale: counts of all words stay in a table; the most frequent ones, ``head`` at most, are broadcast, and the
-    other words of a document are joined with the table, in which no word is frequent any more.
+    ``own``, below 2^16, and ``head`` bound what is broadcast: the model's vectors (12 MB) and the most frequent words with
+    their counts. Training starts on texts with about ``warm`` tokens, drawn by a hash of the id, in one task; from there
+    every part of the input trains on all its texts. Moves are summed in Spark; the driver gets one model.
     """
+    if own + rare > 1 << 16:
+        raise ValueError("own + rare beyond 65,536")
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = docs.schema[id_col].dataType.simpleString()
     counts = written(slim.mapInArrow(_count_words(folds, fold), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     facts = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
     # the head is cut where a step of a logarithmic scale of counts begins: a histogram of fixed size finds it, no sort
@@ -220,28 +381,107 @@ def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", f
             break
         cut = r["s"]
     top = counts.where(step >= cut if cut is not None else F.lit(False)).toArrow()
-    vocabulary = Vocabulary(dict(zip((bytes(w) for w in top["word"].to_pylist()), top["n"].to_pylist())), facts["total"], facts["distinct"], classes, own)
-    shared = spark.sparkContext.broadcast(vocabulary)
-
-    cells = slim.mapInArrow(_count_bigrams(shared, folds, fold), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    bigrams = np.zeros(classes * classes, dtype=np.int64)
-    bigrams[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    params = train(bigrams.reshape(classes, classes), dim=dim, steps=steps)
-    # a hash class: the counts plus one of its words, and one for a word never seen
-    own_words = spark.createDataFrame([(bytearray(w),) for w in vocabulary.ids], "word binary")
+    vocabulary = Vocabulary(dict(zip((bytes(w) for w in top["word"].to_pylist()), top["n"].to_pylist())), facts["total"], facts["distinct"], own, least, rare)
+    # what shares the classes of rare words: their counts, and one more for a word never seen
+    own_words = spark.createDataFrame([(bytearray(w),) for w in vocabulary.words[: vocabulary.own]], "word binary")
+    within, seen = np.ones(rare), np.zeros(rare)
     others = counts.join(F.broadcast(own_words), "word", "left_anti")
-    within = np.ones(classes)
-    for r in others.groupBy((own + F.crc32("word") % (classes - own)).alias("c")).agg(F.sum(F.col("n") + 1).alias("n")).collect():
-        within[r["c"]] += r["n"]
-    model = spark.sparkContext.broadcast((vocabulary, params, within))
+    for r in others.groupBy((F.crc32(F.substring("word", -ENDING, ENDING)) % rare).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
+        seen[r["c"]] = r["n"]
+        within[r["c"]] += r["n"] + r["k"]
+    numbers = np.concatenate([vocabulary.counts[: vocabulary.own], seen]).astype(np.float64)
+    model = Model.start(numbers, vocabulary.classes(), dim, seed)
+    share = min(1.0, warm / max(facts["total"], 1))
+    drawn = slim.where(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    first = spark.sparkContext.broadcast((vocabulary, model, numbers))
+    model = _moved(model, drawn.repartition(1).sortWithinPartitions("id", "text").mapInArrow(_train(first, 2, 512, 0.15, folds, fold), _MOVES))
+    warmed = spark.sparkContext.broadcast((vocabulary, model, numbers))
+    model = _moved(model, slim.mapInArrow(_train(warmed, 1, 4096, 0.03, folds, fold), _MOVES))
+    return Fitted(vocabulary, model, within, counts)
+
+
+def _score(shared, folds: int, fold: int):
+    """Per document: what the head of the counts explains, and the other distinct words, to be joined with their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, model, within = shared.value
+        place, own, end = v.place, v.own, v.number(END)
+        logs, logs_within = np.log10(v.counts + 1.0), np.log10(within)
+        numbers = np.concatenate([np.arange(own), [v.number(w) for w in v.words[own:]]]).astype(np.int64)
+        # of a class's probability: all of it for the model's own, the share of the counts for others
+        shares = np.concatenate([np.zeros(own), logs[own:] - logs_within[numbers[own:] - own]])
+        bottom = math.log10(v.total + v.distinct + 1)
+
+        def scored(ids: list, texts: list[list[bytes]]) -> pa.RecordBatch:
+            rare, known, base, model_part, rows = [], [], [], [], []
+            for words in texts:
+                at = np.array([place.get(w, -1) for w in words], dtype=np.int64)
+                found = at[at >= 0]
+                n = np.empty(len(at), dtype=np.int64)
+                n[at >= 0] = numbers[found]
+                others: Counter[bytes] = Counter()
+                for i in np.flatnonzero(at < 0):
+                    n[i] = own + rare_class(words[i], v.rare)
+                    others[words[i]] += 1
+                rows.append(n)
+                known.append(len(found))
+                base.append(float(logs[found].sum()) - len(words) * bottom)
+                model_part.append(float(shares[found].sum() - logs_within[n[at < 0] - own].sum()))
+                rare.append([{"word": w, "k": k} for w, k in others.items()])
+            target, before = sequences(rows, end)
+            steps = log_probabilities(model, v, target, before)
+            sizes = np.array([len(x) for x in rows])
+            sums = np.add.reduceat(steps, np.concatenate([[0], np.cumsum(sizes)[:-1]])) + model_part
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, id_type), pa.array([held_out(i, folds, fold) for i in ids], pa.bool_()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(sums, pa.float64()),
+                 pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())])))],
+                names=["id", "held_out", "n_tokens", "n_known", "base", "model", "rare"],
+            )
 
-    scanned = slim.mapInArrow(_score(model, folds, fold), f"id {id_type}, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<struct<word: binary, k: int>>")
+        for batch in batches:
+            id_type = _column(batch, "id").type
+            ids, texts, size = [], [], 0
+            for i, t in zip(_column(batch, "id").to_pylist(), _column(batch, "text").cast(pa.large_binary())):
+                ids.append(i)
+                texts.append(tokens(t.as_py()))
+                size += len(texts[-1])
+                if size >= 32_768:
+                    yield scored(ids, texts)
+                    ids, texts, size = [], [], 0
+            if ids:
+                yield scored(ids, texts)
+
+    return run
+
+
+def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", folds: int = 7, fold: int = 2, fitted: Fitted | None = None, **sizes) -> DataFrame:
+    """One row per input row: (id, held_out, n_tokens, n_known, train_tokens, base_score, score).
+
+    Training texts are those whose crc32(id as text) mod ``folds`` is not ``fold``; a null id counts as an empty text.
+    ``base_score`` sums log10((c + 1) / (N + V + 1)) over the tokens, with the token's count c, all N and the V distinct
+    ones in training; ``score`` is the model's log10 probability of the text; n_known counts tokens with c > 0. ``sizes``
+    are those of ``fit``, whose result can be given as ``fitted``.
+
+    A null or empty text is its end alone. Rows with equal ids are scored each by itself. Other columns are left behind,
+    whatever their names. Words with equal counts are ordered by their bytes; of those at the edge of the head all or none
+    are in it, and both ways have one result. A long text is scored whole, about 32,768 tokens at a time. An empty table
+    gives an empty table; without training texts every token is new.
+
+    Scale: counts of all words stay in a table; the most frequent ones are broadcast, and the other words of a document
+    are joined with the table, in which no word is frequent any more.
+    """
+    spark = docs.sparkSession
+    f = fit(docs, text_col, id_col, folds, fold, **sizes) if fitted is None else fitted
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    id_type = docs.schema[id_col].dataType.simpleString()
+    shared = spark.sparkContext.broadcast((f.vocabulary, f.model, f.within))
+    scanned = slim.mapInArrow(_score(shared, folds, fold), f"id {id_type}, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<struct<word: binary, k: int>>")
     scanned = written(scanned.withColumn("row", F.monotonically_increasing_id()), "lm-rows")
-    rare = scanned.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.k").join(counts, "word")
+    rare = scanned.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.k").join(f.counts, "word")
     sums = rare.groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("logs"))
     out = scanned.drop("rare").join(sums, "row", "left")
     more, logs = F.coalesce("more", F.lit(0)), F.coalesce("logs", F.lit(0.0))
     return out.select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + more).alias("n_known"), F.lit(facts["total"]).cast("long").alias("train_tokens"),
+        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + more).alias("n_known"), F.lit(f.vocabulary.total).cast("long").alias("train_tokens"),
         (F.col("base") + logs).alias("base_score"), (F.col("model") + logs).alias("score"),
     )
