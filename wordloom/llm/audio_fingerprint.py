@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import written
+from wordloom.llm.common import BitFilter, one_thread, written
 
 RATE, FRAME, HOP = 4000, 512, 128
 #: Samples of a note in a melody.
@@ -35,50 +35,93 @@ def filters() -> list[tuple[int, int, int, int]]:
     return [(i % 4, (i * 5) % 9, 3 + (i // 4) % 2 * 3 if (i * 5) % 9 <= 6 else 3, (4, 8, 12, 16)[(i // 4 + i) % 4]) for i in range(FILTERS)]
 
 
-def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
-    """Frames x 12: the energy of each pitch class, frames scaled to length 1."""
-    if len(samples) < FRAME:
-        return np.zeros((0, 12), dtype=np.float32)
-    frames = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float32) / 32768, FRAME)[::HOP]
-    hz = np.arange(1, FRAME // 2 + 1) * rate / FRAME
+def resampled(samples: np.ndarray, rate: int) -> np.ndarray:
+    """Samples at RATE, as shares of full scale: averaged over a new sample's time, then read between the old ones."""
+    x = np.asarray(samples, dtype=np.float64) / 32768
+    if rate == RATE or not len(x):
+        return x.astype(np.float32)
+    width = max(1, round(rate / RATE))
+    sums = np.concatenate([[0.0], np.cumsum(x)])
+    lo = np.clip(np.arange(len(x)) - width // 2, 0, len(x))
+    hi = np.clip(lo + width, 0, len(x))
+    even = (sums[hi] - sums[lo]) / np.maximum(hi - lo, 1)
+    return np.interp(np.arange(int(len(x) * RATE / rate)) * rate / RATE, np.arange(len(x)), even).astype(np.float32)
+
+
+def _fold() -> np.ndarray:
+    """Frequency -> pitch class, for those a chroma takes in."""
+    hz = np.arange(1, FRAME // 2 + 1) * RATE / FRAME
     fold = np.zeros((FRAME // 2 + 1, 12), dtype=np.float32)
     ok = (hz >= 100) & (hz <= 1800)
     fold[np.flatnonzero(ok) + 1, np.round(12 * np.log2(hz[ok] / 440)).astype(int) % 12] = 1
-    window = np.hanning(FRAME).astype(np.float32)
-    out = np.empty((len(frames), 12), dtype=np.float32)
-    for lo in range(0, len(frames), 1024):  # bounded memory for long recordings
-        out[lo : lo + 1024] = np.abs(np.fft.rfft(frames[lo : lo + 1024] * window)).astype(np.float32) ** 2 @ fold
+    return fold
+
+
+FOLD, WINDOW = _fold(), np.hanning(FRAME).astype(np.float32)
+
+
+def chroma(recordings: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(frames x 12, frames of each recording): the energy of each pitch class, frames scaled to length 1, silent ones 0."""
+    counts = np.array([max(0, (len(x) - FRAME) // HOP + 1) for x in recordings], dtype=np.int64)
+    out = np.zeros((counts.sum(), 12), dtype=np.float32)
+    at = 0
+    buffer: list[np.ndarray] = []
+
+    def spectra() -> None:
+        nonlocal at
+        frames = np.concatenate(buffer)
+        f = np.fft.rfft(frames * WINDOW)
+        out[at : at + len(frames)] = (f.real * f.real + f.imag * f.imag).astype(np.float32) @ FOLD
+        at += len(frames)
+        buffer.clear()
+
+    held = 0
+    for x in recordings:
+        frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP] if len(x) >= FRAME else np.empty((0, FRAME), np.float32)
+        for lo in range(0, len(frames), 1024):  # bounded memory for long recordings
+            buffer.append(frames[lo : lo + 1024])
+            held += len(buffer[-1])
+            if held >= 1024:
+                spectra()
+                held = 0
+    if buffer:
+        spectra()
     norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.where(norm > 1e-4, out / np.maximum(norm, 1e-9), 0)
+    return np.where(norm > 1e-4, out / np.maximum(norm, 1e-9), 0), counts
 
 
-def fingerprint(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
-    """One 32-bit integer for each frame that has REACH - 1 frames after it."""
-    c = chroma(samples, rate)
-    n = len(c) - REACH + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint32)
+def fingerprints_of(recordings: list[np.ndarray]) -> list[np.ndarray]:
+    """One 32-bit integer for each frame of each recording that has REACH - 1 frames after it."""
+    c, counts = chroma(recordings)
+    # one integral image for all: areas are differences within it, and none crosses recordings
     image = np.zeros((len(c) + 1, 13))
     image[1:, 1:] = c.cumsum(0, dtype=np.float64).cumsum(1)
-    t = np.arange(n)
+    ends = np.cumsum(counts)
+    sizes = np.maximum(counts - REACH + 1, 0)
+    t = np.repeat(ends - counts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = np.zeros(len(t), dtype=np.uint32)
 
     def area(t0: int, t1: int, y0: int, y1: int) -> np.ndarray:
         return image[t + t1, y1] - image[t + t0, y1] - image[t + t1, y0] + image[t + t0, y0]
 
-    out = np.zeros(n, dtype=np.uint32)
     for kind, y, h, w in filters():
         half, mid, third = w // 2, y + (h + 1) // 2, max(w // 3, 1)
         if kind == 0:  # all of it against nothing
-            a, b = area(0, w, y, y + h), np.full(n, w * h / 6.0)
+            a, b = area(0, w, y, y + h), np.full(len(t), w * h / 6.0)
         elif kind == 1:  # lower classes against upper ones
             a, b = area(0, w, y, mid), area(0, w, mid, y + h)
         elif kind == 2:  # before against after
             a, b = area(0, half, y, y + h), area(half, w, y, y + h)
         else:  # the middle against both sides
             a, b = area(third, w - third, y, y + h), area(0, third, y, y + h) + area(w - third, w, y, y + h)
-        v = np.log((1 + a) / (1 + b))
-        out = (out << np.uint32(2)) | _GRAY[np.digitize(np.round(v, 6), (-0.25, 0.0, 0.25))]
-    return out
+        v = np.round(np.log((1 + a) / (1 + b)), 6)
+        out = (out << np.uint32(2)) | _GRAY[(v >= -0.25).astype(np.int8) + (v >= 0) + (v >= 0.25)]
+    return np.split(out, np.cumsum(sizes)[:-1])
+
+
+def fingerprint(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
+    """The integers of one recording."""
+    return fingerprints_of([resampled(samples, rate)])[0]
 
 
 def _notes() -> np.ndarray:
@@ -139,51 +182,60 @@ def _digest(items: np.ndarray, samples: np.ndarray, rate: int) -> bytes | None:
 
 
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    one_thread()
+    names = ["id", "seconds", "items", "items_crc32", "digest"]
     for batch in batches:
-        for lo in range(0, len(batch), 128):
-            part = batch.slice(lo, 128)
-            items, seconds, sums, digests = [], [], [], []
-            for data in part.column(part.schema.get_field_index("audio")):
-                samples, rate = read_wav(data.as_py())
-                x = fingerprint(samples, rate)
-                items.append(x.astype(np.int64))
-                seconds.append(len(samples) / rate)
-                sums.append(zlib.crc32(x.tobytes()))
-                digests.append(_digest(x, samples, rate))
+        ids, audio = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "audio"))
+        held: list[tuple[np.ndarray, int]] = []
+        first = size = 0
+
+        def out(last: int) -> pa.RecordBatch:
+            items = fingerprints_of([resampled(*x) for x in held])
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in items])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(items), pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("id")), pa.array(seconds, pa.float64()), lists, pa.array(sums, pa.int64()), pa.array(digests, pa.binary())], names=["id", "seconds", "items", "items_crc32", "digest"])
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(items).astype(np.int64), pa.int64()))
+            seconds = [len(x) / rate for x, rate in held]
+            digests = [_digest(x, *h) for x, h in zip(items, held)]
+            return pa.RecordBatch.from_arrays([ids[first:last], pa.array(seconds, pa.float64()), lists, pa.array([zlib.crc32(x.tobytes()) for x in items], pa.int64()), pa.array(digests, pa.binary())], names=names)
 
+        for i, data in enumerate(audio):
+            held.append(read_wav(data.as_py()))
+            size += len(held[-1][0])
+            if size > 2_000_000:
+                yield out(i + 1)
+                held, first, size = [], i + 1, 0
+        if held:
+            yield out(len(batch))
 
-def _bit_errors(a: np.ndarray, b: np.ndarray, offset: int) -> float:
-    x, y = (a[offset:], b) if offset >= 0 else (a, b[-offset:])
-    n = min(len(x), len(y))
-    return float(np.bitwise_count(np.bitwise_xor(x[:n], y[:n])).sum() / (32 * n)) if n else 1.0
 
+def _landmarks(silent: int, keep: BitFilter | None = None):
+    """(key, items), a row for each recording -> (key, mark, places), a row for each of its landmarks.
 
-def _landmarks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, items), a row for each recording -> (id, mark, first place, further places), a row for each of its landmarks."""
-    for batch in batches:
-        for lo in range(0, len(batch), 256):
-            part = batch.slice(lo, 256)
-            ids, items = (part.column(part.schema.get_field_index(c)) for c in ("id", "items"))
-            ends = np.cumsum([0, *(len(x) for x in items)])
-            flat = items.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
-            row = np.repeat(np.arange(len(part)), np.diff(ends))
-            at = np.flatnonzero(row[:-1] == row[1:]) if len(row) else np.empty(0, dtype=np.int64)
-            if not len(at):
-                continue
-            marks, row = ((flat[at] << np.uint64(32)) | flat[at + 1]).view(np.int64), row[at]
-            order = np.lexsort((at, marks, row))
-            marks, row, at = marks[order], row[order], (at - ends[row])[order]
-            first = np.concatenate([[True], (marks[1:] != marks[:-1]) | (row[1:] != row[:-1])])
-            sizes = np.diff(np.append(np.flatnonzero(first), len(at)))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes - 1)]), pa.int32()), pa.array(at[~first], pa.int32()), mask=pa.array(sizes == 1))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[first])), pa.array(marks[first]), pa.array(at[first], pa.int32()), lists], names=["id", "mark", "at", "more"])
-
-
-def _places(at: str, more: str) -> Column:
-    return F.concat(F.array(at), F.coalesce(more, F.array().cast("array<int>")))
+    A landmark is two integers in a row. Where nothing sounds there is none; with ``keep`` only those stay that it may hold.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                keys, items = (part.column(part.schema.get_field_index(c)) for c in ("key", "items"))
+                ends = np.cumsum([0, *(len(x) for x in items)])
+                flat = items.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+                row = np.repeat(np.arange(len(part)), np.diff(ends))
+                at = np.flatnonzero((row[:-1] == row[1:]) & ((flat[:-1] != silent) | (flat[1:] != silent))) if len(row) else np.empty(0, dtype=np.int64)
+                marks = ((flat[at] << np.uint64(32)) | flat[at + 1]).view(np.int64) if len(at) else np.empty(0, dtype=np.int64)
+                if keep is not None and len(marks):
+                    some = keep.may_hold(marks)
+                    at, marks = at[some], marks[some]
+                if not len(at):
+                    continue
+                row = row[at]
+                order = np.lexsort((at, marks, row))
+                marks, row, at = marks[order], row[order], (at - ends[row])[order]
+                first = np.flatnonzero(np.concatenate([[True], (marks[1:] != marks[:-1]) | (row[1:] != row[:-1])]))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)), pa.int32()), pa.array(at, pa.int32()))
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row[first])), pa.array(marks[first]), lists], names=["key", "mark", "places"])
+
+    return run
 
 
 def _differences(a: list[int] | None, b: list[int] | None) -> list[dict] | None:
@@ -198,60 +250,61 @@ def _differences(a: list[int] | None, b: list[int] | None) -> list[dict] | None:
     return [{"offset": int(i + least), "hits": int(found[i])} for i in np.flatnonzero(found)]
 
 
-def _judge(most_errors: float):
-    """The offset that fits with most hits, then fewest bit errors, then the shortest way; none if no offset fits."""
-
-    def run(a: list[int], b: list[int], offsets: list[dict]) -> dict | None:
-        x, y = np.array(a, dtype=np.uint32), np.array(b, dtype=np.uint32)
-        best, key = None, None
-        for o in sorted(offsets, key=lambda o: -o["hits"]):
-            if best is not None and o["hits"] < best["hits"]:
-                break
-            errors = _bit_errors(x, y, o["offset"])
-            k = (errors, abs(o["offset"]), -o["offset"])
-            if errors <= most_errors and (key is None or k < key):
-                best, key = {"offset": o["offset"], "hits": o["hits"], "bit_errors": errors}, k
-        return best
-
-    return run
+def bit_errors(a: Column, b: Column, offset: Column) -> Column:
+    """The share of differing bits where b, moved by offset, lies over a; 1 where it doesn't."""
+    i, j = F.greatest(offset, F.lit(0)), F.greatest(-offset, F.lit(0))
+    n = F.greatest(F.least(F.size(a) - i, F.size(b) - j), F.lit(0))
+    bits = F.zip_with(F.slice(a, i + 1, n), F.slice(b, j + 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long"))
+    return F.when(n == 0, 1.0).otherwise(F.aggregate(bits, F.lit(0).cast("long"), lambda s, x: s + x) / (F.greatest(n, F.lit(1)) * 32))
 
 
 def fingerprints(media: DataFrame, audio_col: str = "audio", id_col: str = "id") -> DataFrame:
-    """(id, seconds, items, items_crc32, class_id): the packed integers, their checksum as little-endian unsigned 32-bit
-    numbers, and the smallest id with the same integers.
+    """(id, seconds, items, items_crc32, digest, class_id): the packed integers, their checksum as little-endian unsigned
+    32-bit numbers, a digest that equal recordings share, and the smallest id among them.
 
-    Recordings under REACH frames have no items; their class is the smallest id with the same samples and rate. A null
-    column, bytes that are no 16-bit WAV file and files without samples are each a class of their own. Rows with equal ids are kept; an empty table gives an empty table.
+    Audio of any rate is brought to RATE first. Recordings under REACH frames have no items; their class is the smallest
+    id with the same samples and rate. A null column, bytes that are no 16-bit WAV file and files without samples have no
+    digest and are each a class of their own. Rows with equal ids are kept, each with its own class. Other columns are
+    left behind, whatever their names. An empty table gives an empty table. A long recording is taken whole by one task.
     """
     id_type = media.schema[id_col].dataType.simpleString()
     found = media.select(F.col(id_col).alias("id"), F.col(audio_col).alias("audio")).mapInArrow(_prints, f"id {id_type}, seconds double, items array<long>, items_crc32 long, digest binary")
     prints = written(found, "prints")
-    first = prints.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("first"))
-    return prints.join(first, "digest", "left").select("id", "seconds", "items", "items_crc32", F.coalesce("first", "id").alias("class_id"))
+    # only digests that several recordings share are joined back: written, so that the join can split a hot one
+    first = written(prints.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "print-classes")
+    return prints.join(first, "digest", "left").select("id", "seconds", "items", "items_crc32", "digest", F.coalesce("first", "id").alias("class_id"))
 
 
 def align(prints: DataFrame, queries: DataFrame, least_hits: int = 6, most_errors: float = 0.15) -> DataFrame:
-    """(query, match, offset, hits, bit_errors) for classes of queries (a column id) against all other classes.
-
-    Landmarks are two integers in a row. All their meetings are counted by offset, every place of one with every place of
-    the other. Each offset with at least ``least_hits`` meetings is judged by its bit errors over the overlap; of those
-    with at most ``most_errors`` the one with most meetings stays for a pair, then the one with fewest errors. Equal
-    recordings are one class and never paired; only landmarks of queries are joined.
-
-    The places of a landmark in a recording are one row. Where two rows would make many pairs of places, their
-    differences are counted before rows are made of them, so that a row comes out for each offset.
+    """(query, match, offset, hits, bit_errors, digest) for classes of queries (a column id) against all other classes.
+
+    Landmarks are two integers in a row, unless both are those of silence. All their meetings are counted by offset, every
+    place of one with every place of the other. Each offset with at least ``least_hits`` meetings is judged by its bit
+    errors over the overlap; of those with at most ``most_errors`` the one with most meetings stays for a pair, then the
+    one with fewest errors, then the shortest way, then the later one. Equal recordings are one class and never paired;
+    classes are told by their digests, so rows with equal ids lose nothing; query and match are their smallest ids, and
+    digest is the query's.
+
+    Only landmarks of queries are joined: a bit array of theirs keeps the others from the shuffle. The places of a landmark
+    in a recording are one row. Where two rows would make many pairs of places, their differences are counted before rows
+    are made of them, so that a row comes out for each offset.
     """
-    classes = prints.where(F.col("id") == F.col("class_id")).dropDuplicates(["id"]).select("id", "items")
-    id_type = prints.schema["id"].dataType.simpleString()
-    kind = f"id {id_type}, mark long, at int, more array<int>"
-    asked = queries.select("id").distinct().join(prints.select("id", "class_id"), "id").select(F.col("class_id").alias("id")).distinct()
-    mine = classes.join(asked, "id", "left_semi").mapInArrow(_landmarks, kind).select(F.col("id").alias("query"), F.col("at").alias("at_a"), F.col("more").alias("more_a"), "mark")
-    both = mine.join(classes.mapInArrow(_landmarks, kind), "mark").where("query <> id").select("query", F.col("id").alias("match"), _places("at_a", "more_a").alias("a"), _places("at", "more").alias("b"))
+    items = prints.where("digest IS NOT NULL AND size(items) > 1").select("digest", "class_id", "items")
+    classes = items.groupBy("digest").agg(F.min("class_id").alias("class_id"), F.any_value("items").alias("items")).withColumnRenamed("digest", "key")
+    classes = written(classes, "print-items")
+    asked = prints.join(queries.select("id").distinct(), "id", "left_semi").where("digest IS NOT NULL").select(F.col("digest").alias("key")).distinct()
+    silent = int(fingerprint(np.zeros(FRAME + REACH * HOP))[0])
+    kind = "key binary, mark long, places array<int>"
+    mine = written(classes.join(asked, "key", "left_semi").select("key", "items").mapInArrow(_landmarks(silent), kind), "landmarks")
+    keep = BitFilter(mine.select("mark").distinct(), "mark")
+    theirs = classes.select("key", "items").mapInArrow(_landmarks(silent, keep), kind)
+    both = mine.select(F.col("key").alias("q"), F.col("places").alias("a"), "mark").join(theirs.select(F.col("key").alias("m"), F.col("places").alias("b"), "mark"), "mark").where("q <> m")
     many = F.size("a").cast("long") * F.size("b") > 16
     few = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.struct((x - y).alias("offset"), F.lit(1).cast("long").alias("hits")))))
     counted = F.udf(_differences, "array<struct<offset:int,hits:long>>", useArrow=True)(F.when(many, F.col("a")), F.when(many, F.col("b")))
-    met = both.select("query", "match", F.explode(F.when(many, counted).otherwise(few)).alias("o")).groupBy("query", "match", F.col("o.offset").alias("offset")).agg(F.sum("o.hits").alias("hits")).where(F.col("hits") >= least_hits)
-    offsets = met.groupBy("query", "match").agg(F.collect_list(F.struct("offset", "hits")).alias("offsets"))
-    a = offsets.join(classes.select(F.col("id").alias("query"), F.col("items").alias("a")), "query").join(classes.select(F.col("id").alias("match"), F.col("items").alias("b")), "match")
-    judge = F.udf(_judge(most_errors), "struct<offset:int,hits:long,bit_errors:double>", useArrow=True)
-    return a.withColumn("best", judge("a", "b", "offsets")).where("best IS NOT NULL").select("query", "match", "best.*")
+    met = both.select("q", "m", F.explode(F.when(many, counted).otherwise(few)).alias("o")).groupBy("q", "m", F.col("o.offset").alias("offset")).agg(F.sum("o.hits").alias("hits")).where(F.col("hits") >= least_hits)
+    side = lambda key, name, who: classes.select(F.col("key").alias(key), F.col("items").alias(name), F.col("class_id").alias(who))
+    judged = met.join(side("q", "a", "query"), "q").join(side("m", "b", "match"), "m").withColumn("bit_errors", bit_errors(F.col("a"), F.col("b"), F.col("offset")))
+    best = F.min(F.struct((-F.col("hits")).alias("h"), "bit_errors", F.abs("offset").alias("way"), (-F.col("offset")).alias("o"))).alias("x")
+    out = judged.where(F.col("bit_errors") <= most_errors).groupBy("q", "m", "query", "match").agg(best)
+    return out.select("query", "match", (-F.col("x.o")).alias("offset"), (-F.col("x.h")).alias("hits"), "x.bit_errors", F.col("q").alias("digest"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from functools import cache
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +87,42 @@ def word_count(c: Column) -> Column:
     for blank in BLANKS[1:]:
         spaced = F.replace(spaced, F.lit(blank), F.lit(" "))
     return F.size(F.array_remove(F.split(spaced, " "), "")).cast("long")
+
+
+class BitFilter:
+    """A broadcast bit array that is set for all given longs: it only spares work, an exact join follows.
+
+    It has sixteen bits for each of them, up to 2^30 bits (128 MB); a fuller array beyond that bound loses nothing.
+    """
+
+    def __init__(self, df: DataFrame, column: str) -> None:
+        self.bits = 1 << min(30, max(20, (16 * df.count()).bit_length()))
+        slot = F.pmod(F.col(column), F.lit(self.bits))
+        words = df.groupBy(F.floor(slot / 63).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 63).cast("int"))).alias("b"))
+        table = np.zeros(self.bits // 63 + 1, dtype=np.int64)
+        for r in words.toLocalIterator():
+            table[r["w"]] = r["b"]
+        self.table: Broadcast = df.sparkSession.sparkContext.broadcast(table)
+
+    def may_hold(self, values: np.ndarray) -> np.ndarray:
+        slot = values % self.bits
+        return ((self.table.value[slot // 63] >> (slot % 63)) & 1) == 1
+
+
+@cache
+def one_thread() -> None:
+    """Keep matrix products in this Python worker on the core of its task; their own threads mostly wait for one another.
+
+    Workers get as many threads as an executor has cores, for each of its tasks. Where the library can't be found, they stay.
+    """
+    try:
+        with open("/proc/self/maps") as f:
+            paths = {line.split()[-1] for line in f if "openblas" in line}
+    except OSError:
+        return
+    for path in paths:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break

@@ -18,12 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import written
+from wordloom.llm.common import BitFilter, one_thread, written
 from wordloom.llm.graph import components
 
 REMEMBERED_WORDS = 400_000
@@ -99,14 +98,13 @@ def _shingled(size: int, percent: int):
     return run
 
 
-def _whole_sets(size: int, table, bits: int):
-    """mapInArrow function over (id, text): id, key and tokens of the whole set, for the ids that the bit array may hold."""
+def _whole_sets(size: int, able: BitFilter):
+    """mapInArrow function over (id, text): id, key and tokens of the whole set, for the ids that the filter may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(size)
         for batch in batches:
-            slots = _column(batch, "id").to_numpy() % bits
-            sel = np.flatnonzero((table.value[slots // 63] >> (slots % 63)) & 1)
+            sel = np.flatnonzero(able.may_hold(_column(batch, "id").to_numpy()))
             ids, texts = _column(batch, "id").take(pa.array(sel)), _column(batch, "text").take(pa.array(sel)).cast(pa.large_binary())
             for lo in range(0, len(ids), 128):
                 lists = [shingle(t.as_py()) for t in texts[lo : lo + 128]]
@@ -116,20 +114,6 @@ def _whole_sets(size: int, table, bits: int):
     return run
 
 
-def _bit_filter(ids: DataFrame) -> tuple[Broadcast, int]:
-    """A broadcast bit array that is set for all given ids, sixteen bits an id up to 2^30 bits (128 MB).
-
-    It only spares work: an exact join follows, so a fuller array beyond that bound loses nothing.
-    """
-    bits = 1 << min(30, max(20, (16 * ids.count()).bit_length()))
-    slot = F.pmod(F.col("id"), F.lit(bits))
-    words = ids.groupBy(F.floor(slot / 63).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 63).cast("int"))).alias("b"))
-    table = np.zeros(bits // 63 + 1, dtype=np.int64)
-    for r in words.toLocalIterator():
-        table[r["w"]] = r["b"]
-    return ids.sparkSession.sparkContext.broadcast(table), bits
-
-
 def _spanning(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the given links."""
     root = np.arange(n)
@@ -179,6 +163,7 @@ def _blocks(percent: int):
     """applyInArrow function over one pair of blocks of a group: a spanning forest of its links."""
 
     def run(batch: pa.Table) -> pa.Table:
+        one_thread()
         ids = batch["id"].to_numpy()
         sets = [x.values.to_numpy() for x in batch["tokens"].combine_chunks()]
         edges = _spanning(_links(sets, batch["block"].to_numpy(), percent), len(ids)) if len(ids) > 1 else []
@@ -319,8 +304,7 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     able = filled.join(hits, "id").where(F.col("hits") >= need)
     able = written(able.groupBy("key", "n").agg(F.min("id").alias("id")), "able")
     # whole sets of one document for each set that is left
-    table, bits = _bit_filter(able.select("id"))
-    again = named_docs.mapInArrow(_whole_sets(size, table, bits), "id long, key binary, tokens array<long>")
+    again = named_docs.mapInArrow(_whole_sets(size, BitFilter(able.select("id"), "id")), "id long, key binary, tokens array<long>")
     sets = written(again.join(able, ["id", "key"]).select("id", "n", "tokens", "key").dropDuplicates(["id", "key"]).drop("key"), "sets")
     links = _linked(sets, percent, rare, block, load)
 

@@ -40,7 +40,7 @@ def _op1_sql() -> str:
     case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
     return f"""
     WITH p AS (
-      SELECT page_id, translate(coalesce(url, ''), {UPPERS}) AS u,
+      SELECT page_id, translate(url_decode(coalesce(url, '')), {UPPERS}) AS u,
              translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), {UPPERS}) AS host,
              regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
       FROM pages),
@@ -189,13 +189,14 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation turn played as audio; queries are the turns of conversations divisible by 100."""
-    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "text").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
-    prints = fingerprints(add_melody(turns.select("id", "text"), "text"))
-    found = align(prints, prints.where(F.floor(F.col("id") / 1000) % 100 == 0))
-    best = found.groupBy("query").agg(F.count("*").alias("n_matches"), F.min(F.struct("bit_errors", "match", "offset")).alias("best"))
-    return prints.join(best, F.col("class_id") == F.col("query"), "left").select(
-        "id", F.size("items").cast("long").alias("n_items"), "items_crc32", "class_id",
-        F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.col("best.match").alias("match_id"), F.col("best.offset").cast("long").alias("match_offset"), F.col("best.bit_errors").alias("bit_errors"),
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "text").select(F.struct("conv_id", "turn").alias("id"), "text")
+    prints = fingerprints(add_melody(turns, "text"))
+    found = align(prints, prints.where("id.conv_id % 100 = 0"))
+    best = found.groupBy(F.col("digest").alias("asked")).agg(F.count("*").alias("n_matches"), F.min(F.struct("bit_errors", "match", "offset")).alias("best"))
+    return prints.join(best, F.col("digest") == F.col("asked"), "left").select(
+        "id.conv_id", "id.turn", F.size("items").cast("long").alias("n_items"), "items_crc32", F.col("class_id.conv_id").alias("class_conv_id"), F.col("class_id.turn").alias("class_turn"),
+        F.coalesce("n_matches", F.lit(0)).alias("n_matches"), F.col("best.match.conv_id").alias("match_conv_id"), F.col("best.match.turn").alias("match_turn"),
+        F.col("best.offset").cast("long").alias("match_offset"), F.col("best.bit_errors").alias("bit_errors"),
     )
 
 
