@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import word_count, written
+from wordloom.llm.common import named, replaced, word_count, written
 
 #: Characters whose share lowers a document's quality weight.
 NOISE = "#*$%&|<>!@^_~=+{}[]"
@@ -26,14 +26,17 @@ def uniform(seed: int, *parts: Column) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**52))
 
 
-def source_targets(sizes: DataFrame, source_col: str, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
+def source_targets(sizes: DataFrame, source_col: str, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, most_sources: int = 1_000_000) -> DataFrame:
     """(source, source_size) -> one row per source with its target.
 
     Sources in code point order, null last, weigh ``weights``, repeating. Targets share the sum of all sizes by weight
     and stop at ``cap`` times a source's size; the excess is shared again among the others. The fixed point is a water
     level: with sources ordered by cap * size / weight, the level is the first at which the sources below are full.
-    Windows run over the sources alone, one row each.
+    Windows run over the sources alone, one row each, in one task; more than ``most_sources`` raise an error.
     """
+    sizes = written(sizes, "mix-sources")
+    if (n := sizes.count()) > most_sources:
+        raise ValueError(f"{n} sources, {most_sources} at most: mix by something coarser")
     order = W.orderBy(F.col(source_col).asc_nulls_last())
     ranked = sizes.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.row_number().over(order) - 1) % len(weights) + 1))
     full = F.lit(cap) * F.col("source_size")
@@ -62,58 +65,54 @@ def mix_sources(
 
     A null text has size 0 and is never worth taking twice; a null source is a source of its own, last in order; rows
     with equal ids and texts draw the same key and are ordered as equals, so both or neither of them cross the budget.
-    Clashing columns are replaced; an empty table gives an empty table. Equal inputs give equal results on every run.
+    A very long text is one step of the sum: it is taken if half of it fits. Columns with the names appended here are
+    replaced where they stand, other names can't clash; an empty table gives an empty table. Equal inputs give equal
+    results on every run.
     """
     text = F.col(text_col)
     quality = quality_weight(text) if weight is None else weight
     u = uniform(seed, F.col(id_col))
-    key = -F.log(u) / quality
-    doc = docs.withColumn("size", word_count(text)).withColumn("_key", key).withColumn("_range", F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * buckets).cast("int"))
-    light = docs.select(F.col(source_col).alias("_source"), word_count(text).alias("size"), key.alias("_key"), F.col(id_col).cast("string").alias("_id"))
-    light = written(light.withColumn("_range", F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * buckets).cast("int")), "mix-keys")
+    source = docs.select(F.struct(*(named(c) for c in docs.columns)).alias("row"), F.col(source_col).alias("src"), F.col(id_col).cast("string").alias("id"), word_count(text).alias("size"), (-F.log(u) / quality).alias("key"))
+    keyed = source.withColumn("range", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * buckets).cast("int"))
+    light = written(keyed.select("src", "range", "size", "key", "id"), "mix-keys")
 
-    sums = light.groupBy("_source", "_range").agg(F.sum("size").alias("n"))
-    targets = source_targets(sums.groupBy("_source").agg(F.sum("n").alias("source_size")), "_source", weights, cap)
+    sums = light.groupBy("src", "range").agg(F.sum("size").alias("n"))
+    targets = source_targets(sums.groupBy("src").agg(F.sum("n").alias("source_size")), "src", weights, cap)
     epochs = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long")
     targets = targets.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
     # where the budget ends: at most `buckets` rows a source
-    running = W.partitionBy("_source").orderBy("_range")
+    running = W.partitionBy("src").orderBy("range")
     cut = (
         sums.withColumn("upto", F.sum("n").over(running))
-        .join(targets.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")))
+        .join(targets.withColumnRenamed("src", "s"), F.col("src").eqNullSafe(F.col("s")))
         .where(F.col("upto") >= F.col("rest"))
-        .groupBy("_s")
-        .agg(F.min(F.struct(F.col("_range").alias("cut_range"), (F.col("upto") - F.col("n")).alias("cut_before"))).alias("cut"))
-        .select("_s", "cut.cut_range", "cut.cut_before")
+        .groupBy("s")
+        .agg(F.min(F.struct(F.col("range").alias("cut_range"), (F.col("upto") - F.col("n")).alias("cut_before"))).alias("cut"))
+        .select("s", "cut.cut_range", "cut.cut_before")
     )
-    plan = targets.join(cut, F.col("_source").eqNullSafe(F.col("_s")), "left").select(F.col("_source").alias("_plan_source"), "source_size", "target", "epochs", "rest", "cut_range", "cut_before")
+    plan = targets.join(cut, F.col("src").eqNullSafe(F.col("s")), "left").select(F.col("src").alias("plan_source"), "source_size", "target", "epochs", "rest", "cut_range", "cut_before")
     # the last range alone is ordered; ties in the key are one step
-    steps = light.join(plan, F.col("_source").eqNullSafe(F.col("_plan_source")) & (F.col("_range") == F.col("cut_range"))).groupBy("_source", "rest", "cut_before", "_key", "_id").agg(F.sum("size").alias("n"))
-    ordered = W.partitionBy("_source").orderBy("_key", "_id")
+    steps = light.join(plan, F.col("src").eqNullSafe(F.col("plan_source")) & (F.col("range") == F.col("cut_range"))).groupBy("src", "rest", "cut_before", "key", "id").agg(F.sum("size").alias("n"))
+    ordered = W.partitionBy("src").orderBy("key", "id")
     steps = steps.withColumn("upto", F.col("cut_before") + F.sum("n").over(ordered)).withColumn("taken_here", F.col("upto") - F.col("n") / 2 <= F.col("rest"))
-    last = steps.where("taken_here").groupBy("_source").agg(F.max(F.struct("_key", "_id")).alias("_last"))
-    plan = plan.join(last.withColumnRenamed("_source", "_ls"), F.col("_plan_source").eqNullSafe(F.col("_ls")), "left").drop("_ls", "rest", "cut_before")
+    last = steps.where("taken_here").groupBy("src").agg(F.max(F.struct("key", "id")).alias("last"))
+    plan = plan.join(last.withColumnRenamed("src", "ls"), F.col("plan_source").eqNullSafe(F.col("ls")), "left").drop("ls", "rest", "cut_before")
     plan = written(plan, "mix-plan")
     if plan.count() <= small_plan:
         plan = F.broadcast(plan)
 
     fraction = (
-        F.when(F.col("_range") < F.col("cut_range"), F.lit(1))
-        .when((F.col("_range") == F.col("cut_range")) & (F.struct("_key", F.col(id_col).cast("string").alias("_id")) <= F.col("_last")), F.lit(1))
+        F.when(F.col("range") < F.col("cut_range"), F.lit(1))
+        .when((F.col("range") == F.col("cut_range")) & (F.struct("key", "id") <= F.col("last")), F.lit(1))
         .otherwise(F.lit(0))
     )
     copies = F.least(F.lit(cap).cast("long"), F.col("epochs") + F.coalesce(fraction, F.lit(0)))
-    for name in ("source_size", "target", "epochs", "copies", "taken"):
-        if name in docs.columns:
-            doc = doc.drop(name)
-    return (
-        doc.join(plan, F.col(source_col).eqNullSafe(F.col("_plan_source")))
-        .withColumn("copies", copies)
-        .withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-        .drop("_key", "_range", "_plan_source", "epochs", "cut_range", "_last")
-    )
+    planned = keyed.join(plan, F.col("src").eqNullSafe(F.col("plan_source"))).withColumn("copies", copies)
+    new = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": F.col("copies"), "taken": (F.col("copies") * F.col("size")).cast("long")}
+    return planned.select(*replaced(F.col("row"), docs.columns, new))
 
 
 def repeat_rows(mixed: DataFrame) -> DataFrame:
     """Every document as many times as the mix takes it; those it doesn't take go."""
-    return mixed.where(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("_copy")
+    times = F.array_repeat(F.struct(*(named(c) for c in mixed.columns)), F.col("copies").cast("int"))
+    return mixed.where(F.col("copies") > 0).select(F.explode(times).alias("row")).select("row.*")
