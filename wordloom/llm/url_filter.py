@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator
+from importlib import resources
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import LOWER, UPPER, ascii_lower
+from wordloom.llm.common import LOWER, UPPER, ascii_lower, named, replaced
 
-#: One hit rejects.
-STRICT_TERMS = ("porn", "xxx", "casino", "viagra", "cialis", "spam", "malware", "phishing", "warez", "escort")
-#: Term and weight; a url goes if several distinct ones reach the limit together.
-SOFT_TERMS = {"cheap": 1.0, "pills": 1.0, "free": 1.0, "bonus": 1.0, "bet": 1.0, "poker": 1.5, "adult": 1.5, "sex": 1.5, "loan": 1.0, "win": 1.0, "hot": 1.0, "deal": 1.0, "click": 1.0, "torrent": 1.5}
+
+
+def read_terms() -> tuple[tuple[str, ...], dict[str, float]]:
+    """The vocabulary file beside this module: strict terms, and soft ones with their weights."""
+    strict, soft = [], {}
+    with resources.files(__package__).joinpath("url_terms.csv").open(encoding="utf-8") as f:
+        for row in csv.DictReader(f):
+            if row["kind"] == "strict":
+                strict.append(row["term"])
+            else:
+                soft[row["term"]] = float(row["weight"])
+    return tuple(strict), soft
+
+
+#: One strict hit rejects. A url also goes if several distinct soft ones reach the limit together.
+STRICT_TERMS, SOFT_TERMS = read_terms()
 SOFT_LIMIT = 2.0
 
 
@@ -43,7 +58,7 @@ def _counter(strict: tuple[str, ...], soft: dict[str, float]):
         for urls in batches:
             rows = []
             for url in urls:
-                text, found = (url or "").translate(lower), set()
+                text, found = unquote(url or "").translate(lower), set()
                 for end, term in automaton.iter(text):
                     start = end - len(term)
                     if (start < 0 or text[start] not in bounded) and (end + 1 == len(text) or text[end + 1] not in bounded):
@@ -65,20 +80,23 @@ def url_filter(
     or on at least ``min_soft`` distinct soft terms whose weights reach ``soft_limit``. A term counts only between
     characters that are no ASCII letters or digits.
 
-    A null url has empty host and path, no term, and is allowed. Repeated rows get equal results; columns with the
-    names appended here are replaced; an empty table gives an empty table. No row leaves its partition.
+    Percent-encoded characters count as what they stand for in the vocabulary's part; malformed ones stay as they are.
+
+    A null url has empty host and path, no term, and is allowed. Of rules with one text the last one counts. Repeated rows
+    get equal results; columns with the names appended here are replaced where they stand, the url's own among them, and
+    other names can't clash; a url of any length is taken whole; an empty table gives an empty table. No row leaves its
+    partition.
     """
     soft = SOFT_TERMS if soft is None else soft
-    out = pages.withColumn("host", url_host(F.col(url_col))).withColumn("path", url_path(F.col(url_col)))
+    out = pages.select(F.struct(*(named(c) for c in pages.columns)).alias("row"), F.col(url_col).alias("url"))
+    out = out.withColumn("host", url_host(F.col("url"))).withColumn("path", url_path(F.col("url")))
     rule, decided = F.lit(None).cast("string"), F.lit(None).cast("string")
     for verdict, text in sorted(rules, key=lambda r: len(r[1])):
         host, slash, path = text.partition("/")
         fits = ((F.col("host") == host) | F.endswith(F.col("host"), F.lit(f".{host}"))) & F.startswith(F.col("path"), F.lit(slash + path))
         rule, decided = F.when(fits, F.lit(text)).otherwise(rule), F.when(fits, F.lit(verdict)).otherwise(decided)
-    out = out.withColumn("rule", rule).withColumn("_decided", decided).withColumn("_terms", _counter(strict, soft)(F.col(url_col)))
-    bad = (F.col("_terms.n_strict") > 0) | ((F.col("_terms.n_soft") >= min_soft) & (F.col("_terms.soft_weight") >= soft_limit))
-    return (
-        out.withColumn("n_strict", F.col("_terms.n_strict")).withColumn("n_soft", F.col("_terms.n_soft")).withColumn("soft_weight", F.col("_terms.soft_weight"))
-        .withColumn("verdict", F.coalesce("_decided", F.when(bad, "block").otherwise("allow")))
-        .drop("_decided", "_terms")
-    )
+    out = out.withColumn("rule", rule).withColumn("decided", decided).withColumn("terms", _counter(strict, soft)(F.col("url")))
+    bad = (F.col("terms.n_strict") > 0) | ((F.col("terms.n_soft") >= min_soft) & (F.col("terms.soft_weight") >= soft_limit))
+    new = {"host": F.col("host"), "path": F.col("path"), "rule": F.col("rule"), "verdict": F.coalesce("decided", F.when(bad, "block").otherwise("allow"))}
+    new |= {k: F.col(f"terms.{k}") for k in ("n_strict", "n_soft", "soft_weight")}
+    return out.select(*replaced(F.col("row"), pages.columns, new))
