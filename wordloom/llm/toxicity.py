@@ -114,8 +114,8 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def _sample(labels: DataFrame, bounds: dict[str, int], seed: int) -> DataFrame:
     """Labelled training rows by part, at most about the bound of each (chosen by a hash)."""
-    parts = F.create_map(*(F.lit(x) for k, v in {1: "lexicon", 2: "lexicon", 3: "trees", 4: "calibration"}.items() for x in (k, v)))
-    labelled = labels.withColumn("part", parts[F.col("fold").cast("int")]).where(F.col("part").isNotNull())
+    part = F.when(F.col("draw") < 2, "lexicon").when(F.col("draw") == 2, "trees").otherwise("calibration")
+    labelled = labels.withColumn("part", part)
     sizes = {r["part"]: r["n"] for r in labelled.groupBy("part").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for part, n in sizes.items():
@@ -123,9 +123,13 @@ def _sample(labels: DataFrame, bounds: dict[str, int], seed: int) -> DataFrame:
     return labelled.where(F.pmod(F.xxhash64("label_id", F.lit(seed)), F.lit(1_000_000)) < share * 1_000_000)
 
 
+def id_sum(doc_id: Column) -> Column:
+    """crc32 of the id as text; a null id is an empty text."""
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
-    """crc32 of the id as text, mod folds; a null id is an empty text."""
-    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
+    return id_sum(doc_id) % folds
 
 
 def toxicity_scores(
@@ -137,15 +141,18 @@ def toxicity_scores(
     limits the labelled rows used for the lexicon, the trees and the calibration (20,000, 40,000 and 20,000); the
     lexicon has at most ``terms`` words and word beginnings. Scores come from the text alone.
 
-    Null and empty texts are scored like others, with all features 0. An id with several labels is toxic if one says so;
+    Of the labels half teach the lexicon, a quarter the trees and a quarter the calibration, by a draw from the same crc32.
+    Null and empty texts are scored like others, with all features 0; a text of any length is taken whole. Terms that tie
+    for the last place in the lexicon are ordered by themselves. An id with several labels is toxic if one says so;
     null labels and ids are not learned from. Without both classes among the training labels every score is the share of
-    toxic labels (0 without any). Rows with equal ids are scored each by itself; other columns are left behind; an empty
+    toxic labels (0 without any). Rows with equal ids are scored each by itself; other columns are left behind, whatever their names; an empty
     table gives an empty table.
     """
     spark = docs.sparkSession
     bounds = {"lexicon": 20_000, "trees": 40_000, "calibration": 20_000} | (bounds or {})
     known = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("toxic")).where("label_id IS NOT NULL AND toxic IN (0, 1)")
-    known = known.groupBy("label_id").agg(F.max("toxic").alias("toxic")).withColumn("fold", fold_of(F.col("label_id"), folds)).where("fold <> 0")
+    known = known.groupBy("label_id").agg(F.max("toxic").alias("toxic")).where(fold_of(F.col("label_id"), folds) != 0)
+    known = known.withColumn("draw", F.floor(id_sum(F.col("label_id")) / folds) % 4)
     chosen = written(_sample(known, bounds, seed).select("label_id", "toxic", "part"), "labels")
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # at most the sum of the bounds: a size known beforehand
