@@ -74,10 +74,7 @@ def test_jaccard_odd_ids(spark):
     assert jaccard_components(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("together", [8192, 1])
-def test_exact_substring(spark, together):
-    length, texts = 40, odd_texts(5, 40)
-    texts += [texts[-1], "q" * 39, "pq" * 30]
+def removed_by_hand(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
     want = {}
@@ -88,8 +85,27 @@ def test_exact_substring(spark, together):
                 gone[k : k + length] = True
         kept = bytes(np.frombuffer(b, np.uint8)[~gone[:-1]])
         want[i] = (len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest())
-    got = exact_substring_dedup(table(spark, texts), length=length, span=16, together=together).collect()
-    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
+    return want
+
+
+@pytest.mark.parametrize("length,span", [(40, 16), (70, 48)])
+def test_exact_substring(spark, length, span):
+    texts = odd_texts(5, 40)
+    texts += [texts[-1], "q" * 39, "pq" * 30]
+    rnd = random.Random(6)
+    # copies cut and changed at many places, constant and periodic texts, and a passage many documents share
+    passage = " ".join(rnd.choice(texts[20].split()) for _ in range(60))
+    texts += [passage[a:b] for a, b in ((0, 200), (3, 190), (50, 260), (17, 130), (100, 300))]
+    texts += [passage[:k] + "#" + passage[k + 1 :] for k in (30, 75, 76, 120, 200)]
+    texts += ["z" * 500, "z" * 41, "yz" * 100, "- " * 300, "abcdefghijklmnop" * 40, "x" + "z" * 60 + passage[20:90] + "z" * 60]
+    got = exact_substring_dedup(table(spark, texts), length=length, span=span).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == removed_by_hand(texts, length)
+
+
+def test_repetitive_text_is_a_few_rows():
+    for text in ("a" * 200_000, "ab" * 100_000, "- " * 100_000, "abcdefghijklmnop" * 12_500):
+        parts = [(*p, np.zeros(len(p[0]), dtype=np.int64), np.ones(len(p[0]), dtype=np.int64)) for p in exact_substring.Parser(400, 128).words(text.encode())]
+        assert len(exact_substring._merged_words(parts)) < 60
 
 
 def test_parser_parts_agree(monkeypatch):
