@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wordloom.llm.common import table, written
@@ -18,38 +17,46 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go.
+    """Documents that the quality rules reject go; null and empty texts are among them.
 
-    A filter on the verdict would be pushed below the projections that compute it, where its expressions are copied into
-    one another many times over. The draw is always kept; being random, it holds the filter above them.
+    The verdict is written before it filters: a filter on it would be pushed below the projections that compute it, where
+    its expressions are copied into one another many times over. Repeated rows stay or go together; other columns than
+    those of documents are left behind; an empty table stays empty.
     """
-    judged = quality_rules(docs.select(*COLUMNS)).select(*COLUMNS, F.col("quality.kept").alias("_kept"), F.rand(0).alias("_draw"))
-    return judged.where("_kept AND _draw >= 0").select(*COLUMNS)
+    judged = written(quality_rules(docs.select(*COLUMNS)).select(*COLUMNS, F.col("quality.kept").alias("kept")), "judged")
+    return judged.where("kept").select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that several documents share stay in the first one alone; n_chars follows the text."""
+    """Lines that several documents share stay in the first one alone; n_chars follows the text.
+
+    Null texts become empty; rows with equal ids are one document; a text whose lines all go stays as an empty one.
+    """
     return line_dedup(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a similarity of 0.8 the one with the smallest id stays.
 
-    Of rows with equal ids one stays, the first by text. Rows without an id all stay.
+    Rows are told by numbers of their own: of copies with one id one stays, different texts with one id are different
+    documents, and rows without an id are compared like others and come after those with one. Texts without words are
+    linked with nothing and stay.
     """
-    found = jaccard_components(docs, size=5, percent=80)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    one = docs.select(*COLUMNS).join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(W.partitionBy("doc_id").orderBy("text", "lang", "source")))
-    return one.where("_n = 1").select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered")
+    found = jaccard_components(rows, id_col="row", size=5, percent=80).select("row", "component_id")
+    firsts = found.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")).alias("first"))
+    return rows.join(firsts.select("first.row"), "row", "left_semi").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as many times as the mix takes them."""
+    """Documents as many times as the mix takes them; null sources are one source, texts without words are taken as their
+    source's epochs say."""
     return repeat_rows(mix_sources(docs.select(*COLUMNS))).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens and their places in sequences."""
+    """Pieces of at most 4096 tokens and their places in sequences; every row is packed, repeated ones and those without an
+    id or text too."""
     return pack_documents(docs, tokenizer_path())
 
 
