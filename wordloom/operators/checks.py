@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.functions.text import fold_case
+from wordloom.operators.ranks import numbered
+from wordloom.sources.store import stored
 
-def integrity_violations(documents: DataFrame, versions: DataFrame, heads: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(check, id): documents without a first version, without a head, with a head that leads nowhere; versions without blocks."""
+
+def integrity_violations(documents: DataFrame, versions: DataFrame, heads: DataFrame, blocks: DataFrame, legacy: DataFrame | None = None) -> DataFrame:
+    """(check, id): documents without a first version, without a head, with a head that leads nowhere; versions without
+    blocks; and files (file_id, doc_id, status) of completed legacy jobs that are no version of their document."""
     def rows(df: DataFrame, name: str, column: str) -> DataFrame:
         return df.select(F.lit(name).alias("check"), F.col(column).cast("string").alias("id"))
 
     first = versions.where("version_number = 1").select("doc_id")
-    return (
+    found = (
         rows(documents.join(first, "doc_id", "left_anti"), "no_original_version", "doc_id")
         .unionByName(rows(documents.join(heads, "doc_id", "left_anti"), "no_head", "doc_id"))
         .unionByName(rows(heads.join(versions, "version_id", "left_anti"), "dangling_head", "doc_id"))
         .unionByName(rows(versions.join(blocks, "version_id", "left_anti"), "version_without_blocks", "version_id"))
     )
+    if legacy is None:
+        return found
+    files = legacy.where("status = 'completed'").select(F.col("file_id").alias("version_id"), "doc_id")
+    return found.unionByName(rows(files.join(versions, ["version_id", "doc_id"], "left_anti"), "legacy_file_without_version", "version_id"))
 
 
 def cache_freshness(versions: DataFrame, cache: DataFrame, identity: list[str]) -> DataFrame:
@@ -35,11 +45,23 @@ def element_counts(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("set_id", "doc_id").agg(F.count("*").alias("blocks"))
 
 
-def set_summary(documents: DataFrame, operations: DataFrame) -> DataFrame:
-    """Per set: documents and completed operations, 0 where there are none."""
-    d = documents.groupBy("set_id").agg(F.count("*").alias("documents"))
-    o = operations.where("status = 'completed'").groupBy("set_id").agg(F.count("*").alias("operations"))
-    return d.join(o, "set_id", "left").withColumn("operations", F.coalesce("operations", F.lit(0)))
+def group_counts(groups: DataFrame) -> DataFrame:
+    """Link groups of each set."""
+    return groups.groupBy("set_id").agg(F.count("*").alias("groups"))
+
+
+def set_summary(documents: DataFrame, operations: DataFrame, legacy_jobs: DataFrame | None = None) -> DataFrame:
+    """Per set: documents, completed operations and completed legacy jobs, 0 where there are none.
+
+    With a column created_at in ``documents`` every set has the newest one and its place, newest set first, then by set.
+    """
+    dated = "created_at" in documents.columns
+    d = documents.groupBy("set_id").agg(F.count("*").alias("documents"), *([F.max("created_at").alias("created_at")] if dated else []))
+    for name, jobs in (("operations", operations), ("legacy_jobs", legacy_jobs)):
+        if jobs is not None:
+            n = jobs.where("status = 'completed'").groupBy(F.col("set_id").alias("_set")).agg(F.count("*").alias(name))
+            d = d.join(n, F.col("set_id").eqNullSafe(F.col("_set")), "left").drop("_set").withColumn(name, F.coalesce(name, F.lit(0)))
+    return numbered(d, [], [(F.col("created_at"), False), (F.col("set_id"), True)], "place") if dated else d
 
 
 def job_list(operations: DataFrame, statuses: list[str], limit: int = 50) -> DataFrame:
@@ -50,37 +72,59 @@ def job_list(operations: DataFrame, statuses: list[str], limit: int = 50) -> Dat
 
 def group_order(groups: DataFrame, detail_limit: int = 100) -> DataFrame:
     """Groups of each set by members and text; detail goes where a set has more than ``detail_limit`` groups."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("set_id").orderBy(F.desc("members"), F.lower("representative_text"), "match_hash")
-    many = F.count("*").over(W.partitionBy("set_id")) > detail_limit
-    return groups.withColumn("place", F.row_number().over(w)).withColumn("representative_text", F.when(~many, F.col("representative_text")))
+    ranked = numbered(groups, ["set_id"], [(F.col("members"), False), (F.lower("representative_text"), True), (F.col("match_hash"), True)], "place")
+    many = groups.groupBy(F.col("set_id").alias("_set")).agg((F.count("*") > detail_limit).alias("_many"))
+    shown = ranked.join(many, F.col("set_id").eqNullSafe(F.col("_set")))
+    return shown.withColumn("representative_text", F.when(~F.col("_many"), F.col("representative_text"))).drop("_set", "_many")
 
 
 def unsupported_diagnostics(blocks: DataFrame) -> DataFrame:
-    """Per document and reason: read-only blocks (a column reason, null for editable ones)."""
-    return blocks.where("reason IS NOT NULL").groupBy("doc_id", "reason").agg(F.count("*").alias("blocks"))
+    """Per document, tag and reason: read-only blocks (columns reason, null for editable ones, and blocking_tag if there is one)."""
+    keys = ["doc_id", *(c for c in ("blocking_tag",) if c in blocks.columns), "reason"]
+    return blocks.where("reason IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("blocks"))
 
 
-def unique_names(files: DataFrame) -> DataFrame:
-    """(set_id, upload, name) -> unique_name: a name that an earlier file of the set has gets the first free `` (n)``.
+#: ` (n)` for copies of uploads, `-n` from 2 on for outputs of templates.
+NUMBERINGS = {"copy": (" ({n})", r"(?: \(\d+\))+$", 1), "output": ("-{n}", r"(?:-\d+)+$", 2)}
 
-    Sequential by nature, so a set is one group; sets are uploads of a person, which are small.
-    """
-    import pandas as pd
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+def unique_names(files: DataFrame, numbering: str = "copy") -> DataFrame:
+    """(set_id, upload, name) -> unique_name: a name that an earlier file of the set has gets the first free number.
+
+    Names are told without regard to case; earlier is by upload, then name. Only names whose stems are equal once their
+    numbers are taken off, a family, can clash. A family without a numbered name is numbered by places, which are counted
+    by ranges, so that a hot name spreads over tasks. A family in which a file came with a number of its own is settled
+    file by file, in a group of its own. A null set is a set; a null name is empty.
+    """
+    suffix, pattern, first = NUMBERINGS[numbering]
+    name = F.coalesce(F.col("name"), F.lit(""))
+    dotted = F.regexp_replace(name, r"^\.+|\.+$", "").contains(".")
+    cut = F.when(dotted, F.length(name) - F.instr(F.reverse(name), ".")).otherwise(F.length(name))
+    stem, ext = F.substr(name, F.lit(1), cut), F.substr(name, cut + 1)
+    bare = F.regexp_replace(stem, pattern, "")
+    rows = files.select("set_id", "upload", name.alias("name"), stem.alias("stem"), ext.alias("ext"), fold_case(F.concat(bare, F.lit("\0"), ext)).alias("family"), (bare != stem).cast("int").alias("own"))
+    rows = stored(rows)
+    mixed = rows.groupBy("set_id", "family").agg(F.max("own").alias("own")).where("own = 1").select(F.col("set_id").alias("s"), F.col("family").alias("f"))
+    in_mixed = F.col("set_id").eqNullSafe(F.col("s")) & (F.col("family") == F.col("f"))
+    plain = numbered(rows.join(mixed, in_mixed, "left_anti"), ["set_id", "family"], [(F.col("upload"), True), (F.col("name"), True)], "place")
+    before, after = suffix.split("{n}")
+    number = F.concat(F.lit(before), (F.col("place") - 2 + first).cast("string"), F.lit(after))
+    plain = plain.select("set_id", "upload", "name", F.when(F.col("place") == 1, F.col("name")).otherwise(F.concat("stem", number, "ext")).alias("unique_name"))
+    types = ", ".join(f"{c} {files.schema[c].dataType.simpleString()}" for c in ("set_id", "upload"))
+
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
         taken: set[str] = set()
-        names = []
-        group = group.sort_values(["upload", "name"])
-        for name in group["name"]:
-            stem, dot, ext = name.rpartition(".") if "." in name.strip(".") else (name, "", "")
-            new, n = name, 0
+        group, names = group.sort_values(["upload", "name"]), []
+        following: dict[str, int] = {}
+        for name, stem, ext in zip(group["name"], group["stem"], group["ext"]):
+            new, key = name, name.casefold()
             while new.casefold() in taken:
-                n += 1
-                new = f"{stem} ({n}){dot}{ext}"
+                n = following.get(key, first)  # names are never given back, so lower numbers stay taken
+                following[key] = n + 1
+                new = stem + suffix.format(n=n) + ext
             taken.add(new.casefold())
             names.append(new)
         return group.assign(unique_name=names)[["set_id", "upload", "name", "unique_name"]]
 
-    return files.select("set_id", "upload", "name").groupBy("set_id").applyInPandas(run, "set_id string, upload long, name string, unique_name string")
+    settled = rows.join(mixed, in_mixed, "left_semi").groupBy("set_id", "family").applyInPandas(settle, f"{types}, name string, unique_name string")
+    return plain.unionByName(settled)

@@ -6,17 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wordloom.operators.ranks import numbered
+from wordloom.sources.store import stored
+
 
 def version_summary(heads: DataFrame, versions: DataFrame) -> DataFrame:
     """The current version of each document."""
     return heads.join(versions.drop("doc_id"), "version_id").select("doc_id", "version_id", "version_number", "revision")
 
 
-def version_history(versions: DataFrame, heads: DataFrame) -> DataFrame:
-    """All versions of each document, newest first within it, the current one marked."""
+def version_history(versions: DataFrame, heads: DataFrame, restores: DataFrame | None = None) -> DataFrame:
+    """All versions of each document, newest first within it, the current one marked.
+
+    restores (version_id, restored_from): versions that a restore made, and the ones they copy; with it every version has
+    restored_from_version_id and restored_from_version_number, null unless a restore made it.
+    """
     current = heads.select("version_id", F.lit(True).alias("is_current"))
     place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("version_number")))
-    return versions.join(current, "version_id", "left").withColumn("is_current", F.coalesce("is_current", F.lit(False))).withColumn("place", place)
+    out = versions.join(current, "version_id", "left").withColumn("is_current", F.coalesce("is_current", F.lit(False))).withColumn("place", place)
+    if restores is None:
+        return out
+    origin = versions.select(F.col("version_id").alias("restored_from_version_id"), F.col("version_number").alias("restored_from_version_number"))
+    made = restores.select("version_id", F.col("restored_from").alias("restored_from_version_id")).join(origin, "restored_from_version_id", "left")
+    return out.join(made, "version_id", "left")
 
 
 def next_version_number(versions: DataFrame, bases: DataFrame) -> DataFrame:
@@ -25,22 +37,24 @@ def next_version_number(versions: DataFrame, bases: DataFrame) -> DataFrame:
     return bases.join(most, "doc_id").select("doc_id", (F.col("base_number") + 1).alias("edit_number"), (F.col("last") + 1).alias("restore_number"))
 
 
-def lineage(versions: DataFrame, heads: DataFrame, depth: int = 64) -> DataFrame:
-    """(doc_id, version_id, distance): ancestors of the current version by parent pointer.
+def lineage(versions: DataFrame, heads: DataFrame) -> DataFrame:
+    """(doc_id, version_id, distance): all ancestors of the current version by parent pointer; of a cycle each one once.
 
-    Each step is a join for all documents at once, with distances doubling: pointers to the 2^k-th ancestor. A cycle ends
-    at ``depth``.
+    Each step is a join for all documents at once, with distances doubling: pointers to the 2^k-th ancestor. It ends with
+    the first step that reaches no further version, so a chain of n versions takes about log2(n) steps; steps are written.
     """
     jump = versions.select(F.col("version_id").alias("child"), F.col("parent_version_id").alias("up")).where("up IS NOT NULL")
-    reached = heads.select("doc_id", "version_id", F.lit(0).alias("distance"))
-    step = 1
-    while step < depth:
+    reached = heads.select("doc_id", "version_id", F.lit(0).cast("long").alias("distance"))
+    known, step = reached.count(), 1
+    while True:
         further = reached.join(jump, reached["version_id"] == jump["child"]).select("doc_id", F.col("up").alias("version_id"), (F.col("distance") + step).alias("distance"))
-        reached = reached.unionByName(further)
+        reached = stored(reached.unionByName(further).groupBy("doc_id", "version_id").agg(F.min("distance").alias("distance")))
+        now = reached.count()
+        if now == known:
+            return reached.withColumn("distance", F.col("distance").cast("int"))
+        known, step = now, step * 2
         hop = jump.select(F.col("child").alias("mid"), F.col("up").alias("far"))
-        jump = jump.join(hop, jump["up"] == hop["mid"]).select("child", F.col("far").alias("up"))
-        step *= 2
-    return reached.groupBy("doc_id", "version_id").agg(F.min("distance").alias("distance"))
+        jump = stored(jump.join(hop, jump["up"] == hop["mid"]).select("child", F.col("far").alias("up")))
 
 
 def text_at_version(states: DataFrame, key: list[str], order: str, before: str, now: str) -> DataFrame:
@@ -75,15 +89,49 @@ def history_union(*events: DataFrame) -> DataFrame:
     both = events[0]
     for e in events[1:]:
         both = both.unionByName(e)
-    return both.withColumn("place", F.row_number().over(W.partitionBy("set_id").orderBy(F.desc("created_at"), "event_id")))
+    return numbered(both, ["set_id"], [(F.col("created_at"), False), (F.col("event_id"), True)], "place")
 
 
-def backfill_lineage(files: DataFrame) -> DataFrame:
-    """Numbered chains from files without versions: order by time and id, parents by lag, the last one current."""
+def backfill_lineage(files: DataFrame, documents: DataFrame | None = None, versions: DataFrame | None = None, heads: DataFrame | None = None) -> DataFrame:
+    """Numbered chains from files without versions: order by time and id, parents by lag, the last one current.
+
+    files: doc_id, file_id, created_at. With ``documents`` (doc_id) every document also gets an original version, whose id
+    is the document's and which is parent of its first file, unless ``versions`` (doc_id, version_id, version_number,
+    file_id: null for originals) has it. Versions known there keep their numbers; the original takes the first free
+    number, new files the numbers after all others. A document in ``heads`` (doc_id, version_id) keeps its current version.
+    """
     w = W.partitionBy("doc_id").orderBy("created_at", "file_id")
-    return files.select(
-        "doc_id", "file_id", F.row_number().over(w).alias("version_number"), F.lag("file_id").over(w).alias("parent_file_id"), F.lead("file_id").over(w).isNull().alias("is_current")
-    )
+    if documents is None:
+        return files.select(
+            "doc_id", "file_id", F.row_number().over(w).alias("version_number"), F.lag("file_id").over(w).alias("parent_file_id"), F.lead("file_id").over(w).isNull().alias("is_current")
+        )
+    spark = documents.sparkSession
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    if versions is None:
+        versions = spark.createDataFrame([], f"doc_id {kind}, version_id string, version_number int, file_id string")
+    if heads is None:
+        heads = spark.createDataFrame([], f"doc_id {kind}, version_id string")
+    number = F.col("version_number").cast("int")
+    facts = versions.groupBy("doc_id").agg(F.max(number).alias("last"), F.sort_array(F.collect_set(number)).alias("used"), F.max(F.when(F.col("file_id").isNull(), F.col("version_id"))).alias("original"))
+    # the numbers used are those of one document; the first gap is where a sorted number isn't its place
+    gap = F.coalesce(F.element_at(F.filter(F.sequence(F.lit(1), F.size("used") + 1), lambda i: ~F.array_contains("used", i)), 1), F.lit(1))
+    base = documents.select("doc_id").join(facts, "doc_id", "left").withColumn("used", F.coalesce("used", F.array().cast("array<int>")))
+    base = base.withColumn("gap", gap).withColumn("top", F.greatest(F.coalesce("last", F.lit(0)), F.when(F.col("original").isNull(), F.col("gap")).otherwise(0)))
+    base = base.select("doc_id", "original", "gap", "top", F.coalesce("original", F.col("doc_id").cast("string")).alias("root"))
+    known = versions.where("file_id IS NOT NULL").select("doc_id", "file_id", F.col("version_id").alias("known_id"), number.alias("known_number"))
+    new = F.col("known_id").isNull()
+    chain = files.join(base, "doc_id").join(known, ["doc_id", "file_id"], "left").withColumn("id", F.coalesce("known_id", F.col("file_id").cast("string")))
+    made = chain.select(
+        "doc_id", F.col("id").alias("version_id"), F.coalesce("known_number", F.col("top") + F.sum(new.cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)).cast("int")).alias("version_number"),
+        F.coalesce(F.lag("id").over(w), "root").alias("parent_version_id"), F.lead("id").over(w).isNull().alias("last_file"), new.alias("new"),
+    )
+    with_files = files.select("doc_id").distinct().withColumn("has_files", F.lit(True))
+    originals = base.join(with_files, "doc_id", "left").select(
+        "doc_id", F.col("root").alias("version_id"), F.when(F.col("original").isNull(), F.col("gap")).alias("version_number"), F.lit(None).cast("string").alias("parent_version_id"), F.col("has_files").isNull().alias("last_file"), F.col("original").isNull().alias("new"),
+    )
+    both = originals.unionByName(made).join(heads.select("doc_id", F.col("version_id").alias("head")), "doc_id", "left")
+    current = F.coalesce(F.col("head") == F.col("version_id"), F.col("last_file"))
+    return both.where("new").select("doc_id", "version_id", "version_number", "parent_version_id", current.alias("is_current"))
 
 
 def merge_job_updates(updates: DataFrame, limit: int = 20) -> DataFrame:
@@ -99,9 +147,16 @@ def retain_newest(df: DataFrame, key: str, order: str, n: int, tie: str) -> Data
 
 
 def timing_summary(df: DataFrame, group: str, value: str, baseline: float) -> DataFrame:
-    """Median, maximum, nearest-rank 95th percentile and improvement of the median on a baseline, in percent."""
-    ranked = F.sort_array(F.collect_list(value))
-    n = F.size("v")
-    at = F.greatest(F.lit(1), F.least(n, F.floor(n * F.lit(0.95) + 0.5).cast("int")))
-    out = df.groupBy(group).agg(ranked.alias("v"), F.median(value).alias("median"))
-    return out.select(group, "median", F.element_at("v", -1).alias("max"), F.element_at(F.col("v"), at).alias("p95"), ((baseline - F.col("median")) / baseline * 100).alias("improvement"))
+    """Median, maximum, nearest-rank 95th percentile and improvement of the median on a baseline, in percent.
+
+    All are values at certain ranks, and ranks of a group of any size are counted by ranges. Nulls don't count; a group
+    of nulls alone has no row.
+    """
+    ranked = numbered(df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).alias("v")), ["g"], [(F.col("v"), True)], "rank")
+    sizes = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("size_of")).agg(F.count("*").alias("n"))
+    at95 = F.greatest(F.lit(1), F.least(F.col("n"), F.floor(F.col("n") * F.lit(0.95) + 0.5)))
+    middle = F.col("rank").isin(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1)
+    out = ranked.join(sizes, F.col("g").eqNullSafe(F.col("size_of"))).groupBy("g").agg(
+        F.avg(F.when(middle, F.col("v"))).alias("median"), F.max("v").alias("max"), F.max(F.when(F.col("rank") == at95, F.col("v"))).alias("p95")
+    )
+    return out.select(F.col("g").alias(group), "median", "max", "p95", ((baseline - F.col("median")) / baseline * 100).alias("improvement"))
