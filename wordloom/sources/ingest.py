@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.functions.text import element_type, exact_match_hash, list_level, list_type, normalise_text, structure_hash
+from wordloom.functions.text import element_type, exact_match_hash, list_level, list_type, normalise_text, structure_hash, style_context
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -29,9 +29,9 @@ class Workspace:
 
 
 def typed_blocks(lines: DataFrame) -> DataFrame:
-    """Add type, normal form and hashes to rows with set_id, doc_id, version_id, paragraph_index, ordinal, style and text."""
-    typed = lines.withColumn("element_type", element_type(F.col("style"))).withColumn("normalized_text", normalise_text(F.col("text")))
-    return typed.withColumn("match_hash", exact_match_hash(F.col("element_type"), F.col("normalized_text")))
+    """Add type, match context, normal form and hash to rows with set_id, doc_id, version_id, paragraph_index, ordinal, style and text."""
+    typed = lines.withColumn("element_type", element_type(F.col("style"))).withColumn("match_context", style_context(F.col("style"))).withColumn("normalized_text", normalise_text(F.col("text")))
+    return typed.withColumn("match_hash", exact_match_hash(F.col("element_type"), F.col("normalized_text"), F.col("match_context")))
 
 
 def with_structure(blocks: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def with_structure(blocks: DataFrame) -> DataFrame:
     nothing = F.lit(None).cast("string")
     return blocks.withColumn(
         "structure_hash",
-        structure_hash(element_type=F.col("element_type"), style_name=F.col("style"), list_type=list_type(F.col("style")), list_level=list_level(F.col("style")), alignment=nothing, context=nothing, matching_context=F.lit("")),
+        structure_hash(element_type=F.col("element_type"), style_name=F.col("style"), list_type=list_type(F.col("style")), list_level=list_level(F.col("style")), alignment=nothing, context=nothing, matching_context=F.col("match_context")),
     )
 
 
