@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wordloom.operators.matching import exact_link_groups
-from wordloom.sources.ingest import Workspace, typed_blocks
+from wordloom.functions.text import delta_violations
+from wordloom.operators.checks import unique_names
+from wordloom.operators.matching import KIND, THRESHOLD, compatible, current_blocks, exact_link_groups, latest_decisions, similarity
+from wordloom.sources.ingest import Workspace, ingest_blocks, typed_blocks
 
 MAX_TARGETS, MAX_CHARS = 500, 20_000
 
@@ -60,6 +62,69 @@ def validate_edit(blocks: DataFrame, heads: DataFrame, targets: DataFrame) -> Da
     return found.distinct().unionByName(many)
 
 
+def validate_requests(ws: Workspace, requests: DataFrame, bases: DataFrame, targets: DataFrame, decisions: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """(request_id, element_id, violation) of whole edit requests, a row each; a valid request has none.
+
+    requests: request_id, set_id, source_element_id; bases: request_id, doc_id, base_version_id; targets: request_id,
+    element_id, replacement, decision (on this candidate in the request, null if none), and ops, a delta, where there is
+    such a column. Stored decisions (source_element_id, candidate_element_id, decision) confirm a near match too.
+
+    Bases must be current versions of documents of the set; the source must be one of the targets, and it and they must be
+    editable blocks of the bases; targets must be the source, equal to it, or confirmed near matches of its kind that reach
+    the threshold; deltas must spell their replacement; replacements and targets have limits.
+    """
+    now = current_blocks(ws)
+    cols = ("doc_id", "version_id", "ordinal", "normalized_text", "match_hash", "shared_state", "supported", *KIND)
+    side = lambda p, e: now.select(F.col("element_id").alias(e), *(F.col(c).alias(f"{p}{c}") for c in cols))
+    asked = requests.select("request_id", F.col("set_id").alias("asked_set"), "source_element_id")
+    base = bases.join(asked, "request_id").join(ws.documents.select("doc_id", "set_id"), "doc_id", "left").join(ws.heads.select("doc_id", F.col("version_id").alias("head")), "doc_id", "left")
+    foreign = ~F.col("set_id").eqNullSafe(F.col("asked_set")) | F.col("head").isNull()
+    none = F.lit(None).cast("string")
+    base_rows = base.select("request_id", none.alias("element_id"), F.when(foreign, "foreign_base").when(F.col("base_version_id") != F.col("head"), "stale_base").alias("violation"))
+
+    given = bases.select("request_id", F.col("doc_id").alias("base_doc")).distinct()
+    met = targets.join(asked, "request_id").join(side("source_", "source_element_id"), "source_element_id", "left").join(side("", "element_id"), "element_id", "left")
+    met = met.join(given.withColumn("based", F.lit(True)), (met["request_id"] == given["request_id"]) & (met["doc_id"] == F.col("base_doc")), "left").drop(given["request_id"])
+    is_source = F.col("element_id") == F.col("source_element_id")
+    is_exact = (F.col("match_hash") == F.col("source_match_hash")) & (F.col("shared_state") == "shared") & (F.col("source_shared_state") == "shared")
+    near = ~is_source & ~F.coalesce(is_exact, F.lit(False))
+    pairs = met.where(near & F.col("doc_id").isNotNull() & F.col("source_doc_id").isNotNull()).select(
+        "source_element_id", "source_version_id", "source_normalized_text", "source_ordinal", "element_id", "version_id", "normalized_text", "ordinal", F.greatest("source_ordinal", "ordinal", F.lit(1)).alias("max_ordinal")
+    )
+    scores = similarity(pairs.distinct(), ws.blocks, threshold).select("source_element_id", "element_id", F.lit(True).alias("reached"))
+    met = met.join(scores, ["source_element_id", "element_id"], "left")
+    confirmed = F.col("decision") == "confirmed"
+    if decisions is not None:
+        kept = latest_decisions(decisions).where("decision = 'confirmed'").select("source_element_id", F.col("candidate_element_id").alias("element_id"), F.lit(True).alias("stored"))
+        met = met.join(kept, ["source_element_id", "element_id"], "left")
+        confirmed = F.coalesce(confirmed, F.lit(False)) | F.coalesce("stored", F.lit(False))
+    confirmed = F.coalesce(confirmed, F.lit(False))
+    checks = [
+        F.when(F.col("doc_id").isNull(), "unknown_element"),
+        F.when(F.col("doc_id").isNotNull() & ~F.col("set_id").eqNullSafe(F.col("asked_set")), "other_set"),
+        F.when(F.col("doc_id").isNotNull() & F.col("based").isNull(), "no_base"),
+        F.when(F.col("supported") == F.lit(False), "unsupported"),
+        F.when(F.col("doc_id").isNotNull() & F.col("source_doc_id").isNotNull() & ~compatible("source_", ""), "incompatible"),
+        F.when(near & confirmed & F.col("reached").isNull(), "below_threshold"),
+        F.when(near & ~confirmed, "near_not_confirmed"),
+        F.when(F.col("decision").isin("ignored", "removed"), F.concat(F.lit("match_"), F.col("decision"))),
+        F.when(F.length("replacement") > MAX_CHARS, "too_long"),
+    ]
+    if "ops" in targets.columns:
+        wrong = F.when(F.col("ops").isNotNull(), delta_violations(F.col("ops"), F.col("replacement"), F.col("element_type")))
+        rows = met.select("request_id", "element_id", F.explode(F.concat(F.array(*checks), F.coalesce(wrong, F.array().cast("array<string>")))).alias("violation"))
+    else:
+        rows = met.select("request_id", "element_id", F.explode(F.array(*checks)).alias("violation"))
+
+    held = targets.select("request_id", F.col("element_id").alias("source_element_id"), F.lit(True).alias("held")).distinct()
+    source = asked.join(side("", "source_element_id"), "source_element_id", "left").join(held, ["request_id", "source_element_id"], "left")
+    source_rows = source.select("request_id", F.col("source_element_id").alias("element_id"), F.when(F.col("doc_id").isNull(), "unknown_source").when(F.col("held").isNull(), "source_left_out").alias("violation"))
+    twice = targets.groupBy("request_id", "element_id").agg(F.count("*").alias("n")).where("n > 1").select("request_id", "element_id", F.lit("duplicate_target").alias("violation"))
+    many = targets.groupBy("request_id").agg(F.count("*").alias("n")).where(F.col("n") > MAX_TARGETS).select("request_id", none.alias("element_id"), F.lit("too_many_targets").alias("violation"))
+    out = base_rows.unionByName(rows).unionByName(source_rows).unionByName(twice).unionByName(many)
+    return out.where("violation IS NOT NULL").distinct()
+
+
 def preview_edit(blocks: DataFrame, targets: DataFrame) -> DataFrame:
     """Before and after of every target. Writes nothing."""
     return blocks.join(targets.select("element_id", "replacement"), "element_id").select("set_id", "doc_id", "element_id", "ordinal", F.col("text").alias("before_text"), F.col("replacement").alias("after_text"))
@@ -128,8 +193,33 @@ def maintain_link_groups(groups: DataFrame, blocks: DataFrame, changed: DataFram
 def remove_documents(ws: Workspace, gone: DataFrame, least: int = 2) -> DataFrame:
     """Documents left after a removal; a set that would keep fewer than ``least`` keeps all."""
     marked = ws.documents.join(gone.select("doc_id", F.lit(True).alias("gone")), "doc_id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
-    left = marked.withColumn("left_over", F.sum((~F.col("gone")).cast("int")).over(W.partitionBy("set_id")))
-    return left.where(~F.col("gone") | (F.col("left_over") < least)).drop("gone", "left_over")
+    left_over = marked.groupBy(F.col("set_id").alias("_set")).agg(F.count_if(~F.col("gone")).alias("left_over"))
+    return marked.join(left_over, F.col("set_id").eqNullSafe(F.col("_set"))).where(~F.col("gone") | (F.col("left_over") < least)).select(*ws.documents.columns)
+
+
+def add_documents(ws: Workspace, docs: DataFrame, most: int | None = None, **columns) -> tuple[Workspace, DataFrame]:
+    """A workspace with more documents: their first versions, heads and blocks, under names that their sets don't have yet.
+
+    docs and ``columns`` are those of ``ingest_blocks``. A set that would have more than ``most`` documents takes none of
+    them; the second table has the verdict on each new document: added, known (its id is there already) or set_full.
+    """
+    made = ingest_blocks(docs, **columns)
+    known = ws.documents.select("doc_id", F.lit(True).alias("known"))
+    new = made.documents.join(known, "doc_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    sizes = ws.documents.select("set_id").unionByName(new.where(~F.col("known")).select("set_id")).groupBy(F.col("set_id").alias("_set")).agg(F.count("*").alias("size"))
+    verdict = F.when(F.col("known"), "known").when(F.col("size") > (most if most is not None else F.lit(None).cast("long")), "set_full").otherwise("added")
+    judged = new.join(sizes, F.col("set_id").eqNullSafe(F.col("_set")), "left").withColumn("verdict", verdict).select(*made.documents.columns, "verdict")
+    taken = judged.where("verdict = 'added'").drop("verdict")
+    # files that are there come first, so they keep their names; ids of new ones order the rest
+    files = ws.documents.select("set_id", F.struct(F.lit(0).alias("late"), "doc_id").alias("upload"), "name").unionByName(taken.select("set_id", F.struct(F.lit(1).alias("late"), "doc_id").alias("upload"), "name"))
+    names = unique_names(files).where("upload.late = 1").select(F.col("upload.doc_id").alias("doc_id"), F.col("unique_name").alias("name"))
+    documents = taken.drop("name").join(names, "doc_id").select(*ws.documents.columns)
+    ids = taken.select("doc_id")
+    more = Workspace(
+        ws.documents.unionByName(documents), ws.versions.unionByName(made.versions.join(ids, "doc_id", "left_semi")),
+        ws.heads.unionByName(made.heads.join(ids, "doc_id", "left_semi")), ws.blocks.unionByName(made.blocks.join(ids, "doc_id", "left_semi")),
+    )
+    return more, judged.select("set_id", "doc_id", "verdict")
 
 
 def carry_shared_state(old: DataFrame, new: DataFrame, key: list[str], override: DataFrame, reconnect: DataFrame) -> DataFrame:

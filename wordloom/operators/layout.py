@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,75 +12,124 @@ def word_tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
 
 
+#: Where on a page, as shares of its height, the middle of a header's, a footer's and other wording may be.
+HEADER_ZONE, FOOTER_ZONE, BODY_ZONE = 0.28, 0.72, (0.055, 0.955)
+
+
+def in_zone(element_type: Column, header_footer_type: Column, middle: Column, page: Column) -> Column:
+    """Wording of this type can stand at this height of this page (pages count from 1)."""
+    height = F.when(element_type == "header_paragraph", middle <= HEADER_ZONE).when(element_type == "footer_paragraph", middle >= FOOTER_ZONE).otherwise(middle.between(*BODY_ZONE))
+    kind = F.coalesce(header_footer_type, F.lit(""))
+    return height & F.when(kind.startswith("first_page_"), page == 1).when(kind.startswith("even_page_"), page % 2 == 0).otherwise(True)
+
+
+def _placed(blocks: DataFrame) -> DataFrame:
+    """Blocks with tokens and phrase; a header_footer_type where there is none yet."""
+    b = blocks if "header_footer_type" in blocks.columns else blocks.withColumn("header_footer_type", F.lit(""))
+    b = b.withColumn("tokens", word_tokens(F.col("normalized_text"))).withColumn("n", F.size("tokens")).where("n > 0")
+    return b.withColumn("header_footer_type", F.coalesce("header_footer_type", F.lit(""))).withColumn("phrase", F.array_join("tokens", " "))
+
+
 def align_phrases(blocks: DataFrame, words: DataFrame) -> DataFrame:
-    """Runs of a page's words that spell a block and begin and end at line boundaries.
+    """Runs of a page's words that spell a block, begin and end at line boundaries, and stand where its type may.
 
-    blocks: version_id, element_id, ordinal, normalized_text; words: version_id, page, seq (0..), line, text. First words
-    and page lengths are joined by equality; the run is then compared on the page's token array.
+    blocks: version_id, element_id, ordinal, element_type, normalized_text; words: version_id, page (1..), seq (0..), line,
+    text, y0, y1, page_height. First words are joined by equality; the run is then compared on the page's token array.
     """
-    b = blocks.withColumn("tokens", word_tokens(F.col("normalized_text"))).withColumn("n", F.size("tokens")).where("n > 0").withColumn("first", F.get("tokens", F.lit(0)))
+    b = _placed(blocks).withColumn("first", F.get("tokens", F.lit(0)))
     by_page = W.partitionBy("version_id", "page").orderBy("seq")
     w = words.withColumn("token", F.lower("text")).withColumn("starts", ~F.col("line").eqNullSafe(F.lag("line").over(by_page))).withColumn("ends", ~F.col("line").eqNullSafe(F.lead("line").over(by_page)))
-    pages = w.groupBy("version_id", "page").agg(F.sort_array(F.collect_list(F.struct("seq", "token", "ends"))).alias("p"))
-    heads = w.where("starts").select("version_id", "page", "seq", F.col("token").alias("first"))
+    pages = w.groupBy("version_id", "page").agg(F.sort_array(F.collect_list(F.struct("seq", "token", "ends", F.col("y1").alias("bottom")))).alias("p"))
+    heads = w.where("starts").select("version_id", "page", "seq", F.col("token").alias("first"), F.col("y0").alias("top"), "page_height")
     met = b.join(heads, ["version_id", "first"]).join(pages, ["version_id", "page"])
     run = F.slice(F.col("p"), F.col("seq") + 1, F.col("n"))
-    hit = (F.transform(run, lambda x: x["token"]) == F.col("tokens")) & F.element_at(run, -1)["ends"]
-    return met.where(hit).select("version_id", "element_id", "ordinal", "page", "seq", "n", F.array_join("tokens", " ").alias("phrase"))
+    last = F.element_at(run, -1)
+    hit = (F.transform(run, lambda x: x["token"]) == F.col("tokens")) & last["ends"]
+    allowed = in_zone(F.col("element_type"), F.col("header_footer_type"), (F.col("top") + last["bottom"]) / 2 / F.col("page_height"), F.col("page"))
+    return met.where(hit & allowed).select("version_id", "element_id", "ordinal", "element_type", "header_footer_type", "page", "seq", "n", "phrase")
 
 
 def resolve_ambiguity(candidates: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Which run belongs to which block: alone to alone (.99), as many runs as blocks in order (.95), else unmapped.
+    """Which runs belong to which block: a row for each run that does, and one with a reason for a block without any.
 
-    Runs that share a word with another block's run go afterwards.
+    Blocks of a version with equal wording, type and header or footer type are a group. A header or footer that is alone
+    in it has all runs (.97); else one run goes to one block (.99) and as many runs as blocks go in order (.95). Runs that
+    share a word with another block's run go afterwards.
     """
-    phrase = F.array_join(word_tokens(F.col("normalized_text")), " ")
-    b = blocks.withColumn("phrase", phrase).where("phrase <> ''")
-    g = ["version_id", "phrase"]
+    g = ["version_id", "phrase", "element_type", "header_footer_type"]
+    b = _placed(blocks)
     owners = b.select(*g, "element_id", F.row_number().over(W.partitionBy(*g).orderBy("ordinal")).alias("k"), F.count("*").over(W.partitionBy(*g)).alias("n_blocks"))
     runs = candidates.select(*g, "page", "seq", "n").distinct()
-    runs = runs.select(*g, "page", "seq", "n", F.row_number().over(W.partitionBy(*g).orderBy("page", "seq")).alias("k"), F.count("*").over(W.partitionBy(*g)).alias("n_runs"))
-    both = owners.join(runs, [*g, "k"], "left")
-    total = runs.groupBy(*g).agg(F.max("n_runs").alias("runs"))
-    both = both.join(total, g, "left").withColumn("runs", F.coalesce("runs", F.lit(0)))
-    fits = both.withColumn("confidence", F.when((F.col("n_blocks") == 1) & (F.col("runs") == 1), 0.99).when((F.col("n_blocks") == F.col("runs")), 0.95))
-    covered = fits.where("confidence IS NOT NULL").select("version_id", "element_id", "page", F.explode(F.sequence(F.col("seq"), F.col("seq") + F.col("n") - 1)).alias("word"))
-    clash = covered.groupBy("version_id", "page", "word").agg(F.collect_set("element_id").alias("e")).where(F.size("e") > 1).select("version_id", F.explode("e").alias("element_id")).distinct().withColumn("clash", F.lit(True))
-    out = fits.join(clash, ["version_id", "element_id"], "left")
-    why = F.when(F.col("runs") == 0, "not_found").when(F.col("confidence").isNull(), "ambiguous").when(F.col("clash"), "overlap")
-    return out.withColumn("reason", why).select("version_id", "element_id", F.when(why.isNull(), F.col("page")).alias("page"), F.when(why.isNull(), F.col("seq")).alias("seq"), F.when(why.isNull(), F.col("n")).alias("n"), F.when(why.isNull(), F.col("confidence")).alias("confidence"), "reason")
-
-
-def line_boxes(matches: DataFrame, words: DataFrame) -> DataFrame:
-    """One box for each line of a match, as shares of the page, clipped to it, 7 decimals."""
-    m = matches.where("seq IS NOT NULL").select("version_id", "element_id", "page", F.explode(F.sequence(F.col("seq"), F.col("seq") + F.col("n") - 1)).alias("seq"))
+    runs = runs.select(*g, "page", "seq", "n", F.row_number().over(W.partitionBy(*g).orderBy("page", "seq")).alias("run"), F.count("*").over(W.partitionBy(*g)).alias("n_runs"))
+    repeated = F.col("element_type").isin("header_paragraph", "footer_paragraph") & (F.col("n_blocks") == 1)
+    fits = owners.join(runs, g).where(repeated | ((F.col("n_blocks") == F.col("n_runs")) & (F.col("k") == F.col("run"))))
+    fits = fits.withColumn("confidence", F.when(repeated, 0.97).when(F.col("n_blocks") == 1, 0.99).otherwise(0.95)).select("version_id", "element_id", "page", "seq", "n", "confidence")
+    covered = fits.select("version_id", "element_id", "page", "seq", F.explode(F.sequence(F.col("seq"), F.col("seq") + F.col("n") - 1)).alias("word"))
+    clash = covered.groupBy("version_id", "page", "word").agg(F.min("element_id").alias("e0"), F.max("element_id").alias("e1")).where("e0 < e1").drop("e0", "e1")
+    unsafe = covered.join(clash, ["version_id", "page", "word"]).select("version_id", "element_id", "page", "seq").distinct()
+    safe = fits.join(unsafe, ["version_id", "element_id", "page", "seq"], "left_anti")
+    found = runs.groupBy(*g).agg(F.max("n_runs").alias("runs"))
+    fitted = fits.select("version_id", "element_id").distinct().withColumn("fitted", F.lit(True))
+    blocked = owners.join(found, g, "left").join(fitted, ["version_id", "element_id"], "left").select("version_id", "element_id", "runs", "fitted").join(safe, ["version_id", "element_id"], "left")
+    why = F.when(F.col("runs").isNull(), "not_found").when(F.col("fitted").isNull(), "ambiguous").when(F.col("seq").isNull(), "overlap")
+    return blocked.select("version_id", "element_id", "page", "seq", "n", "confidence", why.alias("reason"))
+
+
+def line_boxes(matches: DataFrame, words: DataFrame, supported: DataFrame | None = None, threshold: float = 0.9) -> DataFrame:
+    """One box for each line of a match, as shares of the page, clipped to it, 7 decimals.
+
+    A box is interactive if the match's confidence reaches the threshold and its block (version_id, element_id,
+    supported) can be edited; all can where no such table is given.
+    """
+    m = matches.where("seq IS NOT NULL")
+    able = F.col("confidence") >= threshold
+    if supported is not None:
+        m = m.join(supported.select("version_id", "element_id", "supported"), ["version_id", "element_id"], "left")
+        able = able & F.coalesce("supported", F.lit(False))
+    m = m.select("version_id", "element_id", "page", "confidence", able.alias("interactive"), F.explode(F.sequence(F.col("seq"), F.col("seq") + F.col("n") - 1)).alias("seq"))
     w = words.join(m, ["version_id", "page", "seq"])
     part = lambda v, size: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / F.col(size))), 7)
     return w.groupBy("version_id", "element_id", "page", "line").agg(
         F.min(part(F.col("x0"), "page_width")).alias("x0"), F.min(part(F.col("y0"), "page_height")).alias("y0"),
         F.max(part(F.col("x1"), "page_width")).alias("x1"), F.max(part(F.col("y1"), "page_height")).alias("y1"),
+        F.max("confidence").alias("confidence"), F.max("interactive").alias("interactive"),
     )
 
 
-def mapping_coverage(matches: DataFrame) -> DataFrame:
-    """Per version: blocks mapped, all, and completed, partial or failed."""
-    out = matches.groupBy("version_id").agg(F.count("reason").alias("unmapped"), F.count("*").alias("total"))
-    mapped = F.col("total") - F.col("unmapped")
-    return out.select("version_id", mapped.alias("mapped"), "total", F.when(mapped == F.col("total"), "completed").when(mapped > 0, "partial").otherwise("failed").alias("status"))
+def mapping_coverage(matches: DataFrame, boxes: DataFrame | None = None) -> DataFrame:
+    """Per version: blocks mapped, interactive (with boxes), all, and completed, partial or failed."""
+    blocks = matches.groupBy("version_id", "element_id").agg(F.max(F.col("reason").isNull().cast("int")).alias("mapped"))
+    if boxes is not None:
+        able = boxes.where("interactive").select("version_id", "element_id").distinct().withColumn("able", F.lit(1))
+        blocks = blocks.join(able, ["version_id", "element_id"], "left")
+    interactive = [F.count("able").alias("interactive")] if boxes is not None else []
+    out = blocks.groupBy("version_id").agg(F.sum("mapped").alias("mapped"), *interactive, F.count("*").alias("total"))
+    return out.withColumn("status", F.when(F.col("mapped") == 0, "failed").when(F.col("mapped") < F.col("total"), "partial").otherwise("completed"))
 
 
-def paginate(blocks: DataFrame, key: list[str], order: str, units: str, capacity: int = 18) -> DataFrame:
-    """Greedy pages: a block opens a new one if it doesn't fit any more. A fold over each document's array of units."""
-    listed = blocks.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(units).alias("u")))).alias("list"))
-    zero = F.struct(F.lit(1).alias("page"), F.lit(0).alias("used"), F.array().cast(f"array<struct<{order}:bigint,page:int>>").alias("out"))
+def _filled(capacity: int):
+    @F.pandas_udf("array<int>")
+    def pages(lists: pd.Series) -> pd.Series:
+        out = []
+        for units in lists:
+            page, used, here = 1, 0, []
+            for u in units:
+                if used > 0 and used + u > capacity:
+                    page, used = page + 1, 0
+                used += u
+                here.append(page)
+            out.append(here)
+        return pd.Series(out, dtype="object")
 
-    def step(acc: Column, x: Column) -> Column:
-        turn = (acc["used"] > 0) & (acc["used"] + x["u"] > capacity)
-        page = F.when(turn, acc["page"] + 1).otherwise(acc["page"])
-        row = F.struct(x["o"].cast("bigint").alias(order), page.alias("page"))
-        return F.struct(page.alias("page"), F.when(turn, x["u"]).otherwise(acc["used"] + x["u"]).alias("used"), F.array_append(acc["out"], row).alias("out"))
+    return pages
 
-    return listed.select(*key, F.explode(F.aggregate("list", zero, step, lambda acc: acc["out"])).alias("x")).select(*key, f"x.{order}", "x.page")
+
+def paginate(blocks: DataFrame, key: list[str], order: str, units: str, capacity: int = 18) -> DataFrame:
+    """Greedy pages: a block opens a new one if it doesn't fit any more. A fold over each document's array of units."""
+    listed = blocks.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).cast("bigint").alias("o"), F.col(units).cast("int").alias("u")))).alias("list"))
+    filled = listed.withColumn("pages", _filled(capacity)(F.transform("list", lambda x: x["u"])))
+    rows = F.zip_with("list", "pages", lambda x, p: F.struct(x["o"].alias(order), p.alias("page")))
+    return filled.select(*key, F.explode(rows).alias("x")).select(*key, f"x.{order}", "x.page")
 
 
 def header_footer_usages(sections: DataFrame) -> DataFrame:

@@ -2,31 +2,41 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import fold
 
+#: Folded queries of one search. They are literals of the plan; more of them are searched in several runs.
+MOST_QUERIES = 256
+_UNITS = re.compile(r"\s+|\S")
+
+
+@lru_cache(maxsize=65_536)
+def _folded(character: str) -> str:
+    return unicodedata.normalize("NFKC", character).casefold()
+
 
 def offset_map(text: str) -> tuple[str, list[int], list[int]]:
-    """A text folded character by character, and where each folded character starts and ends in it."""
-    out, starts, ends = [], [], []
-    for i, source in enumerate(text):
-        for c in unicodedata.normalize("NFKC", source).casefold():
-            blank = c.isspace()
-            if blank and not out:
-                continue
-            if blank and out[-1] == " ":
-                ends[-1] = i + 1
-                continue
-            out.append(" " if blank else c)
-            starts.append(i)
-            ends.append(i + 1)
-    if out and out[-1] == " ":
-        out, starts, ends = out[:-1], starts[:-1], ends[:-1]
-    return "".join(out), starts, ends
+    """A text folded character by character, and where each folded character starts and ends in it.
+
+    Every character is folded by itself; in the result a run of blanks is one unit, and runs at both ends are none.
+    """
+    parts = [_folded(c) for c in text]
+    whole = "".join(parts)
+    owner = np.repeat(np.arange(len(text)), [len(p) for p in parts])
+    units = [(m.start(), m.end()) for m in _UNITS.finditer(whole)]
+    while units and whole[units[-1][0]].isspace():
+        units.pop()
+    if units and whole[0].isspace():
+        units = units[1:]
+    folded = "".join(" " if whole[a].isspace() else whole[a] for a, _ in units)
+    return folded, [int(owner[a]) for a, _ in units], [int(owner[b - 1]) + 1 for _, b in units]
 
 
 def occurrences(text: str | None, query: str | None) -> list[dict]:
@@ -34,21 +44,21 @@ def occurrences(text: str | None, query: str | None) -> list[dict]:
     if not text or not query:
         return []
     folded, starts, ends = offset_map(text)
-    found, at = [], folded.find(query)
-    while at >= 0:
-        found.append({"start": starts[at], "end": ends[at + len(query) - 1]})
-        at = folded.find(query, at + len(query))
-    return found
+    return [{"start": starts[m.start()], "end": ends[m.end() - 1]} for m in re.finditer(re.escape(query), folded)]
 
 
-#: Text that folding leaves in place: ASCII without runs of blanks or blanks at its ends.
 def is_steady(text: Column) -> Column:
+    """Text that folding leaves in place: ASCII without runs of blanks or blanks at its ends."""
     return text.rlike(r"^[\x21-\x7E][\x20-\x7E]*$") & ~text.contains("  ") & ~text.endswith(" ")
 
 
+def _pieces(text: Column, query: Column) -> Column:
+    return F.split(F.lower(text), F.concat(F.lit("\\Q"), query, F.lit("\\E")))
+
+
 def _steady_occurrences(text: Column, query: Column) -> Column:
     """Places in text that folds character by character: lengths of the pieces between, summed."""
-    pieces = F.split(F.lower(text), F.concat(F.lit("\\Q"), query, F.lit("\\E")))
+    pieces = _pieces(text, query)
     lengths = F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.length(p))
     start = lambda i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda a, x: a + x) + i * F.length(query)
     return F.transform(lengths, lambda _, i: F.struct(start(i).alias("start"), (start(i) + F.length(query)).alias("end")))
@@ -70,13 +80,20 @@ def snippet(text: Column, start: Column, end: Column, radius: int = 72) -> Colum
 def search(blocks: DataFrame, queries: DataFrame, radius: int = 72) -> DataFrame:
     """(query, text) hits of all queries in all blocks, numbered in each block from 1.
 
-    Queries are folded first; shorter than two characters they find nothing. They are literal. Blocks are prefiltered by
-    ``contains`` on the normal form; plain texts are searched in the JVM, others in Arrow batches. Queries are a small
-    table (a person typed them); they are joined, not looped over.
+    Queries are folded first; shorter than two characters they find nothing. They are literal. At most ``MOST_QUERIES``
+    are taken at once (more raise an error); they become literals of one pass over the blocks, which looks for them in
+    the normal form, so that no join is needed. Only blocks found there are searched for places: plain ones with few hits
+    in the JVM, others in Arrow batches.
     """
-    q = queries.select("query").distinct().withColumn("needle", F.udf(fold, "string", useArrow=True)("query")).where(F.length("needle") >= 2)
-    met = blocks.join(q, F.col("normalized_text").contains(F.col("needle")))
-    steady = is_steady(F.col("text"))
+    asked = [r["query"] for r in queries.select("query").where("query IS NOT NULL").distinct().limit(MOST_QUERIES + 1).collect()]
+    if len(asked) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries: search in several runs")
+    pairs = sorted((q, n) for q in asked if len(n := fold(q)) >= 2)
+    literals = F.array(*(F.struct(F.lit(q).alias("query"), F.lit(n).alias("needle")) for q, n in pairs)) if pairs else F.array().cast("array<struct<query:string,needle:string>>")
+    met = blocks.withColumn("_q", F.explode(F.filter(literals, lambda q: F.contains(F.col("normalized_text"), q["needle"]))))
+    met = met.select("_q.query", "_q.needle", "set_id", "doc_id", "name", "element_id", "ordinal", "text")
+    # summing pieces costs the square of their number, so only few are summed
+    steady = is_steady(F.col("text")) & (F.size(_pieces(F.col("text"), F.col("needle"))) <= 64)
     slow = F.udf(occurrences, "array<struct<start:int,end:int>>", useArrow=True)
     found = F.when(steady, _steady_occurrences(F.col("text"), F.col("needle"))).otherwise(slow(F.when(~steady, F.col("text")), F.col("needle")))
     hits = met.select("query", "set_id", "doc_id", "name", "element_id", "ordinal", "text", F.posexplode(found).alias("at", "hit"))
