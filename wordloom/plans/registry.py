@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from wordloom.functions import text as T
 from wordloom.operators import checks, edits, layout, matching, search, templates, versions
 from wordloom.sources import ingest
+from wordloom.sources.store import new_folder, stored
 from wordloom.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,12 +40,6 @@ def current(spark: SparkSession, d: str) -> DataFrame:
     return matching.current_blocks(workspace(spark, d))
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-wordloom-")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 #: DuckDB: the block table.
 BLOCKS = rf"""
@@ -68,6 +61,27 @@ g AS (SELECT set_id, hash AS match_hash, sum(n)::bigint AS members, count(*)::bi
 """
 
 
+#: A rule for styles that makes every sixth block a header of one of three sections.
+def section_style(ordinal):
+    o = ordinal.cast("string")
+    header = F.concat(F.lit("header_footer_order:"), o, F.lit(":"), o, F.lit(":header:"), (ordinal % 3).cast("string"), F.lit(":default:0:rId1"))
+    return F.when(ordinal % 6 == 5, header).otherwise(ingest.positional_style(ordinal))
+
+
+def sectioned(spark: SparkSession, d: str) -> ingest.Workspace:
+    """Documents with header blocks; those divisible by eleven are in no set."""
+    docs = read(spark, d, "documents").withColumn("source", F.when(F.col("doc_id") % 11 != 0, F.col("source")))
+    return ingest.ingest_blocks(docs, style_rule=section_style)
+
+
+SECTIONED = (
+    BLOCKS.replace("SELECT doc_id, source, string_split", "SELECT doc_id, CASE WHEN doc_id % 11 <> 0 THEN source END AS source, string_split")
+    .replace("CASE WHEN ordinal = 0 THEN 'Heading 1'", "CASE WHEN ordinal % 6 = 5 THEN 'header_footer_order:' || ordinal || ':' || ordinal || ':header:' || (ordinal % 3) || ':default:0:rId1' WHEN ordinal = 0 THEN 'Heading 1'")
+    .replace("CASE WHEN ordinal = 0 THEN 'heading'", "CASE WHEN ordinal % 6 = 5 THEN 'default_header:section:' || (ordinal % 3) ELSE '' END AS context, CASE WHEN ordinal % 6 = 5 THEN 'header_paragraph' WHEN ordinal = 0 THEN 'heading'")
+    .replace("sha256(element_type || chr(0) || norm)", "sha256(element_type || chr(0) || CASE WHEN context = '' THEN '' ELSE context || chr(0) END || norm)")
+)
+
+
 # ---- sources -------------------------------------------------------------------------------------------------------
 
 
@@ -83,7 +97,7 @@ def s4(spark, d):
 
 @query("s5_write_snapshot", BLOCKS + "SELECT set_id, count(*)::bigint AS blocks, count(DISTINCT doc_id)::bigint AS documents FROM blocks GROUP BY set_id")
 def s5(spark, d):
-    path = folder(spark)
+    path = new_folder(spark)
     ingest.write_snapshot(workspace(spark, d).blocks, path)
     return spark.read.parquet(path).groupBy("set_id").agg(F.count("*").alias("blocks"), F.countDistinct("doc_id").alias("documents"))
 
@@ -265,14 +279,14 @@ def p15(spark, d):
 @query("p17_canonical_match", """SELECT event_id, CASE WHEN value > 1 THEN least(value / 100, 1.0) ELSE greatest(value, 0.0) END AS score,
 CASE WHEN user_id % 2 = 0 THEN 'confirmed' ELSE CASE event_type WHEN 'click' THEN 'confirmed' WHEN 'error' THEN 'removed' WHEN 'view' THEN 'ignored' ELSE 'pending' END END AS decision FROM events""")
 def p17(spark, d):
-    raw = F.when(F.col("event_type") == "click", "Accept" + "ed").when(F.col("event_type") == "error", "REJECTED").when(F.col("event_type") == "view", "ignore").otherwise(F.col("event_type"))
+    raw = F.when(F.col("event_type") == "click", "Accepted").when(F.col("event_type") == "error", "REJECTED").when(F.col("event_type") == "view", "ignore").otherwise(F.col("event_type"))
     kind = F.when(F.col("user_id") % 2 == 0, "Exact").otherwise("near")
     return read(spark, d, "events").select("event_id", T.canonical_score(F.col("value")).alias("score"), T.canonical_decision(raw, kind).alias("decision"))
 
 
-@query("p18_redact_log", """SELECT conv_id, turn, 'docsync_session=[REDACTED], turn ' || turn::varchar || ' before_text=[REDACTED]' AS log, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '... [TRUNCATED]' ELSE coalesce(text, '') END AS detail FROM conversations""")
+@query("p18_redact_log", """SELECT conv_id, turn, 'session_token=[REDACTED], turn ' || turn::varchar || ' before_text=[REDACTED]' AS log, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '... [TRUNCATED]' ELSE coalesce(text, '') END AS detail FROM conversations""")
 def p18(spark, d):
-    line = F.concat(F.lit("docsync_session: t"), F.col("conv_id").cast("string"), F.lit(", turn "), F.col("turn").cast("string"), F.lit(" before_text = "), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n\x{0085}\x{2028}\x{2029}]", " "), F.lit("."))
+    line = F.concat(F.lit("session_token: t"), F.col("conv_id").cast("string"), F.lit(", turn "), F.col("turn").cast("string"), F.lit(" before_text = "), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\n\x{0085}\x{2028}\x{2029}]", " "), F.lit("."))
     return read(spark, d, "conversations").select("conv_id", "turn", T.redact_log(line).alias("log"), T.short_detail(F.col("text")).alias("detail"))
 
 
@@ -308,6 +322,13 @@ def f2(spark, d):
     return matching.shareable(matching.current_blocks(edited_workspace(spark, d, "override")[0])).select("version_id", "element_id")
 
 
+@query("f3_compatible", SECTIONED + "SELECT element_id, context AS match_context, (count(*) OVER (PARTITION BY set_id, element_type, context) - 1)::bigint AS n_compatible FROM blocks")
+def f3(spark, d):
+    b = matching.current_blocks(sectioned(spark, d))
+    kinds = b.groupBy(*(F.col(c).alias(f"kind_{c}") for c in matching.KIND)).agg((F.count("*") - 1).alias("n_compatible"))
+    return b.join(kinds, matching.compatible("", "kind_")).select("element_id", "match_context", "n_compatible")
+
+
 @query("f4_set_name_contains", "SELECT DISTINCT source AS set_id FROM documents WHERE contains(lower(source), 'c1')")
 def f4(spark, d):
     return workspace(spark, d).documents.where(F.lower("set_id").contains("C1".lower())).select("set_id").distinct()
@@ -324,11 +345,23 @@ def a1(spark, d):
     return matching.exact_link_groups(current(spark, d))
 
 
-@query("a2_set_summary", """WITH o AS (SELECT 'src' || (user_id % 25)::varchar AS set_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1)
-SELECT source AS set_id, count(*)::bigint AS documents, coalesce(max(o.n), 0)::bigint AS operations FROM documents LEFT JOIN o ON o.set_id = source GROUP BY source""")
+@query("a12_exact_groups_in_context", SECTIONED + GROUPS + "SELECT * FROM g")
+def a12(spark, d):
+    return matching.exact_link_groups(matching.current_blocks(sectioned(spark, d)))
+
+
+@query("a13_group_counts", BLOCKS + GROUPS + "SELECT set_id, count(*)::bigint AS groups FROM g GROUP BY set_id")
+def a13(spark, d):
+    return checks.group_counts(matching.exact_link_groups(current(spark, d)))
+
+
+@query("a2_set_summary", """WITH o AS (SELECT 'src' || (user_id % 25)::varchar AS set_id, count(*) FILTER (event_type = 'purchase') AS n, count(*) FILTER (event_type = 'click') AS l FROM events GROUP BY 1),
+s AS (SELECT source AS set_id, count(*)::bigint AS documents, max(doc_id)::bigint AS created_at, coalesce(max(o.n), 0)::bigint AS operations, coalesce(max(o.l), 0)::bigint AS legacy_jobs FROM documents LEFT JOIN o ON o.set_id = source GROUP BY source)
+SELECT *, row_number() OVER (ORDER BY created_at DESC, set_id NULLS FIRST)::bigint AS place FROM s""")
 def a2(spark, d):
-    ops = read(spark, d, "events").select(F.concat(F.lit("src"), (F.col("user_id") % 25).cast("string")).alias("set_id"), F.when(F.col("event_type") == "purchase", "completed").otherwise("queued").alias("status"))
-    return checks.set_summary(workspace(spark, d).documents, ops)
+    events = read(spark, d, "events").select(F.concat(F.lit("src"), (F.col("user_id") % 25).cast("string")).alias("set_id"), "event_type")
+    done = lambda kind: events.select("set_id", F.when(F.col("event_type") == kind, "completed").otherwise("queued").alias("status"))
+    return checks.set_summary(workspace(spark, d).documents.withColumn("created_at", F.col("doc_id")), done("purchase"), done("click"))
 
 
 @query("a3_element_counts", BLOCKS + "SELECT set_id, doc_id, count(*)::bigint AS blocks FROM blocks GROUP BY ALL")
@@ -336,7 +369,7 @@ def a3(spark, d):
     return checks.element_counts(workspace(spark, d).blocks)
 
 
-@query("o3_group_order", BLOCKS + GROUPS + """SELECT set_id, match_hash, members, row_number() OVER (PARTITION BY set_id ORDER BY members DESC, lower(representative_text), match_hash)::int AS place,
+@query("o3_group_order", BLOCKS + GROUPS + """SELECT set_id, match_hash, members, row_number() OVER (PARTITION BY set_id ORDER BY members DESC, lower(representative_text), match_hash)::bigint AS place,
 CASE WHEN count(*) OVER (PARTITION BY set_id) <= 100 THEN representative_text END AS representative_text FROM g""")
 def o3(spark, d):
     return checks.group_order(matching.exact_link_groups(current(spark, d))).select("set_id", "match_hash", "members", "place", "representative_text")
@@ -348,21 +381,22 @@ def j1(spark, d):
     return versions.version_summary(ws.heads, ws.versions)
 
 
-@query("j2_exact_matches", BLOCKS + "SELECT a.element_id AS source_id, b.element_id FROM blocks a JOIN blocks b ON a.set_id IS NOT DISTINCT FROM b.set_id AND a.hash = b.hash AND a.element_id <> b.element_id WHERE a.doc_id % 10 = 0")
+@query("j2_exact_matches", SECTIONED + "SELECT element_id, min(element_id) OVER c AS class_id, (count(*) OVER c - 1)::bigint AS n_matches FROM blocks WHERE norm <> '' WINDOW c AS (PARTITION BY set_id, hash)")
 def j2(spark, d):
-    b = current(spark, d)
-    return matching.exact_matches(b, b.where("doc_id % 10 = 0")).select("source_id", "element_id")
+    """All exact matches as classes: equal blocks share a class, and match each other."""
+    return matching.exact_classes(matching.current_blocks(sectioned(spark, d))).select("element_id", "class_id", "n_matches")
 
 
-_CAND = BLOCKS + """, rk AS (SELECT *, row_number() OVER (PARTITION BY set_id, element_type ORDER BY name, ordinal, element_id) AS rank, max(ordinal) OVER (PARTITION BY set_id, element_type) AS reach FROM blocks),
+_CAND = SECTIONED + """, rk AS (SELECT *, row_number() OVER (PARTITION BY set_id, element_type, context ORDER BY name, ordinal, element_id) AS rank, max(ordinal) OVER (PARTITION BY set_id, element_type, context) AS reach FROM blocks),
 cand AS (SELECT a.element_id AS source_element_id, b.element_id, a.norm AS an, b.norm AS bn, a.ordinal AS ao, b.ordinal AS bo, a.reach AS reach, b.rank - (a.rank < b.rank)::int AS place
-  FROM rk a JOIN rk b ON a.set_id = b.set_id AND a.element_type = b.element_type AND a.element_id <> b.element_id WHERE a.doc_id % 10 = 0 AND b.rank <= 101)
+  FROM rk a JOIN rk b ON a.set_id IS NOT DISTINCT FROM b.set_id AND a.element_type = b.element_type AND a.context = b.context AND a.element_id <> b.element_id WHERE a.doc_id % 100 = 0 AND b.rank <= 101)
 """
 
 
 def _sources(spark, d) -> tuple[DataFrame, DataFrame]:
-    b = current(spark, d)
-    return b, b.where("doc_id % 10 = 0").select("element_id")
+    """All blocks, and as queries those of documents divisible by a hundred."""
+    b = matching.current_blocks(sectioned(spark, d))
+    return b, b.where("doc_id % 100 = 0").select("element_id")
 
 
 @query("j3_near_candidates", _CAND + "SELECT source_element_id, element_id, place::int AS place FROM cand WHERE place <= 100")
@@ -383,28 +417,41 @@ def m3(spark, d):
     return c.select("source_element_id", "element_id", matching.position_similarity(F.col("source_ordinal"), F.col("ordinal"), F.col("max_ordinal")).alias("position"))
 
 
+@query("m5_similarity_score")
+def m5(spark, d):
+    """All parts of the score and the score, with and without neighbours, of the queries' candidates."""
+    ws = sectioned(spark, d)
+    b = stored(matching.current_blocks(ws))
+    pairs = stored(matching.near_candidates(b, b.where("doc_id % 100 = 0").select("element_id")))
+    plain = matching.similarity(pairs, None).select("source_element_id", "element_id", F.col("score").alias("plain_score"))
+    return matching.similarity(pairs, b).select("source_element_id", "element_id", "tokens", "position", "score").join(plain, ["source_element_id", "element_id"])
+
+
 @query("w1_neighbour_context", BLOCKS + """SELECT a.element_id, coalesce(string_agg(b.norm, ' ␟ ' ORDER BY b.ordinal), '') AS context FROM blocks a LEFT JOIN blocks b ON a.doc_id = b.doc_id AND b.ordinal IN (greatest(a.ordinal - 1, 0), a.ordinal + 1) GROUP BY a.element_id""")
 def w1(spark, d):
     return matching.neighbour_context(workspace(spark, d).blocks).select("element_id", "context")
 
 
-@query("w2_candidate_rank", BLOCKS + "SELECT element_id, row_number() OVER (PARTITION BY set_id, element_type ORDER BY name, ordinal, element_id)::int AS rank FROM blocks")
+@query("w2_candidate_rank", SECTIONED + "SELECT element_id, row_number() OVER (PARTITION BY set_id, element_type, context ORDER BY name, ordinal, element_id)::bigint AS rank FROM blocks")
 def w2(spark, d):
-    return matching.candidate_rank(current(spark, d)).select("element_id", "rank")
+    return matching.candidate_rank(matching.current_blocks(sectioned(spark, d))).select("element_id", "rank")
+
+
+def near(spark, d) -> DataFrame:
+    """Near matches of all blocks, stored, as several queries and columns use them."""
+    ws = sectioned(spark, d)
+    ws = ingest.Workspace(ws.documents, ws.versions, ws.heads, stored(ws.blocks))
+    return stored(matching.near_matches(ws, ws.blocks.select("element_id")))
 
 
 @query("j5_near_matches")
 def j5(spark, d):
-    ws = workspace(spark, d)
-    near = matching.near_matches(ws, ws.blocks.select("element_id"))
-    return near.select("source_element_id", "element_id", "score", "position_in_list", matching.difference_spans(F.col("source_text"), F.col("text")).alias("spans"))
+    return near(spark, d).select("source_element_id", "element_id", "score", "position_in_list", matching.difference_spans(F.col("source_text"), F.col("text")).alias("spans"))
 
 
 @query("d2_word_diff")
 def d2(spark, d):
-    ws = workspace(spark, d)
-    near = matching.near_matches(ws, ws.blocks.select("element_id"))
-    return near.select("source_element_id", "element_id", matching.word_diff(F.col("source_text"), F.col("text")).alias("spans"))
+    return near(spark, d).select("source_element_id", "element_id", matching.word_diff(F.col("source_text"), F.col("text")).alias("spans"))
 
 
 @query("d3_shared_spans")
@@ -414,28 +461,29 @@ def d3(spark, d):
 
 @query("u1_compare_items")
 def u1(spark, d):
-    ws = workspace(spark, d)
+    ws = sectioned(spark, d)
     b = matching.current_blocks(ws)
-    exact = matching.exact_matches(b, b.select("element_id")).withColumnRenamed("source_id", "source_element_id").join(ws.documents.select("doc_id", "name"), "doc_id")
-    return matching.compare_items(exact, matching.near_matches(ws, ws.blocks.select("element_id")))
+    exact = matching.exact_matches(b, b.select("element_id"), 20).withColumnRenamed("source_id", "source_element_id")
+    return matching.compare_items(exact, near(spark, d))
 
 
-@query("u3_dedupe_matches", BLOCKS + """, m AS (SELECT a.element_id AS source_element_id, b.element_id FROM blocks a JOIN blocks b ON a.set_id = b.set_id AND a.hash = b.hash)
-SELECT source_element_id, element_id, CASE WHEN source_element_id = element_id THEN 'source' ELSE 'exact' END AS match_type FROM m""")
+@query("u3_dedupe_matches", BLOCKS + """, r AS (SELECT *, row_number() OVER (PARTITION BY set_id, hash ORDER BY name, element_id) AS p FROM blocks WHERE norm <> ''),
+m AS (SELECT a.element_id AS source_element_id, b.element_id, row_number() OVER (PARTITION BY a.element_id ORDER BY b.p) AS k FROM r a JOIN r b ON a.set_id IS NOT DISTINCT FROM b.set_id AND a.hash = b.hash AND a.element_id <> b.element_id WHERE b.p <= 26)
+SELECT element_id AS source_element_id, element_id, 'source' AS match_type FROM blocks UNION ALL SELECT source_element_id, element_id, 'exact' FROM m WHERE k <= 25""")
 def u3(spark, d):
     b = current(spark, d)
     s = b.select(F.col("element_id").alias("source_element_id"), "element_id", F.lit("source").alias("match_type"))
-    e = matching.exact_matches(b, b).select(F.col("source_id").alias("source_element_id"), "element_id", F.lit("exact").alias("match_type"))
+    e = matching.exact_matches(b, b, 25).select(F.col("source_id").alias("source_element_id"), "element_id", F.lit("exact").alias("match_type"))
     return matching.dedupe_matches(s.unionByName(e).unionByName(e.withColumn("match_type", F.lit("near"))))
 
 
 def decision_rows(spark, d) -> DataFrame:
     e = read(spark, d, "events")
     kind = F.when(F.col("event_type") == "click", "confirmed").when(F.col("event_type") == "error", "removed").otherwise("ignored")
-    return e.select(F.concat(F.lit("s"), (F.col("user_id") % 20).cast("string")).alias("source_element_id"), F.concat(F.lit("c"), (F.col("user_id") % 7).cast("string")).alias("candidate_element_id"), kind.alias("decision"), F.col("ts").alias("updated_at"), F.col("event_id").alias("id"))
+    return e.select((F.col("user_id") % 2).alias("source_version_id"), F.concat(F.lit("s"), (F.col("user_id") % 20).cast("string")).alias("source_element_id"), (F.col("user_id") % 3).alias("candidate_version_id"), F.concat(F.lit("c"), (F.col("user_id") % 7).cast("string")).alias("candidate_element_id"), kind.alias("decision"), F.col("ts").alias("updated_at"), F.col("event_id").alias("id"))
 
 
-_DEC = """WITH e AS (SELECT 's' || (user_id % 20)::varchar AS source_element_id, 'c' || (user_id % 7)::varchar AS candidate_element_id,
+_DEC = """WITH e AS (SELECT user_id % 2 AS source_version_id, user_id % 3 AS candidate_version_id, 's' || (user_id % 20)::varchar AS source_element_id, 'c' || (user_id % 7)::varchar AS candidate_element_id,
   CASE event_type WHEN 'click' THEN 'confirmed' WHEN 'error' THEN 'removed' ELSE 'ignored' END AS decision, ts AS updated_at, event_id AS id FROM events),
 l AS (SELECT *, row_number() OVER (PARTITION BY source_element_id, candidate_element_id ORDER BY updated_at DESC, id DESC) AS n FROM e)
 """
@@ -446,81 +494,83 @@ def w5(spark, d):
     return matching.latest_decisions(decision_rows(spark, d))
 
 
-@query("e6_upsert_decisions", _DEC + "SELECT source_element_id, candidate_element_id, decision, id FROM l WHERE n = 1")
+@query("e6_upsert_decisions", _DEC + ", u AS (SELECT *, row_number() OVER (PARTITION BY source_version_id, source_element_id, candidate_version_id, candidate_element_id ORDER BY updated_at DESC, id DESC) AS k FROM e) SELECT source_version_id, source_element_id, candidate_version_id, candidate_element_id, decision, id FROM u WHERE k = 1")
 def e6(spark, d):
     r = decision_rows(spark, d)
-    return matching.upsert_decisions(r.where("id % 2 = 0"), r.where("id % 2 = 1")).select("source_element_id", "candidate_element_id", "decision", "id")
+    return matching.upsert_decisions(r.where("id % 2 = 0"), r.where("id % 2 = 1")).select("source_version_id", "source_element_id", "candidate_version_id", "candidate_element_id", "decision", "id")
+
+
+@query("e13_judged_decisions", BLOCKS + """, p AS (SELECT a.element_id AS source_element_id, coalesce(b.element_id, 'none') AS candidate_element_id, a.element_type AS x, b.element_type AS y, a.ordinal AS o, b.element_id AS found FROM blocks a LEFT JOIN blocks b ON a.doc_id = b.doc_id AND b.ordinal = a.ordinal + 1)
+SELECT source_element_id, candidate_element_id, CASE WHEN found IS NULL THEN 'unknown' WHEN x <> y THEN 'incompatible' ELSE 'ok' END AS verdict FROM p""")
+def e13(spark, d):
+    """A decision on every block and the next one of its document, which ignores it."""
+    ws = workspace(spark, d)
+    b = stored(ws.blocks)
+    ws = ingest.Workspace(ws.documents, ws.versions, ws.heads, b)
+    following = b.select("doc_id", (F.col("ordinal") - 1).alias("ordinal"), F.col("element_id").alias("candidate_element_id"))
+    asked = b.select("doc_id", "ordinal", F.col("element_id").alias("source_element_id")).join(following, ["doc_id", "ordinal"], "left")
+    asked = asked.select("source_element_id", F.coalesce("candidate_element_id", F.lit("none")).alias("candidate_element_id"), F.lit("ignored").alias("decision"))
+    return matching.judged_decisions(ws, asked).select("source_element_id", "candidate_element_id", "verdict")
 
 
-@query("j4_attach_decisions", _DEC + """, p AS (SELECT DISTINCT 's' || (user_id % 25)::varchar AS source_element_id, 'c' || (user_id % 9)::varchar AS element_id FROM events)
-SELECT p.*, coalesce(l.decision, 'pending') AS decision FROM p LEFT JOIN l ON l.source_element_id = p.source_element_id AND l.candidate_element_id = p.element_id AND n = 1""")
+@query("j4_attach_decisions", _DEC + """, p AS (SELECT DISTINCT user_id % 4 AS source_version_id, 's' || (user_id % 25)::varchar AS source_element_id, 'c' || (user_id % 9)::varchar AS element_id FROM events),
+v AS (SELECT *, row_number() OVER (PARTITION BY source_version_id, source_element_id, candidate_element_id ORDER BY updated_at DESC, id DESC) AS k FROM e)
+SELECT p.*, coalesce(v.decision, 'pending') AS decision FROM p LEFT JOIN v ON v.source_version_id = p.source_version_id AND v.source_element_id = p.source_element_id AND v.candidate_element_id = p.element_id AND k = 1""")
 def j4(spark, d):
-    pairs = read(spark, d, "events").select(F.concat(F.lit("s"), (F.col("user_id") % 25).cast("string")).alias("source_element_id"), F.concat(F.lit("c"), (F.col("user_id") % 9).cast("string")).alias("element_id")).distinct()
+    pairs = read(spark, d, "events").select((F.col("user_id") % 4).alias("source_version_id"), F.concat(F.lit("s"), (F.col("user_id") % 25).cast("string")).alias("source_element_id"), F.concat(F.lit("c"), (F.col("user_id") % 9).cast("string")).alias("element_id")).distinct()
     return matching.attach_decisions(pairs, decision_rows(spark, d))
 
 
 # ---- search --------------------------------------------------------------------------------------------------------
 
 _Q = ["the", "and it", "de la", "x", "on. ", "Licensed"]
+#: Places in the normal form are led back to the text by the place of each of its characters: of a run of blanks the first
+#: one is there, and ß is there twice.
 _HITS = BLOCKS + f""", q AS (SELECT unnest({_Q}) AS query), qq AS (SELECT query, trim(lower(query)) AS needle FROM q WHERE length(trim(query)) >= 2),
-h0 AS (SELECT query, needle, blocks.*, string_split(lower(text), needle) AS pieces FROM blocks JOIN qq ON contains(norm, needle) WHERE regexp_matches(text, '^[\\x21-\\x7E][\\x20-\\x7E]*$') AND NOT contains(text, '  ')),
+h0 AS (SELECT query, needle, blocks.*, string_split(norm, needle) AS pieces,
+  flatten(list_transform(list_filter(range(1, length(text) + 1), lambda i: NOT (i > 1 AND regexp_matches(substr(text, i, 1), '\\s') AND regexp_matches(substr(text, i - 1, 1), '\\s'))), lambda i: CASE WHEN substr(text, i, 1) = 'ß' THEN [i, i] ELSE [i] END)) AS place
+  FROM blocks JOIN qq ON contains(norm, needle)),
 h1 AS (SELECT *, unnest(range(1, len(pieces))) AS occurrence FROM h0),
-h AS (SELECT query, set_id, doc_id, name, element_id, ordinal, occurrence, text, (list_sum(list_transform(pieces[1:occurrence], lambda x: length(x))) + (occurrence - 1) * length(needle))::int AS start, length(needle) AS n FROM h1)
+h2 AS (SELECT *, (list_sum(list_transform(pieces[1:occurrence], lambda x: length(x))) + (occurrence - 1) * length(needle))::int AS pos FROM h1),
+h AS (SELECT query, set_id, doc_id, name, element_id, ordinal, occurrence, text, (place[pos + 1] - 1)::int AS start, (place[pos + length(needle)] - place[pos + 1] + 1)::int AS n FROM h2)
 """
+_SNIPPETS = _HITS + """, c AS (SELECT *, greatest(0, start - 72) AS lo, least(length(text), start + n + 72) AS hi FROM h),
+f AS (SELECT *, substr(text, lo + 1, start - lo) AS b0, substr(text, start + n + 1, hi - start - n) AS a0 FROM c),
+g AS (SELECT *, CASE WHEN lo > 0 AND contains(b0, ' ') THEN substr(b0, strpos(b0, ' ') + 1) ELSE b0 END AS b1, CASE WHEN hi < length(text) AND contains(a0, ' ') THEN substr(a0, 1, length(a0) - strpos(reverse(a0), ' ')) ELSE a0 END AS a1 FROM f)
+SELECT query, element_id, occurrence::int AS occurrence, CASE WHEN lo > 0 THEN '…' ELSE '' END || b1 AS before, substr(text, start + 1, n) AS match, a1 || CASE WHEN hi < length(text) THEN '…' ELSE '' END AS after FROM g"""
+_PAGE = _HITS + "SELECT query, element_id, occurrence::int AS occurrence FROM h WHERE query = 'the' ORDER BY lower(name), ordinal, occurrence LIMIT 50"
+_COUNTS = _HITS + "SELECT query, count(*)::bigint AS total, count(DISTINCT doc_id)::bigint AS documents, count(*) > 50 AS truncated FROM h GROUP BY query"
+_PLACES = _HITS + "SELECT query, element_id, occurrence::int AS occurrence, start, start + n::int AS \"end\" FROM h"
 
 
-def hits(spark, d, plain: bool = True) -> DataFrame:
-    b = current(spark, d)
-    b = b.where(search.is_steady(F.col("text"))) if plain else b
-    return search.search(b, spark.createDataFrame([(x,) for x in _Q], "query string"))
+def hits(spark, d) -> DataFrame:
+    return search.search(current(spark, d), spark.createDataFrame([(x,) for x in _Q], "query string"))
 
 
-@query("x1_search", _HITS + "SELECT query, element_id, occurrence::int AS occurrence, start, start + n::int AS \"end\" FROM h")
+@query("x1_search", _PLACES)
+@query("x2_search_all_texts", _PLACES)
 def x1(spark, d):
     return hits(spark, d).select("query", "element_id", "occurrence", "start", "end")
 
 
-@query("x2_search_all_texts")
-def x2(spark, d):
-    return hits(spark, d, plain=False).select("query", "element_id", "occurrence", "start", "end")
-
-
-@query("x3_snippet", _HITS + """, c AS (SELECT *, greatest(0, start - 72) AS lo, least(length(text), start + n + 72) AS hi FROM h),
-f AS (SELECT *, substr(text, lo + 1, start - lo) AS b0, substr(text, start + n + 1, hi - start - n) AS a0 FROM c),
-g AS (SELECT *, CASE WHEN lo > 0 AND contains(b0, ' ') THEN substr(b0, strpos(b0, ' ') + 1) ELSE b0 END AS b1, CASE WHEN hi < length(text) AND contains(a0, ' ') THEN substr(a0, 1, length(a0) - strpos(reverse(a0), ' ')) ELSE a0 END AS a1 FROM f)
-SELECT query, element_id, occurrence::int AS occurrence, CASE WHEN lo > 0 THEN '…' ELSE '' END || b1 AS before, substr(text, start + 1, n) AS match, a1 || CASE WHEN hi < length(text) THEN '…' ELSE '' END AS after FROM g""")
+@query("x3_snippet", _SNIPPETS)
+@query("x5_snippet_all_texts", _SNIPPETS)
 def x3(spark, d):
     return hits(spark, d).select("query", "element_id", "occurrence", "snippet.*")
 
 
-@query("x4_search_page", _HITS + "SELECT query, element_id, occurrence::int AS occurrence FROM h WHERE query = 'the' ORDER BY lower(name), ordinal, occurrence LIMIT 50")
+@query("x4_search_page", _PAGE)
+@query("x6_search_page_all_texts", _PAGE)
 def x4(spark, d):
     return search.search_page(hits(spark, d).where("query = 'the'"), 50).select("query", "element_id", "occurrence")
 
 
-@query("a4_search_counts", _HITS + "SELECT query, count(*)::bigint AS total, count(DISTINCT doc_id)::bigint AS documents, count(*) > 50 AS truncated FROM h GROUP BY query")
+@query("a4_search_counts", _COUNTS)
+@query("a11_search_counts_all_texts", _COUNTS)
 def a4(spark, d):
     return search.search_counts(hits(spark, d), 50)
 
 
-# x1, x3, x4 and a4 are over plain texts, as their SQL is, which can't state NFKC folding; these are over all texts.
-
-
-@query("x5_snippet_all_texts")
-def x5(spark, d):
-    return hits(spark, d, plain=False).select("query", "element_id", "occurrence", "snippet.*")
-
-
-@query("x6_search_page_all_texts")
-def x6(spark, d):
-    return search.search_page(hits(spark, d, plain=False).where("query = 'the'"), 50).select("query", "element_id", "occurrence")
-
-
-@query("a11_search_counts_all_texts")
-def a11(spark, d):
-    return search.search_counts(hits(spark, d, plain=False), 50)
-
-
 # ---- versions and edits --------------------------------------------------------------------------------------------
 
 
@@ -535,10 +585,13 @@ def chain(spark, d) -> tuple[DataFrame, DataFrame]:
 _CH = "WITH v AS (SELECT conv_id AS doc_id, conv_id::varchar || ':' || turn::varchar AS version_id, turn + 1 AS version_number, max(turn) OVER (PARTITION BY conv_id) + 1 AS last, text FROM conversations WHERE conv_id IS NOT NULL)\n"
 
 
-@query("o1_version_history", _CH + "SELECT doc_id, version_id, version_number, version_number = last AS is_current, row_number() OVER (PARTITION BY doc_id ORDER BY version_number DESC)::int AS place FROM v")
+@query("o1_version_history", _CH + """SELECT doc_id, version_id, version_number, version_number = last AS is_current, row_number() OVER (PARTITION BY doc_id ORDER BY version_number DESC)::int AS place,
+CASE WHEN version_number % 3 = 0 THEN doc_id::varchar || ':0' END AS restored_from_version_id, CASE WHEN version_number % 3 = 0 THEN 1 END::bigint AS restored_from_version_number FROM v""")
 def o1(spark, d):
     v, h = chain(spark, d)
-    return versions.version_history(v.drop("text", "parent_version_id"), h)
+    restores = v.where("version_number % 3 = 0").select("version_id", F.concat(F.col("doc_id").cast("string"), F.lit(":0")).alias("restored_from"))
+    out = versions.version_history(v.drop("text", "parent_version_id"), h, restores)
+    return out.withColumn("restored_from_version_number", F.col("restored_from_version_number").cast("long"))
 
 
 @query("w13_lineage", _CH + "SELECT doc_id, version_id, (last - version_number)::int AS distance FROM v")
@@ -562,7 +615,26 @@ def w7(spark, d):
 
 @query("e9_backfill_lineage", """SELECT user_id AS doc_id, event_id AS file_id, (row_number() OVER w)::int AS version_number, lag(event_id) OVER w AS parent_file_id, lead(event_id) OVER w IS NULL AS is_current FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def e9(spark, d):
-    return versions.backfill_lineage(read(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("file_id"), F.col("ts").alias("created_at")))
+    return versions.backfill_lineage(legacy_files(spark, d))
+
+
+def legacy_files(spark, d) -> DataFrame:
+    return read(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("file_id"), F.col("ts").alias("created_at"))
+
+
+@query("e11_backfill_originals", """WITH docs AS (SELECT doc_id, doc_id % 2 = 0 AS known, doc_id % 3 = 0 AS headed FROM documents),
+f AS (SELECT user_id AS doc_id, 'f' || event_id AS file, row_number() OVER w AS k, lag('f' || event_id) OVER w AS prev, lead(event_id) OVER w IS NULL AS last FROM events JOIN docs ON doc_id = user_id WINDOW w AS (PARTITION BY user_id ORDER BY ts, 'f' || event_id))
+SELECT f.doc_id, file AS version_id, (k + CASE WHEN known THEN 2 ELSE 1 END)::int AS version_number, coalesce(prev, CASE WHEN known THEN 'o' ELSE '' END || f.doc_id) AS parent_version_id,
+  CASE WHEN headed THEN file = 'o' || f.doc_id ELSE last END AS is_current FROM f JOIN docs USING (doc_id)
+UNION ALL SELECT doc_id, doc_id::varchar, 1, NULL, CASE WHEN headed THEN false ELSE doc_id NOT IN (SELECT user_id FROM events) END FROM docs WHERE NOT known""")
+def e11(spark, d):
+    """Every second document has its original as version 2, every third one has a current version."""
+    docs = read(spark, d, "documents").select("doc_id")
+    original = F.concat(F.lit("o"), F.col("doc_id").cast("string"))
+    known = docs.where("doc_id % 2 = 0").select("doc_id", original.alias("version_id"), F.lit(2).alias("version_number"), F.lit(None).cast("string").alias("file_id"))
+    heads = docs.where("doc_id % 3 = 0").select("doc_id", original.alias("version_id"))
+    files = legacy_files(spark, d).withColumn("file_id", F.concat(F.lit("f"), F.col("file_id").cast("string")))
+    return versions.backfill_lineage(files, docs, known, heads)
 
 
 @query("w8_retain_newest", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10 AS keep FROM events")
@@ -587,22 +659,37 @@ def a7(spark, d):
     return versions.timing_summary(read(spark, d, "events"), "event_type", "value", 50.0)
 
 
-@query("e1_validate_edit", BLOCKS + """SELECT element_id, unnest(list_filter([CASE WHEN doc_id % 3 = 0 THEN 'stale_base' END, CASE WHEN doc_id % 5 = 0 THEN 'too_long' END], lambda x: x IS NOT NULL)) AS violation FROM blocks WHERE ordinal = 0 AND doc_id < 400""")
+@query("e1_validate_edit", BLOCKS + """, t AS (SELECT coalesce(set_id, '') || ':' || (doc_id // 1000) AS request_id, * FROM blocks WHERE ordinal = 0)
+SELECT request_id, element_id, unnest(list_filter([CASE WHEN doc_id % 3 = 0 THEN 'stale_base' END, CASE WHEN doc_id % 5 = 0 THEN 'too_long' END], lambda x: x IS NOT NULL)) AS violation FROM t
+UNION ALL SELECT request_id, NULL, 'too_many_targets' FROM t GROUP BY request_id HAVING count(*) > 500""")
 def e1(spark, d):
+    """A target in every document; a request takes those of a source in a range of a thousand ids, so some have over 500."""
     ws = workspace(spark, d)
     base = F.when(F.col("doc_id") % 3 == 0, "old").otherwise(F.col("version_id"))
-    t = ws.blocks.where("ordinal = 0 AND doc_id < 400").select("element_id", "doc_id", base.alias("base_version_id"), F.when(F.col("doc_id") % 5 == 0, F.repeat(F.lit("x"), 20_001)).otherwise("new").alias("replacement"))
+    request = F.concat_ws(":", F.coalesce("set_id", F.lit("")), F.floor(F.col("doc_id") / 1000).cast("string"))
+    t = ws.blocks.where("ordinal = 0").select(request.alias("request_id"), "element_id", "doc_id", base.alias("base_version_id"), F.when(F.col("doc_id") % 5 == 0, F.repeat(F.lit("x"), 20_001)).otherwise("new").alias("replacement"))
     return edits.validate_edit(ws.blocks, ws.heads, t)
 
 
-@query("e10_validate_requests")
+@query("e10_validate_requests", BLOCKS + """, s AS (SELECT * FROM blocks WHERE ordinal = 0), n AS (SELECT * FROM blocks WHERE ordinal = 1)
+SELECT doc_id AS request_id, NULL AS element_id, 'stale_base' AS violation FROM s WHERE doc_id % 3 = 0 AND doc_id % 13 <> 5
+UNION ALL SELECT doc_id, NULL, 'foreign_base' FROM s WHERE doc_id % 13 = 5
+UNION ALL SELECT doc_id, element_id, unnest(list_filter([CASE WHEN doc_id % 5 = 0 THEN 'too_long' END, CASE WHEN doc_id % 4 = 0 THEN 'text_differs' END, CASE WHEN doc_id % 13 = 5 THEN 'other_set' END], lambda x: x IS NOT NULL)) FROM s
+UNION ALL SELECT doc_id, element_id, unnest(list_filter(['incompatible', 'near_not_confirmed', CASE WHEN doc_id % 4 = 0 THEN 'text_differs' END, CASE WHEN doc_id % 13 = 5 THEN 'other_set' END], lambda x: x IS NOT NULL)) FROM n""")
 def e10(spark, d):
-    """A target in every document; a request takes those of a source in a range of a thousand ids, so some have over 500."""
+    """A request in every document: its heading is the source, and its first paragraph is a target, which it can't be."""
     ws = workspace(spark, d)
-    base = F.when(F.col("doc_id") % 3 == 0, "old").otherwise(F.col("version_id"))
-    request = F.concat_ws(":", F.coalesce("set_id", F.lit("")), F.floor(F.col("doc_id") / 1000).cast("string"))
-    t = ws.blocks.where("ordinal = 0").select(request.alias("request_id"), "element_id", "doc_id", base.alias("base_version_id"), F.when(F.col("doc_id") % 5 == 0, F.repeat(F.lit("x"), 20_001)).otherwise("new").alias("replacement"))
-    return edits.validate_edit(ws.blocks, ws.heads, t)
+    b = stored(ws.blocks)
+    ws = ingest.Workspace(ws.documents, ws.versions, ws.heads, b)
+    heading, k = b.where("ordinal = 0"), F.col("doc_id")
+    requests = heading.select(k.alias("request_id"), F.when(k % 13 == 5, "elsewhere").otherwise(F.col("set_id")).alias("set_id"), F.col("element_id").alias("source_element_id"))
+    bases = heading.select(k.alias("request_id"), "doc_id", F.when(k % 3 == 0, "old").otherwise(F.col("version_id")).alias("base_version_id"))
+    new = F.when((k % 5 == 0) & (F.col("ordinal") == 0), F.repeat(F.lit("x"), 20_001)).otherwise("new")
+    t = b.where("ordinal IN (0, 1)").select(k.alias("request_id"), "element_id", new.alias("replacement"), F.lit(None).cast("string").alias("decision"), "doc_id")
+    none = F.lit(None).cast("map<string,string>")
+    shown = F.concat("replacement", F.when(k % 4 == 0, "!").otherwise(""))
+    ops = F.array(F.struct(shown.alias("insert"), none.alias("attributes")), F.struct(F.lit("\n").alias("insert"), none.alias("attributes")))
+    return edits.validate_requests(ws, requests, bases, t.withColumn("ops", ops).drop("doc_id"))
 
 
 @query("e2_preview_edit", BLOCKS + "SELECT doc_id, element_id, text AS before_text, text || ' (edited)' AS after_text FROM blocks WHERE doc_id % 7 = 0 AND ordinal = 0")
@@ -659,6 +746,17 @@ def e8(spark, d):
     return matching.exact_link_groups(matching.current_blocks(ws).join(left.select("doc_id"), "doc_id", "left_semi"))
 
 
+@query("e12_add_documents", BLOCKS + """, v AS (SELECT source AS set_id, doc_id, CASE WHEN doc_id % 3 = 0 THEN 'known' WHEN count(*) OVER (PARTITION BY source) > 60 THEN 'set_full' ELSE 'added' END AS verdict FROM documents)
+SELECT v.*, count(blocks.element_id)::bigint AS blocks FROM v LEFT JOIN blocks ON blocks.doc_id = v.doc_id AND verdict <> 'set_full' GROUP BY ALL""")
+def e12(spark, d):
+    """Every third document is there; adding all, a set that would have more than 60 takes no more."""
+    docs = read(spark, d, "documents").select("doc_id", "source", "text")
+    ws = ingest.ingest_blocks(docs.where("doc_id % 3 = 0"))
+    after, verdicts = edits.add_documents(ws, docs, most=60)
+    n = matching.current_blocks(after).groupBy("doc_id").agg(F.count("*").alias("n"))
+    return verdicts.join(n, "doc_id", "left").select("set_id", "doc_id", "verdict", F.coalesce("n", F.lit(0)).alias("blocks"))
+
+
 @query("j6_stale_base_check", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'conflict' ELSE 'ok' END AS state FROM documents")
 def j6(spark, d):
     ws = workspace(spark, d)
@@ -666,25 +764,23 @@ def j6(spark, d):
     return edits.stale_bases(r, ws.heads)
 
 
-@query("j7_overlapping_operations", "SELECT DISTINCT conv_id AS operation_id FROM conversations WHERE turn IN (SELECT doc_id FROM documents WHERE doc_id BETWEEN 2 AND 3)")
+@query("j7_overlapping_operations", "SELECT DISTINCT doc_id // 2 AS request_id, conv_id AS operation_id FROM conversations JOIN documents ON turn = doc_id")
+@query("j18_overlapping_requests", "SELECT DISTINCT doc_id // 2 AS request_id, conv_id AS operation_id FROM conversations JOIN documents ON turn = doc_id")
 def j7(spark, d):
-    pending = read(spark, d, "conversations").groupBy(F.col("conv_id").alias("operation_id")).agg(F.collect_set("turn").alias("documents"))
-    return edits.overlapping_operations(pending, read(spark, d, "documents").where("doc_id BETWEEN 2 AND 3"))
-
-
-@query("j18_overlapping_requests")
-def j18(spark, d):
     """Requests take all documents, two ids each."""
     pending = read(spark, d, "conversations").groupBy(F.col("conv_id").alias("operation_id")).agg(F.collect_set("turn").alias("documents"))
     return edits.overlapping_operations(pending, read(spark, d, "documents").select(F.floor(F.col("doc_id") / 2).alias("request_id"), "doc_id"))
 
 
 @query("j8_integrity_violations", """SELECT 'no_original_version' AS "check", doc_id::varchar AS id FROM documents WHERE doc_id % 10 = 1 UNION ALL SELECT 'no_head', doc_id::varchar FROM documents WHERE doc_id % 10 = 2
-UNION ALL SELECT 'dangling_head', doc_id::varchar FROM documents WHERE doc_id % 10 IN (1, 3) UNION ALL SELECT 'version_without_blocks', doc_id::varchar || ':1' FROM documents WHERE doc_id % 10 <> 1 AND (doc_id % 10 = 4 OR NOT regexp_matches(coalesce(text, ''), '\\S'))""")
+UNION ALL SELECT 'dangling_head', doc_id::varchar FROM documents WHERE doc_id % 10 IN (1, 3) UNION ALL SELECT 'version_without_blocks', doc_id::varchar || ':1' FROM documents WHERE doc_id % 10 <> 1 AND (doc_id % 10 = 4 OR NOT regexp_matches(coalesce(text, ''), '\\S'))
+UNION ALL SELECT 'legacy_file_without_version', user_id::varchar || ':' || (event_id % 3)::varchar FROM events WHERE event_type = 'purchase' AND (event_id % 3 <> 1 OR user_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 10 <> 1))""")
 def j8(spark, d):
     ws = workspace(spark, d)
     heads = ws.heads.where("doc_id % 10 <> 2").withColumn("version_id", F.when(F.col("doc_id") % 10 == 3, "lost").otherwise(F.col("version_id")))
-    return checks.integrity_violations(ws.documents, ws.versions.where("doc_id % 10 <> 1"), heads, ws.blocks.where("doc_id % 10 <> 4"))
+    file_id = F.concat(F.col("user_id").cast("string"), F.lit(":"), (F.col("event_id") % 3).cast("string"))
+    legacy = read(spark, d, "events").select(file_id.alias("file_id"), F.col("user_id").alias("doc_id"), F.when(F.col("event_type") == "purchase", "completed").otherwise("failed").alias("status"))
+    return checks.integrity_violations(ws.documents, ws.versions.where("doc_id % 10 <> 1"), heads, ws.blocks.where("doc_id % 10 <> 4"), legacy)
 
 
 @query("j9_version_diff", BLOCKS + "SELECT element_id, CASE WHEN ordinal % 6 = 5 THEN 'removed' WHEN ordinal % 6 = 4 THEN 'added' WHEN ordinal = 0 THEN 'changed' ELSE 'unchanged' END AS state FROM blocks WHERE doc_id % 7 = 0")
@@ -731,7 +827,7 @@ def a6(spark, d):
 
 
 @query("u2_history_union", """WITH e AS (SELECT user_id % 5 AS set_id, 'legacy' AS kind, event_id, ts FROM events WHERE event_type = 'view' UNION ALL SELECT user_id % 5, 'operation', event_id, ts FROM events WHERE event_type = 'click')
-SELECT set_id, kind, event_id, row_number() OVER (PARTITION BY set_id ORDER BY ts DESC, event_id)::int AS place FROM e""")
+SELECT set_id, kind, event_id, row_number() OVER (PARTITION BY set_id ORDER BY ts DESC, event_id)::bigint AS place FROM e""")
 def u2(spark, d):
     e = read(spark, d, "events").select((F.col("user_id") % 5).alias("set_id"), "event_id", F.col("ts").alias("created_at"), "event_type")
     kinds = (e.where(F.col("event_type") == t).drop("event_type").withColumn("kind", F.lit(k)) for t, k in (("view", "legacy"), ("click", "operation")))
@@ -749,61 +845,75 @@ def j16(spark, d):
 # ---- layout --------------------------------------------------------------------------------------------------------
 
 
-@query("w9_paginate")
+@query("w9_paginate", BLOCKS.replace("WITH b0", "WITH RECURSIVE b0", 1) + """, u AS (SELECT doc_id, ordinal, (greatest(1, ceil(length(text) / 120.0)) + (element_type = 'heading')::int)::int AS units FROM blocks),
+p AS (SELECT doc_id, ordinal, 1 AS page, units AS used FROM u WHERE ordinal = 0
+  UNION ALL SELECT u.doc_id, u.ordinal, page + (used > 0 AND used + units > 18)::int, CASE WHEN used > 0 AND used + units > 18 THEN units ELSE used + units END FROM p JOIN u ON u.doc_id = p.doc_id AND u.ordinal = p.ordinal + 1)
+SELECT doc_id, ordinal::bigint AS ordinal, page::int AS page FROM p""")
 def w9(spark, d):
     b = workspace(spark, d).blocks.withColumn("units", T.visual_units(F.col("text"), F.col("element_type")))
     return layout.paginate(b, ["doc_id"], "ordinal", "units")
 
 
 def placed_words(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Words of all blocks on synthetic pages: a line of words for each block, twenty blocks a page, in boxes by rule."""
-    b = workspace(spark, d).blocks
-    w = b.select("version_id", F.floor(F.col("ordinal") / 20).cast("int").alias("page"), "ordinal", F.posexplode(layout.word_tokens(F.col("normalized_text"))).alias("word", "text"))
-    w = w.withColumn("seq", F.row_number().over(W.partitionBy("version_id", "page").orderBy("ordinal", "word")) - 1).withColumn("line", F.col("ordinal"))
-    w = w.withColumn("page_width", F.lit(612.0)).withColumn("page_height", F.lit(792.0)).withColumn("x0", F.col("word") * 40.0).withColumn("x1", F.col("word") * 40.0 + 30).withColumn("y0", (F.col("line") % 20) * 36.0).withColumn("y1", (F.col("line") % 20) * 36.0 + 12)
-    return b, w
-
-
-_WORDS = BLOCKS + """, wb AS (SELECT *, string_split(norm, ' ') AS toks, (ordinal // 20)::int AS page FROM blocks WHERE doc_id % 5 = 0)
+    """Words of all blocks on made pages: a line of words for each block and a rule below it, twenty blocks a page."""
+    b = sectioned(spark, d).blocks.withColumn("header_footer_type", F.when(F.col("element_type") == "header_paragraph", "default_header"))
+    b = b.withColumn("supported", F.col("ordinal") % 4 != 1)
+    tokens = F.concat(layout.word_tokens(F.col("normalized_text")), F.array(F.lit("--------")))
+    w = b.select("version_id", (F.floor(F.col("ordinal") / 20) + 1).cast("int").alias("page"), "ordinal", F.size(tokens).alias("size"), F.posexplode(tokens).alias("word", "text"))
+    w = w.withColumn("seq", (F.row_number().over(W.partitionBy("version_id", "page").orderBy("ordinal", "word")) - 1)).withColumn("line", F.col("ordinal") * 2 + F.when(F.col("word") == F.col("size") - 1, 1).otherwise(0))
+    top = (F.col("ordinal") % 20) * 34.0 + 48
+    return b, w.withColumn("page_width", F.lit(612.0)).withColumn("page_height", F.lit(792.0)).withColumn("x0", F.col("word") * 40.0).withColumn("x1", F.col("word") * 40.0 + 30).withColumn("y0", top).withColumn("y1", top + 12)
+
+
+#: Lines with their places, and the lines where a group of equal blocks can stand.
+_RUNS_SQL = SECTIONED + """, l AS (SELECT *, (ordinal // 20 + 1)::int AS page, len(string_split(norm, ' ')) AS n, ((ordinal % 20) * 34 + 54) / 792.0 AS y FROM blocks),
+l1 AS (SELECT *, (sum(n + 1) OVER (PARTITION BY version_id, page ORDER BY ordinal ROWS UNBOUNDED PRECEDING) - n - 1)::int AS seq FROM l),
+o AS (SELECT version_id, norm, element_type, element_id, ordinal, row_number() OVER w AS k, count(*) OVER (PARTITION BY version_id, norm, element_type) AS nb FROM l1 WINDOW w AS (PARTITION BY version_id, norm, element_type ORDER BY ordinal)),
+g AS (SELECT DISTINCT version_id, norm, element_type FROM o),
+r0 AS (SELECT g.*, page, seq, n::int AS n FROM g JOIN l1 USING (version_id, norm) WHERE CASE WHEN g.element_type = 'header_paragraph' THEN y <= 0.28 ELSE y BETWEEN 0.055 AND 0.955 END),
+r AS (SELECT *, row_number() OVER (PARTITION BY version_id, norm, element_type ORDER BY page, seq) AS run, count(*) OVER (PARTITION BY version_id, norm, element_type) AS nr FROM r0)
+"""
+_MATCHES_SQL = _RUNS_SQL + """, f AS (SELECT o.version_id, element_id, page, seq, n, CASE WHEN element_type = 'header_paragraph' AND nb = 1 THEN 0.97 WHEN nb = 1 THEN 0.99 ELSE 0.95 END::double AS confidence
+  FROM o JOIN r USING (version_id, norm, element_type) WHERE (element_type = 'header_paragraph' AND nb = 1) OR (nb = nr AND k = run)),
+s AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY version_id, page, seq) AS owners FROM f) WHERE owners = 1),
+m AS (SELECT o.version_id, o.element_id, s.page, s.seq, s.n, s.confidence,
+  CASE WHEN NOT EXISTS (FROM r WHERE r.version_id = o.version_id AND r.norm = o.norm AND r.element_type = o.element_type) THEN 'not_found'
+       WHEN NOT EXISTS (FROM f WHERE f.version_id = o.version_id AND f.element_id = o.element_id) THEN 'ambiguous' WHEN s.seq IS NULL THEN 'overlap' END AS reason
+  FROM o LEFT JOIN s ON s.version_id = o.version_id AND s.element_id = o.element_id)
+"""
+_BOXES_SQL = _MATCHES_SQL + """, x AS (SELECT m.version_id, m.element_id, m.page, l1.ordinal, m.confidence, m.n, b.ordinal % 4 <> 1 AS supported FROM m JOIN l1 ON l1.version_id = m.version_id AND l1.page = m.page AND l1.seq = m.seq JOIN blocks b ON b.element_id = m.element_id),
+boxes AS (SELECT version_id, element_id, page, (ordinal * 2)::int AS line, 0.0::double AS x0, round(((ordinal % 20) * 34.0 + 48) / 792.0, 7)::double AS y0, round(least(1.0, ((n - 1) * 40.0 + 30) / 612.0), 7)::double AS x1,
+  round(((ordinal % 20) * 34.0 + 60) / 792.0, 7)::double AS y1, confidence, supported AND confidence >= 0.9 AS interactive FROM x)
 """
 
 
-@query("j14_align_phrases", _WORDS + """SELECT a.version_id, a.element_id, b.page, b.ordinal::int AS line FROM wb a JOIN wb b ON a.version_id = b.version_id AND a.norm = b.norm""")
+@query("j14_align_phrases", _RUNS_SQL + "SELECT version_id, element_id, page, seq, n FROM o JOIN r0 USING (version_id, norm, element_type)")
+@query("j17_align_all_phrases", _RUNS_SQL + "SELECT version_id, element_id, page, seq, n FROM o JOIN r0 USING (version_id, norm, element_type)")
 def j14(spark, d):
-    """The part of j17 that the SQL states: documents divisible by five."""
-    b, w = placed_words(spark, d)
-    fifth = b.where("doc_id % 5 = 0")
-    return whole_lines(fifth, w.join(fifth.select("version_id").distinct(), "version_id", "left_semi"))
+    return layout.align_phrases(*placed_words(spark, d)).select("version_id", "element_id", "page", "seq", "n")
 
 
-def whole_lines(b: DataFrame, w: DataFrame) -> DataFrame:
-    """Every block is one line here: runs of words that take a whole line."""
-    runs = layout.align_phrases(b, w)
-    line = w.select("version_id", "page", "seq", "line")
-    one = runs.join(line, ["version_id", "page", "seq"]).join(w.groupBy("version_id", "page", "line").agg(F.count("*").alias("words")), ["version_id", "page", "line"])
-    return one.where("n = words").select("version_id", "element_id", "page", "line")
-
-
-@query("j17_align_all_phrases")
-def j17(spark, d):
-    return whole_lines(*placed_words(spark, d))
+def placed_matches(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    b, w = placed_words(spark, d)
+    w = stored(w)
+    return stored(layout.resolve_ambiguity(layout.align_phrases(b, w), b)), w, b
 
 
-@query("j15_resolve_ambiguity")
+@query("j15_resolve_ambiguity", _MATCHES_SQL + "SELECT * FROM m")
 def j15(spark, d):
-    b, w = placed_words(spark, d)
-    return layout.resolve_ambiguity(layout.align_phrases(b, w), b)
+    return placed_matches(spark, d)[0]
 
 
-@query("a8_line_boxes")
+@query("a8_line_boxes", _BOXES_SQL + "SELECT * FROM boxes")
 def a8(spark, d):
-    b, w = placed_words(spark, d)
-    return layout.line_boxes(j15(spark, d), w)
+    return layout.line_boxes(*placed_matches(spark, d))
 
 
-@query("a9_mapping_coverage")
+@query("a9_mapping_coverage", _BOXES_SQL + """, e AS (SELECT version_id, element_id, max((reason IS NULL)::int) AS mapped, max((element_id IN (SELECT element_id FROM boxes WHERE interactive))::int) AS able FROM m GROUP BY ALL)
+SELECT version_id, sum(mapped)::bigint AS mapped, sum(able)::bigint AS interactive, count(*)::bigint AS total, CASE WHEN sum(mapped) = 0 THEN 'failed' WHEN sum(mapped) < count(*) THEN 'partial' ELSE 'completed' END AS status FROM e GROUP BY version_id""")
 def a9(spark, d):
-    return layout.mapping_coverage(j15(spark, d))
+    m, w, b = placed_matches(spark, d)
+    return layout.mapping_coverage(m, layout.line_boxes(m, w, b))
 
 
 @query("j13_header_footer_usages", """WITH s AS (SELECT conv_id AS doc_id, turn AS section_index, CASE WHEN turn % 2 = 0 THEN 'rId' || turn::varchar END AS rel FROM conversations),
@@ -830,6 +940,14 @@ def t1(spark, d):
     return templates.render_templates(_MAIL, records(spark, d))
 
 
+@query("t4_template_violations", """SELECT name, unnest(list_filter([CASE WHEN c_custkey % 3 = 0 THEN 'missing_value' END, CASE WHEN c_custkey % 5 = 0 THEN 'value_too_long' END, CASE WHEN c_custkey % 7 = 0 THEN 'invalid_field' END], lambda x: x IS NOT NULL)) AS violation FROM (SELECT c_custkey, c_name AS name FROM customer)""")
+def t4(spark, d):
+    k = F.col("c_custkey")
+    note = F.when(k % 3 == 0, " ").otherwise("note")
+    values = F.create_map(F.lit("name"), F.when(k % 5 == 0, F.repeat(F.lit("x"), 10_001)).otherwise(F.col("c_name")), F.lit("note"), note, F.when(k % 7 == 0, "not a field").otherwise("nation"), F.lit("n"))
+    return templates.record_violations("{{name}} {{ note }}", read(spark, d, "customer").select(F.col("c_name").alias("name"), values.alias("values")))
+
+
 @query("t2_missing_values", "SELECT c_name AS name, 'note' AS field FROM customer WHERE c_custkey % 3 = 0")
 def t2(spark, d):
     return templates.missing_values(_MAIL, records(spark, d))
@@ -841,16 +959,29 @@ def t3(spark, d):
     return records(spark, d).select("name", m["name"].alias("n"), m["absent"].alias("absent"), F.size(m).alias("fields"))
 
 
-@query("a10_unsupported_diagnostics", BLOCKS + "SELECT doc_id, CASE WHEN ordinal % 9 = 3 THEN 'Hyperlink content' ELSE 'Word field' END AS reason, count(*)::bigint AS blocks FROM blocks WHERE ordinal % 9 IN (3, 7) GROUP BY ALL")
+@query("a10_unsupported_diagnostics", BLOCKS + "SELECT doc_id, CASE WHEN ordinal % 9 = 3 THEN 'hyperlink' ELSE 'fldSimple' END AS blocking_tag, CASE WHEN ordinal % 9 = 3 THEN 'Hyperlink content' ELSE 'Word field' END AS reason, count(*)::bigint AS blocks FROM blocks WHERE ordinal % 9 IN (3, 7) GROUP BY ALL")
 def a10(spark, d):
     tags = F.when(F.col("ordinal") % 9 == 3, F.array(F.lit("hyperlink"))).when(F.col("ordinal") % 9 == 7, F.array(F.lit("r"), F.lit("fldSimple"))).otherwise(F.array(F.lit("r")))
-    return checks.unsupported_diagnostics(workspace(spark, d).blocks.withColumn("reason", T.unsupported_reason(tags, F.lit(False), F.lit(False), F.lit(1))))
+    b = workspace(spark, d).blocks.withColumn("blocking_tag", T.blocking_tag(tags)).withColumn("reason", T.unsupported_reason(tags, F.lit(False), F.lit(False), F.lit(1)))
+    return checks.unsupported_diagnostics(b)
+
+
+_UPLOADS = """WITH f AS (SELECT source AS set_id, doc_id AS upload, 'Report ' || (doc_id % 7)::varchar || '.docx' AS name FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY set_id, name ORDER BY upload) - 1 AS k FROM f)
+"""
 
 
-@query("w11_unique_names", """WITH f AS (SELECT source AS set_id, doc_id AS upload, 'Report ' || (doc_id % 7)::varchar || '.docx' AS name FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY set_id, name ORDER BY upload) - 1 AS k FROM f)
-SELECT set_id, upload, name, CASE WHEN k = 0 THEN name ELSE replace(name, '.docx', ' (' || k::varchar || ').docx') END AS unique_name FROM n""")
+def uploads(spark, d) -> DataFrame:
+    return read(spark, d, "documents").select(F.col("source").alias("set_id"), F.col("doc_id").alias("upload"), F.concat(F.lit("Report "), (F.col("doc_id") % 7).cast("string"), F.lit(".docx")).alias("name"))
+
+
+@query("w11_unique_names", _UPLOADS + "SELECT set_id, upload, name, CASE WHEN k = 0 THEN name ELSE replace(name, '.docx', ' (' || k::varchar || ').docx') END AS unique_name FROM n")
 def w11(spark, d):
-    return checks.unique_names(read(spark, d, "documents").select(F.col("source").alias("set_id"), F.col("doc_id").alias("upload"), F.concat(F.lit("Report "), (F.col("doc_id") % 7).cast("string"), F.lit(".docx")).alias("name")))
+    return checks.unique_names(uploads(spark, d))
+
+
+@query("w14_output_names", _UPLOADS + "SELECT set_id, upload, replace(name, '.docx', '') || CASE WHEN k = 0 THEN '' ELSE '-' || (k + 1)::varchar END || '.txt' AS file_name FROM n")
+def w14(spark, d):
+    return templates.output_names(uploads(spark, d).withColumn("name", F.regexp_replace("name", r"\.docx$", "")))
 
 
 @query("j11_legacy_state_fallback", BLOCKS + "SELECT element_id, CASE WHEN ordinal % 3 = 0 THEN 'detached' WHEN paragraph_index = 2 THEN 'detached' ELSE 'shared' END AS shared_state FROM blocks")
@@ -867,7 +998,7 @@ def j11(spark, d):
 
 @query("st1_stream_link_groups", BLOCKS + GROUPS + "SELECT * FROM g")
 def st1(spark, d):
-    source, out, mark = folder(spark), folder(spark), folder(spark)
+    source, out, mark = new_folder(spark), new_folder(spark), new_folder(spark)
     blocks = current(spark, d).select("set_id", "doc_id", "match_hash", "ordinal", "text")
     blocks.write.parquet(source)
     q = streams.stream_link_groups(spark.readStream.schema(blocks.schema).parquet(source), out, mark)
@@ -878,7 +1009,7 @@ def st1(spark, d):
 @query("st2_stream_job_status", "SELECT user_id AS job_id, arg_max(event_type, ts) AS status, max(ts) AS updated_at, count(*)::bigint AS events FROM events GROUP BY user_id")
 def st2(spark, d):
     e = read(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("job_id"), F.col("event_type").alias("status"))
-    source, out, mark = folder(spark), folder(spark), folder(spark)
+    source, out, mark = new_folder(spark), new_folder(spark), new_folder(spark)
     e.write.parquet(source)
     status = streams.stream_job_status(spark.readStream.schema(e.schema).parquet(source))
 
