@@ -136,6 +136,17 @@ def test_shared_words():
     assert matching.words_between(many, many + "x") == [{"text": many + "x", "kind": "different"}]
 
 
+def test_bound_of_the_ratio():
+    rnd = random.Random(9)
+    for _ in range(2000):
+        a = "".join(rnd.choice("abc ") for _ in range(rnd.randint(0, 30)))
+        b = list(a) if rnd.random() < 0.7 else [rnd.choice("abc ") for _ in range(rnd.randint(0, 30))]
+        for _ in range(rnd.randint(0, 5)):
+            b.insert(rnd.randint(0, len(b)), rnd.choice("abc")) if rnd.random() < 0.5 or not b else b.pop(rnd.randrange(len(b)))
+        b = "".join(b)
+        assert matching.most_ratio(a, b) >= matching.ratio(a, b) - 1e-12, (a, b)
+
+
 def test_difference_spans(spark):
     df = spark.createDataFrame([("The lift, 3 floors.", "The old lift: 4 floors."), ("same", "same"), ("", "new")], "a string, b string")
     for a, b, spans in df.select("a", "b", matching.difference_spans(F.col("a"), F.col("b"))).collect():

@@ -36,6 +36,12 @@ def workspace(spark: SparkSession, d: str) -> ingest.Workspace:
     return ingest.ingest_blocks(read(spark, d, "documents"))
 
 
+def kept_workspace(spark: SparkSession, d: str) -> ingest.Workspace:
+    """With its blocks written, for queries that use them many times."""
+    ws = workspace(spark, d)
+    return ingest.Workspace(ws.documents, ws.versions, ws.heads, stored(ws.blocks))
+
+
 def current(spark: SparkSession, d: str) -> DataFrame:
     return matching.current_blocks(workspace(spark, d))
 
@@ -300,7 +306,7 @@ def p19(spark, d):
 
 def edited_workspace(spark, d, mode: str = "shared") -> tuple[ingest.Workspace, DataFrame]:
     """A corpus after one edit by rule: the first block of every seventh document, in which the text gets a suffix."""
-    ws = workspace(spark, d)
+    ws = kept_workspace(spark, d)
     targets = ws.blocks.where("doc_id % 7 = 0 AND ordinal = 0").select("element_id", F.concat("text", F.lit(" (edited)")).alias("replacement"))
     return edits.apply_edit(ws, targets, mode), targets
 
@@ -419,12 +425,12 @@ def m3(spark, d):
 
 @query("m5_similarity_score")
 def m5(spark, d):
-    """All parts of the score and the score, with and without neighbours, of the queries' candidates."""
+    """Tokens, position and score of at least 0.6, and the score without neighbours, of the queries' candidates."""
     ws = sectioned(spark, d)
     b = stored(matching.current_blocks(ws))
     pairs = stored(matching.near_candidates(b, b.where("doc_id % 100 = 0").select("element_id")))
-    plain = matching.similarity(pairs, None).select("source_element_id", "element_id", F.col("score").alias("plain_score"))
-    return matching.similarity(pairs, b).select("source_element_id", "element_id", "tokens", "position", "score").join(plain, ["source_element_id", "element_id"])
+    plain = matching.similarity(pairs, None, 0.6).select("source_element_id", "element_id", F.col("score").alias("plain_score"))
+    return matching.similarity(pairs, b, 0.6).select("source_element_id", "element_id", "tokens", "position", "score").join(plain, ["source_element_id", "element_id"], "left")
 
 
 @query("w1_neighbour_context", BLOCKS + """SELECT a.element_id, coalesce(string_agg(b.norm, ' ␟ ' ORDER BY b.ordinal), '') AS context FROM blocks a LEFT JOIN blocks b ON a.doc_id = b.doc_id AND b.ordinal IN (greatest(a.ordinal - 1, 0), a.ordinal + 1) GROUP BY a.element_id""")
@@ -500,15 +506,14 @@ def e6(spark, d):
     return matching.upsert_decisions(r.where("id % 2 = 0"), r.where("id % 2 = 1")).select("source_version_id", "source_element_id", "candidate_version_id", "candidate_element_id", "decision", "id")
 
 
-@query("e13_judged_decisions", BLOCKS + """, p AS (SELECT a.element_id AS source_element_id, coalesce(b.element_id, 'none') AS candidate_element_id, a.element_type AS x, b.element_type AS y, a.ordinal AS o, b.element_id AS found FROM blocks a LEFT JOIN blocks b ON a.doc_id = b.doc_id AND b.ordinal = a.ordinal + 1)
+@query("e13_judged_decisions", BLOCKS + """, p AS (SELECT a.element_id AS source_element_id, coalesce(b.element_id, 'none') AS candidate_element_id, a.element_type AS x, b.element_type AS y, a.ordinal AS o, b.element_id AS found FROM blocks a LEFT JOIN blocks b ON a.doc_id = b.doc_id AND b.ordinal = a.ordinal + 1 WHERE a.ordinal < 2)
 SELECT source_element_id, candidate_element_id, CASE WHEN found IS NULL THEN 'unknown' WHEN x <> y THEN 'incompatible' ELSE 'ok' END AS verdict FROM p""")
 def e13(spark, d):
-    """A decision on every block and the next one of its document, which ignores it."""
-    ws = workspace(spark, d)
-    b = stored(ws.blocks)
-    ws = ingest.Workspace(ws.documents, ws.versions, ws.heads, b)
+    """Decisions on the first two blocks of every document and the ones after them, which ignore these."""
+    ws = kept_workspace(spark, d)
+    b = ws.blocks
     following = b.select("doc_id", (F.col("ordinal") - 1).alias("ordinal"), F.col("element_id").alias("candidate_element_id"))
-    asked = b.select("doc_id", "ordinal", F.col("element_id").alias("source_element_id")).join(following, ["doc_id", "ordinal"], "left")
+    asked = b.where("ordinal < 2").select("doc_id", "ordinal", F.col("element_id").alias("source_element_id")).join(following, ["doc_id", "ordinal"], "left")
     asked = asked.select("source_element_id", F.coalesce("candidate_element_id", F.lit("none")).alias("candidate_element_id"), F.lit("ignored").alias("decision"))
     return matching.judged_decisions(ws, asked).select("source_element_id", "candidate_element_id", "verdict")
 
@@ -678,9 +683,8 @@ UNION ALL SELECT doc_id, element_id, unnest(list_filter([CASE WHEN doc_id % 5 =
 UNION ALL SELECT doc_id, element_id, unnest(list_filter(['incompatible', 'near_not_confirmed', CASE WHEN doc_id % 4 = 0 THEN 'text_differs' END, CASE WHEN doc_id % 13 = 5 THEN 'other_set' END], lambda x: x IS NOT NULL)) FROM n""")
 def e10(spark, d):
     """A request in every document: its heading is the source, and its first paragraph is a target, which it can't be."""
-    ws = workspace(spark, d)
-    b = stored(ws.blocks)
-    ws = ingest.Workspace(ws.documents, ws.versions, ws.heads, b)
+    ws = kept_workspace(spark, d)
+    b = ws.blocks
     heading, k = b.where("ordinal = 0"), F.col("doc_id")
     requests = heading.select(k.alias("request_id"), F.when(k % 13 == 5, "elsewhere").otherwise(F.col("set_id")).alias("set_id"), F.col("element_id").alias("source_element_id"))
     bases = heading.select(k.alias("request_id"), "doc_id", F.when(k % 3 == 0, "old").otherwise(F.col("version_id")).alias("base_version_id"))
@@ -732,8 +736,9 @@ def e5(spark, d):
 
 @query("e7_maintain_link_groups", _EDITED_GROUPS + "SELECT * FROM g")
 def e7(spark, d):
-    before = workspace(spark, d)
     after, _ = edited_workspace(spark, d)
+    before = workspace(spark, d)
+    before = ingest.Workspace(before.documents, before.versions, before.heads, after.blocks.where("version_id LIKE '%:1'"))
     old, new = matching.current_blocks(before), matching.current_blocks(after)
     diff = versions.version_diff(old.where("doc_id % 7 = 0"), new.where("doc_id % 7 = 0"), ["element_id"])
     return edits.maintain_link_groups(matching.exact_link_groups(old), new, versions.changed_hashes(diff))
