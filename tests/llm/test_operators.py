@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from by_hand import mixed_copies
 from pyspark.sql import functions as F
 
 from wordloom.llm import audio_fingerprint, exact_substring, jaccard_join, packing, queries
@@ -19,7 +20,7 @@ from wordloom.llm.common import word_count
 from wordloom.llm.exact_substring import exact_substring_dedup
 from wordloom.llm.jaccard_join import jaccard_components
 from wordloom.llm.line_dedup import line_dedup
-from wordloom.llm.lm_score import Model, Trainer, Vocabulary, fit, lm_scores, log_probabilities, sequences
+from wordloom.llm.lm_score import Model, Trainer, Vocabulary, fit, lm_scores, log_probabilities, padded
 from wordloom.llm.mixing import mix_sources, repeat_rows
 from wordloom.llm.packing import best_fit, pack_documents, reduce_by_dominance
 from wordloom.llm.quality_rules import quality_rules
@@ -166,6 +167,14 @@ def test_mixing(spark):
     assert mix_sources(table(spark, texts).limit(0)).count() == 0
 
 
+def test_mixing_by_hand(spark):
+    rnd = random.Random(12)
+    texts = [rnd.choice(["w ", "#w ", "x% & "]) * rnd.randint(0, 40) for _ in range(300)] + [None, "long " * 5000]
+    sources = [rnd.choice(["a", "a", "a", "b", "c", "d", None]) for _ in texts]
+    got = {r["doc_id"]: r["copies"] for r in mix_sources(table(spark, texts, sources), buckets=8).collect()}
+    assert got == mixed_copies([(i, t, s) for i, (t, s) in enumerate(zip(texts, sources))])
+
+
 def test_word_count(spark):
     got = [r["n"] for r in table(spark, odd_texts(6, 30)).orderBy("doc_id").select(word_count(F.col("text")).alias("n")).collect()]
     assert got == [len(BLANK.findall(t or "")) for t in odd_texts(6, 30)]
@@ -288,10 +297,9 @@ def test_lm_is_normalised():
     words = [b"w%d" % i for i in range(40)]
     v = Vocabulary({w: 60 - i for i, w in enumerate(words)}, 1000, 40, 30, 3, 4)
     m = Model(*(rng.normal(0, 1, s).astype(np.float32) for s in ((34, 6), (3, 6), (34, 6), 34, (v.groups + 4, 6), v.groups + 4)))
-    before = rng.integers(0, 34, (5, 3))
-    every = np.arange(34)
-    for b in before:
-        assert abs((10 ** log_probabilities(m, v, every, np.tile(b, (34, 1)))).sum() - 1) < 1e-4
+    for b in rng.integers(0, 34, (5, 3)):
+        runs = np.array([[*b, n] for n in range(34)]).ravel()
+        assert abs((10 ** log_probabilities(m, v, runs, np.tile([False, False, False, True], 34))).sum() - 1) < 1e-4
 
 
 def test_lm_learns_from_three_tokens():
@@ -301,11 +309,11 @@ def test_lm_learns_from_three_tokens():
     v = Vocabulary({b"w%d" % i: 1000 - i for i in range(100)}, 12_000, 100, 100, 1, 2)
     numbers = np.concatenate([np.full(100, 120.0), [1, 1]])
     m = Model.start(numbers, v.classes(), 8, 1)
-    target, before = sequences(texts, 100)
+    flat, real = padded(texts, 100)
     trainer = Trainer(m, numbers, v.classes(), batch=128)
     for _ in range(3):
-        trainer.run(target, before)
-    assert log_probabilities(m, v, target, before).mean() > -2 + 0.2
+        trainer.run(flat, real)
+    assert log_probabilities(m, v, flat, real).mean() > -2 + 0.2
 
 
 def test_lm_gains_on_held_out_texts(spark):

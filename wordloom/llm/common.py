@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import ctypes
 import tempfile
 import uuid
-from functools import cache
 
 import numpy as np
 from pyspark import Broadcast
@@ -108,21 +106,3 @@ class BitFilter:
         slot = values % self.bits
         return ((self.table.value[slot // 63] >> (slot % 63)) & 1) == 1
 
-
-@cache
-def one_thread() -> None:
-    """Keep matrix products in this Python worker on the core of its task; their own threads mostly wait for one another.
-
-    Workers get as many threads as an executor has cores, for each of its tasks. Where the library can't be found, they stay.
-    """
-    try:
-        with open("/proc/self/maps") as f:
-            paths = {line.split()[-1] for line in f if "openblas" in line}
-    except OSError:
-        return
-    for path in paths:
-        library = ctypes.CDLL(path)
-        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
-            if hasattr(library, name):
-                getattr(library, name)(1)
-                break
