@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
 from wordloom.operators import checks, edits, layout, matching, search, templates, versions
-from wordloom.sources import ingest
+from wordloom.sources import ingest, packages
 from wordloom.sources.store import new_folder, stored
 from wordloom.streaming import streams
 
@@ -96,6 +96,60 @@ def s1(spark, d):
     return workspace(spark, d).blocks.select("set_id", "doc_id", "element_id", "paragraph_index", "ordinal", "style", "text", "element_type")
 
 
+def made_packages(spark, d) -> DataFrame:
+    """A Word package of every document, a paragraph for each line; by rule some are no packages, cut or locked.
+
+    Every third one has a header with the document's number, which it shows in its only section.
+    """
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    import pyarrow as pa
+
+    space = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    paragraph = "<w:p><w:r><w:t>{}</w:t></w:r></w:p>"
+
+    def content(doc_id: int, text: str) -> bytes:
+        shown = "".join(c if c >= " " or c in "\t\n" else " " for c in text)
+        body = "".join(paragraph.format(escape(line)) for line in shown.split("\n"))
+        parts = {"[Content_Types].xml": "<Types/>"}
+        if doc_id % 3 == 0:
+            body += '<w:sectPr><w:headerReference w:type="default" r:id="rId1"/></w:sectPr>'
+            parts["word/_rels/document.xml.rels"] = '<Relationships><Relationship Id="rId1" Target="header1.xml"/></Relationships>'
+            parts["word/header1.xml"] = f"<w:hdr {space}>{paragraph.format(f'Document {doc_id}')}</w:hdr>"
+        if doc_id % 7 == 3:
+            parts.pop("[Content_Types].xml")
+        if doc_id % 7 == 4:
+            parts["EncryptedPackage"] = "x"
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, data in {**parts, "word/document.xml": f"<w:document {space}><w:body>{body}</w:body></w:document>"}.items():
+                z.writestr(name, data)
+        return b"" if doc_id % 7 == 2 else out.getvalue()[:40] if doc_id % 7 == 5 else out.getvalue()
+
+    def run(batches):
+        for batch in batches:
+            ids, texts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "text"))
+            paths = [f"doc-{i:08d}.{'pdf' if i % 7 == 1 else 'docx'}" for i in ids]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([content(i, t or "") for i, t in zip(ids, texts)], pa.binary())], names=["path", "content"])
+
+    docs = read(spark, d, "documents").where("doc_id IS NOT NULL").select("doc_id", "text")
+    return docs.mapInArrow(run, "path string, content binary")
+
+
+@query("s2_extract_docx", BLOCKS + """, k AS (SELECT doc_id, name, paragraph_index, text, ordinal + (doc_id % 3 = 0)::int AS place FROM blocks WHERE doc_id % 7 IN (0, 6)),
+e AS (SELECT name AS path, place::int AS "order", 'body_block_order:' || place || ':' || paragraph_index || ':' || paragraph_index || ':Normal' AS style, text FROM k)
+SELECT * FROM e UNION ALL SELECT 'doc-' || lpad(doc_id::varchar, 8, '0') || '.docx', 0, 'header_footer_order:0:0:header:0:default:0:rId1', 'Document ' || doc_id FROM documents WHERE doc_id % 7 IN (0, 6) AND doc_id % 3 = 0""")
+def s2(spark, d):
+    return packages.extract_docx(made_packages(spark, d))
+
+
+@query("s3_audit_packages", "SELECT 'doc-' || lpad(doc_id::varchar, 8, '0') || CASE WHEN doc_id % 7 = 1 THEN '.pdf' ELSE '.docx' END AS path, CASE doc_id % 7 WHEN 1 THEN 'DOC-001' WHEN 2 THEN 'DOC-002' WHEN 3 THEN 'DOC-003' WHEN 4 THEN 'DOC-004' WHEN 5 THEN 'DOC-002' ELSE 'OK' END AS code FROM documents")
+def s3(spark, d):
+    return packages.audit_packages(made_packages(spark, d))
+
+
 @query("s4_content_checksum", "SELECT doc_id, sha256(coalesce(text, '')) AS checksum FROM documents")
 def s4(spark, d):
     return workspace(spark, d).documents.select("doc_id", "checksum")
