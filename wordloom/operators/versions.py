@@ -78,10 +78,17 @@ def changed_hashes(diff: DataFrame) -> DataFrame:
 
 
 def history_events(operations: DataFrame, targets: DataFrame, versions: DataFrame) -> DataFrame:
-    """Per operation: how many targets and versions it has."""
-    t = targets.groupBy("operation_id").agg(F.count("*").alias("targets"))
-    v = versions.groupBy("operation_id").agg(F.count("*").alias("versions"))
-    return operations.join(t, "operation_id", "left").join(v, "operation_id", "left").withColumn("targets", F.coalesce("targets", F.lit(0))).withColumn("versions", F.coalesce("versions", F.lit(0)))
+    """Per operation: how many targets and versions it has, and which, in order.
+
+    targets: operation_id, element_id; versions: operation_id, version_id. An operation's own lists are gathered, which its
+    limit of targets bounds.
+    """
+    t = targets.groupBy("operation_id").agg(F.count("*").alias("targets"), F.sort_array(F.collect_list("element_id")).alias("target_elements"))
+    v = versions.groupBy("operation_id").agg(F.count("*").alias("versions"), F.sort_array(F.collect_list("version_id")).alias("version_ids"))
+    out = operations.join(t, "operation_id", "left").join(v, "operation_id", "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind.simpleString()}>"))
+    lists = {"target_elements": targets.schema["element_id"].dataType, "version_ids": versions.schema["version_id"].dataType}
+    return out.withColumns({"targets": F.coalesce("targets", F.lit(0)), "versions": F.coalesce("versions", F.lit(0)), **{k: none(F.col(k), t) for k, t in lists.items()}})
 
 
 def history_union(*events: DataFrame) -> DataFrame:

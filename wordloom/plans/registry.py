@@ -155,11 +155,11 @@ def s4(spark, d):
     return workspace(spark, d).documents.select("doc_id", "checksum")
 
 
-@query("s5_write_snapshot", BLOCKS + "SELECT set_id, count(*)::bigint AS blocks, count(DISTINCT doc_id)::bigint AS documents FROM blocks GROUP BY set_id")
+@query("s5_write_snapshot", BLOCKS + "SELECT set_id, version_id, element_id, ordinal::int AS ordinal, text, hash AS match_hash FROM blocks")
 def s5(spark, d):
     path = new_folder(spark)
     ingest.write_snapshot(workspace(spark, d).blocks, path)
-    return spark.read.parquet(path).groupBy("set_id").agg(F.count("*").alias("blocks"), F.countDistinct("doc_id").alias("documents"))
+    return spark.read.parquet(path).select("set_id", "version_id", "element_id", "ordinal", "text", "match_hash")
 
 
 @query("s6_bundle_manifest", """
@@ -878,11 +878,14 @@ def j12(spark, d):
     return edits.resolve_targets(t).select("event_id", "reason", "accepted")
 
 
-@query("a6_history_events", """SELECT doc_id AS operation_id, (CASE WHEN doc_id % 2 = 0 THEN 1 + doc_id % 3 ELSE 0 END)::bigint AS targets, (CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END)::bigint AS versions FROM documents""")
+@query("a6_history_events", """SELECT doc_id AS operation_id, (CASE WHEN doc_id % 2 = 0 THEN 1 + doc_id % 3 ELSE 0 END)::bigint AS targets, (CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END)::bigint AS versions,
+CASE WHEN doc_id % 2 = 0 THEN list_transform(range(0, 1 + doc_id % 3), lambda i: doc_id::varchar || ':' || i) ELSE [] END AS target_elements, CASE WHEN doc_id % 3 = 0 THEN [doc_id::varchar || ':2'] ELSE [] END AS version_ids FROM documents""")
 def a6(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("operation_id"))
-    t = docs.where("operation_id % 2 = 0").select("operation_id", F.explode(F.sequence(F.lit(0), (F.col("operation_id") % 3).cast("int"))))
-    return versions.history_events(docs, t, docs.where("operation_id % 3 = 0"))
+    place = F.explode(F.sequence(F.lit(0), (F.col("operation_id") % 3).cast("int")))
+    t = docs.where("operation_id % 2 = 0").select("operation_id", place.alias("i")).select("operation_id", F.concat_ws(":", F.col("operation_id").cast("string"), F.col("i").cast("string")).alias("element_id"))
+    v = docs.where("operation_id % 3 = 0").select("operation_id", F.concat(F.col("operation_id").cast("string"), F.lit(":2")).alias("version_id"))
+    return versions.history_events(docs, t, v)
 
 
 @query("u2_history_union", """WITH e AS (SELECT user_id % 5 AS set_id, 'legacy' AS kind, event_id, ts FROM events WHERE event_type = 'view' UNION ALL SELECT user_id % 5, 'operation', event_id, ts FROM events WHERE event_type = 'click')
@@ -1059,10 +1062,10 @@ def j11(spark, d):
 def st1(spark, d):
     source, out, mark = new_folder(spark), new_folder(spark), new_folder(spark)
     blocks = current(spark, d).select("set_id", "doc_id", "match_hash", "ordinal", "text")
-    blocks.write.parquet(source)
-    q = streams.stream_link_groups(spark.readStream.schema(blocks.schema).parquet(source), out, mark)
-    q.awaitTermination()
-    return streams.streamed_link_groups(spark.read.parquet(out))
+    blocks.repartition(4).write.parquet(source)
+    arriving = spark.readStream.schema(blocks.schema).option("maxFilesPerTrigger", 2).parquet(source)  # in two batches
+    streams.stream_link_groups(arriving, out, mark).awaitTermination()
+    return streams.streamed_link_groups(spark.read.parquet(f"{out}/groups"))
 
 
 @query("st2_stream_job_status", "SELECT user_id AS job_id, arg_max(event_type, ts) AS status, max(ts) AS updated_at, count(*)::bigint AS events FROM events GROUP BY user_id")
