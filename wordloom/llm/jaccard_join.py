@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import BitFilter, written
+from wordloom.llm.common import BitFilter, discard, written
 from wordloom.llm.graph import components
 
 REMEMBERED_WORDS = 400_000
@@ -247,6 +247,7 @@ def _linked(sets: DataFrame, percent: int, rare: int, block: int, load: int) ->
     ranked = tokens.join(often, "token").withColumn("rank", F.row_number().over(by_id.orderBy("df", "token"))).withColumn("alone", F.col("n") - F.count("*").over(by_id))
     lacking = F.col("n") + F.floor(-F.col("n") * percent / 100)
     prefix = written(ranked.where(F.col("rank") <= lacking + SHARED - F.col("alone")).select(F.col("token").alias("key"), "id", "n"), "token-prefixes")
+    discard(often)
 
     # stars first: most copies link with one of two documents of their tokens, the first and one drawn by a hash
     heads = prefix.groupBy("key").agg(F.min(F.struct("id", F.col("n").alias("m"))).alias("x"), F.min(F.struct(F.xxhash64("id").alias("h"), "id", F.col("n").alias("m"))).alias("y"), F.count("*").alias("k")).where("k > 1")
@@ -292,8 +293,9 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, n long, key binary, tokens array<long>"
     named_docs = slim.where(F.col("id").isNotNull())
-    heads = written(named_docs.mapInArrow(_shingled(size, percent), schema), "heads")
-    rows = heads.select("id", F.explode("tokens").alias("token"))
+    whole = written(named_docs.mapInArrow(_shingled(size, percent), schema), "filter-prefixes")
+    heads = written(whole.select("id", "n", "key"), "heads")
+    rows = whole.select("id", F.explode("tokens").alias("token"))
     counts = written(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token"), "repeated-tokens")
     lacking = lambda n: n + F.floor(-n * percent / 100)
     # a partner of a set of n tokens has at least percent * n / 100 of them, and so shares this many of its prefix
@@ -302,6 +304,8 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     filled = heads.select("id", "n", "key").where("n > 0")
     able = filled.join(hits, "id").where(F.col("hits") >= need)
     able = written(able.groupBy("key", "n").agg(F.min("id").alias("id")), "able")
+    discard(whole)
+    discard(counts)
     # whole sets of one document for each set that is left
     again = named_docs.mapInArrow(_whole_sets(size, BitFilter(able.select("id"), "id")), "id long, key binary, tokens array<long>")
     sets = written(again.join(able, ["id", "key"]).select("id", "n", "tokens", "key").dropDuplicates(["id", "key"]).drop("key"), "sets")
