@@ -44,8 +44,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered")
     found = jaccard_components(rows, id_col="row", size=5, percent=80).select("row", "component_id")
-    firsts = found.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row")).alias("first"))
-    return rows.join(firsts.select("first.row"), "row", "left_semi").select(*COLUMNS)
+    # documents alone in their component stay without meeting anything; what goes is written, so that its size is known
+    # when it is joined with the texts, and few rows are broadcast
+    found = written(found, "components")
+    shared = found.join(found.where("row <> component_id").select("component_id").distinct(), "component_id")
+    named = shared.join(rows.select("row", "doc_id"), "row")
+    firsts = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "row"))["row"].alias("first"))
+    gone = written(named.join(firsts, "component_id").where("row <> first").select("row"), "gone")
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
