@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import table, written
+from wordloom.llm.common import discard, table, written
 from wordloom.llm.jaccard_join import jaccard_components
 from wordloom.llm.line_dedup import line_dedup
 from wordloom.llm.mixing import mix_sources, repeat_rows
@@ -16,6 +16,26 @@ from wordloom.llm.queries import tokenizer_path
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+#: Tables that stages wrote for themselves, by application.
+_LEFT: dict[str, list[DataFrame]] = {}
+
+
+def _keep_until_read(table: DataFrame) -> DataFrame:
+    _LEFT.setdefault(table.sparkSession.sparkContext.applicationId, []).append(table)
+    return table
+
+
+def _tidy(docs: DataFrame) -> None:
+    """Delete what earlier stages wrote for themselves, once their results are written and this stage reads those."""
+    left = _LEFT.pop(docs.sparkSession.sparkContext.applicationId, [])
+    read = set(docs.inputFiles()) if left else set()
+    for table in left:
+        if read & set(table.inputFiles()):
+            _keep_until_read(table)
+        else:
+            discard(table)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go; null and empty texts are among them.
 
@@ -23,7 +43,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     its expressions are copied into one another many times over. Repeated rows stay or go together; other columns than
     those of documents are left behind; an empty table stays empty.
     """
-    judged = written(quality_rules(docs.select(*COLUMNS)).select(*COLUMNS, F.col("quality.kept").alias("kept")), "judged")
+    _tidy(docs)
+    judged = _keep_until_read(written(quality_rules(docs.select(*COLUMNS)).select(*COLUMNS, F.col("quality.kept").alias("kept")), "judged"))
     return judged.where("kept").select(*COLUMNS)
 
 
@@ -32,6 +53,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts become empty; rows with equal ids are one document; a text whose lines all go stays as an empty one.
     """
+    _tidy(docs)
     return line_dedup(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -42,7 +64,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     documents, and rows without an id are compared like others and come after those with one. Texts without words are
     linked with nothing and stay.
     """
-    rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered")
+    _tidy(docs)
+    rows = _keep_until_read(written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered"))
     found = jaccard_components(rows, id_col="row", size=5, percent=80).select("row", "component_id")
     # documents alone in their component stay without meeting anything; what goes is written, so that its size is known
     # when it is joined with the texts, and few rows are broadcast
@@ -57,12 +80,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as many times as the mix takes them; null sources are one source, texts without words are taken as their
     source's epochs say."""
+    _tidy(docs)
     return repeat_rows(mix_sources(docs.select(*COLUMNS))).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens and their places in sequences; every row is packed, repeated ones and those without an
     id or text too."""
+    _tidy(docs)
     return pack_documents(docs, tokenizer_path())
 
 
