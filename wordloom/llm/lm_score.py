@@ -61,9 +61,14 @@ class Vocabulary:
         self.total, self.distinct, self.rare = total, distinct, rare
         self.own = min(own, int((self.counts >= least).sum()))
         self.place = {w: i for i, w in enumerate(self.words)}
-        #: Own tokens of a class, and classes of own tokens.
-        self.width = max(1, math.isqrt(max(self.own - 1, 0)) + 1)
-        self.groups = -(-self.own // self.width)
+        # classes of own tokens hold equal parts of the roots of their shares, which makes the two products of a
+        # token, over the classes and over those of its class, smallest; as many classes as make both alike
+        root = np.cumsum(np.sqrt(self.counts[: self.own] / max(1, self.counts[: self.own].sum())))
+        part = root[-1] / max(1, round(root[-1])) if self.own else 1.0
+        _, group = np.unique(np.floor((root - 1e-9) / part), return_inverse=True)
+        self.groups = int(group.max()) + 1 if self.own else 0
+        #: Class -> its first own token; the end of the last one.
+        self.edges = np.searchsorted(group, np.arange(self.groups + 1))
 
     def number(self, word: bytes) -> int:
         i = self.place.get(word, self.own)
@@ -71,7 +76,14 @@ class Vocabulary:
 
     def classes(self) -> np.ndarray:
         """Number -> class: own tokens by frequency, then a class for each of the others' numbers."""
-        return np.concatenate([np.arange(self.own) // self.width, self.groups + np.arange(self.rare)]).astype(np.int64)
+        return np.concatenate([np.repeat(np.arange(self.groups), np.diff(self.edges)), self.groups + np.arange(self.rare)]).astype(np.int64)
+
+
+class _Places(dict):
+    """word -> place in the head of the counts, -1 for other words."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
 
 
 class _Numbers(dict):
@@ -111,27 +123,27 @@ class Model:
         scale = np.array([[1.0], [0.8], [0.6]], dtype=np.float32)[:REACH]
         return cls(draw(len(p)), np.broadcast_to(scale, (REACH, dim)).copy(), draw(len(p)) * 0.1, np.log(p).astype(np.float32), draw(len(q)) * 0.1, np.log(q).astype(np.float32))
 
-    def contexts(self, before: np.ndarray) -> np.ndarray:
-        """h for rows of the numbers of the tokens before, the nearest first."""
-        h = self.context[before[:, 0]] * self.position[0]
-        for k in range(1, REACH):
-            h += self.context[before[:, k]] * self.position[k]
+    def contexts(self, flat: np.ndarray) -> np.ndarray:
+        """h for each place of a run of numbers but the first REACH."""
+        e = self.context[flat]
+        n = len(flat) - REACH
+        h = e[REACH - 1 : REACH - 1 + n] * self.position[0]
+        for k in range(2, REACH + 1):
+            h += e[REACH - k : REACH - k + n] * self.position[k - 1]
         return h
 
 
-def sequences(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, tokens before) of texts as numbers; a text begins after ends."""
-    pad = np.full(REACH, end, dtype=np.int64)
-    flat = np.concatenate([x for t in texts for x in (pad, t)])
-    sizes = np.array([len(t) for t in texts])
-    at = np.arange(sizes.sum()) + np.repeat(np.arange(1, len(texts) + 1) * REACH, sizes)
-    return flat[at], np.stack([flat[at - k] for k in range(1, REACH + 1)], axis=1)
+def padded(texts: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """All texts as one run of numbers, REACH ends before each of them, and which places are tokens of a text."""
+    pad, no = np.full(REACH, end, dtype=np.int64), np.zeros(REACH, dtype=bool)
+    return np.concatenate([x for t in texts for x in (pad, t)]), np.concatenate([x for t in texts for x in (no, np.ones(len(t), dtype=bool))])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x = np.clip(x, -30, 30)
-    np.negative(x, out=x)
-    np.exp(x, out=x)
+    """1 / (1 + exp(-x)), in place; exp may overflow to infinity, which gives 0."""
+    with np.errstate(over="ignore"):
+        np.negative(x, out=x)
+        np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
@@ -156,76 +168,104 @@ class Trainer:
     def _move(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
         """Take a step on these rows, which may repeat; vectors are scaled by their own history."""
         order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort; numbers stay below 2^16
-        rows, gradient = rows[order], gradient[order]
+        rows = rows[order]
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        rows, summed = rows[first], np.add.reduceat(gradient, first, axis=0)
+        rows, summed = rows[first], np.add.reduceat(gradient[order], first, axis=0)
         x, grown = getattr(self.m, name), self.grown[name]
-        grown[rows] += (summed * summed).mean(1) if summed.ndim == 2 else summed * summed
+        grown[rows] += np.einsum("ij,ij->i", summed, summed) / summed.shape[1] if summed.ndim == 2 else summed * summed
         step = self.rate / np.sqrt(grown[rows])
         x[rows] -= summed * (step[:, None] if summed.ndim == 2 else step)
         self.moved[name][rows] += np.diff(np.append(first, len(order)))
 
-    def step(self, target: np.ndarray, before: np.ndarray) -> None:
+    def step(self, pieces: np.ndarray, real: np.ndarray) -> None:
+        """One step on pieces of text, REACH numbers of context before the tokens of each."""
         m = self.m
-        e = [m.context[before[:, k]] for k in range(REACH)]
-        h = e[0] * m.position[0]
+        e = m.context[pieces]
+        n = pieces.shape[1] - REACH
+        before = [slice(REACH - k, REACH - k + n) for k in range(1, REACH + 1)]
+        h = e[:, before[0]] * m.position[0]
         for k in range(1, REACH):
-            h += e[k] * m.position[k]
+            h += e[:, before[k]] * m.position[k]
+        shape, h = h.shape, h.reshape(-1, h.shape[2])
+        target, real = pieces[:, REACH:].ravel(), real.ravel().astype(np.float32)
         back = np.zeros_like(h)
         for (k, sums, odds, v, b), true in zip(self.levels, (target, self.classes[target])):
             vectors, biases = getattr(m, v), getattr(m, b)
             drawn = np.minimum(np.searchsorted(sums, self.rng.random(k)), len(odds) - 1)
             own, other = vectors[true], vectors[drawn]
-            g = _sigmoid(np.einsum("ij,ij->i", h, own) + biases[true] - odds[true]) - 1
-            n = _sigmoid(h @ other.T + (biases[drawn] - odds[drawn]))
-            back += g[:, None] * own + n @ other
+            g = (_sigmoid(np.einsum("ij,ij->i", h, own) + biases[true] - odds[true]) - 1) * real
+            noise = _sigmoid(h @ other.T + (biases[drawn] - odds[drawn]))
+            noise *= real[:, None]
+            own *= g[:, None]
+            back += own
+            back += noise @ other
             rows = np.concatenate([true, drawn])
-            self._move(v, rows, np.concatenate([g[:, None] * h, n.T @ h]))
-            self._move(b, rows, np.concatenate([g, n.sum(0)]))
+            self._move(v, rows, np.concatenate([h * g[:, None], noise.T @ h]))
+            self._move(b, rows, np.concatenate([g, noise.sum(0)]))
+        back = back.reshape(shape)
+        turned = np.zeros_like(e)
+        positions = np.empty_like(m.position)
         for k in range(REACH):
-            e[k] *= back
-        positions = np.stack([x.sum(0) for x in e])
+            positions[k] = np.einsum("ijk,ijk->k", e[:, before[k]], back)
+            turned[:, before[k]] += back * m.position[k]
         self._move("position", np.arange(REACH), positions)
-        self._move("context", before.T.ravel(), np.concatenate([back * m.position[k] for k in range(REACH)]))
-
-    def run(self, target: np.ndarray, before: np.ndarray) -> None:
-        """One pass over these tokens, in an order drawn anew."""
-        order = self.rng.permutation(len(target))
-        for lo in range(0, len(order), self.batch):
-            part = order[lo : lo + self.batch]
-            self.step(target[part], before[part])
-
-
-def log_probabilities(m: Model, vocabulary: Vocabulary, target: np.ndarray, before: np.ndarray, block: int = 32_768) -> np.ndarray:
-    """log10 of the normalised probability of each token, of its class where it is not the model's own."""
-    out = np.empty(len(target), dtype=np.float64)
-    v, classes = vocabulary, vocabulary.classes()
-    for lo in range(0, len(target), block):
-        t, h = target[lo : lo + block], m.contexts(before[lo : lo + block])
+        self._move("context", pieces.ravel(), turned.reshape(-1, turned.shape[2]))
+
+    def run(self, flat: np.ndarray, real: np.ndarray) -> None:
+        """One pass over a run of numbers, in pieces of up to 64 tokens whose order is drawn anew."""
+        size = min(64, self.batch)
+        n = -(-(len(flat) - REACH) // size)
+        spare = n * size + REACH - len(flat)
+        flat, real = np.append(flat, np.zeros(spare, dtype=np.int64)), np.append(real, np.zeros(spare, dtype=bool))
+        pieces = np.lib.stride_tricks.sliding_window_view(flat, size + REACH)[::size]
+        tokens_of = real[REACH:].reshape(n, size)
+        order = self.rng.permutation(n)
+        per = max(1, self.batch // size)
+        for lo in range(0, n, per):
+            part = order[lo : lo + per]
+            self.step(pieces[part], tokens_of[part])
+
+
+def log_probabilities(m: Model, vocabulary: Vocabulary, flat: np.ndarray, real: np.ndarray, block: int = 131_072) -> np.ndarray:
+    """log10 of the normalised probability of each token of a padded run, of its class where it is not the model's own."""
+    v, classes, out = vocabulary, vocabulary.classes(), []
+    # a column of ones brings the biases into the products
+    groups = np.vstack([m.group.T, m.offset])
+    own = np.vstack([m.token.T, m.bias])
+    longest = max(float(np.sqrt((x * x).sum(0).max(initial=0))) for x in (groups, own))
+    for lo in range(REACH, len(flat), block):
+        here = np.flatnonzero(real[lo : lo + block])
+        t = flat[lo : lo + block][here]
         c = classes[t]
-        score = np.empty(len(t), dtype=np.float32)
-        for a in range(0, len(t), 4096):
-            s = h[a : a + 4096] @ m.group.T + m.offset
-            mine = s[np.arange(len(s)), c[a : a + 4096]]
-            score[a : a + 4096] = mine - _log_sum(s)
-        order = np.argsort(c, kind="stable")
-        edges = np.searchsorted(c[order], np.arange(v.groups + 1))
+        order = np.argsort(c.astype(np.uint16), kind="stable")
+        h = m.contexts(flat[lo - REACH : lo + block])[here[order]]
+        h = np.hstack([h, np.ones((len(h), 1), dtype=np.float32)])
+        t, c, score = t[order], c[order], np.empty(len(t), dtype=np.float32)
+        # no score is beyond the product of two lengths; sums of such powers are far from both ends of a float
+        small = len(h) and float(np.sqrt((h * h).sum(1).max())) * longest < 60
+        for a in range(0, len(t), 512):  # of a size that stays in the processor's cache
+            s = h[a : a + 512] @ groups
+            score[a : a + 512] = s[np.arange(len(s)), c[a : a + 512]] - _log_sum(s, small)
+        edges = np.searchsorted(c, np.arange(v.groups + 1))
         for g in range(v.groups):
-            at = order[edges[g] : edges[g + 1]]
-            if len(at):
-                first, last = g * v.width, min((g + 1) * v.width, v.own)
-                s = h[at] @ m.token[first:last].T + m.bias[first:last]
-                score[at] += s[np.arange(len(at)), t[at] - first] - _log_sum(s)
-        out[lo : lo + block] = score
-    return out / LOG10
-
-
-def _log_sum(s: np.ndarray) -> np.ndarray:
+            first, last = v.edges[g], v.edges[g + 1]
+            for a in range(edges[g], edges[g + 1], 512):
+                b = min(a + 512, edges[g + 1])
+                s = h[a:b] @ own[:, first:last]
+                score[a:b] += s[np.arange(b - a), t[a:b] - first] - _log_sum(s, small)
+        back = np.empty(len(t), dtype=np.float64)
+        back[order] = score
+        out.append(back)
+    return np.concatenate(out) / LOG10 if out else np.empty(0)
+
+
+def _log_sum(s: np.ndarray, small: bool) -> np.ndarray:
     """log of the sum of exp over rows; overwrites s."""
+    if small:
+        return np.log(np.exp(s, out=s).sum(1))
     top = s.max(1, keepdims=True)
     s -= top
-    np.exp(s, out=s)
-    return np.log(s.sum(1)) + top[:, 0]
+    return np.log(np.exp(s, out=s).sum(1)) + top[:, 0]
 
 
 def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -258,20 +298,18 @@ def _count_words(folds: int, fold: int):
 
 
 def _chunks(texts: Iterator[list[bytes]], numbers: _Numbers, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(tokens, tokens before) of about ``size`` tokens at a time; a long text is cut, and its parts keep what was before."""
+    """Padded runs of at least ``size`` tokens, but the last one."""
     end = numbers.vocabulary.number(END)
     held: list[np.ndarray] = []
     k = 0
     for words in texts:
-        held.append(np.array([numbers[w] for w in words], dtype=np.int64))
+        held.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
         k += len(words)
         if k >= size:
-            target, before = sequences(held, end)
-            for lo in range(0, k, size):
-                yield target[lo : lo + size], before[lo : lo + size]
+            yield padded(held, end)
             held, k = [], 0
     if held:
-        yield sequences(held, end)
+        yield padded(held, end)
 
 
 #: Rows of a table of vectors that travel together.
@@ -291,13 +329,13 @@ def _train(start, epochs: int, batch: int, rate: float, folds: int, fold: int):
         trainer = Trainer(model, numbers, vocabulary.classes(), noise=(48, 16), batch=batch, rate=rate, seed=task)
         known = _Numbers(vocabulary)
         if epochs == 1:
-            for target, before in _chunks(_training_tokens(batches, folds, fold), known, 65_536):
-                trainer.run(target, before)
+            for flat, real in _chunks(_training_tokens(batches, folds, fold), known, 65_536):
+                trainer.run(flat, real)
         else:  # a bounded part, held in memory
             parts = list(_chunks(_training_tokens(batches, folds, fold), known, 65_536))
             for _ in range(epochs):
-                for target, before in parts:
-                    trainer.run(target, before)
+                for flat, real in parts:
+                    trainer.run(flat, real)
         for k, name in enumerate(Model.PARTS):
             weight = trainer.moved[name]
             first, now = getattr(start.value[1], name), getattr(model, name)
@@ -305,7 +343,7 @@ def _train(start, epochs: int, batch: int, rate: float, folds: int, fold: int):
             for lo in range(0, len(weight), BLOCK):
                 w = weight[lo : lo + BLOCK]
                 if w.any():
-                    row = [[k], [lo // BLOCK], [task % 64], [w.astype("<f4").tobytes()], [moves[lo : lo + BLOCK].astype("<f4").tobytes()]]
+                    row = [[k], [lo // BLOCK], [task % 16], [w.astype("<f4").tobytes()], [moves[lo : lo + BLOCK].astype("<f4").tobytes()]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["part", "block", "salt", "weight", "moves"])
 
     return run
@@ -338,9 +376,9 @@ def _summed(rows: DataFrame) -> DataFrame:
 
 
 def _moved(model: Model, rows: DataFrame) -> Model:
-    """The model with every vector moved by the mean of its moves; sums are made by 64 salts first, then of those."""
+    """The model with every vector moved by the mean of its moves; sums are made by 16 salts first, then of those."""
     out = Model(*(getattr(model, k).copy() for k in Model.PARTS))
-    for r in _summed(_summed(written(rows, "lm-moves")).withColumn("salt", F.lit(0))).toLocalIterator():
+    for r in _summed(_summed(rows).withColumn("salt", F.lit(0))).toArrow().to_pylist():
         x = getattr(out, Model.PARTS[r["part"]])
         weight = np.frombuffer(r["weight"], dtype="<f4")
         moves = np.frombuffer(r["moves"], dtype="<f4").reshape(len(weight), -1) / np.maximum(weight, 1)[:, None]
@@ -396,7 +434,7 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", folds:
     first = spark.sparkContext.broadcast((vocabulary, model, numbers))
     model = _moved(model, drawn.repartition(1).sortWithinPartitions("id", "text").mapInArrow(_train(first, 2, 512, 0.15, folds, fold), _MOVES))
     warmed = spark.sparkContext.broadcast((vocabulary, model, numbers))
-    model = _moved(model, slim.mapInArrow(_train(warmed, 1, 4096, 0.03, folds, fold), _MOVES))
+    model = _moved(model, slim.mapInArrow(_train(warmed, 1, 2048, 0.04, folds, fold), _MOVES))
     return Fitted(vocabulary, model, within, counts)
 
 
@@ -405,7 +443,7 @@ def _score(shared, folds: int, fold: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, model, within = shared.value
-        place, own, end = v.place, v.own, v.number(END)
+        own, end, place = v.own, v.number(END), _Places(v.place).__getitem__
         logs, logs_within = np.log10(v.counts + 1.0), np.log10(within)
         numbers = np.concatenate([np.arange(own), [v.number(w) for w in v.words[own:]]]).astype(np.int64)
         # of a class's probability: all of it for the model's own, the share of the counts for others
@@ -413,28 +451,27 @@ def _score(shared, folds: int, fold: int):
         bottom = math.log10(v.total + v.distinct + 1)
 
         def scored(ids: list, texts: list[list[bytes]]) -> pa.RecordBatch:
-            rare, known, base, model_part, rows = [], [], [], [], []
+            others, known, base, model_part, rows = [], [], [], [], []
             for words in texts:
-                at = np.array([place.get(w, -1) for w in words], dtype=np.int64)
+                at = np.fromiter(map(place, words), np.int64, len(words))
                 found = at[at >= 0]
                 n = np.empty(len(at), dtype=np.int64)
                 n[at >= 0] = numbers[found]
-                others: Counter[bytes] = Counter()
-                for i in np.flatnonzero(at < 0):
-                    n[i] = own + rare_class(words[i], v.rare)
-                    others[words[i]] += 1
+                odd = np.flatnonzero(at < 0).tolist()
+                n[odd] = [own + rare_class(words[i], v.rare) for i in odd]
+                others.append(Counter([words[i] for i in odd]))
                 rows.append(n)
                 known.append(len(found))
                 base.append(float(logs[found].sum()) - len(words) * bottom)
-                model_part.append(float(shares[found].sum() - logs_within[n[at < 0] - own].sum()))
-                rare.append([{"word": w, "k": k} for w, k in others.items()])
-            target, before = sequences(rows, end)
-            steps = log_probabilities(model, v, target, before)
+                model_part.append(float(shares[found].sum() - logs_within[n[odd] - own].sum()))
+            steps = log_probabilities(model, v, *padded(rows, end))
             sizes = np.array([len(x) for x in rows])
             sums = np.add.reduceat(steps, np.concatenate([[0], np.cumsum(sizes)[:-1]])) + model_part
+            ends = np.cumsum([0, *map(len, others)])
+            words = pa.array([w for x in others for w in x], pa.binary())
+            rare = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([words, pa.array([k for x in others for k in x.values()], pa.int32())], names=["word", "k"]))
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, id_type), pa.array([held_out(i, folds, fold) for i in ids], pa.bool_()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(sums, pa.float64()),
-                 pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int32())])))],
+                [pa.array(ids, id_type), pa.array([held_out(i, folds, fold) for i in ids], pa.bool_()), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(sums, pa.float64()), rare],
                 names=["id", "held_out", "n_tokens", "n_known", "base", "model", "rare"],
             )
 
@@ -445,7 +482,7 @@ def _score(shared, folds: int, fold: int):
                 ids.append(i)
                 texts.append(tokens(t.as_py()))
                 size += len(texts[-1])
-                if size >= 32_768:
+                if size >= 131_072:
                     yield scored(ids, texts)
                     ids, texts, size = [], [], 0
             if ids:
@@ -464,7 +501,7 @@ def lm_scores(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", f
 
     A null or empty text is its end alone. Rows with equal ids are scored each by itself. Other columns are left behind,
     whatever their names. Words with equal counts are ordered by their bytes; of those at the edge of the head all or none
-    are in it, and both ways have one result. A long text is scored whole, about 32,768 tokens at a time. An empty table
+    are in it, and both ways have one result. A long text is scored whole, about 131,072 tokens at a time. An empty table
     gives an empty table; without training texts every token is new.
 
     Scale: counts of all words stay in a table; the most frequent ones are broadcast, and the other words of a document
