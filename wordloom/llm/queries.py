@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.llm.audio_fingerprint import add_melody, align, fingerprints
-from wordloom.llm.common import table
+from wordloom.llm.common import table, word_count, words_of
+from wordloom.llm.conversation_repair import ConversationRepair
+from wordloom.llm.embedding_dedup import near_vectors
 from wordloom.llm.exact_substring import exact_substring_dedup
 from wordloom.llm.jaccard_join import jaccard_components
 from wordloom.llm.line_dedup import line_dedup
 from wordloom.llm.lm_score import lm_scores
 from wordloom.llm.mixing import NOISE, mix_sources
 from wordloom.llm.packing import pack_documents
+from wordloom.llm.periodic_runs import periodic_runs
 from wordloom.llm.quality_rules import STOP_WORDS, quality_rules
 from wordloom.llm.toxicity import toxicity_scores
 from wordloom.llm.url_filter import SOFT_LIMIT, SOFT_TERMS, STRICT_TERMS, url_filter
@@ -200,6 +203,59 @@ def op10_audio_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns dropped, emptied, cut, repeated or given to the user, by a hash of conversation and turn."""
+    spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = (F.crc32(F.concat(spaced("conv_id"), F.lit(":"), spaced("turn"))) % 20).alias("kind")
+    rows = turns.select("conv_id", "turn", spaced("role").alias("role"), spaced("text").alias("text"), kind).where("kind <> 0")
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    repair = ConversationRepair(damaged(turns))
+    plans = repair.plans()
+    digests = repair.digests(repair.repaired(plans)).withColumnRenamed("conv_id", "digest_of")
+    found = plans.join(digests, F.col("conv_id").eqNullSafe(F.col("digest_of")), "left").withColumnRenamed("conv_id", "found")
+    every = turns.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("found")), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def repetitive(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents, by a hash of the id, with a period of their words repeated from some word on."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    n = word_count(F.col("text"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, n).otherwise(0).alias("n"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    words = words_of(F.col("text"))
+    whole = F.slice(words, 1, F.col("a").cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice(words, (F.col("a") + 1).cast("int"), F.col("p").cast("int")), times))
+    text = F.array_join(F.concat(whole, F.slice(tail, 1, (F.col("n") - F.col("a")).cast("int"))), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = repetitive(table(spark, sf_dir, "documents", "doc_id", "text"))
+    found = periodic_runs(docs, keep_text=False)
+    # greatest length, then smallest start and period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.floor(F.lit(1000) * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), "collapsed_sha256",
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -218,6 +274,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_score": op8_lm_score,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_audio_fingerprint": op10_audio_fingerprint,
+        "op11_embedding_dedup": op11_embedding_dedup,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_periodic_runs": op13_periodic_runs,
         "pipeline": pipeline,
     }
 
