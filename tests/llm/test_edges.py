@@ -154,3 +154,32 @@ def test_vocabulary_against_a_plain_scan(spark):
     for u in set(urls):
         soft = [t for t in SOFT_TERMS if held(u, t)]
         assert got[u] == (sum(held(u, t) for t in STRICT_TERMS), len(soft), sum(SOFT_TERMS[t] for t in soft)), u
+
+
+def test_near_texts_with_text_ids(spark):
+    """Ids that aren't numbers: components by brute force, equal ids of different texts join theirs."""
+    base = [f"w{k}" for k in range(60)]
+    near = [*base[:30], "other", *base[31:]]
+    far = [f"v{k}" for k in range(40)]
+    rows = [("b", " ".join(base)), ("a", " ".join(near)), ("c", " ".join(far)), ("c", " ".join(near)), ("d", " ".join(far)), ("e", ""), ("e", None), (None, " ".join(base)), ("z", "lonely text of a few words")]
+    got = sorted(map(tuple, jaccard_components(spark.createDataFrame([(*r, 1) for r in rows], "own_id string, text string, row int"), id_col="own_id").collect()), key=str)
+    assert got == sorted([("b", 57, "a"), ("a", 57, "a"), ("c", 37, "a"), ("c", 57, "a"), ("d", 37, "a"), ("e", 0, "e"), ("e", 0, "e"), (None, 57, None), ("z", 3, "z")], key=str)
+
+
+@pytest.mark.parametrize("weight", [1.0, 0.5, 0.1])
+def test_no_range_of_keys_is_crowded(spark, weight):
+    """Whatever the weight, the range in which a budget ends has far less than a hundredth of its source."""
+    from wordloom.llm.mixing import uniform
+
+    keys = spark.range(40_000).select((-F.log(uniform(20, F.col("id"))) / weight).alias("key"))
+    most = keys.groupBy(F.floor(F.log2("key") * 1024)).count().agg(F.max("count")).first()[0]
+    assert most < 400 // 8
+
+
+def test_mixing_with_low_weights_by_hand(spark):
+    """A noisy source whose budget ends among crowded keys: the same documents as by hand."""
+    from by_hand import mixed_copies
+
+    rows = [(i, "# word " * (1 + i % 7), "ab"[i % 2] if i < 900 else "c") for i in range(1000)]
+    got = {r["doc_id"]: r["copies"] for r in mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == mixed_copies(rows)

@@ -104,3 +104,29 @@ def test_stages(spark, tmp_path):
             at += length
         assert at <= 4096
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(got[4])
+
+
+def test_results_of_a_stage_outlive_later_calls(spark, tmp_path):
+    """What a stage returned can still be read after the same stage, or a whole run, has worked on other rows."""
+    rows = documents()
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    docs, other = spark.createDataFrame(rows, schema), spark.createDataFrame(rows[:30], schema)
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        first = stage(spark, docs, "")
+        n = first.count()
+        stage(spark, other, "").count()
+        assert first.count() == n, name
+    one, two = corpus_pipeline.run(spark, str(tmp_path)), corpus_pipeline.run(spark, str(tmp_path))
+    assert one.count() == two.count() > 0
+
+
+def test_a_run_leaves_the_tables_of_its_last_stage_alone(spark, tmp_path):
+    import os
+
+    spark.createDataFrame(documents(), "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    top = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(top))
+    corpus_pipeline.run(spark, str(tmp_path))
+    new = set(os.listdir(top)) - before
+    assert len(new) == 1 and new.pop().endswith("-packing")

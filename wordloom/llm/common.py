@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark import Broadcast
@@ -19,6 +21,7 @@ LOWER = UPPER.lower()
 
 
 _OWN_DIRS: dict[str, str] = {}
+_SUBFOLDER = "wordloom.subfolder"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -40,23 +43,40 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN_DIRS[application]
 
 
+@contextmanager
+def subfolder(spark: SparkSession, name: str) -> Iterator[str]:
+    """Tables that this thread writes meanwhile go to a folder of this name in the shared one; gives its path."""
+    sc = spark.sparkContext
+    before = sc.getLocalProperty(_SUBFOLDER)
+    sc.setLocalProperty(_SUBFOLDER, name)
+    try:
+        yield f"{shared_dir(spark)}/{name}"
+    finally:
+        sc.setLocalProperty(_SUBFOLDER, before)
+
+
 def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it again.
 
     A lost executor then costs the tasks it ran, not the stages before the cut.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    inner = spark.sparkContext.getLocalProperty(_SUBFOLDER)
+    path = "/".join(x for x in (shared_dir(spark), inner, f"{label}-{uuid.uuid4().hex}") if x)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of written tables that nothing still to be computed reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a written table that nothing still to be computed reads."""
-    spark = table.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(table.sparkSession, folder)
 
 
 def named(column: str) -> Column:

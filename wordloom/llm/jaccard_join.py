@@ -278,7 +278,8 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     ``percent`` is 75 at least, as two different sets that link then share three tokens. Links between different sets are
     verified on the whole sets; documents with equal sets are one vertex.
 
-    Null and empty texts have no shingle and link with nothing. Rows with equal ids are one document if their sets are
+    Ids are of any type that has an order; those that aren't whole numbers have rows numbered beside them. Null and empty
+    texts have no shingle and link with nothing. Rows with equal ids are one document if their sets are
     equal, and else stand each for the id, which joins their components. A null id has no component. Ties in frequency
     are ordered by token. Other columns are left behind, whatever their names. An empty table gives an empty table. Texts
     of any length are taken whole; a task holds one long text and at most ``load`` tokens of others.
@@ -290,6 +291,8 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     """
     if percent < 75:
         raise ValueError("percent below 75: two sets that link may share less than three tokens")
+    if docs.schema[id_col].dataType.typeName() not in ("long", "integer", "short", "byte"):
+        return _by_number(docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text")), size, percent, rare, block, load).withColumnRenamed("own_id", id_col)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = "id long, n long, key binary, tokens array<long>"
     named_docs = slim.where(F.col("id").isNotNull())
@@ -319,3 +322,19 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     named = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"))
     unnamed = slim.where(F.col("id").isNull()).mapInArrow(_shingled(size, percent), schema)
     return named.unionByName(unnamed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
+
+
+def _by_number(docs: DataFrame, size: int, percent: int, rare: int, block: int, load: int) -> DataFrame:
+    """(own_id, text) with ids of any type: found by row number, and told by the smallest id of a component.
+
+    Components that rows of one id are in are one, as they are for whole numbers.
+    """
+    rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    found = written(jaccard_components(rows, "text", "row", size, percent, rare, block, load), "by-number")
+    placed = found.join(rows.select("row", "own_id"), "row")
+    firsts = placed.where("own_id IS NOT NULL").groupBy("own_id").agg(F.min("component_id").alias("b"))
+    joined = components(placed.join(firsts, "own_id").select(F.col("component_id").alias("a"), "b"))
+    placed = placed.join(joined, F.col("component_id") == F.col("v"), "left").select("own_id", "n_shingles", F.coalesce("comp", "component_id").alias("comp"))
+    names = placed.groupBy("comp").agg(F.min("own_id").alias("component_id"))
+    named = placed.join(names, "comp").select("own_id", "n_shingles", F.when(F.col("own_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return named

@@ -59,8 +59,10 @@ def mix_sources(
     budget is reached; the document that crosses it is taken if that ends nearer to it. ``copies`` is how often the mix
     takes the document and ``taken`` is copies * size, at most ``cap`` times the size.
 
-    The prefix sum never orders a whole source in one task: keys fall into ``buckets`` ranges, sizes are summed by source
-    and range, and only the range in which a source's budget ends is ordered, so a task orders about 1/buckets of a source.
+    The prefix sum never orders a whole source in one task: keys fall into ranges of their logarithm, ``buckets`` / 4 for
+    each doubling, sizes are summed by source and range, and only the range in which a source's budget ends is ordered.
+    Whatever the weights, a range of that width holds at most about 1/buckets of the documents of a source: of keys with
+    any one weight no more than ln(2) * 4 / (e * buckets) fall into it.
     The plan has a row for each source and is broadcast only if its counted rows are at most ``small_plan``.
 
     A null text has size 0 and is never worth taking twice; a null source is a source of its own, last in order; rows
@@ -73,14 +75,14 @@ def mix_sources(
     quality = quality_weight(text) if weight is None else weight
     u = uniform(seed, F.col(id_col))
     source = docs.select(F.struct(*(named(c) for c in docs.columns)).alias("row"), F.col(source_col).alias("src"), F.col(id_col).cast("string").alias("id"), word_count(text).alias("size"), (-F.log(u) / quality).alias("key"))
-    keyed = source.withColumn("range", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * buckets).cast("int"))
+    keyed = source.withColumn("range", F.floor(F.log2("key") * (buckets / 4)).cast("int"))
     light = written(keyed.select("src", "range", "size", "key", "id"), "mix-keys")
 
     sums = light.groupBy("src", "range").agg(F.sum("size").alias("n"))
     targets = source_targets(sums.groupBy("src").agg(F.sum("n").alias("source_size")), "src", weights, cap)
     epochs = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("source_size"), F.lit(0))), F.lit(0)).cast("long")
     targets = targets.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    # where the budget ends: at most `buckets` rows a source
+    # where the budget ends: some tens of thousands of rows a source at most
     running = W.partitionBy("src").orderBy("range")
     cut = (
         sums.withColumn("upto", F.sum("n").over(running))
