@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordloom.llm.common import discard, table, written
+from wordloom.llm.common import delete_folder, subfolder, table, written
 from wordloom.llm.jaccard_join import jaccard_components
 from wordloom.llm.line_dedup import line_dedup
 from wordloom.llm.mixing import mix_sources, repeat_rows
@@ -16,44 +18,24 @@ from wordloom.llm.queries import tokenizer_path
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-#: Tables that stages wrote for themselves, by application.
-_LEFT: dict[str, list[DataFrame]] = {}
-
-
-def _keep_until_read(table: DataFrame) -> DataFrame:
-    _LEFT.setdefault(table.sparkSession.sparkContext.applicationId, []).append(table)
-    return table
-
-
-def _tidy(docs: DataFrame) -> None:
-    """Delete what earlier stages wrote for themselves, once their results are written and this stage reads those."""
-    left = _LEFT.pop(docs.sparkSession.sparkContext.applicationId, [])
-    read = set(docs.inputFiles()) if left else set()
-    for table in left:
-        if read & set(table.inputFiles()):
-            _keep_until_read(table)
-        else:
-            discard(table)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go; null and empty texts are among them.
 
-    The verdict is written before it filters: a filter on it would be pushed below the projections that compute it, where
-    its expressions are copied into one another many times over. Repeated rows stay or go together; other columns than
-    those of documents are left behind; an empty table stays empty.
+    The filter also asks for a row number that is always there, as Spark pushes no filter below a row number: below the
+    projections that compute the verdict its expressions would be copied into one another many times over. Repeated rows stay or go together; very long texts are
+    judged whole; other columns than those of documents are left behind; an empty table stays empty.
     """
-    _tidy(docs)
-    judged = _keep_until_read(written(quality_rules(docs.select(*COLUMNS)).select(*COLUMNS, F.col("quality.kept").alias("kept")), "judged"))
-    return judged.where("kept").select(*COLUMNS)
+    judged = quality_rules(docs.select(*COLUMNS)).select(*COLUMNS, F.col("quality.kept").alias("kept"), F.monotonically_increasing_id().alias("number"))
+    return judged.where("kept AND number >= 0").select(*COLUMNS)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that several documents share stay in the first one alone; n_chars follows the text.
 
-    Null texts become empty; rows with equal ids are one document; a text whose lines all go stays as an empty one.
+    Null texts become empty; rows with equal ids are one document; a text whose lines all go stays as an empty one. Texts of
+    any length are split whole; ties go to the smallest id; other columns than those of documents are left behind; an
+    empty table stays empty.
     """
-    _tidy(docs)
     return line_dedup(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -62,10 +44,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows are told by numbers of their own: of copies with one id one stays, different texts with one id are different
     documents, and rows without an id are compared like others and come after those with one. Texts without words are
-    linked with nothing and stay.
+    linked with nothing and stay. Very long texts are compared whole, and an empty table stays empty.
     """
-    _tidy(docs)
-    rows = _keep_until_read(written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered"))
+    rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered")
     found = jaccard_components(rows, id_col="row", size=5, percent=80).select("row", "component_id")
     # documents alone in their component stay without meeting anything; what goes is written, so that its size is known
     # when it is joined with the texts, and few rows are broadcast
@@ -79,15 +60,13 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as many times as the mix takes them; null sources are one source, texts without words are taken as their
-    source's epochs say."""
-    _tidy(docs)
+    source's epochs say. A very long text is taken whole or not; an empty table stays empty."""
     return repeat_rows(mix_sources(docs.select(*COLUMNS))).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens and their places in sequences; every row is packed, repeated ones and those without an
-    id or text too."""
-    _tidy(docs)
+    id or text too. Very long texts are cut into pieces; an empty table gives an empty one."""
     return pack_documents(docs, tokenizer_path())
 
 
@@ -104,8 +83,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents, writing what each returns for the next one."""
-    docs = table(spark, sf_dir, "documents")
+    """Apply the stages to documents, writing what each returns for the next one.
+
+    Every stage of a run has a folder of its own in the shared one, for what it returns and what it writes on the way. It is
+    deleted once the next stage is written, as nothing reads it then; runs side by side don't meet.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with subfolder(spark, f"run-{uuid.uuid4().hex}-{name}") as folder:
+            docs = written(stage(spark, docs, sf_dir), name)
+        if before:
+            delete_folder(spark, before)
+        before = folder
     return docs
