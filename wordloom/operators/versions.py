@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,9 +58,31 @@ def lineage(versions: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def text_at_version(states: DataFrame, key: list[str], order: str, before: str, now: str) -> DataFrame:
-    """Replay backwards: at version v an element has the before-text of the first later version that touched it, else today's."""
-    later = W.partitionBy(*key).orderBy(order).rowsBetween(1, W.unboundedFollowing)
-    return states.withColumn("text_at_version", F.coalesce(F.first(before, ignorenulls=True).over(later), F.col(now)))
+    """Replay backwards: at version v an element has the before-text of the first later version that touched it, else today's.
+
+    Chains are dealt by ranges of (key, order), so that one of any length spreads over tasks. Within a range the last text
+    met going backwards is carried along; what a range carries on comes from the ranges after it, a row for each key and
+    range. Nothing is scanned twice. Null keys are keys; versions of one element with equal order get any order.
+    """
+    keys = [f"_k{i}" for i in range(len(key))]
+    named = states.withColumns({k: F.col(c) for k, c in zip(keys, key)} | {"_o": F.col(order)})
+    dealt = stored(named.repartitionByRange(*keys, F.desc("_o")).withColumn("_range", F.spark_partition_id()))
+    back = W.partitionBy(*keys, "_range").orderBy(F.desc("_o")).rowsBetween(W.unboundedPreceding, -1)
+    own = dealt.withColumn("_own", F.last(before, ignorenulls=True).over(back))
+    ends = dealt.where(F.col(before).isNotNull()).groupBy(*keys, "_range").agg(F.min_by(before, "_o").alias("_first"))
+    every = dealt.select(*keys, "_range").distinct().join(ends.withColumnsRenamed({k: f"_e{k}" for k in keys} | {"_range": "_r"}), _equal(keys, "_e") & (F.col("_range") == F.col("_r")), "left")
+    carried = F.last("_first", ignorenulls=True).over(W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    carried = every.select(*(F.col(k).alias(f"_c{k}") for k in keys), F.col("_range").alias("_r"), carried.alias("_carried")).where("_carried IS NOT NULL")
+    out = own.join(carried, _equal(keys, "_c") & (F.col("_range") == F.col("_r")), "left")
+    return out.select(*states.columns, F.coalesce("_own", "_carried", F.col(now)).alias("text_at_version"))
+
+
+def _equal(keys: list[str], prefix: str) -> Column:
+    """Columns equal those of the same names with a prefix; null equals null."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return out
 
 
 def version_diff(base: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

@@ -1060,12 +1060,22 @@ def j11(spark, d):
 
 @query("st1_stream_link_groups", BLOCKS + GROUPS + "SELECT * FROM g")
 def st1(spark, d):
-    source, out, mark = new_folder(spark), new_folder(spark), new_folder(spark)
-    blocks = current(spark, d).select("set_id", "doc_id", "match_hash", "ordinal", "text")
-    blocks.repartition(4).write.parquet(source)
-    arriving = spark.readStream.schema(blocks.schema).option("maxFilesPerTrigger", 2).parquet(source)  # in two batches
-    streams.stream_link_groups(arriving, out, mark).awaitTermination()
-    return streams.streamed_link_groups(spark.read.parquet(f"{out}/groups"))
+    """All documents arrive with half their lines and the first one twice, then as they are; of those divisible by five a
+    double arrives first and is removed."""
+    streams.with_state_store(spark)
+    source, changes, out = new_folder(spark), new_folder(spark), new_folder(spark)
+    whole = stored(current(spark, d).where("normalized_text <> ''").select("set_id", "doc_id", "match_hash", "ordinal", "text"))
+    early = whole.where("ordinal % 2 = 0").unionByName(whole.where("ordinal = 0"))
+    doubled = whole.where("doc_id % 5 = 0").withColumn("doc_id", -1 - F.col("doc_id"))
+    gone = doubled.select("set_id", "doc_id").distinct().select("set_id", "doc_id", *(F.lit(None).cast(whole.schema[c].dataType).alias(c) for c in ("match_hash", "ordinal", "text")))
+    state = {k: new_folder(spark) for k in ("changes", "groups")}
+    for snapshot, rows in ((1, early.unionByName(doubled)), (2, whole.unionByName(gone))):
+        rows.withColumn("snapshot", F.lit(snapshot)).repartition(4, "doc_id").write.mode("append").parquet(source)
+        arriving = spark.readStream.schema("set_id string, doc_id long, match_hash string, ordinal int, text string, snapshot int").parquet(source)
+        streams.stream_document_changes(arriving, changes, state["changes"]).awaitTermination()
+    changed = spark.readStream.schema(streams.CHANGE).parquet(changes)
+    streams.stream_link_groups(changed, out, state["groups"]).awaitTermination()
+    return streams.streamed_link_groups(spark.read.parquet(out))
 
 
 @query("st2_stream_job_status", "SELECT user_id AS job_id, arg_max(event_type, ts) AS status, max(ts) AS updated_at, count(*)::bigint AS events FROM events GROUP BY user_id")
