@@ -30,23 +30,59 @@ def _placed(blocks: DataFrame) -> DataFrame:
     return b.withColumn("header_footer_type", F.coalesce("header_footer_type", F.lit(""))).withColumn("phrase", F.array_join("tokens", " "))
 
 
+#: Fixed primes and bases of the two hashes of a run of words.
+_PRIMES, _BASES = (2_147_483_647, 2_147_483_629), (1_000_003, 998_244_353)
+
+
+def _code(word: Column, k: int) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(_PRIMES[k]))
+
+
+def _power(base: int, exponent: Column, prime: int) -> Column:
+    """base ** exponent modulo a prime, exponents below 2 ** 24: a table of powers for each of its three bytes."""
+    out = None
+    for shift in (0, 8, 16):
+        powers = F.array(*(F.lit(pow(base, digit << shift, prime)).cast("long") for digit in range(256)))
+        factor = F.get(powers, F.shiftright(exponent, shift).bitwiseAND(F.lit(255)).cast("int"))
+        out = factor if out is None else out * factor % prime
+    return out
+
+
+def _spelled(tokens: Column, k: int) -> Column:
+    """The hash of a block's words: each by its code, times the base for every word before it."""
+    return F.aggregate(F.reverse(tokens), F.lit(0).cast("long"), lambda h, w: (h * _BASES[k] + _code(w, k)) % _PRIMES[k])
+
+
+def _hashed_words(words: DataFrame) -> DataFrame:
+    """Words with their places on the page and, for each hash, the sum of all words of the page up to them."""
+    by_page = W.partitionBy("version_id", "page").orderBy("seq")
+    w = words.withColumn("token", F.lower("text")).withColumn("place", (F.row_number().over(by_page) - 1).cast("long"))
+    w = w.withColumn("starts", ~F.col("line").eqNullSafe(F.lag("line").over(by_page))).withColumn("ends", ~F.col("line").eqNullSafe(F.lead("line").over(by_page)))
+    w = w.withColumns({f"own{k}": _code(F.col("token"), k) * _power(_BASES[k], F.col("place"), _PRIMES[k]) % _PRIMES[k] for k in (0, 1)})
+    return w.withColumns({f"upto{k}": F.sum(f"own{k}").over(by_page.rowsBetween(W.unboundedPreceding, 0)) for k in (0, 1)})
+
+
 def align_phrases(blocks: DataFrame, words: DataFrame) -> DataFrame:
     """Runs of a page's words that spell a block, begin and end at line boundaries, and stand where its type may.
 
-    blocks: version_id, element_id, ordinal, element_type, normalized_text; words: version_id, page (1..), seq (0..), line,
-    text, y0, y1, page_height. First words are joined by equality; the run is then compared on the page's token array.
+    blocks: version_id, element_id, ordinal, element_type, normalized_text; words: version_id, page (1..), seq (0.. without
+    gaps), line, text, y0, y1, page_height. A run is two numbers, the difference of its ends' prefix hashes brought back to
+    the page's first place; runs from a line's beginning to a line's end that are as long as some block of the version meet
+    the blocks by equality of version, length and both numbers, which tells words apart by 62 bits within a version. No
+    array of a page's words is made. Pages have less than 2 ** 24 words.
     """
-    b = _placed(blocks).withColumn("first", F.get("tokens", F.lit(0)))
-    by_page = W.partitionBy("version_id", "page").orderBy("seq")
-    w = words.withColumn("token", F.lower("text")).withColumn("starts", ~F.col("line").eqNullSafe(F.lag("line").over(by_page))).withColumn("ends", ~F.col("line").eqNullSafe(F.lead("line").over(by_page)))
-    pages = w.groupBy("version_id", "page").agg(F.sort_array(F.collect_list(F.struct("seq", "token", "ends", F.col("y1").alias("bottom")))).alias("p"))
-    heads = w.where("starts").select("version_id", "page", "seq", F.col("token").alias("first"), F.col("y0").alias("top"), "page_height")
-    met = b.join(heads, ["version_id", "first"]).join(pages, ["version_id", "page"])
-    run = F.slice(F.col("p"), F.col("seq") + 1, F.col("n"))
-    last = F.element_at(run, -1)
-    hit = (F.transform(run, lambda x: x["token"]) == F.col("tokens")) & last["ends"]
-    allowed = in_zone(F.col("element_type"), F.col("header_footer_type"), (F.col("top") + last["bottom"]) / 2 / F.col("page_height"), F.col("page"))
-    return met.where(hit & allowed).select("version_id", "element_id", "ordinal", "element_type", "header_footer_type", "page", "seq", "n", "phrase")
+    b = _placed(blocks).withColumns({f"h{k}": _spelled(F.col("tokens"), k) for k in (0, 1)})
+    w = _hashed_words(words)
+    before = {f"before{k}": F.col(f"upto{k}") - F.col(f"own{k}") for k in (0, 1)}
+    heads = w.where("starts").withColumns(before).select("version_id", "page", "seq", "place", F.col("y0").alias("top"), "page_height", "before0", "before1")
+    tails = w.where("ends").select("version_id", "page", F.col("place").alias("last"), F.col("y1").alias("bottom"), "upto0", "upto1")
+    lengths = b.select("version_id", "n").distinct()
+    runs = heads.join(lengths, "version_id").withColumn("last", F.col("place") + F.col("n") - 1).join(tails, ["version_id", "page", "last"])
+    back = lambda k: _power(pow(_BASES[k], -1, _PRIMES[k]), F.col("place"), _PRIMES[k])
+    runs = runs.withColumns({f"h{k}": (F.col(f"upto{k}") - F.col(f"before{k}")) % _PRIMES[k] * back(k) % _PRIMES[k] for k in (0, 1)})
+    met = runs.drop("place", "last", "before0", "before1", "upto0", "upto1").join(b, ["version_id", "n", "h0", "h1"])
+    allowed = in_zone(F.col("element_type"), F.col("header_footer_type"), (F.col("top") + F.col("bottom")) / 2 / F.col("page_height"), F.col("page"))
+    return met.where(allowed).select("version_id", "element_id", "ordinal", "element_type", "header_footer_type", "page", "seq", "n", "phrase")
 
 
 def resolve_ambiguity(candidates: DataFrame, blocks: DataFrame) -> DataFrame:

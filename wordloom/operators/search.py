@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.functions.text import fold
+from wordloom.functions.text import fold, normalise_text
+from wordloom.sources.store import stored
 
-#: Folded queries of one search. They are literals of the plan; more of them are searched in several runs.
+#: As many folded queries at most are literals of one pass over the blocks; more of them meet the blocks under n-grams.
 MOST_QUERIES = 256
+#: Characters of an n-gram; queries of two characters have one of two.
+GRAM = 3
 _UNITS = re.compile(r"\s+|\S")
 
 
@@ -77,21 +80,60 @@ def snippet(text: Column, start: Column, end: Column, radius: int = 72) -> Colum
     return F.struct(F.concat(F.when(cut_l, "…").otherwise(""), b).alias("before"), F.substr(text, start + 1, end - start).alias("match"), F.concat(a, F.when(cut_r, "…").otherwise("")).alias("after"))
 
 
-def search(blocks: DataFrame, queries: DataFrame, radius: int = 72) -> DataFrame:
-    """(query, text) hits of all queries in all blocks, numbered in each block from 1.
+def _grams(text: Column, size: int) -> Column:
+    """The distinct n-grams of a text: its characters beside those that follow them."""
+    characters = F.split(text, "")
+    beside = F.arrays_zip(*(F.slice(characters, k + 1, F.greatest(F.size(characters) - size + 1, F.lit(0))).alias(f"c{k}") for k in range(size)))
+    return F.array_distinct(F.transform(beside, lambda g: F.concat(*(g[f"c{k}"] for k in range(size)))))
 
-    Queries are folded first; shorter than two characters they find nothing. They are literal. At most ``MOST_QUERIES``
-    are taken at once (more raise an error); they become literals of one pass over the blocks, which looks for them in
-    the normal form, so that no join is needed. Only blocks found there are searched for places: plain ones with few hits
-    in the JVM, others in Arrow batches.
-    """
-    asked = [r["query"] for r in queries.select("query").where("query IS NOT NULL").distinct().limit(MOST_QUERIES + 1).collect()]
-    if len(asked) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries: search in several runs")
+
+def _met_by_literals(blocks: DataFrame, asked: list[str]) -> DataFrame:
+    """Blocks with the queries that their normal form contains, in one pass without a join."""
     pairs = sorted((q, n) for q in asked if len(n := fold(q)) >= 2)
     literals = F.array(*(F.struct(F.lit(q).alias("query"), F.lit(n).alias("needle")) for q, n in pairs)) if pairs else F.array().cast("array<struct<query:string,needle:string>>")
     met = blocks.withColumn("_q", F.explode(F.filter(literals, lambda q: F.contains(F.col("normalized_text"), q["needle"]))))
-    met = met.select("_q.query", "_q.needle", "set_id", "doc_id", "name", "element_id", "ordinal", "text")
+    return met.select("_q.query", "_q.needle", *_BLOCK)
+
+
+def _met_by_grams(blocks: DataFrame, queries: DataFrame) -> DataFrame:
+    """The same for a table of queries of any size: a query meets the blocks that hold its rarest n-gram, and is verified.
+
+    Only n-grams of queries leave a block, and only chosen ones are shuffled with its text. Counting them is one more pass,
+    and combines within tasks. A block meets a query once, as its n-grams are distinct.
+    """
+    asked = queries.select("query").where("query IS NOT NULL").distinct()
+    needles = stored(asked.select("query", normalise_text(F.col("query")).alias("needle")).where(F.length("needle") >= 2))
+    size = F.least(F.length("needle"), F.lit(GRAM))
+    met = []
+    for k in range(2, GRAM + 1):
+        own = needles.where(size == k)
+        if own.isEmpty():
+            continue
+        grams = own.select("query", "needle", F.explode(_grams(F.col("needle"), k)).alias("gram"))
+        wanted = grams.select("gram").distinct()
+        held = blocks.select(F.explode(_grams(F.col("normalized_text"), k)).alias("gram"))
+        often = held.join(wanted, "gram").groupBy("gram").agg(F.count("*").alias("n"))
+        # a query with an n-gram that no block has is found nowhere
+        counted = grams.join(often, "gram", "left").groupBy("query", "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
+        chosen = stored(counted.where("rarest.n > 0").select("query", "needle", F.col("rarest.gram").alias("gram")))
+        postings = blocks.select(*_BLOCK, "normalized_text", F.explode(_grams(F.col("normalized_text"), k)).alias("gram"))
+        met.append(postings.join(chosen, "gram").where(F.contains("normalized_text", F.col("needle"))).select("query", "needle", *_BLOCK))
+    return reduce(DataFrame.unionByName, met) if met else _met_by_literals(blocks, [])
+
+
+_BLOCK = ("set_id", "doc_id", "name", "element_id", "ordinal", "text")
+
+
+def search(blocks: DataFrame, queries: DataFrame, radius: int = 72, literals: int = MOST_QUERIES) -> DataFrame:
+    """(query, text) hits of all queries in all blocks, numbered in each block from 1.
+
+    Queries are folded first; shorter than two characters they find nothing. They are taken word for word, in any number:
+    up to ``literals`` of them are looked for in one pass over the blocks, more are joined by their rarest n-gram. Both look
+    in the normal form. Only blocks found there are searched for places: plain ones with few hits in the JVM, others in
+    Arrow batches.
+    """
+    asked = [r["query"] for r in queries.select("query").where("query IS NOT NULL").distinct().limit(literals + 1).collect()]
+    met = _met_by_literals(blocks, asked) if len(asked) <= literals else _met_by_grams(blocks, queries)
     # summing pieces costs the square of their number, so only few are summed
     steady = is_steady(F.col("text")) & (F.size(_pieces(F.col("text"), F.col("needle"))) <= 64)
     slow = F.udf(occurrences, "array<struct<start:int,end:int>>", useArrow=True)

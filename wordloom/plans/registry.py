@@ -612,6 +612,18 @@ def x1(spark, d):
     return hits(spark, d).select("query", "element_id", "occurrence", "start", "end")
 
 
+_EACH_WORD = BLOCKS + r""", t AS (SELECT DISTINCT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]{9,}')) AS query FROM benchmark)
+SELECT query, count(*)::bigint AS blocks, count(DISTINCT doc_id)::bigint AS documents FROM t JOIN blocks ON contains(norm, query) GROUP BY query"""
+
+
+@query("x7_search_benchmark_words", _EACH_WORD)
+def x7(spark, d):
+    """A table of queries: every long word of every benchmark passage, in how many blocks and documents it is found."""
+    words = read(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z]{9,}"), 0)).alias("query"))
+    found = search.search(current(spark, d), words, literals=0).where("occurrence = 1")
+    return found.groupBy("query").agg(F.count("*").alias("blocks"), F.count_distinct("doc_id").alias("documents"))
+
+
 @query("x3_snippet", _SNIPPETS)
 @query("x5_snippet_all_texts", _SNIPPETS)
 def x3(spark, d):
