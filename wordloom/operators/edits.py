@@ -168,7 +168,8 @@ def restore_version(ws: Workspace, requests: DataFrame) -> tuple[Workspace, Data
     """Make old versions current again as new ones (max + 1); requests: doc_id, version_id, expected (the current one).
 
     The parent is the version that was current. Stale, current and foreign requests are rejected and change nothing;
-    the second table says for each request whether it was taken.
+    the second table says for each request whether it was taken, and the version it made (``restores`` of these rows tells
+    a history where versions come from).
     """
     known = ws.versions.select("version_id", F.col("doc_id").alias("owner"))
     current = ws.heads.select("doc_id", F.col("version_id").alias("head"), "revision")
@@ -182,7 +183,12 @@ def restore_version(ws: Workspace, requests: DataFrame) -> tuple[Workspace, Data
     made = ok.join(old, "version_id").select("set_id", "doc_id", F.col("new_version").alias("version_id"), F.col("head").alias("parent_version_id"), F.col("number").alias("version_number"), "checksum")
     moved = ok.select("doc_id", F.col("new_version").alias("version_id"), (F.col("revision") + 1).alias("revision"))
     heads = ws.heads.join(moved.select("doc_id"), "doc_id", "left_anti").unionByName(moved)
-    return Workspace(ws.documents, ws.versions.unionByName(made), heads, ws.blocks.unionByName(copied)), judged.select("doc_id", "version_id", "verdict")
+    return Workspace(ws.documents, ws.versions.unionByName(made), heads, ws.blocks.unionByName(copied)), judged.join(ok.select("doc_id", "version_id", F.col("new_version").alias("new_version_id")), ["doc_id", "version_id"], "left").select("doc_id", "version_id", "verdict", "new_version_id")
+
+
+def restores(verdicts: DataFrame) -> DataFrame:
+    """(version_id, restored_from): the versions that requests made, and the ones they copied."""
+    return verdicts.where("new_version_id IS NOT NULL").select(F.col("new_version_id").alias("version_id"), F.col("version_id").alias("restored_from"))
 
 
 def maintain_link_groups(groups: DataFrame, blocks: DataFrame, changed: DataFrame) -> DataFrame:
@@ -190,6 +196,16 @@ def maintain_link_groups(groups: DataFrame, blocks: DataFrame, changed: DataFram
     return groups.join(changed, "match_hash", "left_anti").unionByName(exact_link_groups(blocks.join(changed, "match_hash", "left_semi")).select(*groups.columns))
 
 
+def remove_sets(ws: Workspace, gone: DataFrame) -> Workspace:
+    """A workspace without some sets (set_id, null for the set of documents without one) and all that hangs on them: their
+    documents with every version, head and block. Sets that aren't there change nothing."""
+    sets = gone.select(F.col("set_id").alias("_gone")).distinct()
+    documents = ws.documents.join(sets, F.col("set_id").eqNullSafe(F.col("_gone")), "left_anti")
+    removed = ws.documents.join(sets, F.col("set_id").eqNullSafe(F.col("_gone")), "left_semi").select("doc_id")
+    kept = lambda df: df.join(removed, "doc_id", "left_anti").select(*df.columns)
+    return Workspace(documents, kept(ws.versions), kept(ws.heads), kept(ws.blocks))
+
+
 def remove_documents(ws: Workspace, gone: DataFrame, least: int = 2) -> DataFrame:
     """Documents left after a removal; a set that would keep fewer than ``least`` keeps all."""
     marked = ws.documents.join(gone.select("doc_id", F.lit(True).alias("gone")), "doc_id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))

@@ -800,6 +800,31 @@ def e5(spark, d):
     return matching.current_blocks(after).join(made, "version_id").select("version_id", "parent_version_id", "element_id", "text")
 
 
+_RESTORED = """WITH c AS (SELECT doc_id, doc_id % 7 = 0 AND regexp_matches(coalesce(text, ''), '\\S') AS e FROM documents),
+v AS (SELECT doc_id, 1 AS n, NULL AS origin FROM c UNION ALL SELECT doc_id, 2, NULL FROM c WHERE e UNION ALL SELECT doc_id, 3, doc_id::varchar || ':1' FROM c WHERE e AND doc_id % 14 = 0)
+SELECT doc_id, doc_id::varchar || ':' || n::varchar AS version_id, n = max(n) OVER (PARTITION BY doc_id) AS is_current, origin AS restored_from_version_id, CASE WHEN origin IS NOT NULL THEN 1 END AS restored_from_version_number FROM v"""
+
+
+@query("o4_restored_history", _RESTORED)
+def o4(spark, d):
+    """The history of all documents after an edit and a restore, with where restored versions come from."""
+    ws, _ = edited_workspace(spark, d)
+    v = lambda n: F.concat(F.col("doc_id").cast("string"), F.lit(f":{n}"))
+    requests = ws.versions.where("version_number = 2").select("doc_id", v(1).alias("version_id"), F.when(F.col("doc_id") % 14 == 0, v(2)).otherwise(v(1)).alias("expected"))
+    after, verdicts = edits.restore_version(ws, requests)
+    history = versions.version_history(after.versions, after.heads, edits.restores(verdicts))
+    return history.select("doc_id", "version_id", "is_current", "restored_from_version_id", "restored_from_version_number")
+
+
+@query("e18_remove_sets", BLOCKS + """, r AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL AND doc_id % 5 = 0 AND length(source) <= 4)
+SELECT element_id, version_id FROM blocks WHERE set_id IS NULL OR set_id NOT IN (SELECT source FROM r)""")
+def e18(spark, d):
+    """Some sets are deleted with their documents, versions, heads and blocks."""
+    gone = read(spark, d, "documents").where("source IS NOT NULL AND doc_id % 5 = 0 AND length(source) <= 4").select(F.col("source").alias("set_id"))
+    left = edits.remove_sets(workspace(spark, d), gone)
+    return matching.current_blocks(left).select("element_id", "version_id")
+
+
 @query("e7_maintain_link_groups", _EDITED_GROUPS + "SELECT * FROM g")
 def e7(spark, d):
     after, _ = edited_workspace(spark, d)
