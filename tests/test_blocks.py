@@ -80,6 +80,16 @@ def test_edit_then_restore_is_identity(spark):
     restored, verdicts = edits.restore_version(edited, ask)
     assert {r["doc_id"]: r["verdict"] for r in verdicts.collect()} == {0: "ok", 1: "foreign", 2: "current"}
     assert sorted(matching.current_blocks(restored).select("element_id", "text").collect()) == sorted(before)
+    assert [tuple(r) for r in edits.restores(verdicts).collect()] == [("0:3", "0:1")]
+    history = versions.version_history(restored.versions, restored.heads, edits.restores(verdicts)).where("restored_from_version_id IS NOT NULL")
+    assert [(r["version_id"], r["restored_from_version_id"], r["restored_from_version_number"]) for r in history.collect()] == [("0:3", "0:1", 1)]
+    log = edits.audit_targets(ws, targets, "op").collect()
+    assert [(r["operation_id"], r["base_version_id"], r["after_text"]) for r in log] == [("op", "0:1", "changed")]
+    gone = edits.remove_sets(restored, restored.documents.where("doc_id = 0").select("set_id"))
+    for t in (gone.documents, gone.versions, gone.heads, gone.blocks):
+        assert t.join(restored.documents.where("doc_id = 0").select("doc_id"), "doc_id").count() == 0
+    none = edits.remove_sets(restored, spark.createDataFrame([("nowhere",)], "set_id string"))
+    assert none.blocks.count() == restored.blocks.count() and none.versions.count() == restored.versions.count()
     groups = matching.exact_link_groups(matching.current_blocks(ws))
     assert [(g["members"], g["documents"]) for g in groups.collect()] == [(2, 2)]
     assert matching.exact_link_groups(matching.current_blocks(edited)).count() == 0

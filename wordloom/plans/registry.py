@@ -783,6 +783,14 @@ def e3(spark, d):
     return matching.current_blocks(ws).where("doc_id % 7 = 0").select("version_id", "element_id", "ordinal", "text", "normalized_text", "match_hash")
 
 
+@query("e17_audit_targets", BLOCKS + "SELECT 'edit-1' AS operation_id, doc_id, element_id, version_id AS base_version_id, text AS before_text, text || ' (edited)' AS after_text FROM blocks WHERE doc_id % 7 = 0 AND ordinal = 0")
+def e17(spark, d):
+    """The log that is written with an edit: a row for each of its targets."""
+    ws = kept_workspace(spark, d)
+    targets = ws.blocks.where("doc_id % 7 = 0 AND ordinal = 0").select("element_id", F.concat("text", F.lit(" (edited)")).alias("replacement"))
+    return edits.audit_targets(ws, targets, "edit-1").drop("ordinal")
+
+
 @query("e4_commit_versions", "WITH c AS (SELECT doc_id, doc_id % 7 = 0 AND regexp_matches(coalesce(text, ''), '\\S') AS e FROM documents) SELECT doc_id, doc_id::varchar || ':1' AS version_id, NULL::varchar AS parent_version_id, 1 AS version_number, NOT e AS is_current FROM c UNION ALL SELECT doc_id, doc_id::varchar || ':2', doc_id::varchar || ':1', 2, true FROM c WHERE e")
 def e4(spark, d):
     ws, _ = edited_workspace(spark, d)
