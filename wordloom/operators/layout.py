@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wordloom.sources.store import stored
+
 
 def word_tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
@@ -143,29 +144,38 @@ def mapping_coverage(matches: DataFrame, boxes: DataFrame | None = None) -> Data
     return out.withColumn("status", F.when(F.col("mapped") == 0, "failed").when(F.col("mapped") < F.col("total"), "partial").otherwise("completed"))
 
 
-def _filled(capacity: int):
-    @F.pandas_udf("array<int>")
-    def pages(lists: pd.Series) -> pd.Series:
-        out = []
-        for units in lists:
-            page, used, here = 1, 0, []
-            for u in units:
-                if used > 0 and used + u > capacity:
-                    page, used = page + 1, 0
-                used += u
-                here.append(page)
-            out.append(here)
-        return pd.Series(out, dtype="object")
-
-    return pages
-
-
 def paginate(blocks: DataFrame, key: list[str], order: str, units: str, capacity: int = 18) -> DataFrame:
-    """Greedy pages: a block opens a new one if it doesn't fit any more. A fold over each document's array of units."""
-    listed = blocks.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).cast("bigint").alias("o"), F.col(units).cast("int").alias("u")))).alias("list"))
-    filled = listed.withColumn("pages", _filled(capacity)(F.transform("list", lambda x: x["u"])))
-    rows = F.zip_with("list", "pages", lambda x, p: F.struct(x["o"].alias(order), p.alias("page")))
-    return filled.select(*key, F.explode(rows).alias("x")).select(*key, f"x.{order}", "x.page")
+    """Greedy pages: a block opens a new one if it doesn't fit any more; what a page holds first always fits.
+
+    Every block gets a pointer to the block that would open the next page if it opened one itself, found among the prefix
+    sums of units. Pages are the blocks that pointers reach from the first one, with distances doubling, so a document of p
+    pages takes about log2(p) joins for all documents at once; steps are written. No document is gathered: its rows are
+    sorted, which spills. Null keys are keys, orders are unique within them; units are 0 at least, null ones are 0.
+    """
+    by = W.partitionBy("k").orderBy("o")
+    rows = blocks.select(F.struct(*key).alias("k"), F.col(order).cast("bigint").alias("o"), F.coalesce(F.col(units).cast("bigint"), F.lit(0)).alias("u"))
+    rows = stored(rows.withColumn("upto", F.sum("u").over(by.rowsBetween(W.unboundedPreceding, 0))).withColumn("after", F.lead("o").over(by)))
+    # a page that opens here is full at the first block whose sum is above this; of equal numbers the question comes first
+    asks = rows.select("k", "o", (F.col("upto") - F.col("u") + capacity).alias("at"), F.lit(0).alias("kind"))
+    marks = asks.unionByName(rows.select("k", "o", F.col("upto").alias("at"), F.lit(1).alias("kind")))
+    down = W.partitionBy("k").orderBy(F.desc("at"), "kind").rowsBetween(W.unboundedPreceding, 0)
+    full = marks.withColumn("full", F.min(F.when(F.col("kind") == 1, F.col("o"))).over(down)).where("kind = 0 AND full IS NOT NULL").select("k", "o", "full")
+    # and not before a block that takes room stands on it
+    back = W.partitionBy("k").orderBy(F.desc("o")).rowsBetween(W.unboundedPreceding, 0)
+    begun = rows.select("k", "o", F.last(F.when(F.col("u") > 0, F.struct("after")), ignorenulls=True).over(back)["after"].alias("begun")).where("begun IS NOT NULL")
+    jump = stored(full.join(begun, ["k", "o"]).select("k", "o", F.greatest("full", "begun").alias("next")))
+    reached = stored(rows.groupBy("k").agg(F.min("o").alias("o")))
+    known = reached.count()
+    while True:
+        reached = stored(reached.unionByName(reached.join(jump, ["k", "o"]).select("k", F.col("next").alias("o"))).distinct())
+        if (now := reached.count()) == known:
+            break
+        known = now
+        far = jump.select("k", F.col("o").alias("next"), F.col("next").alias("far"))
+        jump = stored(jump.join(far, ["k", "next"]).select("k", "o", F.col("far").alias("next")))
+    opened = rows.select("k", "o").join(reached.withColumn("opens", F.lit(1)), ["k", "o"], "left")
+    page = F.sum(F.coalesce("opens", F.lit(0))).over(by.rowsBetween(W.unboundedPreceding, 0)).cast("int")
+    return opened.select(*(F.col(f"k.{c}").alias(c) for c in key), F.col("o").alias(order), page.alias("page"))
 
 
 def header_footer_usages(sections: DataFrame) -> DataFrame:
