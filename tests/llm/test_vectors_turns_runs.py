@@ -98,7 +98,7 @@ def test_more_items_have_wider_tables_and_more_of_them():
     assert small.width < large.width and small.tables < large.tables
 
 
-def test_recall_on_the_embeddings_of_the_check(spark):
+def test_recall_of_pairs_at_the_threshold(spark):
     """Vectors at the threshold itself: at least nine of ten links are found, and none below it."""
     rnd = np.random.default_rng(6)
     rows = []
