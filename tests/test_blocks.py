@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import text as T
 from wordloom.operators import edits, layout, matching, search, templates, versions
-from wordloom.sources.ingest import ingest_blocks
+from wordloom.sources.ingest import Workspace, ingest_blocks, typed_blocks, with_structure
 
 
 def one(spark, column):
@@ -95,6 +95,25 @@ def test_edit_then_restore_is_identity(spark):
     assert matching.exact_link_groups(matching.current_blocks(edited)).count() == 0
 
 
+def test_edits_carry_formatting(spark):
+    none = F.lit(None).cast("map<string,string>")
+    ws = corpus(spark, [("s", "Head\nplain\nmore")])
+    bold = F.create_map(F.lit("bold"), F.lit("true"))
+    kept = ws.blocks.withColumn("style", F.when(F.col("ordinal") == 2, "body_order:7:List Bullet").otherwise(F.col("style"))).withColumn("alignment", F.lit("right"))
+    kept = with_structure(typed_blocks(kept).withColumn("ops", F.array(F.struct(F.col("text").alias("insert"), bold.alias("attributes")), F.struct(F.lit("\n").alias("insert"), none.alias("attributes")))))
+    header = F.create_map(F.lit("header"), F.lit("12"))
+    shape = F.when(F.col("ordinal") == 2, header)
+    delta = F.array(F.struct(F.lit("new").alias("insert"), none.alias("attributes")), F.struct(F.lit("\n").alias("insert"), shape.alias("attributes")))
+    targets = kept.select("element_id", F.lit("new").alias("replacement"), F.when(F.col("ordinal") != 1, delta).alias("ops"))
+    after = edits.apply_edit(Workspace(ws.documents, ws.versions, ws.heads, kept), targets)
+    got = {r["ordinal"]: r for r in matching.current_blocks(after).collect()}
+    assert [(got[i]["style"], got[i]["element_type"], got[i]["alignment"]) for i in range(3)] == [("Normal", "paragraph", "left"), ("Normal", "paragraph", "right"), ("body_order:7:Heading 9", "heading", "left")]
+    assert got[1]["ops"][0]["attributes"] == {"bold": "true"} and got[0]["ops"][0]["attributes"] is None
+    again = {r["ordinal"]: r["structure_hash"] for r in with_structure(matching.current_blocks(after).drop("structure_hash")).collect()}
+    assert again == {i: r["structure_hash"] for i, r in got.items()}
+    assert got[1]["match_hash"] == got[0]["match_hash"] != got[2]["match_hash"]
+
+
 def test_replay_and_context(spark):
     df = spark.createDataFrame([(1, 1, None, "now"), (1, 2, "t1", "now"), (1, 3, None, "now"), (1, 4, "t3", "now")], "k int, v int, before string, now string")
     got = [r["text_at_version"] for r in versions.text_at_version(df, ["k"], "v", "before", "now").orderBy("v").collect()]

@@ -220,23 +220,40 @@ def test_lineage_to_the_end(spark):
     assert got == want
 
 
+def one_by_one(rows, numbering):
+    """unique_name of each (set, upload, name), file by file."""
+    first, form = {"copy": (1, " ({})"), "output": (2, "-{}")}[numbering]
+    taken, out = {}, []
+    for s, _, name in rows:
+        name = name or ""
+        dot = name.rfind(".") if "." in name.lstrip(".") else len(name)
+        names, n, new = taken.setdefault(s, set()), first, name
+        while new.casefold() in names:
+            new = name[:dot] + form.format(n) + name[dot:]
+            n += 1
+        names.add(new.casefold())
+        out.append(new)
+    return out
+
+
 @pytest.mark.parametrize("numbering", ["copy", "output"])
 def test_unique_names(spark, numbering):
     rnd = random.Random(6)
     pool = ["R.docx", "r.DOCX", "R (1).docx", "R (1) (1).docx", "R-2.docx", "Q", "q", ".hidden", "S.txt", "S.txt", "S.txt", None, "R (2).docx", "Straße.x", "STRASSE.x"]
-    rows = [(rnd.choice(["a", None]), i, rnd.choice(pool)) for i in range(120)]
+    odd = ["R (01).docx", "R (0).docx", "R-1.docx", "R-1-2.docx", "R-2-2.docx", "T.", "T (1).", "T. (1)", "R (99999999999999999999).docx", " (1)", "..", "N\n (1)", "N\n", "R (7).docx", "R (4).docx", "R-5.docx", "R-4.docx", "R (2) (1).docx"]
+    rows = [(rnd.choice(["a", None, "b"]), i, rnd.choice(pool + odd)) for i in range(400)]
     got = {r["upload"]: r["unique_name"] for r in checks.unique_names(spark.createDataFrame(rows, "set_id string, upload long, name string"), numbering).collect()}
-    taken, want = {}, {}
-    for s, i, name in rows:
-        name = name or ""
-        dot = name.rfind(".") if "." in name.strip(".") else len(name)
-        names, n, new = taken.setdefault(s, set()), {"copy": 1, "output": 2}[numbering], name
-        while new.casefold() in names:
-            new = name[:dot] + (f" ({n})" if numbering == "copy" else f"-{n}") + name[dot:]
-            n += 1
-        names.add(new.casefold())
-        want[i] = new
-    assert got == want
+    assert got == {i: new for (_, i, _), new in zip(rows, one_by_one(rows, numbering))}
+
+
+def test_unique_names_of_files_that_come_with_many_numbers(spark):
+    rnd = random.Random(9)
+    rows = [("s", i, "a.txt" if rnd.random() < 0.5 else f"A ({int(rnd.paretovariate(0.4)) % 500}).txt") for i in range(1_500)]
+    got = {r["upload"]: r["unique_name"] for r in checks.unique_names(spark.createDataFrame(rows, "set_id string, upload long, name string")).collect()}
+    assert got == {i: new for (_, i, _), new in zip(rows, one_by_one(rows, "copy"))}
+    equal = spark.createDataFrame([("s", 1, "b")] * 3 + [("s", 2, "b (2)")], "set_id string, upload long, name string")
+    assert sorted(r["unique_name"] for r in checks.unique_names(equal).collect()) == ["b", "b (1)", "b (2)", "b (2) (1)"]
+    assert checks.unique_names(equal.where("false")).count() == 0
 
 
 def test_backfill(spark):

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,47 +88,91 @@ def unsupported_diagnostics(blocks: DataFrame) -> DataFrame:
     return blocks.where("reason IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("blocks"))
 
 
-#: ` (n)` for copies of uploads, `-n` from 2 on for outputs of templates.
-NUMBERINGS = {"copy": (" ({n})", r"(?: \(\d+\))+$", 1), "output": ("-{n}", r"(?:-\d+)+$", 2)}
+#: ` (n)` for copies of uploads, `-n` from 2 on for outputs of templates: text before and after a number, the first one.
+NUMBERINGS = {"copy": (" (", ")", 1), "output": ("-", "", 2)}
+
+
+def _stepped_over(waiting: DataFrame) -> DataFrame:
+    """Numbers that copies step over: (set_id, key, n, r) -> (set_id, key, free), free being how many below n they don't.
+
+    r copies of a name came before the file that has its number n. If they step over s lower numbers, copy n - s comes to
+    n, and finds it taken unless it is one of those r. So s is carried along the numbers of a name: rows pass once, in
+    order, and nothing but s is kept.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, s = None, 0
+        for batch in batches:
+            rows, free = [], []
+            for i, (of, key, n, r) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("set_id", "key", "n", "r")))):
+                at, s = (at, s) if at == (of, key) else ((of, key), 0)
+                if s < n - r:
+                    s += 1
+                    rows.append(i)
+                    free.append(n - s)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows, pa.int64())) for c in ("set_id", "key")), pa.array(free, pa.int64())], names=["set_id", "key", "free"])
+
+    kind = waiting.schema["set_id"].dataType.simpleString()
+    return waiting.repartition("set_id", "key").sortWithinPartitions("set_id", "key", "n").select("set_id", "key", "n", "r").mapInArrow(walk, f"set_id {kind}, key string, free long")
+
+
+def _number(copies: DataFrame, later: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Copies with their numbers, and (set_id, key) of the names of ``later`` files that are given to copies before they come."""
+    of = ["set_id", "key"]
+    within = lambda df, keys: df.join(keys.select(F.col("set_id").alias("_s"), F.col("key").alias("_k")).distinct(), F.col("set_id").eqNullSafe(F.col("_s")) & (F.col("key") == F.col("_k")), "left_semi")
+    came = later.where("n >= 1").groupBy("set_id", F.col("parent").alias("key"), "n").agg(F.min(F.struct("upload", "name")).alias("came"), F.min("key").alias("own_key"))
+    came = stored(within(came, copies))
+    near = within(copies, came).withColumn("crowded", F.lit(True))
+    times = near.select(*of, "upload", "name", F.lit(None).cast("long").alias("n")).unionByName(came.select(*of, "came.upload", "came.name", "n"))
+    placed = numbered(times, of, [(F.col("upload"), True), (F.col("name"), True)], "p").where("n IS NOT NULL")
+    waiting = numbered(placed, of, [(F.col("p"), True)], "m").withColumn("r", F.col("p") - F.col("m"))
+    steps = stored(_stepped_over(waiting))
+    rest = ["upload", "name", "stem", "ext"]
+    # a number that is stepped over with f free ones below it comes before copy f + 1
+    line = near.select(*of, *rest, F.col("copy").alias("at"), F.lit(0).alias("step")).unionByName(steps.select(*of, F.col("free").alias("at"), F.lit(1).alias("step")), allowMissingColumns=True)
+    crowded = numbered(line, of, [(F.col("at"), True), (F.col("step"), True)], "number").where("step = 0").select(*of, *rest, "number")
+    alone = copies.join(came.select(F.col("set_id").alias("_s"), F.col("key").alias("_k")).distinct(), F.col("set_id").eqNullSafe(F.col("_s")) & (F.col("key") == F.col("_k")), "left_anti")
+    taken = crowded.select(F.col("set_id").alias("_s"), F.col("key").alias("_k"), F.col("number").alias("_n"))
+    given = came.join(taken, F.col("set_id").eqNullSafe(F.col("_s")) & (F.col("key") == F.col("_k")) & (F.col("n") == F.col("_n")), "left_semi")
+    return alone.select(*of, *rest, F.col("copy").alias("number")).unionByName(crowded), given.select("set_id", F.col("own_key").alias("key"))
 
 
 def unique_names(files: DataFrame, numbering: str = "copy") -> DataFrame:
     """(set_id, upload, name) -> unique_name: a name that an earlier file of the set has gets the first free number.
 
-    Names are told without regard to case; earlier is by upload, then name. Only names whose stems are equal once their
-    numbers are taken off, a family, can clash. A family without a numbered name is numbered by places, which are counted
-    by ranges, so that a hot name spreads over tasks. A family in which a file came with a number of its own is settled
-    file by file, in a group of its own. A null set is a set; a null name is empty.
+    Names are told without regard to case; earlier is by upload, then name. A file may come with a number of its own, such
+    as ``a (2)``: copies of ``a`` step over that number from then on, and if one has got it before, the file is a copy of
+    that name. What a copy gets depends on names that end in fewer numbers only, so names are settled by how many they
+    end in, from none up. Places among copies, and among copies and numbers stepped over, are counted by ranges, so that a
+    hot name spreads over tasks. The number goes before the last dot that isn't among the first characters. A null set is
+    a set; a null name is empty; equal rows get names of their own.
     """
-    suffix, pattern, first = NUMBERINGS[numbering]
+    before, after, first = NUMBERINGS[numbering]
+    one = re.escape(before) + r"([1-9][0-9]{0,17})" + re.escape(after)
     name = F.coalesce(F.col("name"), F.lit(""))
-    dotted = F.regexp_replace(name, r"^\.+|\.+$", "").contains(".")
-    cut = F.when(dotted, F.length(name) - F.instr(F.reverse(name), ".")).otherwise(F.length(name))
+    cut = F.when(F.ltrim(name, F.lit(".")).contains("."), F.length(name) - F.instr(F.reverse(name), ".")).otherwise(F.length(name))
     stem, ext = F.substr(name, F.lit(1), cut), F.substr(name, cut + 1)
-    bare = F.regexp_replace(stem, pattern, "")
-    rows = files.select("set_id", "upload", name.alias("name"), stem.alias("stem"), ext.alias("ext"), fold_case(F.concat(bare, F.lit("\0"), ext)).alias("family"), (bare != stem).cast("int").alias("own"))
-    rows = stored(rows)
-    mixed = rows.groupBy("set_id", "family").agg(F.max("own").alias("own")).where("own = 1").select(F.col("set_id").alias("s"), F.col("family").alias("f"))
-    in_mixed = F.col("set_id").eqNullSafe(F.col("s")) & (F.col("family") == F.col("f"))
-    plain = numbered(rows.join(mixed, in_mixed, "left_anti"), ["set_id", "family"], [(F.col("upload"), True), (F.col("name"), True)], "place")
-    before, after = suffix.split("{n}")
-    number = F.concat(F.lit(before), (F.col("place") - 2 + first).cast("string"), F.lit(after))
-    plain = plain.select("set_id", "upload", "name", F.when(F.col("place") == 1, F.col("name")).otherwise(F.concat("stem", number, "ext")).alias("unique_name"))
-    types = ", ".join(f"{c} {files.schema[c].dataType.simpleString()}" for c in ("set_id", "upload"))
-
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        group, names = group.sort_values(["upload", "name"]), []
-        following: dict[str, int] = {}
-        for name, stem, ext in zip(group["name"], group["stem"], group["ext"]):
-            new, key = name, name.casefold()
-            while new.casefold() in taken:
-                n = following.get(key, first)  # names are never given back, so lower numbers stay taken
-                following[key] = n + 1
-                new = stem + suffix.format(n=n) + ext
-            taken.add(new.casefold())
-            names.append(new)
-        return group.assign(unique_name=names)[["set_id", "upload", "name", "unique_name"]]
-
-    settled = rows.join(mixed, in_mixed, "left_semi").groupBy("set_id", "family").applyInPandas(settle, f"{types}, name string, unique_name string")
-    return plain.unionByName(settled)
+    number = F.regexp_extract("stem", one + r"\z", 1).try_cast("long") - (first - 1)
+    ending = F.regexp_extract("stem", f"(?:{one})+\\z", 0)
+    rows = files.select("set_id", "upload", name.alias("name"), stem.alias("stem"), ext.alias("ext"), fold_case(name).alias("key"))
+    rows = rows.withColumn("n", number).withColumn("parent", fold_case(F.concat(F.regexp_replace("stem", one + r"\z", ""), "ext")))
+    rows = stored(rows.withColumn("level", F.size(F.regexp_extract_all(ending, F.lit(one), F.lit(1)))))
+    most = rows.agg(F.max("level")).first()[0]
+    made, given = [], None
+    for level in range(0 if most is None else most + 1):
+        mine = rows.where(F.col("level") == level)
+        if given is None:
+            mine = mine.withColumn("free", F.lit(1))
+        else:
+            names = given.select(F.col("set_id").alias("_s"), F.col("key").alias("_k"))
+            mine = mine.join(names, F.col("set_id").eqNullSafe(F.col("_s")) & (F.col("key") == F.col("_k")), "left").withColumn("free", F.col("_k").isNull().cast("int")).drop("_s", "_k")
+        placed = numbered(mine, ["set_id", "key"], [(F.col("upload"), True), (F.col("name"), True)], "place").withColumn("copy", F.col("place") - F.col("free"))
+        copies = placed.where("copy > 0")
+        if level < most:
+            copies, given = _number(stored(copies), rows.where(F.col("level") == level + 1))
+        else:
+            copies = copies.withColumn("number", F.col("copy"))
+        new = F.concat("stem", F.lit(before), (F.col("number") + (first - 1)).cast("string"), F.lit(after), "ext")
+        made += [placed.where("copy = 0").withColumn("unique_name", F.col("name")), copies.withColumn("unique_name", new)]
+    made = [x.select("set_id", "upload", "name", "unique_name") for x in made] or [rows.select("set_id", "upload", "name", F.col("name").alias("unique_name"))]
+    return reduce(DataFrame.unionByName, made)

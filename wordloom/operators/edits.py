@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wordloom.functions.text import delta_violations
+from wordloom.functions.text import alignment_of, delta_violations, delta_with_replacement, restyled
 from wordloom.operators.checks import unique_names
 from wordloom.operators.matching import KIND, THRESHOLD, compatible, current_blocks, exact_link_groups, latest_decisions, similarity
-from wordloom.sources.ingest import Workspace, ingest_blocks, typed_blocks
+from wordloom.sources.ingest import Workspace, ingest_blocks, typed_blocks, with_structure
 
 MAX_TARGETS, MAX_CHARS = 500, 20_000
 
@@ -140,14 +140,28 @@ def apply_edit(ws: Workspace, targets: DataFrame, mode: str = "shared") -> Works
 
     Targeted blocks get the new text, normal form and hash, the others of these documents are copied; ids and ordinals
     stay. ``override`` detaches the targets. Heads move on, revisions count up, parents are the bases.
+
+    Targets may have deltas (column ops, null for none), whose newline states the block's format: it sets style, type and
+    alignment. Blocks that keep deltas get the target's, or their own with the new text in its first format; alignment and
+    structure_hash are kept up where blocks have them.
     """
     touched = ws.blocks.join(ws.heads.select("version_id"), "version_id", "left_semi").join(targets.select("element_id", "replacement"), "element_id").select("doc_id").distinct()
     bases = ws.heads.join(touched, "doc_id", "left_semi").join(ws.versions.select("version_id", "version_number"), "version_id").select("doc_id", F.col("version_id").alias("base"), "version_number", "revision")
     numbered = bases.withColumn("new_version", F.concat(F.col("doc_id").cast("string"), F.lit(":"), (F.col("version_number") + 1).cast("string")))
-    old = ws.blocks.join(numbered.select(F.col("base").alias("version_id"), "new_version"), "version_id").join(targets.select("element_id", "replacement"), "element_id", "left")
+    formatted = "ops" in targets.columns
+    given = targets.select("element_id", "replacement", *([F.col("ops").alias("_ops")] if formatted else []))
+    old = ws.blocks.join(numbered.select(F.col("base").alias("version_id"), "new_version"), "version_id").join(given, "element_id", "left")
     state = F.when(F.col("replacement").isNotNull(), F.lit("detached" if mode == "override" else "shared")).otherwise(F.col("shared_state"))
     lines = old.withColumn("version_id", F.col("new_version")).withColumn("text", F.coalesce("replacement", "text")).withColumn("shared_state", state)
-    made = typed_blocks(lines).select(*ws.blocks.columns)
+    if formatted:
+        lines = lines.withColumn("style", restyled(F.col("style"), F.col("_ops")))
+    if "ops" in ws.blocks.columns:
+        own = F.when(F.col("replacement").isNotNull(), delta_with_replacement(F.col("ops"), F.col("replacement"))).otherwise(F.col("ops"))
+        lines = lines.withColumn("ops", F.coalesce("_ops", own) if formatted else own)
+    if formatted and "alignment" in ws.blocks.columns:
+        lines = lines.withColumn("alignment", F.coalesce(alignment_of(F.col("_ops")), "alignment"))
+    typed = typed_blocks(lines)
+    made = (with_structure(typed) if "structure_hash" in ws.blocks.columns else typed).select(*ws.blocks.columns)
     new_versions = numbered.join(ws.documents.select("doc_id", "set_id"), "doc_id").select(
         "set_id", "doc_id", F.col("new_version").alias("version_id"), F.col("base").alias("parent_version_id"), (F.col("version_number") + 1).alias("version_number"), F.lit(None).cast("string").alias("checksum")
     )

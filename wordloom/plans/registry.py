@@ -783,6 +783,32 @@ def e3(spark, d):
     return matching.current_blocks(ws).where("doc_id % 7 = 0").select("version_id", "element_id", "ordinal", "text", "normalized_text", "match_hash")
 
 
+_FORMATTED = _RUNS + """, f AS (SELECT *, doc_id % 7 = 0 AND ordinal IN (0, 1, 4) AS hit, doc_id % 7 = 0 AND ordinal IN (0, 4) AS given FROM r2),
+f1 AS (SELECT doc_id, element_id, CASE WHEN hit THEN text || ' (edited)' ELSE text END AS text, CASE WHEN hit THEN norm || ' (edited)' ELSE norm END AS norm,
+  CASE WHEN given AND ordinal = 0 THEN 'List Bullet 3' ELSE style END AS style, CASE WHEN given AND ordinal = 0 THEN 'list_item' ELSE element_type END AS element_type,
+  CASE WHEN given AND ordinal = 0 THEN '"center"' WHEN given THEN '"left"' ELSE 'null' END AS aligned,
+  CASE WHEN hit THEN 2 WHEN NOT whole OR rest = '' THEN 2 ELSE 3 END AS n_ops, CASE WHEN given THEN false ELSE whole END AS bold, ordinal, given FROM f)
+SELECT doc_id::varchar || ':2' AS version_id, element_id, text, style, element_type, sha256(element_type || chr(0) || norm) AS match_hash, n_ops::int AS n_ops, bold,
+  sha256('{"alignment":' || aligned || ',"context":null,"element_type":"' || element_type || '","list_level":' || CASE WHEN element_type = 'list_item' THEN CASE WHEN style LIKE '%3' THEN '2' ELSE '1' END ELSE 'null' END
+  || ',"list_type":' || CASE WHEN element_type = 'list_item' THEN CASE WHEN style LIKE 'List B%' THEN '"bullet"' ELSE '"ordered"' END ELSE 'null' END || ',"matching_context":"","style_name":"' || style || '"}') AS structure_hash
+FROM f1 WHERE doc_id % 7 = 0"""
+
+
+@query("e18_formatted_edit", _FORMATTED)
+def e18(spark, d):
+    """Edits of blocks that carry deltas: headings become list items, list items stay so, paragraphs keep their format."""
+    ws = workspace(spark, d)
+    kept = stored(ingest.with_structure(deltas(spark, d).withColumn("alignment", F.lit(None).cast("string"))))
+    new, first = F.concat("text", F.lit(" (edited)")), F.col("ordinal") == 0
+    none = F.lit(None).cast("map<string,string>")
+    shape = F.when(first, F.create_map(*map(F.lit, ("list", "bullet", "indent", "2", "align", "center")))).otherwise(F.create_map(F.lit("list"), F.lit("ordered")))
+    ops = F.when(F.col("ordinal") != 1, F.array(F.struct(new.alias("insert"), none.alias("attributes")), F.struct(F.lit("\n").alias("insert"), shape.alias("attributes"))))
+    targets = kept.where("doc_id % 7 = 0 AND ordinal IN (0, 1, 4)").select("element_id", new.alias("replacement"), ops.alias("ops"))
+    edited = edits.apply_edit(ingest.Workspace(ws.documents, ws.versions, ws.heads, kept), targets)
+    bold = F.coalesce(F.map_contains_key(F.col("ops")[0]["attributes"], "bold"), F.lit(False))
+    return matching.current_blocks(edited).where("doc_id % 7 = 0").select("version_id", "element_id", "text", "style", "element_type", "match_hash", F.size("ops").alias("n_ops"), bold.alias("bold"), "structure_hash")
+
+
 @query("e17_audit_targets", BLOCKS + "SELECT 'edit-1' AS operation_id, doc_id, element_id, version_id AS base_version_id, text AS before_text, text || ' (edited)' AS after_text FROM blocks WHERE doc_id % 7 = 0 AND ordinal = 0")
 def e17(spark, d):
     """The log that is written with an edit: a row for each of its targets."""
@@ -1086,6 +1112,26 @@ def w11(spark, d):
     return checks.unique_names(uploads(spark, d))
 
 
+#: Files settled one by one, in each set by itself: a name that is taken gets the first free number.
+_ONE_BY_ONE = """WITH RECURSIVE f AS (SELECT coalesce(source, '') AS s, source AS set_id, doc_id AS upload, CASE WHEN doc_id % 3 = 0 THEN 'Plan (' || (doc_id * 7919 % 97)::varchar || ').docx' WHEN doc_id % 3 = 1 THEN 'plan.docx' ELSE 'Plan (2) (1).docx' END AS name FROM documents),
+o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY upload) AS i, regexp_replace(name, '\\.docx$', '') AS stem FROM f),
+r AS (SELECT s, 0::bigint AS i, NULL::bigint AS upload, NULL::varchar AS new, []::varchar[] AS taken FROM (SELECT DISTINCT s FROM o)
+UNION ALL SELECT s, i, upload, new, list_append(taken, lower(new)) FROM (
+  SELECT r.s, o.i, o.upload, r.taken, CASE WHEN NOT list_contains(r.taken, lower(o.name)) THEN o.name
+    ELSE o.stem || ' (' || list_min(list_filter(range(1, o.i + 1), lambda n: NOT list_contains(r.taken, lower(o.stem) || ' (' || n::varchar || ').docx')))::varchar || ').docx' END AS new
+  FROM r JOIN o ON o.s = r.s AND o.i = r.i + 1))
+SELECT f.set_id, f.upload, f.name, r.new AS unique_name FROM f JOIN r ON f.s = r.s AND f.upload = r.upload"""
+
+
+@query("w15_unique_names_numbered", _ONE_BY_ONE)
+def w15(spark, d):
+    """A third of the files come with a number of their own, a third with two."""
+    k = F.col("doc_id")
+    own = F.concat(F.lit("Plan ("), (k * 7919 % 97).cast("string"), F.lit(").docx"))
+    name = F.when(k % 3 == 0, own).when(k % 3 == 1, "plan.docx").otherwise("Plan (2) (1).docx")
+    return checks.unique_names(read(spark, d, "documents").select(F.col("source").alias("set_id"), k.alias("upload"), name.alias("name")))
+
+
 @query("w14_output_names", _UPLOADS + "SELECT set_id, upload, replace(name, '.docx', '') || CASE WHEN k = 0 THEN '' ELSE '-' || (k + 1)::varchar END || '.txt' AS file_name FROM n")
 def w14(spark, d):
     return templates.output_names(uploads(spark, d).withColumn("name", F.regexp_replace("name", r"\.docx$", "")))

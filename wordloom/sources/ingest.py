@@ -35,11 +35,12 @@ def typed_blocks(lines: DataFrame) -> DataFrame:
 
 
 def with_structure(blocks: DataFrame) -> DataFrame:
-    """Add the hash of a block's structure."""
+    """Add the hash of a block's structure; a column alignment is part of it where there is one."""
     nothing = F.lit(None).cast("string")
+    alignment = F.col("alignment") if "alignment" in blocks.columns else nothing
     return blocks.withColumn(
         "structure_hash",
-        structure_hash(element_type=F.col("element_type"), style_name=F.col("style"), list_type=list_type(F.col("style")), list_level=list_level(F.col("style")), alignment=nothing, context=nothing, matching_context=F.col("match_context")),
+        structure_hash(element_type=F.col("element_type"), style_name=F.col("style"), list_type=list_type(F.col("style")), list_level=list_level(F.col("style")), alignment=alignment, context=nothing, matching_context=F.col("match_context")),
     )
 
 
