@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 import pytest
 
 from wordloom.operators import versions
@@ -59,6 +61,33 @@ def test_a_batch_says_only_what_it_touches(rocks, tmp_path):
     assert said.count() == 13 and [tuple(r) for r in said.where("n = 0").select("doc_id", "match_hash").collect()] == [(1, "s")]
 
 
+def test_job_status_ends_and_outlives_a_restart(rocks, tmp_path):
+    spark = rocks
+    schema = "event_id long, ts timestamp, job_id long, status string"
+    at = lambda minute: datetime.datetime(2024, 5, 1) + datetime.timedelta(minutes=minute)
+    batches = [
+        [(1, at(0), 1, "running"), (2, at(3), 1, "completed"), (2, at(3), 1, "completed"), (3, at(1), 2, "running"), (4, None, 2, "lost")],
+        [(3, at(1), 2, "running"), (5, at(2), 2, "queued"), (6, at(20), 3, "running")],  # one is repeated; the newest is at 20
+        [(7, at(1), 3, "late"), (8, at(21), 2, "completed"), (9, at(200), 4, "running")],  # the first is more than 10 behind 20: late
+        [(10, at(201), 5, "running")],
+        [(11, at(202), 2, "running"), (12, at(203), 4, "failed")],
+    ]
+    got, held = [], []
+    for n, batch in enumerate(batches):  # every batch is a query of its own that starts from the checkpoint
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        rows = []
+        status = streams.stream_job_status(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), "10 minutes", keep="30 minutes", idle="1 hour")
+        stream = status.writeStream.outputMode("update").foreachBatch(lambda df, _, rows=rows: rows.extend(df.collect())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+        stream.awaitTermination()
+        got.append(sorted((r["job_id"], r["status"], r["updated_at"], r["events"]) for r in rows))
+        held.append([o["numRowsTotal"] for o in stream.lastProgress["stateOperators"] if "transformWithState" in o["operatorName"]])
+    assert got[0] == [(1, "completed", at(3), 2), (2, "running", at(1), 1)]
+    assert got[1] == [(2, "queued", at(2), 2), (3, "running", at(20), 1)]
+    assert got[2] == [(2, "completed", at(21), 3), (4, "running", at(200), 1)]
+    assert got[4] == [(2, "running", at(202), 1), (4, "failed", at(203), 2)], "job 2 had ended"
+    assert held == [[2], [3], [1], [2], [3]], "jobs 1, 2 and 3 go once the watermark has passed their last events"
+
+
 def test_text_at_version_over_ranges(spark):
     import random
 

@@ -1171,14 +1171,20 @@ def st1(spark, d):
 
 @query("st2_stream_job_status", "SELECT user_id AS job_id, arg_max(event_type, ts) AS status, max(ts) AS updated_at, count(*)::bigint AS events FROM events GROUP BY user_id")
 def st2(spark, d):
+    """Events arrive in two batches, the second of which has a part of the first again."""
+    streams.with_state_store(spark)
     e = read(spark, d, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("job_id"), F.col("event_type").alias("status"))
     source, out, mark = new_folder(spark), new_folder(spark), new_folder(spark)
-    e.write.parquet(source)
-    status = streams.stream_job_status(spark.readStream.schema(e.schema).parquet(source))
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    status.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
-    last = spark.read.parquet(out)
-    return last.groupBy("job_id").agg(F.max_by(F.struct("status", "updated_at", "events"), F.struct("events", "batch")).alias("x")).select("job_id", "x.status", F.col("x.updated_at").cast("timestamp_ntz").alias("updated_at"), "x.events")
+    half = F.col("event_id") % 2
+    for rows in (e.where(half == 0), e.where((half == 1) | (F.col("event_id") % 10 == 0))):
+        rows.write.mode("append").parquet(source)
+        arriving = spark.readStream.schema(e.schema).parquet(source)
+        # jobs of these events never end, and their batches are as long as the table
+        status = streams.stream_job_status(arriving, delay="3650 days", finished=(), idle="3650 days")
+        status.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    last = streams.latest_job_status(spark.read.parquet(out))
+    return last.withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
