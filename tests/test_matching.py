@@ -156,16 +156,45 @@ def test_difference_spans(spark):
     assert "".join(r["text"] for r in matching.shared_spans(items).collect()).replace(" ", "") == "Theliftfloors."
 
 
-def test_offsets_by_hand():
+def units_by_hand(text):
+    """(character, start, end) of each character's fold, runs of blanks as one."""
+    out = []
+    for i, c in enumerate(text):
+        for x in unicodedata.normalize("NFKC", c).casefold():
+            if x.isspace() and out and out[-1][0] == " ":
+                out[-1] = (" ", out[-1][1], i + 1)
+            else:
+                out.append((" " if x.isspace() else x, i, i + 1))
+    return out
+
+
+def test_offsets_by_hand(spark):
     rnd = random.Random(5)
-    for _ in range(300):
-        text = "".join(rnd.choice("aß ﬁ\t\u00a0Ｔé\u3000ſ…B") for _ in range(rnd.randint(0, 12)))
-        folded, starts, ends = search.offset_map(text)
-        assert folded == " ".join("".join(unicodedata.normalize("NFKC", c).casefold() for c in text).split())
-        assert len(folded) == len(starts) == len(ends) and starts == sorted(starts) and all(a < b for a, b in zip(starts, ends))
-        for c, a, b in zip(folded, starts, ends):
-            part = "".join(unicodedata.normalize("NFKC", x).casefold() for x in text[a:b])
-            assert part.isspace() if c == " " else c in part
+    texts = ["".join(rnd.choice("aß ﬁ\t\u00a0Ｔé\u3000ſ…B😀\u0301") for _ in range(rnd.randint(0, 12))) for _ in range(300)] + [" \x85\u2028", "", None]
+    needles = [rnd.choice(["a", "ss", "fi", "t b", "..", "ab", "é", " ", "aa", "😀"]) for _ in texts]
+    df = spark.createDataFrame(list(zip(texts, needles)), "text string, needle string").withColumn("units", search.offset_map(F.col("text")))
+    for r in df.withColumn("hits", search.occurrences(F.col("text"), F.col("units"), F.col("needle"))).collect():
+        if r["text"] is None:
+            assert r["units"] is None and not r["hits"]
+            continue
+        units = units_by_hand(r["text"])
+        assert [tuple(u) for u in r["units"]] == units, ascii(r["text"])
+        folded, want, at = "".join(u[0] for u in units), [], 0
+        while (at := folded.find(r["needle"], at)) >= 0:
+            want.append((units[at][1], units[at + len(r["needle"]) - 1][2]))
+            at += len(r["needle"])
+        assert [tuple(h) for h in r["hits"]] == want, ascii(r["text"])
+
+
+def test_no_python_in_plans(spark):
+    """Normal form, hashes, groups and search stay in the JVM."""
+    ws = corpus(spark, [("s", "Straße ﬁn"), ("s", "STRASSE fin")])
+    blocks = matching.current_blocks(ws)
+    hits = search.search(blocks, spark.createDataFrame([("strasse",)], "query string"))
+    for df in (blocks, matching.exact_link_groups(blocks), hits):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
+    assert hits.count() == 2 and [(r["start"], r["end"]) for r in hits.where("doc_id = 0").collect()] == [(0, 6)]
 
 
 def test_many_hits_and_many_queries(spark):
@@ -177,20 +206,17 @@ def test_many_hits_and_many_queries(spark):
     assert [r["query"] for r in search.search(matching.current_blocks(ws), more).collect()] == ["b x"]
 
 
-def test_plain_letters_fold_natively(spark):
-    import re
-
-    inside = re.compile(T.PLAIN)
-    plain = [chr(i) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000 and inside.match(chr(i))]
-    assert len(plain) > 20_000
-    for c in plain:
-        lower = c.lower().replace("ß", "ss")
-        assert unicodedata.normalize("NFKC", c).casefold() == lower or c.isspace(), c
+def test_all_characters_fold_natively(spark):
+    """Each assigned character between letters, and mixtures with marks, jamo, blanks and compatibility forms."""
+    known = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000 and unicodedata.category(chr(i)) not in ("Cn", "Co")]
     rnd = random.Random(2)
-    texts = ["".join(rnd.choice(plain) for _ in range(40)) for _ in range(2000)]
-    assert all(unicodedata.normalize("NFKC", t) == t for t in ("".join(x for x in t if not x.isspace()) for t in texts))
-    got = [r["n"] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", T.normalise_text(F.col("t")).alias("n")).orderBy("i").collect()]
-    assert got == [T.fold(t) for t in texts]
+    odd = [c for c in known if unicodedata.combining(c) or unicodedata.normalize("NFKC", c) != c or c.isspace() or c.casefold() != c] + list("가각각ΣςİıaAß ")
+    texts = ["x" + c + "Y" for c in known] + ["".join(rnd.choice(odd) for _ in range(30)) for _ in range(5000)] + ["", " \u3000\x85", None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(8).select("i", T.normalise_text(F.col("t")).alias("n")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = None if texts[r["i"]] is None else T.fold(texts[r["i"]])
+        assert r["n"] == want, (ascii(texts[r["i"]]), ascii(r["n"]))
 
 
 def test_numbered(spark):

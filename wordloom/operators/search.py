@@ -2,52 +2,37 @@
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from functools import lru_cache, reduce
+from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.functions.text import fold, normalise_text
+from wordloom.functions.text import SPACES, fold, full_fold, nfkc, normalise_text
 from wordloom.sources.store import stored
 
 #: As many folded queries at most are literals of one pass over the blocks; more of them meet the blocks under n-grams.
 MOST_QUERIES = 256
 #: Characters of an n-gram; queries of two characters have one of two.
 GRAM = 3
-_UNITS = re.compile(r"\s+|\S")
+_UNIT = "array<struct<character:string,start:int,end:int>>"
 
 
-@lru_cache(maxsize=65_536)
-def _folded(character: str) -> str:
-    return unicodedata.normalize("NFKC", character).casefold()
+def offset_map(text: Column) -> Column:
+    """A text's characters, each folded by itself, with where each one starts and ends in it; a run of blanks is one.
 
-
-def offset_map(text: str) -> tuple[str, list[int], list[int]]:
-    """A text folded character by character, and where each folded character starts and ends in it.
-
-    Every character is folded by itself; in the result a run of blanks is one unit, and runs at both ends are none.
+    A character that folds to several has the same place for each of them. No array is read in place of another's element,
+    so a text costs what its length costs.
     """
-    parts = [_folded(c) for c in text]
-    whole = "".join(parts)
-    owner = np.repeat(np.arange(len(text)), [len(p) for p in parts])
-    units = [(m.start(), m.end()) for m in _UNITS.finditer(whole)]
-    while units and whole[units[-1][0]].isspace():
-        units.pop()
-    if units and whole[0].isspace():
-        units = units[1:]
-    folded = "".join(" " if whole[a].isspace() else whole[a] for a, _ in units)
-    return folded, [int(owner[a]) for a, _ in units], [int(owner[b - 1]) + 1 for _, b in units]
-
-
-def occurrences(text: str | None, query: str | None) -> list[dict]:
-    """Non-overlapping places of a folded query, left to right."""
-    if not text or not query:
-        return []
-    folded, starts, ends = offset_map(text)
-    return [{"start": starts[m.start()], "end": ends[m.end() - 1]} for m in re.finditer(re.escape(query), folded)]
+    characters = F.filter(F.split(text, ""), lambda c: c != "")
+    folded = F.transform(characters, lambda c, i: F.struct(F.split(full_fold(nfkc(c)), "").alias("parts"), i.alias("at")))
+    each = F.flatten(F.transform(folded, lambda f: F.transform(f["parts"], lambda c: F.struct(F.when(F.contains(F.lit(SPACES), c), " ").otherwise(c).alias("character"), f["at"].alias("at")))))
+    # beside each one the one before it; where a run of blanks begins, and where it ends, is told by its neighbour alone
+    nothing = F.array(F.struct(F.lit("").alias("character"), F.lit(-1).alias("at")))
+    beside = lambda left, right: F.filter(F.zip_with(left, right, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda z: ~((z["x"]["character"] == " ") & (z["y"]["character"] == " ")))
+    pairs = beside(F.concat(nothing, each), F.concat(each, nothing))
+    starts = F.filter(F.transform(pairs, lambda z: z["y"]), lambda y: y["at"] >= 0)
+    ends = F.filter(F.transform(pairs, lambda z: z["x"]), lambda x: x["at"] >= 0)
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a["character"].alias("character"), a["at"].cast("int").alias("start"), (b["at"] + 1).cast("int").alias("end"))).cast(_UNIT)
 
 
 def is_steady(text: Column) -> Column:
@@ -55,16 +40,22 @@ def is_steady(text: Column) -> Column:
     return text.rlike(r"^[\x21-\x7E][\x20-\x7E]*$") & ~text.contains("  ") & ~text.endswith(" ")
 
 
-def _pieces(text: Column, query: Column) -> Column:
-    return F.split(F.lower(text), F.concat(F.lit("\\Q"), query, F.lit("\\E")))
+def places(folded: Column, needle: Column) -> Column:
+    """Where a needle stands in a folded text, left to right and not overlapping, counted from 0.
+
+    Folded text has no tabs, so one is put before every hit; the k-th tab stands k characters further on than its hit.
+    """
+    marked = F.split(F.replace(folded, needle, F.concat(F.lit("\t"), needle)), "")
+    tabs = F.filter(F.transform(marked, lambda c, i: F.when(c == "\t", i)), lambda i: i.isNotNull())
+    return F.transform(tabs, lambda i, k: i - k)
 
 
-def _steady_occurrences(text: Column, query: Column) -> Column:
-    """Places in text that folds character by character: lengths of the pieces between, summed."""
-    pieces = _pieces(text, query)
-    lengths = F.transform(F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: F.length(p))
-    start = lambda i: F.aggregate(F.slice(lengths, 1, i + 1), F.lit(0), lambda a, x: a + x) + i * F.length(query)
-    return F.transform(lengths, lambda _, i: F.struct(start(i).alias("start"), (start(i) + F.length(query)).alias("end")))
+def occurrences(text: Column, units: Column, needle: Column) -> Column:
+    """Non-overlapping places (start, end) of a folded query: in the text's map of offsets, or where that is null in the text."""
+    folded = F.coalesce(F.array_join(F.transform(units, lambda u: u["character"]), ""), F.lower(text))
+    first, last = lambda i: F.get(units, i)["start"], lambda i: F.get(units, i + F.length(needle) - 1)["end"]
+    found = F.transform(places(folded, needle), lambda i: F.struct(F.coalesce(first(i), i).alias("start"), F.coalesce(last(i), i + F.length(needle)).alias("end")))
+    return found.cast("array<struct<start:int,end:int>>")
 
 
 def snippet(text: Column, start: Column, end: Column, radius: int = 72) -> Column:
@@ -129,16 +120,13 @@ def search(blocks: DataFrame, queries: DataFrame, radius: int = 72, literals: in
 
     Queries are folded first; shorter than two characters they find nothing. They are taken word for word, in any number:
     up to ``literals`` of them are looked for in one pass over the blocks, more are joined by their rarest n-gram. Both look
-    in the normal form. Only blocks found there are searched for places: plain ones with few hits in the JVM, others in
-    Arrow batches.
+    in the normal form. Only blocks found there are searched for places; plain text needs no map of offsets for it.
     """
     asked = [r["query"] for r in queries.select("query").where("query IS NOT NULL").distinct().limit(literals + 1).collect()]
     met = _met_by_literals(blocks, asked) if len(asked) <= literals else _met_by_grams(blocks, queries)
-    # summing pieces costs the square of their number, so only few are summed
-    steady = is_steady(F.col("text")) & (F.size(_pieces(F.col("text"), F.col("needle"))) <= 64)
-    slow = F.udf(occurrences, "array<struct<start:int,end:int>>", useArrow=True)
-    found = F.when(steady, _steady_occurrences(F.col("text"), F.col("needle"))).otherwise(slow(F.when(~steady, F.col("text")), F.col("needle")))
-    hits = met.select("query", "set_id", "doc_id", "name", "element_id", "ordinal", "text", F.posexplode(found).alias("at", "hit"))
+    mapped = met.withColumn("_units", F.when(~is_steady(F.col("text")), offset_map(F.col("text"))))
+    found = occurrences(F.col("text"), F.col("_units"), F.col("needle"))
+    hits = mapped.select("query", "set_id", "doc_id", "name", "element_id", "ordinal", "text", F.posexplode(found).alias("at", "hit"))
     return hits.select("query", "set_id", "doc_id", "name", "element_id", "ordinal", (F.col("at") + 1).alias("occurrence"), "hit.start", "hit.end", snippet(F.col("text"), F.col("hit.start"), F.col("hit.end"), radius).alias("snippet"))
 
 
