@@ -99,12 +99,12 @@ def _shingled(size: int, percent: int):
 
 
 def _whole_sets(size: int, able: BitFilter):
-    """mapInArrow function over (id, text): id, key and tokens of the whole set, for the ids that the filter may hold."""
+    """mapInArrow function over (id, text, spread): id, key and tokens of the whole set, where the filter may hold spread."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(size)
         for batch in batches:
-            sel = np.flatnonzero(able.may_hold(_column(batch, "id").to_numpy()))
+            sel = np.flatnonzero(able.may_hold(_column(batch, "spread").to_numpy()))
             ids, texts = _column(batch, "id").take(pa.array(sel)), _column(batch, "text").take(pa.array(sel)).cast(pa.large_binary())
             for lo in range(0, len(ids), 128):
                 lists = [shingle(t.as_py()) for t in texts[lo : lo + 128]]
@@ -114,6 +114,15 @@ def _whole_sets(size: int, able: BitFilter):
     return run
 
 
+def _read_again(docs: DataFrame, able: DataFrame, size: int) -> DataFrame:
+    """Whole sets (id, key, tokens) of the documents whose ids are in ``able``, and of few others.
+
+    Ids are told by their hash, as row numbers of several partitions have the same low bits.
+    """
+    spread = F.xxhash64("id").alias("spread")
+    return docs.select("id", "text", spread).mapInArrow(_whole_sets(size, BitFilter(able.select(spread), "spread")), "id long, key binary, tokens array<long>")
+
+
 def _spanning(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the given links."""
     root = np.arange(n)
@@ -211,10 +220,31 @@ def _close(percent: int, n: str = "n", other: str = "m") -> Column:
     return F.least(n, other) * 100 >= F.greatest(n, other) * percent
 
 
+def _enough(common: Column, percent: int) -> Column:
+    """Sets of n and m tokens with so many in common link."""
+    return common * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+
+
 def _pairs(index: DataFrame, percent: int) -> DataFrame:
-    """(a, b) for every meeting of two documents of different components under a key; keys have few documents here."""
-    x, y = index.select("key", F.col("id").alias("a"), "n", F.col("comp").alias("c")), index.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("d"))
-    return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & _close(percent)).select("a", "b")
+    """(a, b) and its parts for the meetings of two documents of different components that can link, under each key.
+
+    Two documents have in common at most the lesser ``upto`` of their prefixes up to the key's place, and the lesser rest
+    after it; and at most the lesser ``open`` in their prefixes, and the greater rest after those.
+    """
+    x = index.select("key", F.col("id").alias("a"), "n", F.col("comp").alias("c"), "place", "upto", "open", "often", "after")
+    y = index.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("comp").alias("d"), *(F.col(k).alias(k + "2") for k in ("place", "upto", "open", "often", "after")))
+    here = _enough(F.least("upto", "upto2") + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("place2")), percent)
+    in_all = _enough(F.least("open", "open2") + F.greatest("after", "after2"), percent)
+    return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("c") != F.col("d")) & _close(percent) & here & in_all)
+
+
+def _placed(index: DataFrame, percent: int, rare: int) -> DataFrame:
+    """Rows of open keys with how many of them the document has up to this one, in all, and frequent ones, and the number
+    of its tokens after the prefix. Documents with less than SHARED are left out, as they have no link that is not known."""
+    by_id = W.partitionBy("id")
+    placed = index.withColumn("upto", F.row_number().over(by_id.orderBy("place"))).withColumn("open", F.count("*").over(by_id))
+    placed = placed.withColumn("often", F.count_if(F.col("posting") > rare).over(by_id)).where(F.col("open") >= SHARED)
+    return placed.withColumn("after", F.greatest(F.ceil(F.col("n") * percent / 100) - SHARED, F.lit(0)))
 
 
 def _open(index: DataFrame) -> DataFrame:
@@ -246,7 +276,8 @@ def _linked(sets: DataFrame, percent: int, rare: int, block: int, load: int) ->
     by_id = W.partitionBy("id")
     ranked = tokens.join(often, "token").withColumn("rank", F.row_number().over(by_id.orderBy("df", "token"))).withColumn("alone", F.col("n") - F.count("*").over(by_id))
     lacking = F.col("n") + F.floor(-F.col("n") * percent / 100)
-    prefix = written(ranked.where(F.col("rank") <= lacking + SHARED - F.col("alone")).select(F.col("token").alias("key"), "id", "n"), "token-prefixes")
+    place = F.col("alone") + F.col("rank")
+    prefix = written(ranked.where(place <= lacking + SHARED).select(F.col("token").alias("key"), "id", "n", place.alias("place")), "token-prefixes")
     discard(often)
 
     # stars first: most copies link with one of two documents of their tokens, the first and one drawn by a hash
@@ -256,15 +287,19 @@ def _linked(sets: DataFrame, percent: int, rare: int, block: int, load: int) ->
     best = met.where("k > 1").withColumn("place", F.row_number().over(W.partitionBy("b").orderBy(F.desc("k"), "a"))).where("place <= 3")
     stars = written(_verified(written(best.select("a", "b"), "star-pairs"), sets, percent, load), "star-links")
 
-    # then exactly what the stars leave open: keys that documents of several components share
+    # then exactly what the stars leave open: keys that documents of several components share. A pair is made if what it
+    # has in common can be enough: under rare keys it meets as often as it shares them, and it shares no more frequent ones
+    # than either has
     comps = components(stars)
-    labelled = prefix.join(comps, F.col("id") == F.col("v"), "left").select("key", "id", "n", F.coalesce("comp", "id").alias("comp"))
-    left = written(_open(labelled), "open-keys")
-    single = _pairs(left.where(F.col("posting") <= rare), percent).groupBy("a", "b").agg(F.count("*").alias("k")).where("k > 1").select("a", "b")
-    often = left.where(F.col("posting") > rare)
-    combined = often.select("id", "n", "comp", "key").join(often.select("id", F.col("key").alias("other")), "id").where("key < other").select(F.xxhash64("key", "other").alias("key"), "id", "n", "comp")
+    labelled = prefix.join(comps, F.col("id") == F.col("v"), "left").select("key", "id", "n", "place", F.coalesce("comp", "id").alias("comp"))
+    left = written(_placed(_open(labelled), percent, rare), "open-keys")
+    met = _pairs(left.where(F.col("posting") <= rare), percent).groupBy("a", "b").agg(F.count("*").alias("k"), *(F.first(c).alias(c) for c in ("n", "m", "often", "often2", "after", "after2")))
+    single = met.where((F.col("k") > 1) & _enough(F.col("k") + F.least("often", "often2") + F.greatest("after", "after2"), percent)).select("a", "b")
+    often = left.where(F.col("posting") > rare).drop("posting")
+    two = often.join(often.select("id", F.col("key").alias("other"), F.col("place").alias("place2"), F.col("upto").alias("upto2")), "id").where("key < other")
+    combined = two.select(F.xxhash64("key", "other").alias("key"), "id", "n", "comp", F.greatest("place", "place2").alias("place"), F.greatest("upto", "upto2").alias("upto"), "open", "often", "after")
     combined = written(_open(combined), "open-combinations")
-    pairs = written(single.unionByName(_pairs(combined.where(F.col("posting") <= rare), percent)).distinct(), "pairs")
+    pairs = written(single.unionByName(_pairs(combined.where(F.col("posting") <= rare), percent).select("a", "b")).distinct(), "pairs")
     links = stars.unionByName(_verified(pairs, sets, percent, load))
     crowded = combined.where(F.col("posting") > rare)
     return links if crowded.isEmpty() else links.unionByName(_grouped_links(crowded, sets, percent, block, load))
@@ -310,7 +345,7 @@ def jaccard_components(docs: DataFrame, text_col: str = "text", id_col: str = "d
     discard(whole)
     discard(counts)
     # whole sets of one document for each set that is left
-    again = named_docs.mapInArrow(_whole_sets(size, BitFilter(able.select("id"), "id")), "id long, key binary, tokens array<long>")
+    again = _read_again(named_docs, able, size)
     sets = written(again.join(able, ["id", "key"]).select("id", "n", "tokens", "key").dropDuplicates(["id", "key"]).drop("key"), "sets")
     links = _linked(sets, percent, rare, block, load)
 
