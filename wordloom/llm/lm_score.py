@@ -19,9 +19,11 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,43 @@ def tokens(text: bytes | None) -> list[bytes]:
     return words
 
 
+#: Bytes of texts whose words are numbered together; a longer text is taken by itself.
+TOGETHER = 1 << 22
+
+
+def _cut(texts: pa.Array, together: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(different words, all words as places among these, where each text's words end) of texts in
+    a row. Words are those of ``tokens``, cut and told apart by Arrow; null texts are empty."""
+    texts = pc.fill_null(texts, "")
+    upto = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + together, "right")) - 1)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts[lo:hi]))
+        words = lists.flatten().dictionary_encode()
+        code, ends = words.indices.to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64)
+        empty = pc.index(words.dictionary, pa.scalar("", words.dictionary.type)).as_py()  # at either end of a text
+        if empty >= 0:
+            there = code != empty
+            code, ends = code[there], np.concatenate([[0], np.cumsum(there)])[ends]
+        yield words.dictionary.cast(pa.large_binary()), code, ends
+        lo = hi
+
+
+def _bytes(words: pa.Array) -> list[bytes]:
+    """The values of a binary array, which to_pylist gives too, but slowly."""
+    ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8).tolist()
+    data = words.buffers()[2].to_pybytes() if len(words) else b""
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def coded(texts: pa.Array) -> Iterator[tuple[list[bytes], list[np.ndarray]]]:
+    """(different tokens, for each text its tokens as places among these) of texts in a row."""
+    for words, code, ends in _cut(texts, TOGETHER):
+        code = np.insert(code, ends, len(words))
+        yield [*_bytes(words), END], np.split(code, (ends + np.arange(1, len(ends) + 1))[:-1])
+
+
 def held_out(doc_id: int | None, folds: int, fold: int) -> bool:
     return zlib.crc32(str(doc_id).encode() if doc_id is not None else b"") % folds == fold
 
@@ -74,32 +113,17 @@ class Vocabulary:
         i = self.place.get(word, self.own)
         return i if i < self.own else self.own + rare_class(word, self.rare)
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        at = np.fromiter(map(self.place.get, words, repeat(self.own)), np.int64, len(words))
+        others = np.flatnonzero(at >= self.own).tolist()
+        at[others] = [self.own + rare_class(words[i], self.rare) for i in others]
+        return at
+
     def classes(self) -> np.ndarray:
         """Number -> class: own tokens by frequency, then a class for each of the others' numbers."""
         return np.concatenate([np.repeat(np.arange(self.groups), np.diff(self.edges)), self.groups + np.arange(self.rare)]).astype(np.int64)
 
 
-class _Places(dict):
-    """word -> place in the head of the counts, -1 for other words."""
-
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
-class _Numbers(dict):
-    """word -> number, filled as words come; forgets beyond a fixed number."""
-
-    def __init__(self, vocabulary: Vocabulary) -> None:
-        super().__init__()
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        n = self[word] = self.vocabulary.number(word)
-        return n
-
-
 @dataclass
 class Model:
     """Vectors of context tokens, positions, tokens and classes, with the biases of the last two."""
@@ -125,7 +149,7 @@ class Model:
 
     def contexts(self, flat: np.ndarray) -> np.ndarray:
         """h for each place of a run of numbers but the first REACH."""
-        e = self.context[flat]
+        e = self.context.take(flat, axis=0)
         n = len(flat) - REACH
         h = e[REACH - 1 : REACH - 1 + n] * self.position[0]
         for k in range(2, REACH + 1):
@@ -148,6 +172,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def _groups(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order that brings equal rows together, where each begins in it, the different rows)."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort; numbers stay below 2^16
+    rows = rows.take(order)
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return order, first, rows.take(first)
+
+
 class Trainer:
     """Noise-contrastive estimation by Adagrad: each token, and its class, is told from draws of the unigram distribution.
 
@@ -165,12 +197,10 @@ class Trainer:
         self.grown = {k: np.full(len(getattr(model, k)), 1e-2, dtype=np.float32) for k in Model.PARTS}
         self.moved = {k: np.zeros(len(getattr(model, k)), dtype=np.float32) for k in Model.PARTS}
 
-    def _move(self, name: str, rows: np.ndarray, gradient: np.ndarray) -> None:
-        """Take a step on these rows, which may repeat; vectors are scaled by their own history."""
-        order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort; numbers stay below 2^16
-        rows = rows[order]
-        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-        rows, summed = rows[first], np.add.reduceat(gradient[order], first, axis=0)
+    def _move(self, name: str, rows: np.ndarray, gradient: np.ndarray, order: tuple[np.ndarray, ...] | None = None) -> None:
+        """Take a step on these rows, which may repeat (``order``: their _groups); vectors are scaled by their own history."""
+        order, first, rows = _groups(rows) if order is None else order
+        summed = np.add.reduceat(gradient.take(order, axis=0), first, axis=0)
         x, grown = getattr(self.m, name), self.grown[name]
         grown[rows] += np.einsum("ij,ij->i", summed, summed) / summed.shape[1] if summed.ndim == 2 else summed * summed
         step = self.rate / np.sqrt(grown[rows])
@@ -180,7 +210,7 @@ class Trainer:
     def step(self, pieces: np.ndarray, real: np.ndarray) -> None:
         """One step on pieces of text, REACH numbers of context before the tokens of each."""
         m = self.m
-        e = m.context[pieces]
+        e = m.context.take(pieces, axis=0)
         n = pieces.shape[1] - REACH
         before = [slice(REACH - k, REACH - k + n) for k in range(1, REACH + 1)]
         h = e[:, before[0]] * m.position[0]
@@ -192,7 +222,7 @@ class Trainer:
         for (k, sums, odds, v, b), true in zip(self.levels, (target, self.classes[target])):
             vectors, biases = getattr(m, v), getattr(m, b)
             drawn = np.minimum(np.searchsorted(sums, self.rng.random(k)), len(odds) - 1)
-            own, other = vectors[true], vectors[drawn]
+            own, other = vectors.take(true, axis=0), vectors.take(drawn, axis=0)
             g = (_sigmoid(np.einsum("ij,ij->i", h, own) + biases[true] - odds[true]) - 1) * real
             noise = _sigmoid(h @ other.T + (biases[drawn] - odds[drawn]))
             noise *= real[:, None]
@@ -200,8 +230,9 @@ class Trainer:
             back += own
             back += noise @ other
             rows = np.concatenate([true, drawn])
-            self._move(v, rows, np.concatenate([h * g[:, None], noise.T @ h]))
-            self._move(b, rows, np.concatenate([g, noise.sum(0)]))
+            order = _groups(rows)
+            self._move(v, rows, np.concatenate([h * g[:, None], noise.T @ h]), order)
+            self._move(b, rows, np.concatenate([g, np.ones(len(noise), dtype=noise.dtype) @ noise]), order)
         back = back.reshape(shape)
         turned = np.zeros_like(e)
         positions = np.empty_like(m.position)
@@ -232,37 +263,51 @@ def log_probabilities(m: Model, vocabulary: Vocabulary, flat: np.ndarray, real:
     # a column of ones brings the biases into the products
     groups = np.vstack([m.group.T, m.offset])
     own = np.vstack([m.token.T, m.bias])
-    longest = max(float(np.sqrt((x * x).sum(0).max(initial=0))) for x in (groups, own))
+    # the longest vector and the greatest bias, of all classes and of the tokens of each
+    reach = _reach(m.group, m.offset)
+    reaches = [_reach(m.token[a:b], m.bias[a:b]) for a, b in zip(v.edges[:-1], v.edges[1:])]
     for lo in range(REACH, len(flat), block):
         here = np.flatnonzero(real[lo : lo + block])
         t = flat[lo : lo + block][here]
         c = classes[t]
         order = np.argsort(c.astype(np.uint16), kind="stable")
-        h = m.contexts(flat[lo - REACH : lo + block])[here[order]]
-        h = np.hstack([h, np.ones((len(h), 1), dtype=np.float32)])
+        end = min(lo + block, len(flat))
+        every = np.ones((end - lo, m.context.shape[1] + 1), dtype=np.float32)
+        for a in range(lo, end, 4096):
+            every[a - lo : a - lo + 4096, :-1] = m.contexts(flat[a - REACH : min(a + 4096, end)])
+        h = every.take(here[order], axis=0)
         t, c, score = t[order], c[order], np.empty(len(t), dtype=np.float32)
-        # no score is beyond the product of two lengths; sums of such powers are far from both ends of a float
-        small = len(h) and float(np.sqrt((h * h).sum(1).max())) * longest < 60
+        long = np.sqrt(np.einsum("ij,ij->i", h[:, :-1], h[:, :-1]))
         for a in range(0, len(t), 512):  # of a size that stays in the processor's cache
             s = h[a : a + 512] @ groups
-            score[a : a + 512] = s[np.arange(len(s)), c[a : a + 512]] - _log_sum(s, small)
+            score[a : a + 512] = s[np.arange(len(s)), c[a : a + 512]] - _log_sum(s, _small(long[a : a + 512], reach))
         edges = np.searchsorted(c, np.arange(v.groups + 1))
         for g in range(v.groups):
             first, last = v.edges[g], v.edges[g + 1]
             for a in range(edges[g], edges[g + 1], 512):
                 b = min(a + 512, edges[g + 1])
                 s = h[a:b] @ own[:, first:last]
-                score[a:b] += s[np.arange(b - a), t[a:b] - first] - _log_sum(s, small)
+                score[a:b] += s[np.arange(b - a), t[a:b] - first] - _log_sum(s, _small(long[a:b], reaches[g]))
         back = np.empty(len(t), dtype=np.float64)
         back[order] = score
         out.append(back)
     return np.concatenate(out) / LOG10 if out else np.empty(0)
 
 
+def _reach(vectors: np.ndarray, biases: np.ndarray) -> tuple[float, float]:
+    return float(np.sqrt(np.einsum("ij,ij->i", vectors, vectors).max(initial=0))), float(abs(biases.max(initial=-np.inf))) if len(biases) else 0.0
+
+
+def _small(long: np.ndarray, reach: tuple[float, float]) -> bool:
+    """No score is above the greatest bias by more than the product of two lengths, and the one with that bias is not below
+    it by more; so sums of their powers are far from both ends of a float."""
+    return float(long.max(initial=0)) * reach[0] + reach[1] < 60
+
+
 def _log_sum(s: np.ndarray, small: bool) -> np.ndarray:
     """log of the sum of exp over rows; overwrites s."""
-    if small:
-        return np.log(np.exp(s, out=s).sum(1))
+    if small:  # as a product, which is faster than a sum over short rows
+        return np.log(np.exp(s, out=s) @ np.ones(s.shape[1], dtype=s.dtype))
     top = s.max(1, keepdims=True)
     s -= top
     return np.log(np.exp(s, out=s).sum(1)) + top[:, 0]
@@ -272,39 +317,39 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def _training_tokens(batches: Iterator[pa.RecordBatch], folds: int, fold: int) -> Iterator[list[bytes]]:
+def _training_texts(batches: Iterator[pa.RecordBatch], folds: int, fold: int) -> Iterator[pa.Array]:
     for batch in batches:
-        for i, t in zip(_column(batch, "id").to_pylist(), _column(batch, "text").cast(pa.large_binary())):
-            if not held_out(i, folds, fold):
-                yield tokens(t.as_py())
+        learnt = [not held_out(i, folds, fold) for i in _column(batch, "id").to_pylist()]
+        yield _column(batch, "text").filter(pa.array(learnt, pa.bool_()))
 
 
 def _count_words(folds: int, fold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
+        ends = 0
+        for texts in _training_texts(batches, folds, fold):
+            ends += len(texts)
+            for words, code, _ in _cut(texts, 8 * TOGETHER):
+                n = np.bincount(code, minlength=len(words))
+                yield pa.RecordBatch.from_arrays([words.filter(pa.array(n > 0)).cast(pa.binary()), pa.array(n[n > 0], pa.int64())], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([END][: min(ends, 1)], pa.binary()), pa.array([ends][: min(ends, 1)], pa.int64())], names=["word", "n"])
 
-        def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-            found.clear()
-            return batch
+    return run
 
-        for words in _training_tokens(batches, folds, fold):
-            found.update(words)
-            if len(found) > 400_000:
-                yield out()
-        yield out()
 
-    return run
+def _numbered(texts: Iterator[pa.Array], vocabulary: Vocabulary) -> Iterator[np.ndarray]:
+    for part in texts:
+        for known, codes in coded(part):
+            n = vocabulary.numbers(known)
+            yield from (n[c] for c in codes)
 
 
-def _chunks(texts: Iterator[list[bytes]], numbers: _Numbers, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _chunks(texts: Iterator[np.ndarray], end: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Padded runs of at least ``size`` tokens, but the last one."""
-    end = numbers.vocabulary.number(END)
     held: list[np.ndarray] = []
     k = 0
-    for words in texts:
-        held.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
-        k += len(words)
+    for n in texts:
+        held.append(n)
+        k += len(n)
         if k >= size:
             yield padded(held, end)
             held, k = [], 0
@@ -327,12 +372,12 @@ def _train(start, epochs: int, batch: int, rate: float, folds: int, fold: int):
         model = Model(*(getattr(model, k).copy() for k in Model.PARTS))
         task = TaskContext.get().partitionId()
         trainer = Trainer(model, numbers, vocabulary.classes(), noise=(48, 16), batch=batch, rate=rate, seed=task)
-        known = _Numbers(vocabulary)
+        runs = _chunks(_numbered(_training_texts(batches, folds, fold), vocabulary), vocabulary.number(END), 65_536)
         if epochs == 1:
-            for flat, real in _chunks(_training_tokens(batches, folds, fold), known, 65_536):
+            for flat, real in runs:
                 trainer.run(flat, real)
         else:  # a bounded part, held in memory
-            parts = list(_chunks(_training_tokens(batches, folds, fold), known, 65_536))
+            parts = list(runs)
             for _ in range(epochs):
                 for flat, real in parts:
                     trainer.run(flat, real)
@@ -443,26 +488,31 @@ def _score(shared, folds: int, fold: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, model, within = shared.value
-        own, end, place = v.own, v.number(END), _Places(v.place).__getitem__
+        own, end, place = v.own, v.number(END), v.place.get
         logs, logs_within = np.log10(v.counts + 1.0), np.log10(within)
         numbers = np.concatenate([np.arange(own), [v.number(w) for w in v.words[own:]]]).astype(np.int64)
         # of a class's probability: all of it for the model's own, the share of the counts for others
         shares = np.concatenate([np.zeros(own), logs[own:] - logs_within[numbers[own:] - own]])
         bottom = math.log10(v.total + v.distinct + 1)
 
-        def scored(ids: list, texts: list[list[bytes]]) -> pa.RecordBatch:
+        def placed(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+            """Of each text the places of its tokens in the head, their numbers, and the tokens that have no place."""
+            for different, codes in coded(texts):
+                every = np.fromiter(map(place, different, repeat(-1)), np.int64, len(different))
+                number = numbers[every] if len(numbers) else np.empty(len(every), dtype=np.int64)
+                odd = np.flatnonzero(every < 0).tolist()
+                number[odd] = [own + rare_class(different[i], v.rare) for i in odd]
+                for c in codes:
+                    yield every[c], number[c], [different[i] for i in c[every[c] < 0].tolist()]
+
+        def scored(ids: list, texts: list[tuple[np.ndarray, np.ndarray, list[bytes]]]) -> pa.RecordBatch:
             others, known, base, model_part, rows = [], [], [], [], []
-            for words in texts:
-                at = np.fromiter(map(place, words), np.int64, len(words))
-                found = at[at >= 0]
-                n = np.empty(len(at), dtype=np.int64)
-                n[at >= 0] = numbers[found]
-                odd = np.flatnonzero(at < 0).tolist()
-                n[odd] = [own + rare_class(words[i], v.rare) for i in odd]
-                others.append(Counter([words[i] for i in odd]))
+            for at, n, unplaced in texts:
+                found, odd = at[at >= 0], at < 0
+                others.append(Counter(unplaced))
                 rows.append(n)
                 known.append(len(found))
-                base.append(float(logs[found].sum()) - len(words) * bottom)
+                base.append(float(logs[found].sum()) - len(at) * bottom)
                 model_part.append(float(shares[found].sum() - logs_within[n[odd] - own].sum()))
             steps = log_probabilities(model, v, *padded(rows, end))
             sizes = np.array([len(x) for x in rows])
@@ -478,10 +528,10 @@ def _score(shared, folds: int, fold: int):
         for batch in batches:
             id_type = _column(batch, "id").type
             ids, texts, size = [], [], 0
-            for i, t in zip(_column(batch, "id").to_pylist(), _column(batch, "text").cast(pa.large_binary())):
+            for i, t in zip(_column(batch, "id").to_pylist(), placed(_column(batch, "text"))):
                 ids.append(i)
-                texts.append(tokens(t.as_py()))
-                size += len(texts[-1])
+                texts.append(t)
+                size += len(t[0])
                 if size >= 131_072:
                     yield scored(ids, texts)
                     ids, texts, size = [], [], 0
