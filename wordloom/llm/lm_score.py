@@ -328,7 +328,7 @@ def _count_words(folds: int, fold: int):
         ends = 0
         for texts in _training_texts(batches, folds, fold):
             ends += len(texts)
-            for words, code, _ in _cut(texts, 8 * TOGETHER):
+            for words, code, _ in _cut(texts, 2 * TOGETHER):
                 n = np.bincount(code, minlength=len(words))
                 yield pa.RecordBatch.from_arrays([words.filter(pa.array(n > 0)).cast(pa.binary()), pa.array(n[n > 0], pa.int64())], names=["word", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([END][: min(ends, 1)], pa.binary()), pa.array([ends][: min(ends, 1)], pa.int64())], names=["word", "n"])
