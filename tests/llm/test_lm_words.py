@@ -40,6 +40,31 @@ def test_words_are_counted_in_training_texts(monkeypatch):
     assert sum(b.num_rows for b in lm_score._count_words(7, 2)(iter([batch.slice(0, 0)]))) == 0
 
 
+@pytest.mark.parametrize("work", ["count", "number"])
+def test_a_batch_is_not_copied_whole(monkeypatch, work):
+    """What is held besides a batch depends on the size of a piece, not on that of the batch."""
+    monkeypatch.setattr(lm_score, "TOGETHER", 1 << 14)
+    texts = pa.array([None, *(f"{i} " + "some words of a text " * 100 for i in range(3000))])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), texts], names=["id", "text"])
+    usual = pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(usual)
+    pa.set_memory_pool(pool)
+    try:
+        n = sum(b.num_rows for b in lm_score._count_words(7, 2)(iter([batch]))) if work == "count" else sum(len(c) for _, c in coded(texts))
+    finally:
+        pa.set_memory_pool(usual)
+    assert n > 2500 and texts.nbytes > 6_000_000 and pool.max_memory() < 1_500_000
+
+
+def test_own_words_need_no_python_rows(spark, monkeypatch):
+    """No job of the fit goes through plain Python rows, whose workers would stay beside those of Arrow."""
+    docs = spark.createDataFrame(pa.table({"doc_id": range(200), "text": [f"a b c d{i % 7} e{i}" for i in range(200)]}))
+    made, plain = [], spark.sparkContext.parallelize
+    monkeypatch.setattr(spark.sparkContext, "parallelize", lambda *a, **k: made.append(a) or plain(*a, **k))
+    fitted = lm_score.fit(docs, least=2, own=50, warm=100)
+    assert not made and fitted.vocabulary.own > 5
+
+
 @pytest.mark.parametrize(("scale", "quick"), [(0.4, True), (30.0, False)])
 def test_scores_of_rare_words_need_no_second_pass(monkeypatch, scale, quick):
     """A bias of -22, as a rare class has, doesn't make a score big; vectors of great length do."""

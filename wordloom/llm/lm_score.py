@@ -49,25 +49,35 @@ def tokens(text: bytes | None) -> list[bytes]:
 TOGETHER = 1 << 22
 
 
-def _cut(texts: pa.Array, together: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """(different words, all words as places among these, where each text's words end) of texts in
-    a row. Words are those of ``tokens``, cut and told apart by Arrow; null texts are empty."""
-    texts = pc.fill_null(texts, "")
-    upto = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)])
+def _pieces(texts: pa.Array, together: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of texts in a row with so many bytes: only these are copied at once, never a whole batch."""
+    upto = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
     lo = 0
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + together, "right")) - 1)
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts[lo:hi]))
-        words = lists.flatten().dictionary_encode()
-        code, ends = words.indices.to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64)
-        empty = pc.index(words.dictionary, pa.scalar("", words.dictionary.type)).as_py()  # at either end of a text
-        if empty >= 0:
-            there = code != empty
-            code, ends = code[there], np.concatenate([[0], np.cumsum(there)])[ends]
-        yield words.dictionary.cast(pa.large_binary()), code, ends
+        yield lo, hi
         lo = hi
 
 
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten().dictionary_encode()
+    code, ends = words.indices.to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64)
+    empty = pc.index(words.dictionary, pa.scalar("", words.dictionary.type)).as_py()  # at either end of a text
+    if empty >= 0:
+        there = code != empty
+        code, ends = code[there], np.concatenate([[0], np.cumsum(there)])[ends]
+    return words.dictionary.cast(pa.large_binary()), code, ends
+
+
+def _cut(texts: pa.Array, together: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(different words, all words as places among these, where each text's words end) of texts in
+    a row. Words are those of ``tokens``, cut and told apart by Arrow; null texts are empty."""
+    for lo, hi in _pieces(texts, together):
+        yield _split(texts[lo:hi])
+        pa.default_memory_pool().release_unused()  # workers live on, and Arrow would keep it
+
+
 def _bytes(words: pa.Array) -> list[bytes]:
     """The values of a binary array, which to_pylist gives too, but slowly."""
     ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8).tolist()
@@ -272,10 +282,12 @@ def log_probabilities(m: Model, vocabulary: Vocabulary, flat: np.ndarray, real:
         c = classes[t]
         order = np.argsort(c.astype(np.uint16), kind="stable")
         end = min(lo + block, len(flat))
-        every = np.ones((end - lo, m.context.shape[1] + 1), dtype=np.float32)
+        place = np.empty(end - lo, dtype=np.int64)
+        place[here[order]] = np.arange(len(here))
+        h = np.ones((len(here), m.context.shape[1] + 1), dtype=np.float32)
         for a in range(lo, end, 4096):
-            every[a - lo : a - lo + 4096, :-1] = m.contexts(flat[a - REACH : min(a + 4096, end)])
-        h = every.take(here[order], axis=0)
+            b = min(a + 4096, end)
+            h[place[a - lo : b - lo][real[a:b]], :-1] = m.contexts(flat[a - REACH : b])[real[a:b]]
         t, c, score = t[order], c[order], np.empty(len(t), dtype=np.float32)
         long = np.sqrt(np.einsum("ij,ij->i", h[:, :-1], h[:, :-1]))
         for a in range(0, len(t), 512):  # of a size that stays in the processor's cache
@@ -317,16 +329,18 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def _training_texts(batches: Iterator[pa.RecordBatch], folds: int, fold: int) -> Iterator[pa.Array]:
+def _training_texts(batches: Iterator[pa.RecordBatch], folds: int, fold: int, together: int) -> Iterator[pa.Array]:
     for batch in batches:
-        learnt = [not held_out(i, folds, fold) for i in _column(batch, "id").to_pylist()]
-        yield _column(batch, "text").filter(pa.array(learnt, pa.bool_()))
+        texts = _column(batch, "text")
+        learnt = pa.array([not held_out(i, folds, fold) for i in _column(batch, "id").to_pylist()], pa.bool_())
+        for lo, hi in _pieces(texts, together):
+            yield texts[lo:hi].filter(learnt[lo:hi])
 
 
 def _count_words(folds: int, fold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = 0
-        for texts in _training_texts(batches, folds, fold):
+        for texts in _training_texts(batches, folds, fold, 2 * TOGETHER):
             ends += len(texts)
             for words, code, _ in _cut(texts, 2 * TOGETHER):
                 n = np.bincount(code, minlength=len(words))
@@ -372,7 +386,7 @@ def _train(start, epochs: int, batch: int, rate: float, folds: int, fold: int):
         model = Model(*(getattr(model, k).copy() for k in Model.PARTS))
         task = TaskContext.get().partitionId()
         trainer = Trainer(model, numbers, vocabulary.classes(), noise=(48, 16), batch=batch, rate=rate, seed=task)
-        runs = _chunks(_numbered(_training_texts(batches, folds, fold), vocabulary), vocabulary.number(END), 65_536)
+        runs = _chunks(_numbered(_training_texts(batches, folds, fold, TOGETHER), vocabulary), vocabulary.number(END), 65_536)
         if epochs == 1:
             for flat, real in runs:
                 trainer.run(flat, real)
@@ -466,7 +480,8 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", folds:
     top = counts.where(step >= cut if cut is not None else F.lit(False)).toArrow()
     vocabulary = Vocabulary(dict(zip((bytes(w) for w in top["word"].to_pylist()), top["n"].to_pylist())), facts["total"], facts["distinct"], own, least, rare)
     # what shares the classes of rare words: their counts, and one more for a word never seen
-    own_words = spark.createDataFrame([(bytearray(w),) for w in vocabulary.words[: vocabulary.own]], "word binary")
+    # as an Arrow table, since a list's rows pass through Python workers of another kind, which stay
+    own_words = spark.createDataFrame(pa.table({"word": pa.array(vocabulary.words[: vocabulary.own], pa.binary())}))
     within, seen = np.ones(rare), np.zeros(rare)
     others = counts.join(F.broadcast(own_words), "word", "left_anti")
     for r in others.groupBy((F.crc32(F.substring("word", -ENDING, ENDING)) % rare).alias("c")).agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect():
