@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions.text import alignment_of, delta_violations, delta_with_replacement, restyled
 from wordloom.operators.checks import unique_names
-from wordloom.operators.matching import KIND, THRESHOLD, compatible, current_blocks, exact_link_groups, latest_decisions, similarity
+from wordloom.operators.matching import KIND, THRESHOLD, asked_blocks, compatible, current_blocks, exact_link_groups, latest_decisions, pair_score
 from wordloom.sources.ingest import Workspace, ingest_blocks, typed_blocks, with_structure
 
 MAX_TARGETS, MAX_CHARS = 500, 20_000
@@ -73,8 +73,9 @@ def validate_requests(ws: Workspace, requests: DataFrame, bases: DataFrame, targ
     editable blocks of the bases; targets must be the source, equal to it, or confirmed near matches of its kind that reach
     the threshold; deltas must spell their replacement; replacements and targets have limits.
     """
-    now = current_blocks(ws)
-    cols = ("doc_id", "version_id", "ordinal", "normalized_text", "match_hash", "shared_state", "supported", *KIND)
+    cols = ("doc_id", "version_id", "ordinal", "normalized_text", "context", "match_hash", "shared_state", "supported", *KIND)
+    ids = requests.select(F.col("source_element_id").alias("element_id")).unionByName(targets.select("element_id"))
+    now = asked_blocks(ws, ids, "doc_id", "match_hash", "shared_state", "supported", *KIND)
     side = lambda p, e: now.select(F.col("element_id").alias(e), *(F.col(c).alias(f"{p}{c}") for c in cols))
     asked = requests.select("request_id", F.col("set_id").alias("asked_set"), "source_element_id")
     base = bases.join(asked, "request_id").join(ws.documents.select("doc_id", "set_id"), "doc_id", "left").join(ws.heads.select("doc_id", F.col("version_id").alias("head")), "doc_id", "left")
@@ -83,16 +84,13 @@ def validate_requests(ws: Workspace, requests: DataFrame, bases: DataFrame, targ
     base_rows = base.select("request_id", none.alias("element_id"), F.when(foreign, "foreign_base").when(F.col("base_version_id") != F.col("head"), "stale_base").alias("violation"))
 
     given = bases.select("request_id", F.col("doc_id").alias("base_doc")).distinct()
-    met = targets.join(asked, "request_id").join(side("source_", "source_element_id"), "source_element_id", "left").join(side("", "element_id"), "element_id", "left")
+    # replacements and deltas are judged beside this, as their texts need not meet the blocks'
+    met = targets.select("request_id", "element_id", "decision").join(asked, "request_id").join(side("source_", "source_element_id"), "source_element_id", "left").join(side("", "element_id"), "element_id", "left")
     met = met.join(given.withColumn("based", F.lit(True)), (met["request_id"] == given["request_id"]) & (met["doc_id"] == F.col("base_doc")), "left").drop(given["request_id"])
     is_source = F.col("element_id") == F.col("source_element_id")
     is_exact = (F.col("match_hash") == F.col("source_match_hash")) & (F.col("shared_state") == "shared") & (F.col("source_shared_state") == "shared")
     near = ~is_source & ~F.coalesce(is_exact, F.lit(False))
-    pairs = met.where(near & F.col("doc_id").isNotNull() & F.col("source_doc_id").isNotNull()).select(
-        "source_element_id", "source_version_id", "source_normalized_text", "source_ordinal", "element_id", "version_id", "normalized_text", "ordinal", F.greatest("source_ordinal", "ordinal", F.lit(1)).alias("max_ordinal")
-    )
-    scores = similarity(pairs.distinct(), ws.blocks, threshold).select("source_element_id", "element_id", F.lit(True).alias("reached"))
-    met = met.join(scores, ["source_element_id", "element_id"], "left")
+    met = met.withColumn("reached", pair_score(near & F.col("doc_id").isNotNull() & F.col("source_doc_id").isNotNull(), "source_", "", threshold) >= threshold)
     confirmed = F.col("decision") == "confirmed"
     if decisions is not None:
         kept = latest_decisions(decisions).where("decision = 'confirmed'").select("source_element_id", F.col("candidate_element_id").alias("element_id"), F.lit(True).alias("stored"))
@@ -105,16 +103,17 @@ def validate_requests(ws: Workspace, requests: DataFrame, bases: DataFrame, targ
         F.when(F.col("doc_id").isNotNull() & F.col("based").isNull(), "no_base"),
         F.when(F.col("supported") == F.lit(False), "unsupported"),
         F.when(F.col("doc_id").isNotNull() & F.col("source_doc_id").isNotNull() & ~compatible("source_", ""), "incompatible"),
-        F.when(near & confirmed & F.col("reached").isNull(), "below_threshold"),
+        F.when(near & confirmed & ~F.coalesce("reached", F.lit(False)), "below_threshold"),
         F.when(near & ~confirmed, "near_not_confirmed"),
         F.when(F.col("decision").isin("ignored", "removed"), F.concat(F.lit("match_"), F.col("decision"))),
-        F.when(F.length("replacement") > MAX_CHARS, "too_long"),
     ]
+    rows = met.select("request_id", "element_id", F.explode(F.array(*checks)).alias("violation"))
+    texts = targets.join(requests.select("request_id"), "request_id", "left_semi")
+    long = texts.where(F.length("replacement") > MAX_CHARS).select("request_id", "element_id", F.lit("too_long").alias("violation"))
+    rows = rows.unionByName(long)
     if "ops" in targets.columns:
-        wrong = F.when(F.col("ops").isNotNull(), delta_violations(F.col("ops"), F.col("replacement"), F.col("element_type")))
-        rows = met.select("request_id", "element_id", F.explode(F.concat(F.array(*checks), F.coalesce(wrong, F.array().cast("array<string>")))).alias("violation"))
-    else:
-        rows = met.select("request_id", "element_id", F.explode(F.array(*checks)).alias("violation"))
+        spelt = texts.where(F.col("ops").isNotNull()).join(side("", "element_id").select("element_id", "element_type"), "element_id", "left")
+        rows = rows.unionByName(spelt.select("request_id", "element_id", F.explode(delta_violations(F.col("ops"), F.col("replacement"), F.col("element_type"))).alias("violation")))
 
     held = targets.select("request_id", F.col("element_id").alias("source_element_id"), F.lit(True).alias("held")).distinct()
     source = asked.join(side("", "source_element_id"), "source_element_id", "left").join(held, ["request_id", "source_element_id"], "left")
