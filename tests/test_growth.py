@@ -130,3 +130,21 @@ def test_boxes_of_whole_and_cut_lines(spark):
     assert got == {("whole", 1): (0.0, x(110), True), ("whole", 2): (0.0, x(70), True), ("cut", 1): (x(40), x(110), False), ("cut", 2): (0.0, x(30), False), ("over", 3): (x(80), x(150), True)}
     # where all matches are of whole lines, no match is taken apart into words
     assert "sequence(lo" not in plan(layout.line_boxes(matches.where("element_id = 'whole'"), words))
+
+
+def test_spans_of_a_batch_are_not_held_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from wordloom.llm.exact_substring import _remove
+
+    n, k = 2_000, 200
+    spans = pa.array([[{"lo": 10 * j, "hi": 10 * j + 1} for j in range(k)] for _ in range(4)] * (n // 4), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(["x" * 2_100] * n), spans], names=["id", "text", "spans"])
+    tracemalloc.start()
+    got = [(r["n_bytes"], r["n_removed"], r["n_spans"]) for out in _remove(4, False)(iter([batch])) for r in out.select(["n_bytes", "n_removed", "n_spans"]).to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(2_100, 5 * k, k)] * n
+    assert most < 90_000_000, most
