@@ -148,3 +148,29 @@ def test_spans_of_a_batch_are_not_held_at_once():
     tracemalloc.stop()
     assert got == [(2_100, 5 * k, k)] * n
     assert most < 90_000_000, most
+
+
+def test_words_and_phrases_of_a_table_of_queries(spark):
+    texts = ["a filed report, filing", "report filed\nno", "the safe filing cabinet", "unfiled", "x fil", "Safe  FILING"]
+    b = matching.current_blocks(ingest_blocks(spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")))
+    asked = ["fil", "filing", "safe filing", "d report", "port,", "no", "zz", "x", None, "fi"]
+    queries = spark.createDataFrame([(q,) for q in asked], "query string")
+    cols = ("query", "element_id", "occurrence", "start", "end")
+    found = search.search(b, queries, literals=0)
+    got = sorted(tuple(r[c] for c in cols) for r in found.collect())
+    assert got == sorted(tuple(r[c] for c in cols) for r in search.search(b, queries).collect())
+    assert {r[0] for r in got} == {"fil", "filing", "safe filing", "d report", "port,", "no", "fi"}
+    # words are looked up among the different ones, so letters of texts are cut into n-grams for phrases alone
+    alone = search._met_by_table(b, queries.where("query IN ('fil', 'filing')"))
+    assert {r["element_id"] for r in alone.collect()} == {"0:0", "1:0", "2:0", "3:0", "4:0", "5:0"} and "arrays_zip" not in plan(alone)
+
+
+def test_first_page_maps_only_its_blocks(spark):
+    texts = [("the " * (i % 4 + 1)).strip() + "\nof thé  the" for i in range(30)]
+    b = matching.current_blocks(ingest_blocks(spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")))
+    cols = ("element_id", "occurrence", "start", "end")
+    whole = search.search(b, spark.createDataFrame([("the",)], "query string"))
+    for limit in (1, 7, 1000):
+        got = [tuple(r[c] for c in cols) for r in search.first_page(b, "The", limit).collect()]
+        assert got == [tuple(r[c] for c in cols) for r in search.search_page(whole, limit).collect()] and len(got) == min(limit, whole.count())
+    assert search.first_page(b, "x", 5).count() == 0

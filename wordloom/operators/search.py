@@ -86,14 +86,13 @@ def _met_by_literals(blocks: DataFrame, asked: list[str]) -> DataFrame:
     return met.select("_q.query", "_q.needle", *_BLOCK)
 
 
-def _met_by_grams(blocks: DataFrame, queries: DataFrame) -> DataFrame:
-    """The same for a table of queries of any size: a query meets the blocks that hold its rarest n-gram, and is verified.
+def _met_by_grams(blocks: DataFrame, needles: DataFrame, columns: list[str]) -> DataFrame:
+    """Blocks with the needles (query, needle) in their normal form: a needle meets the blocks that hold its rarest n-gram,
+    and is verified.
 
-    Only n-grams of queries leave a block, and only chosen ones are shuffled with its text. Counting them is one more pass,
-    and combines within tasks. A block meets a query once, as its n-grams are distinct.
+    Only n-grams of needles leave a block, and only chosen ones are shuffled with its text. Counting them is one more pass,
+    and combines within tasks. A block meets a needle once, as its n-grams are distinct.
     """
-    asked = queries.select("query").where("query IS NOT NULL").distinct()
-    needles = stored(asked.select("query", normalise_text(F.col("query")).alias("needle")).where(F.length("needle") >= 2))
     size = F.least(F.length("needle"), F.lit(GRAM))
     met = []
     for k in range(2, GRAM + 1):
@@ -104,12 +103,33 @@ def _met_by_grams(blocks: DataFrame, queries: DataFrame) -> DataFrame:
         wanted = grams.select("gram").distinct()
         held = blocks.select(F.explode(_grams(F.col("normalized_text"), k)).alias("gram"))
         often = held.join(wanted, "gram").groupBy("gram").agg(F.count("*").alias("n"))
-        # a query with an n-gram that no block has is found nowhere
+        # a needle with an n-gram that no block has is found nowhere
         counted = grams.join(often, "gram", "left").groupBy("query", "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
         chosen = stored(counted.where("rarest.n > 0").select("query", "needle", F.col("rarest.gram").alias("gram")))
-        postings = blocks.select(*_BLOCK, "normalized_text", F.explode(_grams(F.col("normalized_text"), k)).alias("gram"))
-        met.append(postings.join(chosen, "gram").where(F.contains("normalized_text", F.col("needle"))).select("query", "needle", *_BLOCK))
-    return reduce(DataFrame.unionByName, met) if met else _met_by_literals(blocks, [])
+        postings = blocks.select(*dict.fromkeys((*columns, "normalized_text")), F.explode(_grams(F.col("normalized_text"), k)).alias("gram"))
+        met.append(postings.join(chosen, "gram").where(F.contains("normalized_text", F.col("needle"))).select("query", "needle", *columns))
+    none = blocks.select(F.lit("").alias("query"), F.lit("").alias("needle"), *columns).limit(0)
+    return reduce(DataFrame.unionByName, met) if met else none
+
+
+def _met_by_words(blocks: DataFrame, needles: DataFrame) -> DataFrame:
+    """The same for needles without a blank, which stand within a word: they are looked for among the different words, and
+    the words that hold one lead to the blocks. A block meets a needle by its first word that holds it."""
+    words = F.filter(F.split("normalized_text", " "), lambda w: F.length(w) >= 2)
+    different = stored(blocks.select(F.explode(words).alias("normalized_text")).distinct())
+    holding = stored(_met_by_grams(different, needles, ["normalized_text"]).withColumnRenamed("normalized_text", "word"))
+    each = blocks.select(*_BLOCK, "normalized_text", F.explode(F.array_distinct(words)).alias("word")).join(holding, "word")
+    first = F.get(F.filter(F.split("normalized_text", " "), lambda w: F.contains(w, F.col("needle"))), F.lit(0))
+    return each.where(first == F.col("word")).select("query", "needle", *_BLOCK)
+
+
+def _met_by_table(blocks: DataFrame, queries: DataFrame) -> DataFrame:
+    """Blocks with the queries of a table of any size that their normal form contains."""
+    asked = queries.select("query").where("query IS NOT NULL").distinct()
+    needles = stored(asked.select("query", normalise_text(F.col("query")).alias("needle")).where(F.length("needle") >= 2))
+    one = ~F.contains("needle", F.lit(" "))
+    met = _met_by_grams(blocks, needles.where(~one), list(_BLOCK))
+    return met if needles.where(one).isEmpty() else met.unionByName(_met_by_words(blocks, needles.where(one)))
 
 
 _BLOCK = ("set_id", "doc_id", "name", "element_id", "ordinal", "text")
@@ -119,11 +139,16 @@ def search(blocks: DataFrame, queries: DataFrame, radius: int = 72, literals: in
     """(query, text) hits of all queries in all blocks, numbered in each block from 1.
 
     Queries are folded first; shorter than two characters they find nothing. They are taken word for word, in any number:
-    up to ``literals`` of them are looked for in one pass over the blocks, more are joined by their rarest n-gram. Both look
-    in the normal form. Only blocks found there are searched for places; plain text needs no map of offsets for it.
+    up to ``literals`` of them are looked for in one pass over the blocks, more are joined by the words that hold them, or by
+    their rarest n-gram if they have several words. Both look in the normal form. Only blocks found there are searched for
+    places; plain text needs no map of offsets for it.
     """
     asked = [r["query"] for r in queries.select("query").where("query IS NOT NULL").distinct().limit(literals + 1).collect()]
-    met = _met_by_literals(blocks, asked) if len(asked) <= literals else _met_by_grams(blocks, queries)
+    return _hits(_met_by_literals(blocks, asked) if len(asked) <= literals else _met_by_table(blocks, queries), radius)
+
+
+def _hits(met: DataFrame, radius: int) -> DataFrame:
+    """Every place of a query in each block that holds it."""
     mapped = met.withColumn("_units", F.when(~is_steady(F.col("text")), offset_map(F.col("text"))))
     found = occurrences(F.col("text"), F.col("_units"), F.col("needle"))
     hits = mapped.select("query", "set_id", "doc_id", "name", "element_id", "ordinal", "text", F.posexplode(found).alias("at", "hit"))
@@ -139,3 +164,15 @@ def search_counts(hits: DataFrame, limit: int | None = None) -> DataFrame:
 def search_page(hits: DataFrame, limit: int) -> DataFrame:
     """The first hits by document name, ordinal and occurrence."""
     return hits.orderBy(F.lower("name"), "ordinal", "occurrence").limit(limit)
+
+
+def first_page(blocks: DataFrame, query: str, limit: int, radius: int = 72) -> DataFrame:
+    """The same for one query, without the other blocks' places: hits go block by block, so those of the first blocks that
+    hold the query make the page. Should some of them have no place for it, more blocks are taken."""
+    taken = limit
+    while True:
+        met = stored(_met_by_literals(blocks, [query]).orderBy(F.lower("name"), "ordinal").limit(taken))
+        page = search_page(_hits(met, radius), limit)
+        if met.count() < taken or page.count() >= limit:
+            return page
+        taken *= 8
