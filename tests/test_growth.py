@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from wordloom.operators import layout, matching, search
+from wordloom.operators import edits, layout, matching, search
 from wordloom.sources.ingest import ingest_blocks
 
 
@@ -174,3 +174,16 @@ def test_first_page_maps_only_its_blocks(spark):
         got = [tuple(r[c] for c in cols) for r in search.first_page(b, "The", limit).collect()]
         assert got == [tuple(r[c] for c in cols) for r in search.search_page(whole, limit).collect()] and len(got) == min(limit, whole.count())
     assert search.first_page(b, "x", 5).count() == 0
+
+
+def test_requests_join_only_asked_blocks(spark):
+    ws = corpus(spark, 6)
+    first = ws.blocks.where("ordinal = 0")
+    requests = first.select(F.col("doc_id").alias("request_id"), "set_id", F.col("element_id").alias("source_element_id"))
+    bases = first.select(F.col("doc_id").alias("request_id"), "doc_id", F.col("version_id").alias("base_version_id"))
+    targets = ws.blocks.where("ordinal < 2").select(F.col("doc_id").alias("request_id"), "element_id", F.when(F.col("ordinal") == 0, F.repeat(F.lit("x"), 20_001)).otherwise("new").alias("replacement"), F.lit(None).cast("string").alias("decision"))
+    found = edits.validate_requests(ws, requests, bases, targets)
+    got = sorted((r["request_id"], r["violation"]) for r in found.collect())
+    assert got == sorted((i, v) for i in range(6) for v in ("too_long", "incompatible", "near_not_confirmed"))
+    # neighbours' wording is settled for the asked blocks before they are joined
+    assert "Window" not in plan(found)
